@@ -55,7 +55,8 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 
 def offsets(radius: int) -> list[int]:
     """Packed offsets of Manhattan length up to ``radius``: zero and one of each opposite pair."""
-    dims, out = len(SEGMENTS), {tuple([0] * dims)}
+    dims = len(SEGMENTS)
+    out = {(0,) * dims}
     for count in range(1, radius + 1):
         for at in combinations(range(dims), count):
             for steps in product(range(-radius, radius + 1), repeat=count):

@@ -2,7 +2,7 @@
 
 A record file is a run of frames. A frame is
 
-    uint64 length | uint32 masked crc32c(length) | payload | uint32 masked crc32c(payload) | one byte 0x0A
+    uint64 length | uint32 masked crc32(length) | payload | uint32 masked crc32(payload) | one byte 0x0A
 
 all little-endian; a mask rotates a checksum right by 15 bits and adds a constant, so that checksums of data that hold
 checksums stay sound. The closing byte is the separator of Spark's text writer, through which executors reach any
@@ -28,75 +28,6 @@ END_ID = 0
 CACHE_PIECES = 600_000
 
 
-def _crc_tables() -> np.ndarray:
-    """Slicing-by-8 tables of crc32c (polynomial 0x82F63B78, reflected)."""
-    t = np.zeros((8, 256), dtype=np.uint32)
-    c = np.arange(256, dtype=np.uint32)
-    for _ in range(8):
-        c = np.where(c & 1, (c >> 1) ^ np.uint32(0x82F63B78), c >> 1)
-    t[0] = c
-    for k in range(1, 8):
-        t[k] = t[0][t[k - 1] & 0xFF] ^ (t[k - 1] >> 8)
-    return t
-
-
-_T = _crc_tables()
-_T0 = _T[0].tolist()
-
-
-def _zero_step(n: int) -> np.ndarray:
-    """The linear map 'append n zero bytes' on crc states, as the images of the 32 bits."""
-    out = np.uint32(1) << np.arange(32, dtype=np.uint32)
-    for _ in range(n):
-        out = _T[0][out & 0xFF] ^ (out >> 8)
-    return out
-
-
-def _apply(step: np.ndarray, state: np.ndarray) -> np.ndarray:
-    out = np.zeros_like(state)
-    for bit in range(32):
-        out ^= np.where((state >> np.uint32(bit)) & 1, step[bit], np.uint32(0))
-    return out
-
-
-_FOLD = 64
-_STEP = {1 << k: None for k in range(40)}
-
-
-def _step(n: int) -> np.ndarray:
-    """``_zero_step`` for any n by squaring; powers of two are kept."""
-    out = None
-    for k in range(n.bit_length()):
-        if _STEP.get(1 << k) is None:
-            _STEP[1 << k] = _zero_step(1) if k == 0 else _apply(_step(1 << (k - 1)), _step(1 << (k - 1)))
-        if n >> k & 1:
-            out = _STEP[1 << k] if out is None else _apply(_STEP[1 << k], out)
-    return out
-
-
-def crc32c(data: bytes) -> int:
-    """CRC-32C. Long inputs run as rows of 64 bytes side by side in numpy, then fold pairwise."""
-    state, n = 0xFFFFFFFF, len(data)
-    head = n % _FOLD if n >= 8 * _FOLD else n
-    for b in data[:head]:
-        state = _T0[(state ^ b) & 0xFF] ^ (state >> 8)
-    if head < n:
-        rows = np.frombuffer(data, np.uint8, offset=head).reshape(-1, _FOLD).astype(np.uint32)
-        part = np.zeros(len(rows), np.uint32)
-        part[0] = state
-        for k in range(0, _FOLD, 4):
-            part ^= rows[:, k] | rows[:, k + 1] << 8 | rows[:, k + 2] << 16 | rows[:, k + 3] << 24
-            part = _T[3][part & 0xFF] ^ _T[2][part >> 8 & 0xFF] ^ _T[1][part >> 16 & 0xFF] ^ _T[0][part >> 24]
-        width = _FOLD
-        while len(part) > 1:
-            if len(part) % 2:  # an empty row in front changes nothing
-                part = np.concatenate([np.zeros(1, np.uint32), part])
-            part = _apply(_step(width), part[0::2]) ^ part[1::2]
-            width *= 2
-        state = int(part[0])
-    return state ^ 0xFFFFFFFF
-
-
 def masked(crc: int) -> int:
     return (((crc >> 15 | crc << 17) & 0xFFFFFFFF) + MASK_DELTA) & 0xFFFFFFFF
 
@@ -104,7 +35,7 @@ def masked(crc: int) -> int:
 def frame(payload: bytes) -> bytes:
     """A frame without its closing byte."""
     size = struct.pack("<Q", len(payload))
-    return b"".join((size, struct.pack("<I", masked(crc32c(size))), payload, struct.pack("<I", masked(crc32c(payload)))))
+    return b"".join((size, struct.pack("<I", masked(zlib.crc32(size))), payload, struct.pack("<I", masked(zlib.crc32(payload)))))
 
 
 def frames(data: bytes, verify: bool = True) -> Iterator[tuple[int, int, bytes]]:
@@ -112,11 +43,11 @@ def frames(data: bytes, verify: bool = True) -> Iterator[tuple[int, int, bytes]]
     at = 0
     while at < len(data):
         size = data[at : at + 8]
-        if len(size) < 8 or at + 12 > len(data) or struct.unpack_from("<I", data, at + 8)[0] != masked(crc32c(size)):
+        if len(size) < 8 or at + 12 > len(data) or struct.unpack_from("<I", data, at + 8)[0] != masked(zlib.crc32(size)):
             raise ValueError(f"damaged length at byte {at}")
         n = struct.unpack("<Q", size)[0]
         payload = data[at + 12 : at + 12 + n]
-        if len(payload) < n or at + 17 + n > len(data) or verify and struct.unpack_from("<I", data, at + 12 + n)[0] != masked(crc32c(payload)):
+        if len(payload) < n or at + 17 + n > len(data) or verify and struct.unpack_from("<I", data, at + 12 + n)[0] != masked(zlib.crc32(payload)):
             raise ValueError(f"damaged record at byte {at}")
         yield at, n + 17, payload
         at += n + 17

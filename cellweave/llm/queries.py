@@ -11,6 +11,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellweave.llm import warc
+
+    captures, _ = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cellweave.llm import token_records
 
@@ -30,7 +37,16 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-_ALL = (op2_token_records, op5_prefix_token_counts, op6_simhash)
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
+     f AS (SELECT h, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY h)
+SELECT page_id, n AS payload_bytes, sha1(p.h) AS payload_digest,
+       CASE WHEN f.first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.first <> page_id THEN f.first END AS refers_to
+FROM p LEFT JOIN f ON p.h = f.h
+"""
+
+_ALL = (op1_warc_index, op2_token_records, op5_prefix_token_counts, op6_simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -38,4 +54,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc_index": OP1_SQL}

@@ -37,6 +37,24 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellweave.llm import packing
+
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellweave.llm import licenses
+
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellweave.llm import decontaminate
+
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 OP1_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
      f AS (SELECT h, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY h)
@@ -46,7 +64,7 @@ SELECT page_id, n AS payload_bytes, sha1(p.h) AS payload_digest,
 FROM p LEFT JOIN f ON p.h = f.h
 """
 
-_ALL = (op1_warc_index, op2_token_records, op5_prefix_token_counts, op6_simhash)
+_ALL = (op1_warc_index, op2_token_records, op5_prefix_token_counts, op6_simhash, op7_best_fit_packing, op9_license_scan, op10_decontamination)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

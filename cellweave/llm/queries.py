@@ -25,6 +25,19 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_sorted_list_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellweave.llm import topk
+
+    v = topk.vectors(_table(spark, sf_dir, "embeddings"))
+    return topk.search(v, v.where("vec_id % 20 = 0"), 20)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellweave.llm import langid
+
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op5_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cellweave.llm import prefix_tokens
 
@@ -64,7 +77,19 @@ SELECT page_id, n AS payload_bytes, sha1(p.h) AS payload_digest,
 FROM p LEFT JOIN f ON p.h = f.h
 """
 
-_ALL = (op1_warc_index, op2_token_records, op5_prefix_token_counts, op6_simhash, op7_best_fit_packing, op9_license_scan, op10_decontamination)
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+_ALL = (op1_warc_index, op2_token_records, op3_sorted_list_topk, op4_language_id, op5_prefix_token_counts, op6_simhash, op7_best_fit_packing, op9_license_scan, op10_decontamination)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -72,4 +97,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_index": OP1_SQL}
+    return {"op1_warc_index": OP1_SQL, "op3_sorted_list_topk": OP3_SQL}

@@ -56,6 +56,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellweave.llm import suffix_dedup
+
+    return suffix_dedup.repeats(_table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cellweave.llm import licenses
 
@@ -89,7 +95,7 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT * FROM r WHERE rank <= 20
 """
 
-_ALL = (op1_warc_index, op2_token_records, op3_sorted_list_topk, op4_language_id, op5_prefix_token_counts, op6_simhash, op7_best_fit_packing, op9_license_scan, op10_decontamination)
+_ALL = (op1_warc_index, op2_token_records, op3_sorted_list_topk, op4_language_id, op5_prefix_token_counts, op6_simhash, op7_best_fit_packing, op8_suffix_array_dedup, op9_license_scan, op10_decontamination)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

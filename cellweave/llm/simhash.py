@@ -82,9 +82,9 @@ def links(classes: DataFrame, radius: int = 2) -> DataFrame:
     """Pairs (a, b) of ``rep`` ids of distinct fingerprints that differ in 1 to ``radius`` bits, each pair once."""
     points = classes.select("fp", "rep", cell(F.col("fp"), radius).alias("cell"))
     steps = F.array(*[F.lit(o).cast("long") for o in offsets(radius)])
-    probes = points.select(F.col("fp").alias("fp2"), F.col("rep").alias("b"), F.explode(F.transform(steps, lambda o: F.col("cell") + o)).alias("cell"), F.col("cell").alias("home"))
+    probes = points.select(F.col("fp").alias("fp2"), F.col("rep").alias("b"), F.explode(F.transform(steps, lambda o: F.col("cell") + o)).alias("cell"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius
-    once = (F.col("cell") != F.col("home")) | (F.col("fp") < F.col("fp2"))
+    once = (cell(F.col("fp"), radius) != cell(F.col("fp2"), radius)) | (F.col("fp") < F.col("fp2"))
     return points.withColumnRenamed("rep", "a").join(probes, "cell").where(near & (F.col("fp") != F.col("fp2")) & once).select("a", "b")
 
 

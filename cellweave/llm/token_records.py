@@ -12,6 +12,7 @@ store. A payload is ``uint8 has_id | int64 doc_id | uint32 n | n ids``, ids as u
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -53,9 +54,10 @@ def frames(data: bytes, verify: bool = True) -> Iterator[tuple[int, int, bytes]]
         at += n + 17
 
 
-def pack(doc_id: int | None, ids: np.ndarray) -> bytes:
-    wide = len(ids) and int(ids.max()) > 0xFFFF
-    return struct.pack("<BqI", (doc_id is not None) | wide << 7, doc_id or 0, len(ids)) + ids.astype("<u4" if wide else "<u2").tobytes()
+def pack(doc_id: int | None, ids: bytes, width: str = "<u2") -> bytes:
+    """A payload from ids that already are ``width`` integers."""
+    wide = width == "<u4"
+    return struct.pack("<BqI", (doc_id is not None) | wide << 7, doc_id or 0, len(ids) // (4 if wide else 2)) + ids
 
 
 def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
@@ -63,48 +65,67 @@ def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
     return (doc_id if flags & 1 else None), np.frombuffer(payload, "<u4" if flags & 128 else "<u2", n, 13).astype("<u4")
 
 
+#: White space other than a space or a line break.
+OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def _single_spaced(text: str) -> bool:
+    """Whether all white space is single spaces and line breaks between other characters."""
+    doubled = "  " in text or " \n" in text or "\n " in text or "\n\n" in text
+    return bool(text) and not doubled and text[0] not in " \n" and text[-1] not in " \n" and not OTHER_SPACE.search(text)
+
+
 class PieceEncoder:
-    """The library's ids of whole texts, each distinct space-led piece encoded once.
+    """The library's ids of whole texts, as bytes; each distinct piece is encoded once and kept.
 
-    The byte-level pattern always starts a new pre-token at a single space between two other characters, so texts are
-    cut there and nowhere else; pieces go through the library and their ids are kept.
+    The byte-level pattern starts a new pre-token at a single space between two other characters, and makes a single
+    line break there one of its own; texts are cut at these places. Texts with any other white space go to the library
+    whole. A piece of letters and one closing mark is two pre-tokens.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        out = text.split(" ")
-        for i in range(1, len(out)):
-            out[i] = " " + out[i]
-        if "  " in text or text[:1] == " " or text[-1:] == " " or any(len(p) > 1 and p[1].isspace() or p[-1:].isspace() for p in out):
-            joined = [out[0]]  # a space beside white space stays inside its piece
-            for p in out[1:]:
-                if len(p) == 1 or p[1].isspace() or not joined[-1] or joined[-1][-1].isspace():
-                    joined[-1] += p
-                else:
-                    joined.append(p)
-            out = joined
-        return out
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.pieces(t) if t else [] for t in texts]
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        known = self.known
-        new = list({p for ps in cut for p in ps if p not in known})
-        for p, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[p] = e.ids
-        out = []
-        for ps in cut:
-            ids: list[int] = []
-            for p in ps:
-                ids += known[p]
-            out.append(np.array(ids, dtype=np.uint32))
+        self.width = "<u2" if self.lib.get_vocab_size() <= 0x10000 else "<u4"
+        self.first: dict[str, bytes] = {}  # pieces that begin a line
+        self.later: dict[str, bytes] = {}  # pieces after a space, kept without it
+        self.line = self._ids(["\n"])[0]
+        self.ends = dict(zip(",.", self._ids([",", "."]), strict=True))
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.width).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces_ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces without line breaks: encoded as the lines of one text, cut again at the break's own id."""
+        ids = np.frombuffer(self._ids(["\n".join(pieces) + "\n"])[0], self.width)
+        stops = np.flatnonzero(ids == np.frombuffer(self.line, self.width)[0])
+        size, data = ids.itemsize, ids.tobytes()
+        return [data[a * size : b * size] for a, b in zip([0, *(stops[:-1] + 1).tolist()], stops.tolist(), strict=True)]
+
+    def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
+        marked = [w for w in words if w[-1] in ",." and w[:-1].isalpha()]
+        new = list((words - set(marked)) | {w[:-1] for w in marked if w[:-1] not in known})
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            known.update(zip(part, self._pieces_ids([lead + w for w in part]), strict=True))
+        for w in marked:
+            known[w] = known[w[:-1]] + self.ends[w[-1]]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as ``width`` integers."""
+        if len(self.later) + len(self.first) > CACHE_PIECES:
+            self.first.clear()
+            self.later.clear()
+        first, later, line = self.first, self.later, self.line
+        plain = [_single_spaced(t) for t in texts]
+        odd = iter(self._ids([t for t, p in zip(texts, plain, strict=True) if not p]))
+        cut = [[x.split(" ") for x in t.split("\n")] if p else [] for t, p in zip(texts, plain, strict=True)]
+        self._learn(first, {x[0] for lines in cut for x in lines} - first.keys(), "")
+        self._learn(later, set().union(*(x[1:] for lines in cut for x in lines)) - later.keys(), " ")
+        get, out = later.__getitem__, []
+        for lines, p in zip(cut, plain, strict=True):
+            out.append(line.join([first[x[0]] + b"".join(map(get, x[1:])) for x in lines]) if p else next(odd))
         return out
 
 
@@ -121,16 +142,15 @@ def write_records(docs: DataFrame, tokenizer: str, path: str) -> None:
         encoder = _ENCODERS.get(name) or _ENCODERS.setdefault(name, PieceEncoder(name))
         for b in batches:
             texts, ids = b["text"].fillna("").tolist(), b["doc_id"].astype("Int64")
-            out, at = [], 0
+            at, end = 0, np.array([END_ID], dtype=encoder.width).tobytes()
             while at < len(texts):  # a bounded piece of the batch at a time
                 stop, size = at, 0
-                while stop < len(texts) and (stop == at or size < 4_000_000):
+                while stop < len(texts) and (stop == at or size < 2_000_000):
                     size += len(texts[stop])
                     stop += 1
-                for i, t in enumerate(encoder.encode(texts[at:stop]), at):
-                    out.append(frame(pack(None if ids.iloc[i] is pd.NA else int(ids.iloc[i]), np.append(t, np.uint32(END_ID)))))
+                out = [frame(pack(None if ids.iloc[i] is pd.NA else int(ids.iloc[i]), t + end, encoder.width)) for i, t in enumerate(encoder.encode(texts[at:stop]), at)]
+                yield pd.DataFrame({"value": out})
                 at = stop
-            yield pd.DataFrame({"value": out})
 
     n = common.partitions(docs.sparkSession)
     ordered = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")

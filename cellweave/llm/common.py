@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,9 +31,16 @@ def stored(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that are done: it does so once their handles are collected as garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """(file system, path) of the JVM's Hadoop API."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

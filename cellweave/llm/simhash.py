@@ -101,3 +101,130 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFra
     roots = common.components(links(classes.where("rep is not null"), radius))
     named = classes.join(roots, classes["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return fps.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- near duplicates by similarity ----------------------------------------------------------------------------------
+#
+# Texts whose word shingles agree by 0.8 differ in up to about 18 of 64 bits; at that radius random pairs pass the
+# Manhattan bound as well, and the grid selects nothing. So texts first meet in blocks of equal min-wise samples of
+# shingles, and the cascade (Manhattan bound, exact bits, similarity) runs within blocks.
+
+BANDS, ROWS, SIGNATURE, BITS = 8, 3, 128, 22
+_RNG = np.random.default_rng(20240229)
+_ODD = _RNG.integers(0, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_XOR = _RNG.integers(0, 1 << 63, SIGNATURE, dtype=np.uint64)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+_CODES: dict[bytes, int] = {}
+
+
+def sketch(text: str | None, words: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(fingerprint, min-wise signature, block keys) of a text's distinct word shingles."""
+    tokens = (text or "").encode().lower().split()
+    if len(_CODES) > 1_000_000:
+        _CODES.clear()
+    codes = np.empty(len(tokens), np.uint64)
+    for i, t in enumerate(tokens):
+        c = _CODES.get(t)
+        if c is None:
+            c = _CODES[t] = xxhash.xxh64_intdigest(t, SEED)
+        codes[i] = c
+    size = min(words, len(tokens))
+    h = np.zeros(max(1, len(tokens) - size + 1), np.uint64)
+    for k in range(size):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + len(h)]
+    h = np.unique(_mixed(h))
+    low, ones = np.full(SIGNATURE, np.iinfo(np.uint64).max, np.uint64), np.zeros(64, np.int64)
+    for at in range(0, len(h), 1024):
+        part = h[at : at + 1024]
+        np.minimum(low, ((part[:, None] ^ _XOR) * _ODD).min(axis=0), out=low)
+        ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    fp = int(np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")[0])
+    keys = np.arange(1, BANDS + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    for r in range(ROWS):
+        keys = _mixed(keys ^ low[r * BANDS : (r + 1) * BANDS]) * np.uint64(0x9E3779B97F4A7C15)
+    return fp, (low >> np.uint64(40)).astype(np.uint8), keys.view(np.int64)
+
+
+def _segment_counts(fps: np.ndarray) -> np.ndarray:
+    bits = np.unpackbits(fps.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.add.reduceat(bits, np.cumsum((0, *SEGMENTS[:-1])), axis=1, dtype=np.int64)
+
+
+def block_links(reps: np.ndarray, fps: np.ndarray, signatures: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links within a block, rows in order of rep: every row against each leader, a row that no leader before it links.
+
+    A leader links to the rows within ``BITS`` bits (first the Manhattan bound, then exactly) whose signatures agree by
+    ``similarity``; so a block of n copies gives n links, not n squared.
+    """
+    out, free = [], np.ones(len(reps), bool)
+    counts = _segment_counts(fps)
+    for lead in range(len(reps)):
+        if not free[lead]:
+            continue
+        near = np.flatnonzero(np.abs(counts - counts[lead]).sum(axis=1) <= BITS)
+        near = near[np.bitwise_count((fps[near] ^ fps[lead]).view(np.uint64)) <= BITS]
+        same = (signatures[near] == signatures[lead]).mean(axis=1)
+        near = near[(same - 1 / 256) / (1 - 1 / 256) >= similarity]
+        free[near] = False
+        free[lead] = False
+        out += [(int(reps[lead]), int(reps[n])) for n in near.tolist() if n != lead]
+    return out
+
+
+def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, root) of documents with a near duplicate other than themselves: root is the group's smallest doc_id.
+
+    Null ids take no part. Texts without words are equal to each other. Equal sketches collapse first, so copies meet
+    nothing more than once.
+    """
+    spark = docs.sparkSession
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [sketch(t if isinstance(t, str) else None, words) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.array([g[0] for g in got], np.int64), "signature": [g[1].tobytes() for g in got], "keys": [g[2] for g in got]})
+
+    sketches = docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, fp long, signature binary, keys array<long>")
+    sketches, _ = common.stored(sketches, "sketches")
+    classes = sketches.groupBy("fp", "signature").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys"))
+    classes, _ = common.stored(classes, "sketch-classes")
+    blocks = classes.select("rep", "fp", "signature", F.explode("keys").alias("key"))
+    blocks = blocks.repartition(common.partitions(spark), "key").sortWithinPartitions("key", "rep")
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in batches:
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
+            keys = b["key"].to_numpy()
+            cut = np.append(0, np.flatnonzero(keys[1:] != keys[:-1]) + 1)
+            held = b.iloc[cut[-1] :]
+            yield links_of(b, cut[:-1], cut[1:])
+        if held is not None:
+            yield links_of(held.reset_index(drop=True), np.zeros(1, np.int64), np.array([len(held)]))
+
+    def links_of(b: pd.DataFrame, starts: np.ndarray, stops: np.ndarray) -> pd.DataFrame:
+        reps, fps, sigs, out = b["rep"].to_numpy(), b["fp"].to_numpy(), b["signature"].to_numpy(), []
+        for s, e in zip(starts.tolist(), stops.tolist(), strict=True):
+            if e - s > 1:
+                out += block_links(reps[s:e], fps[s:e], np.stack([np.frombuffer(x, np.uint8) for x in sigs[s:e]]), similarity)
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    roots = common.components(blocks.mapInPandas(link, "a long, b long"))
+    named = classes.join(roots, classes["rep"] == roots["node"], "left").select("fp", "signature", F.coalesce("root", "rep").alias("root"))
+    return sketches.select("doc_id", "fp", "signature").join(named, ["fp", "signature"]).select("doc_id", "root")
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group, that with the smallest doc_id.
+
+    Rows with a null doc_id stay; rows that repeat an id stay or go together; other columns pass through.
+    """
+    gone = similar_classes(docs, words, similarity).where("doc_id <> root").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -20,56 +20,62 @@ from cellweave.llm import common
 
 SCALE = 64
 CANDIDATE_BLOCK, QUERY_BLOCK = 8192, 1024
-DEPTHS = (0.3, 0.45, 0.6, 0.8, 1.0)
-RESOLVE = 0.02  # at most this share of a block may be left open when scores are resolved
+DEPTHS = (0.7,)
+HOPEFUL = 4  # times k rows of the highest upper bounds are resolved early, to raise the bar
+RESOLVE = 0.03  # at most this share of a block may be left open when scores are resolved
+
+
+def _read(lists: np.ndarray, values: np.ndarray, depth: int, rest: np.ndarray) -> np.ndarray:
+    """Rows as they stand after every list is read to ``depth``: what is seen, and ``rest`` of the list where it is not."""
+    out = np.repeat(rest[None], len(lists), axis=0)
+    np.put_along_axis(out, lists[:depth], values[:depth], axis=0)
+    return out
 
 
 def search_block(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query_id, vec_id, score) of each query's k best rows of a block, ties to smaller ids; a row's own query is left out."""
-    n, dims = x.shape
+    """(query_id, vec_id, score) of each query's k best rows of a block, ties to smaller ids; a row's own query is left out.
+
+    All queries of the block read the lists side by side, so bounds are products of their components with what has been
+    seen: positive components with the lists read from the top, negative ones with those read from the bottom.
+    """
+    n = len(x)
     by_id = np.argsort(ids, kind="stable")
-    ids, x = ids[by_id], x[by_id]
-    order = np.argsort(x, axis=0, kind="stable").astype(np.int32)
+    ids, x = ids[by_id], x[by_id].astype(np.float64)
+    order = np.argsort(x, axis=0, kind="stable")
     values = np.take_along_axis(x, order, axis=0)
-    # The list of dimension d, from the top for positive components and from the bottom for negative ones.
-    lists = np.stack([order[::-1].T, order.T])
-    tops = np.stack([values[::-1].T, values.T]).astype(np.float64)
-    out = []
-    exact = x.astype(np.float64)
-    for query_id, row in zip(q_ids.tolist(), q.astype(np.float64), strict=True):
-        d = np.flatnonzero(row)
-        side = (row[d] < 0).astype(np.int64)
-        own = np.flatnonzero(ids == query_id)
-        open_ = np.arange(n)
-        if len(d):
-            least = np.minimum(tops[side, d, 0] * row[d], tops[side, d, -1] * row[d])
-            for share in DEPTHS:
-                depth = max(1, int(n * share))
-                if depth >= n:
-                    open_ = np.arange(n)
-                    break
-                seen = lists[side, d, :depth].ravel()
-                gain = tops[side, d, :depth] * row[d, None]
-                frontier = tops[side, d, depth - 1] * row[d]
-                lower = np.bincount(seen, (gain - least[:, None]).ravel(), n) + least.sum()
-                upper = np.bincount(seen, (gain - frontier[:, None]).ravel(), n) + frontier.sum()
-                if len(own):
-                    lower[own] = -np.inf
-                if n - len(own) <= k:
-                    break
-                bar = np.partition(lower, n - k)[n - k]
-                best = np.argpartition(-upper, min(n - 1, 4 * k))[: 4 * k]  # the scores of the most hopeful raise the bar
-                best = best[~np.isin(best, own)]
+    q = q.astype(np.float64)
+    up, down = np.maximum(q, 0), np.minimum(q, 0)
+    todo, out = np.arange(len(q)), []
+    for share in (*DEPTHS, 1.0):
+        depth = min(n, max(1, int(n * share)))
+        top, bottom = (order[::-1], values[::-1]), (order, values)
+        upper = up[todo] @ _read(*top, depth, top[1][depth - 1]).T
+        upper += down[todo] @ _read(*bottom, depth, bottom[1][depth - 1]).T
+        lower = up[todo] @ _read(*top, depth, top[1][-1]).T
+        lower += down[todo] @ _read(*bottom, depth, bottom[1][-1]).T
+        on = []
+        for at, t in enumerate(todo.tolist()):
+            hi, lo = upper[at], lower[at]
+            own = np.flatnonzero(ids == q_ids[t])
+            hi[own] = lo[own] = -np.inf
+            open_ = np.arange(n)
+            if n - len(own) > k:
+                bar = np.partition(lo, n - k)[n - k]
+                best = np.argpartition(hi, n - min(n, HOPEFUL * k))[-HOPEFUL * k :]
+                best = best[hi[best] > -np.inf]
                 if len(best) >= k:
-                    score = exact[best] @ row
-                    bar = max(bar, np.partition(score, len(score) - k)[len(score) - k])
-                open_ = np.flatnonzero(upper >= bar)
-                if len(open_) <= max(8 * k, RESOLVE * n):
-                    break
-        open_ = open_[~np.isin(open_, own)]
-        score = exact[open_] @ row
-        take = np.lexsort((ids[open_], -score))[:k]
-        out += [(query_id, int(ids[open_[t]]), int(score[t])) for t in take]
+                    bar = max(bar, np.partition(x[best] @ q[t], len(best) - k)[len(best) - k])
+                open_ = np.flatnonzero(hi >= bar)
+            if len(open_) > max(HOPEFUL * k, RESOLVE * n) and depth < n:
+                on.append(t)
+                continue
+            open_ = open_[~np.isin(open_, own)]
+            score = x[open_] @ q[t]
+            take = np.lexsort((ids[open_], -score))[:k]
+            out += [(int(q_ids[t]), int(ids[open_[i]]), int(score[i])) for i in take]
+        todo = np.array(on, dtype=np.int64)
+        if not len(todo):
+            break
     return out
 
 

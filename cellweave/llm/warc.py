@@ -77,6 +77,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
     )
     record = F.concat(F.encode(head, "UTF-8"), F.when(revisit, F.lit(b"")).otherwise(F.col("payload")))
     r.select(record.cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    common.release(pages.sparkSession)
 
 
 def records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], memoryview]]:
@@ -225,5 +226,7 @@ def round_trip(pages: DataFrame) -> tuple[DataFrame, str]:
     spark = pages.sparkSession
     base = common.new_path(spark, "warc")
     write_archives(pages, f"{base}/archives")
-    write_index(read_archives(spark, f"{base}/archives"), f"{base}/index")
+    captures, kept = common.stored(read_archives(spark, f"{base}/archives"), "captures")  # sorting reads them twice
+    write_index(captures, f"{base}/index")
+    common.remove(spark, kept)
     return read_index(spark, f"{base}/index"), base

@@ -29,10 +29,12 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 def stored(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors."""
-    path = new_path(df.sparkSession, tag)
+    spark, schema = df.sparkSession, df.schema
+    path = new_path(spark, tag)
     df.write.parquet(path)
-    release(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    del df  # or its shuffle files stay
+    release(spark)
+    return spark.read.schema(schema).parquet(path), path
 
 
 def release(spark: SparkSession) -> None:

@@ -1,8 +1,8 @@
 """WARC archives and a two-level capture index.
 
-Archives are plain WARC 1.1 files: each record is its header block, a blank line and the payload, and ends with two
-line breaks, which is the separator of Spark's text writer; so executors write them to any store. Of records with
-equal payloads one is the response and the others revisit it without a payload.
+Archives are WARC 1.1 files in gzip, each record (header block, blank line, payload, two line breaks) a member of its
+own. Executors write them to any store with Spark's text writer, whose separator is an empty gzip member, so that a
+whole file is gzip too. Of records with equal payloads one is the response and the others revisit it without a payload.
 
 The index has two levels. Capture lines, sorted by reversed-host key (``com,example)/path``), stand in blocks of
 ``BLOCK_LINES`` lines, each block one gzip member; a sparse directory keeps the first key, file, offset and length of
@@ -15,6 +15,7 @@ import bisect
 import gzip
 import hashlib
 import json
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 
 from cellweave.llm import common
 
-SEPARATOR = "\r\n\r\n"
+BREAK = b"\r\n\r\n"
+#: An empty gzip member.
+SEPARATOR = bytes([31, 139, 8, 0, 0, 0, 0, 0, 0, 3, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0])
 LEAST_SHARED = 1000
 BLOCK_LINES = 3000
 RECORDS_A_FILE = 20_000
@@ -73,27 +76,47 @@ def write_archives(pages: DataFrame, path: str) -> None:
         line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))),
         F.lit("Content-Type: text/html\r\nContent-Length: "),
         F.when(revisit, F.lit("0")).otherwise(F.col("payload_bytes").cast("string")),
-        F.lit(SEPARATOR),
+        F.lit(BREAK.decode()),
     )
-    record = F.concat(F.encode(head, "UTF-8"), F.when(revisit, F.lit(b"")).otherwise(F.col("payload")))
-    r.select(record.cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    record = F.concat(F.encode(head, "UTF-8"), F.when(revisit, F.lit(b"")).otherwise(F.col("payload")), F.lit(BREAK))
+
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 500):
+                yield pd.DataFrame({"value": [gzip.compress(x, 4, mtime=0) for x in b["value"].iloc[at : at + 500]]})
+
+    packed = r.select(record.alias("value")).mapInPandas(members, "value binary").select(F.col("value").cast("string").alias("value"))
+    packed.write.option("lineSep", SEPARATOR.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    del r, packed
     common.release(pages.sparkSession)
 
 
-def records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], memoryview]]:
+def records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
     """(offset, length, headers, payload) of each record of an archive; a damaged one raises ValueError."""
-    view, at = memoryview(data), 0
+    at = 0
     while at < len(data):
-        stop = data.find(b"\r\n\r\n", at)
-        lines = data[at:stop].decode("utf-8", "replace").split("\r\n") if stop >= 0 else [""]
-        if not lines[0].startswith("WARC/"):
+        if data[at : at + len(SEPARATOR)] == SEPARATOR:
+            at += len(SEPARATOR)
+            continue
+        member, parts, to = zlib.decompressobj(31), [], at
+        try:
+            while not member.eof and to < len(data):  # a little at a time: what follows a member is not copied
+                parts.append(member.decompress(data[to : to + 16384]))
+                to += 16384
+        except zlib.error as e:
+            raise ValueError(f"damaged member at byte {at}") from e
+        record = b"".join(parts)
+        stop = record.find(BREAK)
+        lines = record[:stop].decode("utf-8", "replace").split("\r\n") if stop >= 0 else [""]
+        if not member.eof or not lines[0].startswith("WARC/"):
             raise ValueError(f"no record at byte {at}")
         head = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
         begin, size = stop + 4, int(head["Content-Length"])
-        if data[begin + size : begin + size + 4] != b"\r\n\r\n":
+        if record[begin + size :] != BREAK:
             raise ValueError(f"damaged record at byte {at}")
-        yield at, begin + size - at, head, view[begin : begin + size]
-        at = begin + size + 4
+        length = min(to, len(data)) - at - len(member.unused_data)
+        yield at, length, head, record[begin : begin + size]
+        at += length
 
 
 def _page(urn: str | None) -> int | None:
@@ -211,9 +234,9 @@ class CaptureIndex:
         return out
 
     def record(self, capture: dict) -> tuple[dict[str, str], bytes]:
-        data = self._range(f"{self.archives}/{capture['part']}", capture["offset"], capture["length"] + 4)
+        data = self._range(f"{self.archives}/{capture['part']}", capture["offset"], capture["length"])
         _, _, head, payload = next(records(data))
-        return head, bytes(payload)
+        return head, payload
 
 
 def round_trip(pages: DataFrame) -> tuple[DataFrame, str]:

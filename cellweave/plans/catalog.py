@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-_QUERIES: dict = {}
-_ORACLES: dict[str, str] = {}
+from cellweave.plans import cell_queries, proxy, spatial_queries  # noqa: F401  registered on import
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    return dict(proxy.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return dict(proxy.ORACLES)

@@ -76,11 +76,12 @@ def _single_spaced(text: str) -> bool:
 
 
 class PieceEncoder:
-    """The library's ids of whole texts, as bytes; each distinct piece is encoded once and kept.
+    """The library's ids of whole texts, as bytes; frequent pieces are encoded once and kept.
 
     The byte-level pattern starts a new pre-token at a single space between two other characters, and makes a single
     line break there one of its own; texts are cut at these places. Texts with any other white space go to the library
-    whole. A piece of letters and one closing mark is two pre-tokens.
+    whole. A piece of letters and one closing mark is two pre-tokens. Keys are pieces without their space; a leading
+    carriage return marks the start of a text, a line break that of a line.
     """
 
     def __init__(self, path: str):
@@ -88,8 +89,9 @@ class PieceEncoder:
 
         self.lib = Tokenizer.from_file(path)
         self.width = "<u2" if self.lib.get_vocab_size() <= 0x10000 else "<u4"
-        self.first: dict[str, bytes] = {}  # pieces that begin a line
-        self.later: dict[str, bytes] = {}  # pieces after a space, kept without it
+        self.known: dict[str, bytes] = {}  # met in more than one batch
+        self.recent: dict[str, bytes] = {}  # met once lately
+        self.older: dict[str, bytes] = {}
         self.line = self._ids(["\n"])[0]
         self.ends = dict(zip(",.", self._ids([",", "."]), strict=True))
 
@@ -103,29 +105,42 @@ class PieceEncoder:
         size, data = ids.itemsize, ids.tobytes()
         return [data[a * size : b * size] for a, b in zip([0, *(stops[:-1] + 1).tolist()], stops.tolist(), strict=True)]
 
-    def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
-        marked = [w for w in words if w[-1] in ",." and w[:-1].isalpha()]
-        new = list((words - set(marked)) | {w[:-1] for w in marked if w[:-1] not in known})
+    def _learn(self, words: set[str]) -> list[str]:
+        """Puts all of ``words`` into ``known``; returns those that had not been met lately."""
+        known, fresh = self.known, []
+        for w in words:
+            ids = self.recent.get(w) or self.older.get(w)
+            if ids is None:
+                fresh.append(w)
+            else:
+                known[w] = ids
+        marked = [w for w in fresh if w[-1] in ",." and w[:-1].isalpha()]
+        whole = set(fresh).difference(marked)
+        whole.update(w[:-1] for w in marked if w[:-1] not in known)
+        new = list(whole)
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            known.update(zip(part, self._pieces_ids([lead + w for w in part]), strict=True))
+            for w, ids in zip(part, self._pieces_ids([w[1:] if w[0] in "\r\n" else " " + w for w in part]), strict=True):
+                known[w] = self.line + ids if w[0] == "\n" else ids
         for w in marked:
             known[w] = known[w[:-1]] + self.ends[w[-1]]
+        return [*new, *marked]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as ``width`` integers."""
-        if len(self.later) + len(self.first) > CACHE_PIECES:
-            self.first.clear()
-            self.later.clear()
-        first, later, line = self.first, self.later, self.line
         plain = [_single_spaced(t) for t in texts]
         odd = iter(self._ids([t for t, p in zip(texts, plain, strict=True) if not p]))
-        cut = [[x.split(" ") for x in t.split("\n")] if p else [] for t, p in zip(texts, plain, strict=True)]
-        self._learn(first, {x[0] for lines in cut for x in lines} - first.keys(), "")
-        self._learn(later, set().union(*(x[1:] for lines in cut for x in lines)) - later.keys(), " ")
-        get, out = later.__getitem__, []
-        for lines, p in zip(cut, plain, strict=True):
-            out.append(line.join([first[x[0]] + b"".join(map(get, x[1:])) for x in lines]) if p else next(odd))
+        cut = [("\r" + t.replace("\n", " \n")).split(" ") for t, p in zip(texts, plain, strict=True) if p]
+        fresh = self._learn(set().union(*cut) - self.known.keys())
+        get = self.known.__getitem__
+        done = iter([b"".join(map(get, words)) for words in cut])
+        out = [next(done) if p else next(odd) for p in plain]
+        for w in fresh:
+            self.recent[w] = self.known.pop(w)
+        if len(self.recent) > CACHE_PIECES // 2:
+            self.older, self.recent = self.recent, {}
+        if len(self.known) > CACHE_PIECES:
+            self.known.clear()
         return out
 
 

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.storage import cut
+
 #: Up to so many points, all pairs are scored against a broadcast copy (its size is counted first).
 SMALL = 5000
 
@@ -44,7 +46,8 @@ def knn(points: DataFrame, k: int, include_self: bool = False) -> DataFrame:
         steps = F.sequence(F.lit(-ring), F.lit(ring))
         probes = todo.withColumns({"hx": cx, "hy": cy}).withColumn("ox", F.explode(steps)).withColumn("oy", F.explode(steps))
         probes = probes.withColumns({"cx": F.col("hx") + F.col("ox"), "cy": F.col("hy") + F.col("oy")}).drop("ox", "oy", "hx", "hy")
-        found = best(probes.join(dst, ["cx", "cy"]).where(apart).withColumn("d2", F.expr(_D2))).select("src", "dst", "d2", "rank", "x", "y").persist()
+        found = best(probes.join(dst, ["cx", "cy"]).where(apart).withColumn("d2", F.expr(_D2))).select("src", "dst", "d2", "rank", "x", "y")
+        found = cut(found)
         done.append(found)
         if ring >= most:
             break
@@ -53,7 +56,7 @@ def knn(points: DataFrame, k: int, include_self: bool = False) -> DataFrame:
         ok = found.groupBy("src").agg(F.count("*").alias("n"), F.max("d2").alias("far"), F.first("x").alias("x"), F.first("y").alias("y"))
         ok = ok.where((F.col("n") >= k) & (F.sqrt("far") < sure)).select("src")
         done[-1] = found.join(ok, "src", "left_semi")
-        todo = todo.join(ok, "src", "left_anti").persist()
+        todo = cut(todo.join(ok, "src", "left_anti"))
         if todo.isEmpty():
             break
         ring *= 2
@@ -140,13 +143,13 @@ def clustering(edges: DataFrame) -> DataFrame:
 def connected(edges: DataFrame, nodes: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(obs_id, component): the smallest id reachable, by large-star and small-star rounds on distinct pairs; nodes without edges are their own."""
     e = symmetric(edges).select(F.col("b").alias("u"), F.col("a").alias("v"))
-    before = None
+    e, before = cut(e), None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        e = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct().persist()
+        e = cut(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         now = e.agg(F.count("*"), F.sum((F.xxhash64("u", "v") % 1_000_003).cast("long"))).first()
         if now == before:
             break
@@ -157,12 +160,13 @@ def connected(edges: DataFrame, nodes: DataFrame, max_rounds: int = 50) -> DataF
 def hops(edges: DataFrame, nodes: DataFrame, max_depth: int = 200) -> DataFrame:
     """(src, dst, hops) for all reachable ordered pairs of an undirected graph: breadth-first frontiers as joins."""
     und = symmetric(edges)
-    step = und.select(F.col("a").alias("dst"), F.col("b").alias("to")).unionByName(und.select(F.col("b").alias("dst"), F.col("a").alias("to"))).persist()
-    seen = nodes.select(F.col("obs_id").alias("src"), F.col("obs_id").alias("dst"), F.lit(0).alias("hops")).persist()
+    step = und.select(F.col("a").alias("dst"), F.col("b").alias("to")).unionByName(und.select(F.col("b").alias("dst"), F.col("a").alias("to")))
+    step = cut(step)
+    seen = cut(nodes.select(F.col("obs_id").alias("src"), F.col("obs_id").alias("dst"), F.lit(0).alias("hops")))
     front = seen
     for depth in range(1, max_depth + 1):
-        front = front.join(step, "dst").select("src", F.col("to").alias("dst")).distinct().join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("hops", F.lit(depth)).persist()
+        front = cut(front.join(step, "dst").select("src", F.col("to").alias("dst")).distinct().join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("hops", F.lit(depth)))
         if front.isEmpty():
             break
-        seen = seen.unionByName(front).persist()
+        seen = cut(seen.unionByName(front))
     return seen.where("hops > 0")

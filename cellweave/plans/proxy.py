@@ -138,5 +138,5 @@ def _needed(sql: str) -> list[str]:
     for name in reversed(SQL):
         if re.search(rf"\b{name}\b", text):
             found.append(f"{name} AS ({SQL[name]})")
-            text += SQL[name]
+            text += f" {SQL[name]}"
     return found[::-1]

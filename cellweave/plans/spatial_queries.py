@@ -178,7 +178,7 @@ def lr_perm_p(s, d):
     return communication.pair_p_values(proxy.spot_values(s, d), _groups(s, d), proxy.pairs(s, d), 20).select("source", "target", "ligand", "receptor", "p")
 
 
-@query("SELECT dense_rank() OVER (ORDER BY signature) AS environment, signature, grp AS \"group\" FROM (SELECT DISTINCT list_aggregate(gs, 'string_agg', '|') AS signature, unnest(gs) AS grp FROM (SELECT list_sort(list(DISTINCT CAST(o.cluster AS VARCHAR))) AS gs FROM spots a JOIN spots o ON (a.x - o.x) * (a.x - o.x) + (a.y - o.y) * (a.y - o.y) <= r * r, (SELECT 2 * median(d) AS r FROM nn WHERE rank = 5) GROUP BY a.obs_id, r HAVING count(DISTINCT o.cluster) >= 2))")
+@query("SELECT dense_rank() OVER (ORDER BY signature) AS environment, signature, grp AS \"group\" FROM (SELECT DISTINCT list_aggregate(gs, 'string_agg', '|') AS signature, unnest(gs) AS grp FROM (SELECT list_sort(list(DISTINCT CAST(o.cluster AS VARCHAR))) AS gs FROM (SELECT 2 * median(d) AS r FROM nn WHERE rank = 5) q CROSS JOIN spots a JOIN spots o ON (a.x - o.x) * (a.x - o.x) + (a.y - o.y) * (a.y - o.y) <= r * r GROUP BY a.obs_id HAVING count(DISTINCT o.cluster) >= 2))")
 def microenvironments(s, d):
     return communication.microenvironments(proxy.spots(s, d), _groups(s, d)).withColumn("environment", F.col("environment").cast("long"))
 

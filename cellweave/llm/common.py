@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,8 +40,10 @@ def stored(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that are done: it does so once their handles are collected as garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first round only tells the JVM which handles Python has dropped
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def hadoop_path(spark: SparkSession, path: str):

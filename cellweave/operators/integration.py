@@ -60,13 +60,13 @@ def centre_batches(vectors: DataFrame) -> DataFrame:
 
 
 def harmonise(vectors: DataFrame, clusters: int = 10, rounds: int = 10, ridge: float = 1.0, seed: int = 0) -> DataFrame:
-    """(obs_id, batch, v): soft k-means correction. Each round: responsibilities per obs (an Arrow kernel over rows), then one
+    """(obs_id, batch, v): batches are centred, then corrected by soft clusters. Each round: responsibilities per obs (an Arrow kernel over rows), then one
     sum per cluster and batch, which the driver holds (clusters x batches x dimensions numbers), then the shift of each obs."""
     import numpy as np
     import pandas as pd
 
     spark = vectors.sparkSession
-    v = vectors.select("obs_id", "batch", "v").persist()
+    v = centre_batches(vectors).persist()
     first = v.orderBy(F.xxhash64("obs_id", F.lit(seed)), "obs_id").limit(clusters).collect()
     centres = np.array([r["v"] for r in first], float)
     batches = sorted(r[0] for r in v.select("batch").distinct().collect())

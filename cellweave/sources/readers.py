@@ -25,7 +25,7 @@ def _first(spark: SparkSession, *paths: str) -> str:
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(i, value): lines with their number from 1. A file is one split here (wholetext), so the number is the file's order."""
-    return spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("i", "value")).select((F.col("i") + 1).alias("i"), "value")
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("i", "value")).select((F.col("i") + 1).alias("i"), "value")
 
 
 def matrix_market(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -1,16 +1,23 @@
 """License notices by diagonal voting.
 
-Every rolling two-word gram of a text is joined, by its hash and then itself, to the positions where license templates
-hold it. A hit at word p of the text and word t of a template votes for the diagonal p - t. Votes are counted per
+The 64-bit hashes of all rolling two-word grams of a text are joined to the positions where license templates hold them.
+A hit at word p of the text and word t of a template votes for the diagonal p - t. Votes are counted per
 (document, template, diagonal), neighbouring diagonals of one stretch of text merge, and a span is verified by the
 share of the template's grams that it holds, in order. Short base phrases must hold every gram on one diagonal.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.llm import common
+
 #: label, base phrase: places of these count in n_base and always give their label.
 PHRASES = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license"))
 
@@ -26,36 +33,83 @@ NOTICES = (
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GRAM = 2
 SLACK = 4  # words that may be put in or left out inside one span
 LEAST_COVER = 0.6
+#: Lower-cases A-Z and turns every byte that is in no word into a space.
+WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+NOTHING, END = 0, 1  # hashes that no gram has: a filler, and the end of a text
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_CODES: dict[bytes, int] = {}
+CACHE_WORDS = 500_000
+
+
+def words(text: str | None) -> list[bytes]:
+    return (text or "").encode().translate(WORD_BYTES).split()
+
+
+def gram_hashes(tokens: list[bytes]) -> np.ndarray:
+    """A hash for each place of a gram, then NOTHING at the last word and END after it, so that END stands at the number of words."""
+    if len(_CODES) > CACHE_WORDS:
+        _CODES.clear()
+    get, digest, codes = _CODES.get, xxhash.xxh64_intdigest, []
+    for t in tokens:
+        c = get(t)
+        if c is None:
+            c = _CODES[t] = digest(t)
+        codes.append(c)
+    c = np.array(codes, dtype=np.uint64)
+    out = np.full(len(c) + 1, NOTHING, np.uint64)
+    if len(c) >= GRAM:
+        h = c[:-1] * _ODD + c[1:]
+        h ^= h >> np.uint64(29)
+        out[: len(h)] = np.where(h <= END, h + np.uint64(2), h)
+    out[-1] = END
+    return out.view(np.int64)
 
 
 def template_grams(spark) -> DataFrame:
-    """(template, label, base, size, t, gram): a row for each gram position; a few hundred rows, fixed in this file."""
-    rows = []
+    """(h, template, label, base, size, t): a row for each gram position and one for END; a few hundred rows, fixed in this file."""
+    rows = [(END, -1, "", False, 0, 0)]
     for number, (label, text, base) in enumerate([*((a, b, True) for a, b in PHRASES), *((a, b, False) for a, b in NOTICES)]):
-        words = text.split()
-        n = len(words) - GRAM + 1
-        rows += [(number, label, base, n, t, " ".join(words[t : t + GRAM])) for t in range(n)]
-    return spark.createDataFrame(rows, "template int, label string, base boolean, size int, t int, gram string").withColumn("h", F.xxhash64("gram"))
+        hashes = gram_hashes(words(text))[:-2].tolist()
+        rows += [(h, number, label, base, len(hashes), t) for t, h in enumerate(hashes)]
+    return spark.createDataFrame(rows, "h long, template int, label string, base boolean, size int, t int")
+
+
+def _grams(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, hs): all gram hashes of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, keys, texts = b.column(0), b.column(1), b.column(2)
+            at, held, size = 0, [], 0
+            for i in range(len(texts)):
+                held.append(gram_hashes(words(texts[i].as_py())))
+                size += len(held[-1])
+                if size >= 500_000 or i == len(texts) - 1:
+                    ends = np.cumsum([0, *map(len, held)]).astype(np.int32)
+                    hs = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held)))
+                    yield pa.RecordBatch.from_arrays([ids.slice(at, i + 1 - at), keys.slice(at, i + 1 - at), hs], names=["doc_id", "key", "hs"])
+                    at, held, size = i + 1, [], 0
+
+    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, "doc_id long, key long, hs array<long>")
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     labels are the base labels and those of verified notices; score is the best cover of any template (1 for a base
-    phrase, 0 for none). Null or empty texts have no words, no labels and score 0. Repeated rows each give a row with
-    its own counts; rows that share an id but not the text are told apart by it; other columns are ignored.
+    phrase, 0 for none). Null or empty texts have no words, no labels and score 0. Repeated rows each give a row;
+    rows that share an id but not the text are told apart by it; other columns are ignored. One pass over the texts,
+    and only hits are shuffled.
     """
-    spark = docs.sparkSession
-    d = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    words = d.select("doc_id", "key", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0)).alias("w"))
-    counts = d.select("doc_id", "key", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_words"))
-    grams = words.where(F.size("w") >= GRAM).select("doc_id", "key", F.posexplode(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).alias("p", "gram"))
-    hits = grams.withColumn("h", F.xxhash64("gram")).join(F.broadcast(template_grams(spark)), ["h", "gram"])
-    hits = hits.groupBy("doc_id", "key", "template", "label", "base", "size", "p", "t").count().drop("count")  # repeated rows repeat their hits
+    grams = _grams(docs).select("doc_id", "key", F.posexplode("hs").alias("p", "h"))
+    hits = grams.join(F.broadcast(template_grams(docs.sparkSession)), "h")
+    hits = hits.groupBy("doc_id", "key", "template", "label", "base", "size", "p", "t").agg(F.count("*").alias("n_rows"))
+    hits, _ = common.stored(hits, "license-hits")  # three uses, one pass over the texts
+    counts = hits.where("template < 0").select("doc_id", "key", F.col("p").cast("long").alias("n_words"), "n_rows")
+    hits = hits.where("template >= 0")
     votes = hits.groupBy("doc_id", "key", "template", "label", "base", "size", (F.col("p") - F.col("t")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("p").alias("low"), F.max("p").alias("high"), F.sort_array(F.collect_set("t")).alias("ts"))
     base = votes.where("base and votes = size").groupBy("doc_id", "key").agg(
         F.count("*").alias("n_base"), F.min("diagonal").cast("long").alias("first_word"), F.max("diagonal").cast("long").alias("last_word"), F.collect_set("label").alias("base_set")
@@ -66,14 +120,15 @@ def scan(docs: DataFrame) -> DataFrame:
     spans = votes.where(~F.col("base")).withColumn("span", F.sum(F.when(apart, 1).otherwise(0)).over(w))
     spans = spans.groupBy("doc_id", "key", "template", "label", "size", "span").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ts")))).alias("held"), F.min("low").alias("low"), F.max("high").alias("high"))
     cover = (F.col("held") / F.col("size")).alias("cover")
-    found = spans.select("*", cover).where((F.col("cover") >= LEAST_COVER) & (F.col("high") - F.col("low") < F.col("size") + SLACK + GRAM))
+    found = spans.select("*", cover).where((F.col("cover") >= LEAST_COVER) & (F.col("high") - F.col("low") < 2 * F.col("size") + SLACK))
     found = found.groupBy("doc_id", "key").agg(F.max("cover").alias("cover"), F.collect_set("label").alias("found_set"))
     per = base.join(found, ["doc_id", "key"], "full").select("doc_id", "key", "n_base", "first_word", "last_word", "base_set", "found_set", "cover")
     none = F.array().cast("array<string>")
     joined = lambda a: F.concat_ws(",", F.sort_array(F.array_distinct(a)))
-    out = counts.join(per, (counts["key"] == per["key"]) & counts["doc_id"].eqNullSafe(per["doc_id"]), "left")
-    return out.select(
-        counts["doc_id"],
+    counts, per = counts.withColumnRenamed("key", "k"), per.withColumnRenamed("doc_id", "d")
+    out = counts.join(per, (F.col("k") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
+    return out.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("n_rows")))).select(
+        "doc_id",
         "n_words",
         F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
         "first_word",

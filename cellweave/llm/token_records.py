@@ -19,6 +19,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ from cellweave.llm import common
 
 MASK_DELTA = 0xA282EAD8
 END_ID = 0
-CACHE_PIECES = 600_000
+CHUNK_CHARS = 20_000_000
 
 
 def masked(crc: int) -> int:
@@ -76,12 +78,12 @@ def _single_spaced(text: str) -> bool:
 
 
 class PieceEncoder:
-    """The library's ids of whole texts, as bytes; frequent pieces are encoded once and kept.
+    """The library's ids of whole texts; each distinct piece of a chunk of texts is encoded once.
 
     The byte-level pattern starts a new pre-token at a single space between two other characters, and makes a single
-    line break there one of its own; texts are cut at these places. Texts with any other white space go to the library
-    whole. A piece of letters and one closing mark is two pre-tokens. Keys are pieces without their space; a leading
-    carriage return marks the start of a text, a line break that of a line.
+    line break there one of its own, as it does with a comma or full stop between a letter and white space; texts are
+    cut at these places by Arrow and their pieces numbered. The distinct pieces go through the library as lines of one text, which its ids are cut at again, and are put back by their
+    numbers. Texts with any other white space or an added token go to the library whole. Nothing is kept between chunks.
     """
 
     def __init__(self, path: str):
@@ -89,59 +91,59 @@ class PieceEncoder:
 
         self.lib = Tokenizer.from_file(path)
         self.width = "<u2" if self.lib.get_vocab_size() <= 0x10000 else "<u4"
-        self.known: dict[str, bytes] = {}  # met in more than one batch
-        self.recent: dict[str, bytes] = {}  # met once lately
-        self.older: dict[str, bytes] = {}
+        self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.line = self._ids(["\n"])[0]
-        self.ends = dict(zip(",.", self._ids([",", "."]), strict=True))
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.width).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pieces_ids(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces without line breaks: encoded as the lines of one text, cut again at the break's own id."""
-        ids = np.frombuffer(self._ids(["\n".join(pieces) + "\n"])[0], self.width)
-        stops = np.flatnonzero(ids == np.frombuffer(self.line, self.width)[0])
-        size, data = ids.itemsize, ids.tobytes()
-        return [data[a * size : b * size] for a, b in zip([0, *(stops[:-1] + 1).tolist()], stops.tolist(), strict=True)]
-
-    def _learn(self, words: set[str]) -> list[str]:
-        """Puts all of ``words`` into ``known``; returns those that had not been met lately."""
-        known, fresh = self.known, []
-        for w in words:
-            ids = self.recent.get(w) or self.older.get(w)
-            if ids is None:
-                fresh.append(w)
-            else:
-                known[w] = ids
-        marked = [w for w in fresh if w[-1] in ",." and w[:-1].isalpha()]
-        whole = set(fresh).difference(marked)
-        whole.update(w[:-1] for w in marked if w[:-1] not in known)
-        new = list(whole)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, ids in zip(part, self._pieces_ids([w[1:] if w[0] in "\r\n" else " " + w for w in part]), strict=True):
-                known[w] = self.line + ids if w[0] == "\n" else ids
-        for w in marked:
-            known[w] = known[w[:-1]] + self.ends[w[-1]]
-        return [*new, *marked]
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.width) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _cuttable(self, text: str) -> bool:
+        return _single_spaced(text) and "\x01" not in text and not any(a in text for a in self.added)
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, lengths) of pieces without line breaks."""
+        found, starts, lengths, at = [], [], [], 0
+        for k in range(0, len(pieces), 4096):
+            ids = self._ids(["\n".join(pieces[k : k + 4096]) + "\n"])[0]
+            stops = np.flatnonzero(ids == self.line[0])
+            begin = np.concatenate(([0], stops[:-1] + 1))
+            found.append(ids)
+            starts.append(begin + at)
+            lengths.append(stops - begin)
+            at += len(ids)
+        return np.concatenate(found), np.concatenate(starts), np.concatenate(lengths)
+
+    def _cut(self, texts: list[str]) -> list[bytes]:
+        spaced = pc.replace_substring_regex(pc.replace_substring(pa.array(texts), "\n", " \n \r"), r"(\pL)([,.])( |$)", "\\1 \x01\\2\\3")
+        words = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\r"), spaced, pa.scalar("")), " ")
+        count = pc.list_value_length(words).to_numpy()
+        coded = words.flatten().dictionary_encode()
+        number, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        breaks = np.array([w == "\n" for w in distinct])
+        ids, start, length = self._pieces([w[1:] if w[0] in "\r\x01" else " " + w for w in distinct if w != "\n"])
+        starts, lengths = np.full(len(distinct), len(ids)), np.ones(len(distinct), np.int64)
+        starts[~breaks], lengths[~breaks] = start, length
+        ids = np.append(ids, self.line[0])
+        out, at = [], 0
+        stops = np.cumsum(count)
+        for first in range(0, len(texts), 256):  # a bounded number of tokens at a time
+            last = min(len(texts), first + 256)
+            part = number[at : stops[last - 1]]
+            n, s = lengths[part], starts[part]
+            ends = np.cumsum(n)
+            stream = ids[np.repeat(s - ends + n, n) + np.arange(ends[-1])]
+            docs = ends[stops[first:last] - at - 1]
+            out += [x.tobytes() for x in np.split(stream, docs[:-1])]
+            at = stops[last - 1]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as ``width`` integers."""
-        plain = [_single_spaced(t) for t in texts]
-        odd = iter(self._ids([t for t, p in zip(texts, plain, strict=True) if not p]))
-        cut = [("\r" + t.replace("\n", " \n")).split(" ") for t, p in zip(texts, plain, strict=True) if p]
-        fresh = self._learn(set().union(*cut) - self.known.keys())
-        get = self.known.__getitem__
-        done = iter([b"".join(map(get, words)) for words in cut])
-        out = [next(done) if p else next(odd) for p in plain]
-        for w in fresh:
-            self.recent[w] = self.known.pop(w)
-        if len(self.recent) > CACHE_PIECES // 2:
-            self.older, self.recent = self.recent, {}
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        return out
+        plain = [self._cuttable(t) for t in texts]
+        odd = iter([x.tobytes() for x in self._ids([t for t, p in zip(texts, plain, strict=True) if not p])])
+        cut = [t for t, p in zip(texts, plain, strict=True) if p]
+        done = iter(self._cut(cut) if cut else [])
+        return [next(done) if p else next(odd) for p in plain]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -160,7 +162,7 @@ def write_records(docs: DataFrame, tokenizer: str, path: str) -> None:
             at, end = 0, np.array([END_ID], dtype=encoder.width).tobytes()
             while at < len(texts):  # a bounded piece of the batch at a time
                 stop, size = at, 0
-                while stop < len(texts) and (stop == at or size < 2_000_000):
+                while stop < len(texts) and (stop == at or size < CHUNK_CHARS):
                     size += len(texts[stop])
                     stop += 1
                 out = [frame(pack(None if ids.iloc[i] is pd.NA else int(ids.iloc[i]), t + end, encoder.width)) for i, t in enumerate(encoder.encode(texts[at:stop]), at)]

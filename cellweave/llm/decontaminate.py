@@ -35,7 +35,7 @@ _KNOWN: dict[str, int] = {}
 
 def word_codes(tokens: list[str]) -> np.ndarray:
     """64-bit code of each word."""
-    if len(_KNOWN) > 1_000_000:
+    if len(_KNOWN) > 250_000:
         _KNOWN.clear()
     get, digest = _KNOWN.get, xxhash.xxh64_intdigest
     out = []

@@ -41,7 +41,7 @@ WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <=
 NOTHING, END = 0, 1  # hashes that no gram has: a filler, and the end of a text
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _CODES: dict[bytes, int] = {}
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 
 
 def words(text: str | None) -> list[bytes]:

@@ -127,7 +127,7 @@ _CODES: dict[bytes, int] = {}
 def sketch(text: str | None, words: int) -> tuple[int, np.ndarray, np.ndarray]:
     """(fingerprint, min-wise signature, block keys) of a text's distinct word shingles."""
     tokens = (text or "").encode().lower().split()
-    if len(_CODES) > 1_000_000:
+    if len(_CODES) > 250_000:
         _CODES.clear()
     codes = np.empty(len(tokens), np.uint64)
     for i, t in enumerate(tokens):

@@ -139,3 +139,19 @@ def negative_binomial_wald(bulk: DataFrame, factors: DataFrame, a: str, b: str)
     kind = dict(bulk.dtypes)["gene_id"]
     out = dense.groupBy("gene_id").applyInPandas(fit, f"gene_id {kind}, base_mean double, log2fc double, se double").where("base_mean > 0")
     return stats.adjust(out.withColumn("p", stats.normal_two_sided(F.col("log2fc") / F.col("se"))), "p", "q", "bh", (), ("gene_id",))
+
+
+def logistic_markers(dense: DataFrame, groups: DataFrame, regularisation: float = 0.1) -> DataFrame:
+    """(group, gene_id, coefficient) of a multinomial logistic regression on the chosen genes (MLlib)."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StringIndexer
+    from pyspark.ml.functions import array_to_vector
+
+    from cellweave.operators.embedding import to_vectors
+
+    genes = [r[0] for r in dense.select("gene_id").distinct().orderBy("gene_id").collect()]
+    x = to_vectors(dense).join(groups.select("obs_id", F.col("group").cast("string").alias("group")), "obs_id").withColumn("features", array_to_vector("v"))
+    index = StringIndexer(inputCol="group", outputCol="y", stringOrderType="alphabetAsc").fit(x)
+    fit = LogisticRegression(labelCol="y", family="multinomial", regParam=regularisation, maxIter=100).fit(index.transform(x))
+    rows = [(label, g, float(c)) for label, row in zip(index.labels, fit.coefficientMatrix.toArray(), strict=True) for g, c in zip(genes, row, strict=True)]
+    return dense.sparkSession.createDataFrame(rows, f"group string, gene_id {dict(dense.dtypes)['gene_id']}, coefficient double")

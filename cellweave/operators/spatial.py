@@ -231,3 +231,72 @@ def network_properties(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     deg = c.agg((F.sum("degree") / 2).cast("long").alias("n_edges"), F.avg("clustering").alias("avg_clustering"), F.avg("degree").alias("degree_mean"), F.stddev_pop("degree").alias("degree_sd"))
     comp = neighbors.connected(edges, nodes).groupBy("component").agg(F.count("*").alias("size")).agg(F.count("*").alias("components"), F.max("size").alias("largest"))
     return n.join(deg).join(comp).withColumn("density", F.when(F.col("n_nodes") > 1, 2.0 * F.col("n_edges") / (F.col("n_nodes") * (F.col("n_nodes") - 1))).otherwise(0.0))
+
+
+def local_join_count_p(edges: DataFrame, labels: DataFrame, permutations: int = 99, seed: int = 42) -> DataFrame:
+    """(obs_id, label, ljc, p_sim): neighbours take permuted labels, the obs keeps its own."""
+    y = labels.select("obs_id", "label")
+    perm = permutation_order(y, permutations, seed).join(y.withColumnRenamed("obs_id", "partner"), "partner").select("perm", F.col("obs_id").alias("dst"), F.col("label").alias("other"))
+    drawn = _weights(edges).join(perm, "dst").join(y.withColumnRenamed("obs_id", "src"), "src").groupBy("src", "perm").agg(F.sum(F.when(F.col("label") == F.col("other"), F.col("w")).otherwise(0.0)).alias("c"))
+    both = local_join_count(edges, labels).join(drawn.withColumnRenamed("src", "obs_id"), "obs_id", "left")
+    return both.groupBy("obs_id", "label", "ljc").agg(((F.count_if(F.col("c") >= F.col("ljc")) + 1.0) / (permutations + 1.0)).alias("p_sim"))
+
+
+def local_join_summary(tested: DataFrame, level: float = 0.05) -> DataFrame:
+    """(label, total, mean, sd, n_significant) of ``local_join_count_p``; population deviation."""
+    return tested.groupBy("label").agg(F.sum("ljc").alias("total"), F.avg("ljc").alias("mean"), F.stddev_pop("ljc").alias("sd"), F.count_if(F.col("p_sim") < level).alias("n_significant"))
+
+
+def closeness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(obs_id, closeness): reachable others over the sum of their distances, scaled by the share of nodes reached."""
+    from cellweave.operators.neighbors import hops
+
+    n = nodes.agg(F.count("*").alias("n"))
+    h = hops(edges, nodes).groupBy(F.col("src").alias("obs_id")).agg(F.count("*").alias("k"), F.sum("hops").alias("s"))
+    out = nodes.select("obs_id").join(h, "obs_id", "left").join(F.broadcast(n))
+    return out.select("obs_id", F.when(F.col("k").isNotNull() & (F.col("n") > 1), F.col("k") / F.col("s") * F.col("k") / (F.col("n") - 1)).otherwise(0.0).alias("closeness"))
+
+
+def betweenness(edges: DataFrame, nodes: DataFrame, most_edges: int = 5_000_000) -> DataFrame:
+    """(obs_id, betweenness): Brandes' algorithm, sources dealt over tasks, the undirected graph (counted, at most ``most_edges``) with each; normalised."""
+    import pandas as pd
+
+    from cellweave.errors import DataError
+    from cellweave.operators.neighbors import symmetric
+
+    und = symmetric(edges)
+    if und.count() > most_edges:
+        raise DataError(f"betweenness holds the graph in each task: at most {most_edges} edges")
+    near: dict[int, list[int]] = {}
+    for r in und.toLocalIterator():
+        near.setdefault(r["a"], []).append(r["b"])
+        near.setdefault(r["b"], []).append(r["a"])
+
+    def run(batches):
+        score: dict[int, float] = {}
+        for b in batches:
+            for s in b["obs_id"].tolist():
+                dist, paths, order, back = {s: 0}, {s: 1.0}, [s], {s: []}
+                for v in order:
+                    for u in near.get(v, ()):
+                        if u not in dist:
+                            dist[u], paths[u], back[u] = dist[v] + 1, 0.0, []
+                            order.append(u)
+                        if dist[u] == dist[v] + 1:
+                            paths[u] += paths[v]
+                            back[u].append(v)
+                rest = dict.fromkeys(order, 0.0)
+                for u in reversed(order):
+                    for v in back[u]:
+                        rest[v] += paths[v] / paths[u] * (1 + rest[u])
+                    if u != s:
+                        score[u] = score.get(u, 0.0) + rest[u]
+        yield pd.DataFrame({"obs_id": list(score), "b": list(score.values())}, columns=["obs_id", "b"]).astype({"obs_id": "int64", "b": "float64"})
+
+    got = nodes.select(F.col("obs_id").cast("long").alias("obs_id")).mapInPandas(run, "obs_id long, b double").groupBy("obs_id").agg(F.sum("b").alias("b"))
+    n = nodes.agg(F.count("*").cast("double").alias("n"))
+    return nodes.select("obs_id").join(got, "obs_id", "left").join(F.broadcast(n)).select("obs_id", F.when(F.col("n") > 2, F.coalesce("b", F.lit(0.0)) / ((F.col("n") - 1) * (F.col("n") - 2))).otherwise(0.0).alias("betweenness"))
+
+
+def centrality_by_label(per_node: DataFrame, labels: DataFrame, column: str) -> DataFrame:
+    return per_node.join(labels.select("obs_id", "label"), "obs_id").groupBy("label").agg(F.avg(column).alias(column))

@@ -307,3 +307,49 @@ def diffusion_pseudotime(s, d):
 @query()
 def harmony_correction(s, d):
     return integration.harmonise(proxy.spot_vectors(s, d))
+
+
+@query(f"SELECT obs_id, label, ljc, round((count(*) FILTER (c >= ljc) + 1.0) / 20, 6) AS p_sim FROM (SELECT s.obs_id, s.cluster AS label, count(*) FILTER (o.cluster = s.cluster)::DOUBLE AS ljc FROM spots s LEFT JOIN nn ON src = s.obs_id LEFT JOIN spots o ON o.obs_id = dst GROUP BY 1, 2) l JOIN (SELECT nn.src, p.perm, count(*) FILTER (b.cluster = a.cluster)::DOUBLE AS c FROM nn JOIN {_perms(19, 'spots')} p ON p.obs_id = nn.dst JOIN spots b ON b.obs_id = p.partner JOIN spots a ON a.obs_id = nn.src GROUP BY 1, 2) d ON d.src = l.obs_id GROUP BY 1, 2, 3")
+def local_join_count_perm_p(s, d):
+    return spatial.local_join_count_p(_graph(s, d), _labels(s, d), 19).select("obs_id", "label", "ljc", r6("p_sim"))
+
+
+@query("SELECT a.gene_id AS gene_a, b.gene_id AS gene_b, round(sum(sign(a.value - c.value) * sign(b.value - e.value)) / sqrt(sum(abs(sign(a.value - c.value))) * sum(abs(sign(b.value - e.value)))), 6) + 0.0 AS r FROM vals a JOIN vals b ON a.obs_id = b.obs_id AND a.gene_id < b.gene_id JOIN vals c ON c.gene_id = a.gene_id AND a.obs_id < c.obs_id JOIN vals e ON e.gene_id = b.gene_id AND e.obs_id = c.obs_id WHERE a.gene_id < 6 AND b.gene_id < 6 GROUP BY 1, 2")
+def kendall_corr(s, d):
+    return plotdata.correlations(proxy.spot_values(s, d).where("gene_id < 6"), "kendall").select("gene_a", "gene_b", r6("r"))
+
+
+_SCALES = "(SELECT avg(x) AS mx, avg(y) AS my FROM spots)"
+
+
+@query(f"SELECT gene_id, kernel, round(r2, 6) + 0.0 AS r2, round(exp(-n * r2 / 2), 6) AS p FROM (SELECT gene_id, kernel, n, (ya * ya * bb - 2 * ya * yb * ab + yb * yb * aa) / ((aa * bb - ab * ab) * yy) AS r2 FROM (SELECT gene_id, kernel, sum(value * a) AS ya, sum(value * b) AS yb, count(*) AS n, sum(a * a) AS aa, sum(b * b) AS bb, sum(a * b) AS ab, sum(value * value) - sum(value) * sum(value) / count(*) AS yy FROM (SELECT obs_id, kernel, a - avg(a) OVER (PARTITION BY kernel) AS a, b - avg(b) OVER (PARTITION BY kernel) AS b FROM (SELECT obs_id, 'projection' AS kernel, x AS a, y AS b FROM spots UNION ALL SELECT obs_id, 'gaussian' || CAST(i AS VARCHAR), exp(-cx * cx / (2 * qx[i] * qx[i])), exp(-cy * cy / (2 * qy[i] * qy[i])) FROM (SELECT obs_id, x - mx AS cx, y - my AS cy FROM spots, {_SCALES}) u, (SELECT quantile_cont(abs(x - mx), [0.2, 0.4, 0.6, 0.8, 1.0]) AS qx, quantile_cont(abs(y - my), [0.2, 0.4, 0.6, 0.8, 1.0]) AS qy FROM spots, {_SCALES}) v, range(1, 6) t(i) UNION ALL SELECT obs_id, 'cosine' || CAST(i AS VARCHAR), cos(2 * pi() * cx / qx[i]), cos(2 * pi() * cy / qy[i]) FROM (SELECT obs_id, x - mx AS cx, y - my AS cy FROM spots, {_SCALES}) u, (SELECT quantile_cont(abs(x - mx), [0.2, 0.4, 0.6, 0.8, 1.0]) AS qx, quantile_cont(abs(y - my), [0.2, 0.4, 0.6, 0.8, 1.0]) AS qy FROM spots, {_SCALES}) v, range(1, 6) t(i))) JOIN vals USING (obs_id) GROUP BY 1, 2))")
+def spatial_kernel_test(s, d):
+    from cellweave.operators import spatial_genes
+
+    return spatial_genes.kernel_test(proxy.spot_values(s, d), proxy.spots(s, d)).select("gene_id", "kernel", r6("r2"), r6("p"))
+
+
+@query()
+def spatially_variable_genes(s, d):
+    from cellweave.operators import spatial_genes
+
+    return spatial_genes.spatially_variable(proxy.spot_values(s, d), proxy.spots(s, d))
+
+
+@query()
+def node_betweenness(s, d):
+    return spatial.betweenness(_graph(s, d), proxy.spots(s, d))
+
+
+@query()
+def logistic_regression_markers(s, d):
+    from cellweave.operators import markers
+
+    return markers.logistic_markers(preprocess.scale(proxy.spot_values(s, d)), _groups(s, d))
+
+
+@query("SELECT obs_id, cluster AS cell_type, round(corr(ra, rb), 6) + 0.0 AS rho FROM (SELECT obs_id, gene_id, rank() OVER (PARTITION BY obs_id ORDER BY value) + (count(*) OVER (PARTITION BY obs_id, value) - 1) / 2.0 AS ra FROM vals) a JOIN (SELECT cluster, gene_id, rank() OVER (PARTITION BY cluster ORDER BY m) + (count(*) OVER (PARTITION BY cluster, m) - 1) / 2.0 AS rb FROM (SELECT cluster, gene_id, round(avg(value), 9) AS m FROM vals JOIN spots USING (obs_id) GROUP BY 1, 2)) b USING (gene_id) GROUP BY 1, 2")
+def spearman_annotation(s, d):
+    v = proxy.spot_values(s, d)
+    p = v.join(_groups(s, d), "obs_id").groupBy(F.col("group").alias("cell_type"), "gene_id").agg(F.round(F.avg("value"), 9).alias("value"))
+    return annotation.spearman_reference(v, p).select("obs_id", "cell_type", r6("rho"))

@@ -158,3 +158,23 @@ def test_geary_of_constant_gene_is_left_out(spark):
     v = spark.createDataFrame([(i, 1, 1.0) for i in range(12)], "obs_id long, gene_id int, value double")
     e = spark.createDataFrame([(i, (i + 1) % 12) for i in range(12)], "src long, dst long")
     assert spatial.gearys_c(e, v).count() == 0
+
+
+def test_centralities_of_a_path(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(4)], "src long, dst long")
+    nodes = spark.range(5).withColumnRenamed("id", "obs_id")
+    b = {r["obs_id"]: r["betweenness"] for r in spatial.betweenness(e, nodes).collect()}
+    assert np.allclose([b[i] for i in range(5)], [0, 0.5, 2 / 3, 0.5, 0])
+    c = {r["obs_id"]: r["closeness"] for r in spatial.closeness(e, nodes).collect()}
+    assert math.isclose(c[2], 4 / 6) and math.isclose(c[0], 4 / 10)
+
+
+def test_kernel_test_finds_the_gradient(spark):
+    from cellweave.operators import spatial_genes
+
+    rng = np.random.default_rng(1)
+    xy = rng.uniform(0, 1, (200, 2))
+    coords = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "obs_id long, x double, y double")
+    rows = [(i, g, float(rng.poisson(20 * xy[i, 0] if g == 0 else 5))) for i in range(200) for g in range(10)]
+    got = spatial_genes.spatially_variable(spark.createDataFrame([r for r in rows if r[2]], "obs_id long, gene_id long, value double"), coords)
+    assert [r["gene_id"] for r in spatial_genes.top_genes(got).collect()] == [0]

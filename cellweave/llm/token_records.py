@@ -28,7 +28,7 @@ from cellweave.llm import common
 
 MASK_DELTA = 0xA282EAD8
 END_ID = 0
-CHUNK_CHARS = 20_000_000
+CHUNK_BYTES = 16_000_000
 
 
 def masked(crc: int) -> int:
@@ -67,14 +67,9 @@ def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
     return (doc_id if flags & 1 else None), np.frombuffer(payload, "<u4" if flags & 128 else "<u2", n, 13).astype("<u4")
 
 
-#: White space other than a space or a line break.
-OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-
-
-def _single_spaced(text: str) -> bool:
-    """Whether all white space is single spaces and line breaks between other characters."""
-    doubled = "  " in text or " \n" in text or "\n " in text or "\n\n" in text
-    return bool(text) and not doubled and text[0] not in " \n" and text[-1] not in " \n" and not OTHER_SPACE.search(text)
+#: White space that is not a single space or line break between two other characters, and our own mark.
+ODD_SPACE = "[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x01]|[ \n][ \n]|^[ \n]|[ \n]$"
+KNOWN_PIECES = 200_000
 
 
 class PieceEncoder:
@@ -83,7 +78,8 @@ class PieceEncoder:
     The byte-level pattern starts a new pre-token at a single space between two other characters, and makes a single
     line break there one of its own, as it does with a comma or full stop between a letter and white space; texts are
     cut at these places by Arrow and their pieces numbered. The distinct pieces go through the library as lines of one text, which its ids are cut at again, and are put back by their
-    numbers. Texts with any other white space or an added token go to the library whole. Nothing is kept between chunks.
+    numbers. Texts with any other white space or an added token go to the library whole. Of the pieces that a chunk holds
+    twice, the first ``KNOWN_PIECES`` stay known.
     """
 
     def __init__(self, path: str):
@@ -91,15 +87,13 @@ class PieceEncoder:
 
         self.lib = Tokenizer.from_file(path)
         self.width = "<u2" if self.lib.get_vocab_size() <= 0x10000 else "<u4"
-        self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.odd = "|".join([ODD_SPACE, *(re.escape(t.content) for t in self.lib.get_added_tokens_decoder().values())])
         self.line = self._ids(["\n"])[0]
+        self.known: dict[str, bytes] = {"\n": self.line.tobytes()}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.width) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _cuttable(self, text: str) -> bool:
-        return _single_spaced(text) and "\x01" not in text and not any(a in text for a in self.added)
-
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, starts, lengths) of pieces without line breaks."""
         found, starts, lengths, at = [], [], [], 0
@@ -113,17 +107,27 @@ class PieceEncoder:
             at += len(ids)
         return np.concatenate(found), np.concatenate(starts), np.concatenate(lengths)
 
-    def _cut(self, texts: list[str]) -> list[bytes]:
-        spaced = pc.replace_substring_regex(pc.replace_substring(pa.array(texts), "\n", " \n \r"), r"(\pL)([,.])( |$)", "\\1 \x01\\2\\3")
+    def _cut(self, texts: pa.Array) -> list[bytes]:
+        spaced = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " \n \r"), r"(\pL)([,.])( |$)", "\\1 \x01\\2\\3")
         words = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\r"), spaced, pa.scalar("")), " ")
-        count = pc.list_value_length(words).to_numpy()
+        count = pc.list_value_length(words).to_numpy(zero_copy_only=False)
         coded = words.flatten().dictionary_encode()
         number, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        breaks = np.array([w == "\n" for w in distinct])
-        ids, start, length = self._pieces([w[1:] if w[0] in "\r\x01" else " " + w for w in distinct if w != "\n"])
-        starts, lengths = np.full(len(distinct), len(ids)), np.ones(len(distinct), np.int64)
-        starts[~breaks], lengths[~breaks] = start, length
-        ids = np.append(ids, self.line[0])
+        del spaced, words, coded
+        kept = [self.known.get(w) for w in distinct]
+        new = np.array([k is None for k in kept])
+        fresh = [w for w, n in zip(distinct, new.tolist(), strict=True) if n]
+        ids, start, length = self._pieces([w[1:] if w[0] in "\r\x01" else " " + w for w in fresh]) if fresh else (np.empty(0, self.width), np.empty(0, np.int64), np.empty(0, np.int64))
+        starts, lengths = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        starts[new], lengths[new] = start, length
+        old = [k for k in kept if k is not None]
+        lengths[~new] = np.array([len(k) for k in old], np.int64) // ids.itemsize
+        starts[~new] = len(ids) + np.cumsum(lengths[~new]) - lengths[~new]
+        if len(self.known) < KNOWN_PIECES:
+            twice = np.bincount(number, minlength=len(distinct))[new] > 1
+            for w, a, n in zip([w for w, t in zip(fresh, twice.tolist(), strict=True) if t], start[twice].tolist(), length[twice].tolist(), strict=True):
+                self.known[w] = ids[a : a + n].tobytes()
+        ids = np.concatenate([ids, np.frombuffer(b"".join(old), self.width)])
         out, at = [], 0
         stops = np.cumsum(count)
         for first in range(0, len(texts), 256):  # a bounded number of tokens at a time
@@ -137,13 +141,13 @@ class PieceEncoder:
             at = stops[last - 1]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as ``width`` integers."""
-        plain = [self._cuttable(t) for t in texts]
-        odd = iter([x.tobytes() for x in self._ids([t for t, p in zip(texts, plain, strict=True) if not p])])
-        cut = [t for t, p in zip(texts, plain, strict=True) if p]
-        done = iter(self._cut(cut) if cut else [])
-        return [next(done) if p else next(odd) for p in plain]
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text (an Arrow array of strings without nulls) as ``width`` integers."""
+        odd = pc.or_(pc.match_substring_regex(texts, self.odd), pc.equal(pc.binary_length(texts), 0))
+        rest = iter([x.tobytes() for x in self._ids(texts.filter(odd).to_pylist())])
+        cut = texts.filter(pc.invert(odd))
+        done = iter(self._cut(cut) if len(cut) else [])
+        return [next(rest) if o else next(done) for o in odd.to_pylist()]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -152,26 +156,26 @@ _ENCODERS: dict[str, PieceEncoder] = {}
 def write_records(docs: DataFrame, tokenizer: str, path: str) -> None:
     """Encode every text (null: empty), append ``END_ID`` and write frames in ascending doc_id order (nulls first, ties by text)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
         name = public_tokenizers.path(tokenizer)
         encoder = _ENCODERS.get(name) or _ENCODERS.setdefault(name, PieceEncoder(name))
+        end = np.array([END_ID], dtype=encoder.width).tobytes()
         for b in batches:
-            texts, ids = b["text"].fillna("").tolist(), b["doc_id"].astype("Int64")
-            at, end = 0, np.array([END_ID], dtype=encoder.width).tobytes()
-            while at < len(texts):  # a bounded piece of the batch at a time
-                stop, size = at, 0
-                while stop < len(texts) and (stop == at or size < CHUNK_CHARS):
-                    size += len(texts[stop])
-                    stop += 1
-                out = [frame(pack(None if ids.iloc[i] is pd.NA else int(ids.iloc[i]), t + end, encoder.width)) for i, t in enumerate(encoder.encode(texts[at:stop]), at)]
-                yield pd.DataFrame({"value": out})
+            ids, texts = b.column(0).to_pylist(), pc.fill_null(b.column(1), "")
+            sizes = np.cumsum(pc.binary_length(texts).to_numpy())
+            at = 0
+            while at < len(ids):  # a bounded piece of the batch at a time
+                stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + CHUNK_BYTES, "right")))
+                out = [frame(pack(i, t + end, encoder.width)) for i, t in zip(ids[at:stop], encoder.encode(texts.slice(at, stop - at)), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
                 at = stop
+            pa.default_memory_pool().release_unused()
 
     n = common.partitions(docs.sparkSession)
     ordered = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    ordered.mapInPandas(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    ordered.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:

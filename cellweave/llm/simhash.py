@@ -107,9 +107,12 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFra
 #
 # Texts whose word shingles agree by 0.8 differ in up to about 18 of 64 bits; at that radius random pairs pass the
 # Manhattan bound as well, and the grid selects nothing. So texts first meet in blocks of equal min-wise samples of
-# shingles, and the cascade (Manhattan bound, exact bits, similarity) runs within blocks.
+# shingles, and the cascade (Manhattan bound, exact bits, estimated similarity) runs within blocks; links whose estimate
+# does not settle the matter are verified on the shingles themselves.
 
 BANDS, ROWS, SIGNATURE, BITS = 8, 3, 128, 22
+#: An estimate this far below the similarity asked for is no link; this far above, it is one without a look at the shingles.
+BELOW, ABOVE = 0.08, 0.1
 _RNG = np.random.default_rng(20240229)
 _ODD = _RNG.integers(0, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = _RNG.integers(0, 1 << 63, SIGNATURE, dtype=np.uint64)
@@ -124,8 +127,8 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 _CODES: dict[bytes, int] = {}
 
 
-def sketch(text: str | None, words: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """(fingerprint, min-wise signature, block keys) of a text's distinct word shingles."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """Distinct hashes of a text's word shingles (of the whole text where it is shorter), sorted."""
     tokens = (text or "").encode().lower().split()
     if len(_CODES) > 250_000:
         _CODES.clear()
@@ -139,7 +142,12 @@ def sketch(text: str | None, words: int) -> tuple[int, np.ndarray, np.ndarray]:
     h = np.zeros(max(1, len(tokens) - size + 1), np.uint64)
     for k in range(size):
         h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + len(h)]
-    h = np.unique(_mixed(h))
+    return np.unique(_mixed(h))
+
+
+def sketch(text: str | None, words: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(fingerprint, min-wise signature, block keys) of a text's distinct word shingles."""
+    h = shingle_hashes(text, words)
     low, ones = np.full(SIGNATURE, np.iinfo(np.uint64).max, np.uint64), np.zeros(64, np.int64)
     for at in range(0, len(h), 1024):
         part = h[at : at + 1024]
@@ -157,11 +165,11 @@ def _segment_counts(fps: np.ndarray) -> np.ndarray:
     return np.add.reduceat(bits, np.cumsum((0, *SEGMENTS[:-1])), axis=1, dtype=np.int64)
 
 
-def block_links(reps: np.ndarray, fps: np.ndarray, signatures: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Links within a block, rows in order of rep: every row against each leader, a row that no leader before it links.
+def block_links(reps: np.ndarray, fps: np.ndarray, signatures: np.ndarray, least: float) -> list[tuple[int, int, float]]:
+    """(a, b, estimate) within a block, rows in order of rep: every row against each leader, a row that no leader before it links.
 
     A leader links to the rows within ``BITS`` bits (first the Manhattan bound, then exactly) whose signatures agree by
-    ``similarity``; so a block of n copies gives n links, not n squared.
+    ``least``; so a block of n copies gives n links, not n squared.
     """
     out, free = [], np.ones(len(reps), bool)
     counts = _segment_counts(fps)
@@ -170,11 +178,11 @@ def block_links(reps: np.ndarray, fps: np.ndarray, signatures: np.ndarray, simil
             continue
         near = np.flatnonzero(np.abs(counts - counts[lead]).sum(axis=1) <= BITS)
         near = near[np.bitwise_count((fps[near] ^ fps[lead]).view(np.uint64)) <= BITS]
-        same = (signatures[near] == signatures[lead]).mean(axis=1)
-        near = near[(same - 1 / 256) / (1 - 1 / 256) >= similarity]
+        same = ((signatures[near] == signatures[lead]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+        near, same = near[same >= least], same[same >= least]
         free[near] = False
         free[lead] = False
-        out += [(int(reps[lead]), int(reps[n])) for n in near.tolist() if n != lead]
+        out += [(int(reps[lead]), int(reps[n]), s) for n, s in zip(near.tolist(), same.tolist(), strict=True) if n != lead]
     return out
 
 
@@ -213,14 +221,33 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         reps, fps, sigs, out = b["rep"].to_numpy(), b["fp"].to_numpy(), b["signature"].to_numpy(), []
         for s, e in zip(starts.tolist(), stops.tolist(), strict=True):
             if e - s > 1:
-                out += block_links(reps[s:e], fps[s:e], np.stack([np.frombuffer(x, np.uint8) for x in sigs[s:e]]), similarity)
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    roots = common.components(blocks.mapInPandas(link, "a long, b long"))
+                out += block_links(reps[s:e], fps[s:e], np.stack([np.frombuffer(x, np.uint8) for x in sigs[s:e]]), similarity - BELOW)
+        return pd.DataFrame(out, columns=["a", "b", "estimate"])
+
+    found = blocks.mapInPandas(link, "a long, b long, estimate double").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "estimate").groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
+    found, _ = common.stored(found, "sketch-links")
+    sure = found.where(F.col("estimate") >= similarity + ABOVE).select("a", "b")
+    open_links = found.where(F.col("estimate") < similarity + ABOVE).select("a", "b")
+    roots = common.components(sure.unionByName(_verified(docs, open_links, words, similarity)))
     named = classes.join(roots, classes["rep"] == roots["node"], "left").select("fp", "signature", F.coalesce("root", "rep").alias("root"))
     return sketches.select("doc_id", "fp", "signature").join(named, ["fp", "signature"]).select("doc_id", "root")
 
 
+def _verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose texts have shingle sets of at least ``similarity`` (intersection over union)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "h": [shingle_hashes(t if isinstance(t, str) else None, words).view(np.int64) for t in b["text"]]})
+
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = docs.select("doc_id", "text").join(ids, "doc_id").mapInPandas(run, "doc_id long, h array<long>")
+    sets, _ = common.stored(sets, "shingles")
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("h").alias("hb")), "b")
+    both = both.select("a", "b", F.size("ha").alias("na"), F.size("hb").alias("nb"), F.size(F.array_intersect("ha", "hb")).alias("n"))
+    return both.where(F.col("n") >= similarity * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b").distinct()
+
+
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, that with the smallest doc_id.
 

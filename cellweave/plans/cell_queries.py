@@ -139,7 +139,7 @@ def bh_fdr(s, d):
     return stats.adjust(t, "p", "q", "bh", ("group",), ("item",)).select("item", "group", r6("q"))
 
 
-@query("SELECT sample, condition, gene_id, value FROM bulk")
+@query("SELECT sample, condition, gene_id, sum(value) AS value FROM ocounts JOIN samples USING (obs_id) GROUP BY 1, 2, 3")
 def pseudobulk(s, d):
     return markers.pseudobulk(proxy.order_counts(s, d), proxy.samples(s, d), min_cells=1).select("sample", "condition", "gene_id", "value")
 
@@ -150,7 +150,9 @@ def pseudobulk_strat(s, d):
 
 
 def _bulk(s, d):
-    return markers.pseudobulk(proxy.order_counts(s, d), proxy.samples(s, d), min_cells=1)
+    """Over 40 gene groups, so that some are positive in every sample, as size factors need."""
+    c = proxy.order_counts(s, d).groupBy("obs_id", (F.col("gene_id") % 40).alias("gene_id")).agg(F.sum("value").alias("value"))
+    return markers.pseudobulk(c, proxy.samples(s, d), min_cells=1)
 
 
 @query("SELECT sample, round(size_factor, 6) AS size_factor FROM factors")
@@ -229,9 +231,9 @@ def score_summary(s, d):
     return t.select("set_name", r6("mean"), r6("sd"), r6("median"), r6("q25"), r6("q75"))
 
 
-@query("SELECT set_name, count(*) AS n FROM genes GROUP BY 1 HAVING count(*) BETWEEN 70 AND 90")
+@query("SELECT set_name, count(*) AS n FROM genes GROUP BY 1 HAVING count(*) BETWEEN 8 AND 90")
 def set_size_filter(s, d):
-    return enrichment.sized_sets(proxy.genes(s, d).select("set_name", "gene_id"), 70, 90).groupBy("set_name").agg(F.count("*").alias("n"))
+    return enrichment.sized_sets(proxy.genes(s, d).select("set_name", "gene_id"), 8, 90).groupBy("set_name").agg(F.count("*").alias("n"))
 
 
 # --- deconvolution, layers, plots -----------------------------------------------------------------------------------

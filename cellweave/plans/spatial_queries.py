@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellweave.operators import annotation, cnv, communication, dynamics, embedding, integration, neighbors, plotdata, preprocess, spatial
+from cellweave.operators import annotation, cnv, communication, domains, dynamics, embedding, integration, neighbors, plotdata, preprocess, spatial
 from cellweave.plans import proxy
 from cellweave.plans.proxy import query, r6
 from cellweave.sources import sinks
@@ -353,3 +353,19 @@ def spearman_annotation(s, d):
     v = proxy.spot_values(s, d)
     p = v.join(_groups(s, d), "obs_id").groupBy(F.col("group").alias("cell_type"), "gene_id").agg(F.round(F.avg("value"), 9).alias("value"))
     return annotation.spearman_reference(v, p).select("obs_id", "cell_type", r6("rho"))
+
+
+@query(f"SELECT label, round(coalesce(touched, 0) / (n - size)::DOUBLE, 6) AS degree_centrality, round(clustering, 6) AS clustering FROM (SELECT cluster AS label, count(*) AS size, (SELECT count(*) FROM spots) AS n FROM spots GROUP BY 1) JOIN (SELECT cluster AS label, avg(clustering) AS clustering FROM spots JOIN ({_TRI}) USING (obs_id) GROUP BY 1) USING (label) LEFT JOIN (SELECT a.cluster AS label, count(DISTINCT other) AS touched FROM (SELECT a AS me, b AS other FROM und UNION ALL SELECT b, a FROM und) e JOIN spots a ON a.obs_id = me JOIN spots b ON b.obs_id = other WHERE a.cluster <> b.cluster GROUP BY 1) USING (label)")
+def group_centrality(s, d):
+    return domains.group_centrality(_graph(s, d), _labels(s, d)).select("label", r6("degree_centrality"), r6("clustering"))
+
+
+@query()
+def spatial_domains(s, d):
+    return domains.spatial_domains(proxy.spot_vectors(s, d), proxy.spots(s, d))
+
+
+@query()
+def variable_genes_by_batch(s, d):
+    v = proxy.spot_values(s, d).withColumn("value", F.abs("value"))
+    return preprocess.variable_genes_by_batch(v, proxy.spots(s, d).select("obs_id", (F.col("cluster") % 3).alias("batch")), 20)

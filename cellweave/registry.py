@@ -26,7 +26,7 @@ def methods(family: str) -> list[str]:
 
 
 def _defaults() -> None:
-    from cellweave.operators import annotation, communication, deconvolution, enrichment, integration, spatial
+    from cellweave.operators import annotation, communication, deconvolution, domains, enrichment, external, integration, spatial, spatial_genes
 
     for family, table in {
         "deconvolution": deconvolution.METHODS,
@@ -34,10 +34,15 @@ def _defaults() -> None:
         "enrichment": {"ora": enrichment.over_representation, "gsea": enrichment.prerank, "ssgsea": enrichment.ssgsea, "mean": enrichment.mean_score, "web": enrichment.web_service},
         "annotation": {"markers": annotation.marker_scores, "spearman": annotation.spearman_reference, "learned": annotation.learned_model},
         "integration": {"harmony": integration.harmonise, "bbknn": integration.batch_balanced_knn, "mnn": integration.mutual_pairs, "variational": integration.variational},
+        "spatial_genes": spatial_genes.METHODS,
+        "domains": {"communities": domains.spatial_domains},
         "communication": {"mean": communication.pair_scores, "permutation": communication.pair_p_values, "cauchy": communication.combined_p},
     }.items():
         for name, fn in table.items():
             register_method(family, name, fn)
+    for family, names in external.SUBSTITUTES.items():
+        for name in names:
+            register_method(family, name, external.external(family, name))
 
 
 _defaults()

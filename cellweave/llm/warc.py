@@ -140,7 +140,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     url = head.get("WARC-Target-URI")
                     rows.append((surt(url), _page(head.get("WARC-Record-ID")), url, head["WARC-Type"], _page(head.get("WARC-Refers-To")), n, digest, name.rsplit("/", 1)[-1], at, size))
                 if rows:
-                    out = pd.DataFrame(rows, columns=[c.split()[0] for c in CAPTURE.split(", ")])
+                    out = pd.DataFrame(rows, columns=[c.split()[0] for c in CAPTURE.split(", ")], dtype=object)
                     yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
@@ -198,7 +198,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
             for content, where in zip(b["content"], b["places"], strict=True):
                 for place in where:
                     rows = list(index_lines(content[place["offset"] : place["offset"] + place["length"]]))
-                    yield pd.DataFrame(rows).astype({"page_id": "Int64", "refers_to": "Int64"})
+                    yield pd.DataFrame(rows, dtype=object).astype({"page_id": "Int64", "refers_to": "Int64"})
 
     return files.join(places, "task").select("content", "places").mapInPandas(run, CAPTURE)
 

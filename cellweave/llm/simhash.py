@@ -111,6 +111,8 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFra
 # does not settle the matter are verified on the shingles themselves.
 
 BANDS, ROWS, SIGNATURE, BITS = 8, 3, 128, 22
+#: Each turn lets a row of a block be met by four times as many leaders, so a block is through after the logarithm of its rows.
+MAX_TURNS = 24
 #: An estimate this far below the similarity asked for is no link; this far above, it is one without a look at the shingles.
 BELOW, ABOVE = 0.08, 0.1
 _RNG = np.random.default_rng(20240229)
@@ -165,25 +167,41 @@ def _segment_counts(fps: np.ndarray) -> np.ndarray:
     return np.add.reduceat(bits, np.cumsum((0, *SEGMENTS[:-1])), axis=1, dtype=np.int64)
 
 
-def block_links(reps: np.ndarray, fps: np.ndarray, signatures: np.ndarray, least: float) -> list[tuple[int, int, float]]:
-    """(a, b, estimate) within a block, rows in order of rep: every row against each leader, a row that no leader before it links.
+def block_links(reps: np.ndarray, fps: np.ndarray, signatures: np.ndarray, least: float, sure: float, roots: np.ndarray | None = None, degrees: np.ndarray | None = None, limit: int = 1) -> tuple[list[tuple[int, int, float]], np.ndarray]:
+    """Links (a, b, estimate) within a block, and the places of rows between which pairs are still unseen.
 
-    A leader links to the rows within ``BITS`` bits (first the Manhattan bound, then exactly) whose signatures agree by
-    ``least``; so a block of n copies gives n links, not n squared.
+    Rows lead in order of known links (``degrees``), then of rep. A leader meets all rows of other groups than its own
+    (``roots``, and estimates of at least ``sure`` within the block) and links to those within ``BITS`` bits (first the
+    Manhattan bound, then exactly) whose signatures agree by ``least``. A row of a leader's group does not lead in this
+    round, nor one met by ``limit`` leaders whose links may yet fail; so a block of n copies gives n links, not n
+    squared. Of two rows that have not led the pair is unseen, unless they are in one group.
     """
-    out, free = [], np.ones(len(reps), bool)
+    out, size = [], len(reps)
+    group = np.arange(size) if roots is None else np.unique(roots, return_inverse=True)[1]
+    degrees = np.zeros(size, np.int64) if degrees is None else degrees
+    met, joined, led = np.zeros(size, np.int64), np.zeros(size, bool), np.zeros(size, bool)
+    largest = group == np.bincount(group).argmax() if roots is not None else joined
     counts = _segment_counts(fps)
-    for lead in range(len(reps)):
-        if not free[lead]:
+    for lead in np.lexsort((reps, largest, -degrees)).tolist():
+        if joined[lead] or met[lead] >= limit:
             continue
-        near = np.flatnonzero(np.abs(counts - counts[lead]).sum(axis=1) <= BITS)
+        left = group[~led]
+        if (left == left[0]).all():
+            break
+        led[lead] = True
+        near = np.flatnonzero((group != group[lead]) & ~led)
+        near = near[np.abs(counts[near] - counts[lead]).sum(axis=1) <= BITS]
         near = near[np.bitwise_count((fps[near] ^ fps[lead]).view(np.uint64)) <= BITS]
         same = ((signatures[near] == signatures[lead]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
         near, same = near[same >= least], same[same >= least]
-        free[near] = False
-        free[lead] = False
-        out += [(int(reps[lead]), int(reps[n]), s) for n, s in zip(near.tolist(), same.tolist(), strict=True) if n != lead]
-    return out
+        met[near] += 1
+        alike = near[same >= sure]
+        if len(alike):
+            joined[alike] = True
+            group[np.isin(group, group[alike])] = group[lead]
+        out += [(int(reps[lead]), int(reps[n]), s) for n, s in zip(near.tolist(), same.tolist(), strict=True)]
+    rest = np.flatnonzero(~led)
+    return out, rest if len(np.unique(group[rest])) > 1 else rest[:0]
 
 
 def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -203,8 +221,40 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     sketches, _ = common.stored(sketches, "sketches")
     classes = sketches.groupBy("fp", "signature").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys"))
     classes, _ = common.stored(classes, "sketch-classes")
-    blocks = classes.select("rep", "fp", "signature", F.explode("keys").alias("key"))
-    blocks = blocks.repartition(common.partitions(spark), "key").sortWithinPartitions("key", "rep")
+    blocks = classes.select("rep", "fp", "signature", F.explode("keys").alias("key"), F.col("rep").alias("root"), F.lit(0).cast("long").alias("degree"))
+    roots = known = tested = None
+    for turn in range(MAX_TURNS):
+        found, _ = common.stored(_met(blocks, similarity, 4**turn, turn == 0), "sketch-links")
+        pairs = found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "estimate").groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
+        doubtful = pairs.where(F.col("estimate") < similarity + ABOVE).select("a", "b")
+        doubtful, _ = common.stored(doubtful if tested is None else doubtful.join(tested, ["a", "b"], "left_anti"), "doubtful")
+        tested = doubtful if tested is None else tested.unionByName(doubtful)
+        sure = pairs.where(F.col("estimate") >= similarity + ABOVE).select("a", "b")
+        new, _ = common.stored(sure if doubtful.isEmpty() else sure.unionByName(_verified(docs, doubtful, words, similarity)), "verified")
+        if roots is None or not new.isEmpty():
+            known = new if known is None else known.unionByName(new)
+            roots, _ = common.stored(common.components(new if roots is None else new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
+        unseen = found.where("b is null").select("key", F.col("a").alias("rep"))
+        blocks, _ = common.stored(_open_blocks(unseen, roots, known, classes), "open-blocks")
+        if blocks.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"blocks held unseen pairs after {MAX_TURNS} turns")
+    named = classes.join(roots, classes["rep"] == roots["node"], "left").select("fp", "signature", F.coalesce("root", "rep").alias("root"))
+    return sketches.select("doc_id", "fp", "signature").join(named, ["fp", "signature"]).select("doc_id", "root")
+
+
+def _open_blocks(unseen: DataFrame, roots: DataFrame, known: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows of the blocks in which rows of ``unseen`` (key, rep) still belong to more than one group."""
+    grouped = unseen.join(roots, unseen["rep"] == roots["node"], "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+    mixed = grouped.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    degrees = known.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
+    rows = grouped.join(mixed, "key", "left_semi").join(degrees, "rep", "left").join(classes.select("rep", "fp", "signature"), "rep")
+    return rows.select("rep", "fp", "signature", "key", "root", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
+
+
+def _met(blocks: DataFrame, similarity: float, limit: int, first: bool) -> DataFrame:
+    """``block_links`` of every block: rows (key, a, b, estimate) of links, and (key, a) without b of rows with unseen pairs."""
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -218,19 +268,18 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
             yield links_of(held.reset_index(drop=True), np.zeros(1, np.int64), np.array([len(held)]))
 
     def links_of(b: pd.DataFrame, starts: np.ndarray, stops: np.ndarray) -> pd.DataFrame:
-        reps, fps, sigs, out = b["rep"].to_numpy(), b["fp"].to_numpy(), b["signature"].to_numpy(), []
+        keys, reps, fps, sigs, roots, degrees = (b[c].to_numpy() for c in ("key", "rep", "fp", "signature", "root", "degree"))
+        out = []
         for s, e in zip(starts.tolist(), stops.tolist(), strict=True):
             if e - s > 1:
-                out += block_links(reps[s:e], fps[s:e], np.stack([np.frombuffer(x, np.uint8) for x in sigs[s:e]]), similarity - BELOW)
-        return pd.DataFrame(out, columns=["a", "b", "estimate"])
-
-    found = blocks.mapInPandas(link, "a long, b long, estimate double").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "estimate").groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
-    found, _ = common.stored(found, "sketch-links")
-    sure = found.where(F.col("estimate") >= similarity + ABOVE).select("a", "b")
-    open_links = found.where(F.col("estimate") < similarity + ABOVE).select("a", "b")
-    roots = common.components(sure.unionByName(_verified(docs, open_links, words, similarity)))
-    named = classes.join(roots, classes["rep"] == roots["node"], "left").select("fp", "signature", F.coalesce("root", "rep").alias("root"))
-    return sketches.select("doc_id", "fp", "signature").join(named, ["fp", "signature"]).select("doc_id", "root")
+                signatures = np.stack([np.frombuffer(x, np.uint8) for x in sigs[s:e]])
+                got, rest = block_links(reps[s:e], fps[s:e], signatures, similarity - BELOW, similarity + ABOVE, None if first else roots[s:e], degrees[s:e], limit)
+                out += [(int(keys[s]), *x) for x in got]
+                out += [(int(keys[s]), r, None, None) for r in reps[s:e][rest].tolist()]
+        return pd.DataFrame({"key": pd.array([x[0] for x in out], "Int64"), "a": pd.array([x[1] for x in out], "Int64"), "b": pd.array([x[2] for x in out], "Int64"), "estimate": pd.array([x[3] for x in out], "Float64")})
+
+    dealt = blocks.repartition(common.partitions(blocks.sparkSession), "key").sortWithinPartitions("key", "rep")
+    return dealt.mapInPandas(link, "key long, a long, b long, estimate double")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:

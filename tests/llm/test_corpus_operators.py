@@ -147,6 +147,42 @@ def test_similar_documents_keep_one(spark, docs, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+def edited_copies(groups=30, copies=8, size=200, changed=3):
+    """Groups whose base has a middle id: copies reach 0.86 with the base, but 0.74 with each other."""
+    rng = random.Random(11)
+    data = []
+    for k in range(groups):
+        base = [f"w{rng.randrange(5000)}" for _ in range(size)]
+        texts = []
+        for c in range(copies):
+            near = list(base)
+            for at in rng.sample(range(10, size - 10), changed):
+                near[at] = f"changed{k}x{c}x{at}"
+            texts.append(near)
+        texts.insert(copies // 2, base)
+        data += [(100 * k + c, " ".join(t)) for c, t in enumerate(texts)]
+    return data
+
+
+def test_copies_link_through_a_base_of_middle_id(spark):
+    kept = simhash.keep_one(spark.createDataFrame(edited_copies(), "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in kept} == {100 * k for k in range(30)}
+
+
+def test_block_links_leave_no_pair_unseen():
+    rng = np.random.default_rng(3)
+    n = 40
+    reps, fps, signatures = np.arange(n), np.zeros(n, np.int64), rng.integers(0, 256, (n, 128), dtype=np.uint8)
+    signatures[1:20] = np.where(rng.random((19, 128)) < 0.15, signatures[1:20], signatures[0])
+    want = {(a, b) for b in range(n) for a in range(b) if ((signatures[a] == signatures[b]).mean() - 1 / 256) / (1 - 1 / 256) >= 0.72}
+    seen, rest, turn = set(), reps, 0
+    while len(rest):
+        found, at = simhash.block_links(rest, fps[rest], signatures[rest], 0.72, 2.0, rest, None, 4**turn)
+        seen |= {(min(a, b), max(a, b)) for a, b, _ in found}
+        rest, turn = rest[at], turn + 1
+    assert seen == want and turn < 6
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1000), (5, 5), (None, 3)]
     got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}

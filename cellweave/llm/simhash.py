@@ -113,8 +113,9 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFra
 BANDS, ROWS, SIGNATURE, BITS = 8, 3, 128, 22
 #: Each turn lets a row of a block be met by four times as many leaders, so a block is through after the logarithm of its rows.
 MAX_TURNS = 24
-#: An estimate this far below the similarity asked for is no link; this far above, it is one without a look at the shingles.
-BELOW, ABOVE = 0.08, 0.1
+#: An estimate this far below the similarity asked for is no link (four standard errors at 0.8); this far above, it is one
+#: without a look at the shingles.
+BELOW, ABOVE = 0.15, 0.1
 _RNG = np.random.default_rng(20240229)
 _ODD = _RNG.integers(0, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = _RNG.integers(0, 1 << 63, SIGNATURE, dtype=np.uint64)

@@ -169,6 +169,32 @@ def test_copies_link_through_a_base_of_middle_id(spark):
     assert {r["doc_id"] for r in kept} == {100 * k for k in range(30)}
 
 
+def pairs_just_similar(n=600):
+    """(texts, similarity) of pairs whose five-word shingles agree by little more than 0.8."""
+    rng, out = random.Random(7), []
+    while len(out) < n:
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(120, 300))]
+        h, near, last = simhash.shingle_hashes(" ".join(base), 5), list(base), None
+        while True:
+            near[rng.randrange(len(near))] = f"x{rng.random()}"
+            g = simhash.shingle_hashes(" ".join(near), 5)
+            same = len(np.intersect1d(h, g, assume_unique=True))
+            if same < 0.8 * (len(h) + len(g) - same):
+                break
+            last = list(near)
+        if last:
+            out.append((" ".join(base), " ".join(last)))
+    return out
+
+
+def test_pairs_that_meet_in_a_band_are_not_lost_to_the_estimate(spark):
+    pairs = pairs_just_similar()
+    met = {k for k, (a, b) in enumerate(pairs) if (simhash.sketch(a, 5)[2] == simhash.sketch(b, 5)[2]).any()}
+    df = spark.createDataFrame([(2 * k + c, p[c]) for k, p in enumerate(pairs) for c in range(2)], "doc_id long, text string")
+    gone = {r["doc_id"] for r in df.join(simhash.keep_one(df).select("doc_id"), "doc_id", "left_anti").collect()}
+    assert gone == {2 * k + 1 for k in met} and len(met) >= 0.99 * len(pairs)
+
+
 def test_block_links_leave_no_pair_unseen():
     rng = np.random.default_rng(3)
     n = 40

@@ -23,7 +23,7 @@ def pair_scores(expr: DataFrame, groups: DataFrame, pairs: DataFrame, min_fracti
     return pairs.join(lig, "ligand").join(rec, "receptor").select("source", "target", "ligand", "receptor", ((F.col("lm") + F.col("rm")) / 2).alias("score"))
 
 
-def pair_p_values(expr: DataFrame, groups: DataFrame, pairs: DataFrame, permutations: int = 50, seed: int = 42, min_fraction: float = 0.1) -> DataFrame:
+def pair_p_values(expr: DataFrame, groups: DataFrame, pairs: DataFrame, permutations: int = 1000, seed: int = 42, min_fraction: float = 0.1) -> DataFrame:
     """Adds p (share of label permutations with a mean at least as large) and q (BH within each pair over the group pairs)."""
     from cellweave.operators.spatial import permutation_order
 

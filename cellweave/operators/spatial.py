@@ -94,7 +94,7 @@ def permutation_order(values: DataFrame, permutations: int, seed: int = 42) -> D
     return rows.select("perm", "obs_id", "place").join(rows.select("perm", F.col("obs_id").alias("partner"), F.col("drawn").alias("place")), ["perm", "place"]).select("perm", "obs_id", "partner")
 
 
-def local_morans_p(edges: DataFrame, values: DataFrame, permutations: int = 99, seed: int = 42) -> DataFrame:
+def local_morans_p(edges: DataFrame, values: DataFrame, permutations: int = 999, seed: int = 42) -> DataFrame:
     """(obs_id, gene_id, local_i, p_sim): conditional permutation: neighbours take the values of permuted places, the obs keeps its own."""
     z = centred(values).select("obs_id", "gene_id", "z")
     observed = local_morans(edges, values).select("obs_id", "gene_id", "lag", "local_i")
@@ -160,7 +160,7 @@ def neighbourhood_counts(edges: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def neighbourhood_enrichment(edges: DataFrame, labels: DataFrame, permutations: int = 50, seed: int = 42) -> DataFrame:
+def neighbourhood_enrichment(edges: DataFrame, labels: DataFrame, permutations: int = 1000, seed: int = 42) -> DataFrame:
     """(label_a, label_b, n, zscore) against permuted labels; pairs never seen in a permutation count zero there."""
     y = labels.select("obs_id", "label")
     perm = permutation_order(y, permutations, seed).join(y.withColumnRenamed("obs_id", "partner"), "partner").select("perm", "obs_id", "label")
@@ -233,7 +233,7 @@ def network_properties(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return n.join(deg).join(comp).withColumn("density", F.when(F.col("n_nodes") > 1, 2.0 * F.col("n_edges") / (F.col("n_nodes") * (F.col("n_nodes") - 1))).otherwise(0.0))
 
 
-def local_join_count_p(edges: DataFrame, labels: DataFrame, permutations: int = 99, seed: int = 42) -> DataFrame:
+def local_join_count_p(edges: DataFrame, labels: DataFrame, permutations: int = 999, seed: int = 42) -> DataFrame:
     """(obs_id, label, ljc, p_sim): neighbours take permuted labels, the obs keeps its own."""
     y = labels.select("obs_id", "label")
     perm = permutation_order(y, permutations, seed).join(y.withColumnRenamed("obs_id", "partner"), "partner").select("perm", F.col("obs_id").alias("dst"), F.col("label").alias("other"))

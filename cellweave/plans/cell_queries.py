@@ -207,7 +207,7 @@ def gsea_es(s, d):
 
 @query()
 def gsea_prerank(s, d):
-    return enrichment.prerank(_ranking(s, d), proxy.genes(s, d).select("set_name", "gene_id"), 20)
+    return enrichment.prerank(_ranking(s, d), proxy.genes(s, d).select("set_name", "gene_id"))
 
 
 def _spot_sets(s):

@@ -369,3 +369,26 @@ def spatial_domains(s, d):
 def variable_genes_by_batch(s, d):
     v = proxy.spot_values(s, d).withColumn("value", F.abs("value"))
     return preprocess.variable_genes_by_batch(v, proxy.spots(s, d).select("obs_id", (F.col("cluster") % 3).alias("batch")), 20)
+
+
+# --- permutations at the reference's counts, which SQL is too slow for ------------------------------------------------
+
+
+@query()
+def local_morans_perm_full(s, d):
+    return spatial.local_morans_p(_graph(s, d), proxy.spot_values(s, d))
+
+
+@query()
+def local_join_count_perm_full(s, d):
+    return spatial.local_join_count_p(_graph(s, d), _labels(s, d))
+
+
+@query()
+def nhood_zscore_perm_full(s, d):
+    return spatial.neighbourhood_enrichment(_graph(s, d), _labels(s, d))
+
+
+@query()
+def lr_perm_full(s, d):
+    return communication.pair_p_values(proxy.spot_values(s, d), _groups(s, d), proxy.pairs(s, d))

@@ -178,3 +178,23 @@ def test_kernel_test_finds_the_gradient(spark):
     rows = [(i, g, float(rng.poisson(20 * xy[i, 0] if g == 0 else 5))) for i in range(200) for g in range(10)]
     got = spatial_genes.spatially_variable(spark.createDataFrame([r for r in rows if r[2]], "obs_id long, gene_id long, value double"), coords)
     assert [r["gene_id"] for r in spatial_genes.top_genes(got).collect()] == [0]
+
+
+def test_default_permutations_reach_small_p(spark):
+    e = spark.createDataFrame([(i, 30 * (i // 30) + (i + k) % 30) for i in range(60) for k in range(1, 7)], "src long, dst long")
+    labels = spark.createDataFrame([(i, i // 30) for i in range(60)], "obs_id long, label long")
+    p = [r["p_sim"] for r in spatial.local_join_count_p(e, labels).collect()]
+    assert len(p) == 60 and max(p) < 0.05 and all(math.isclose(x * 1000, round(x * 1000), abs_tol=1e-9) for x in p) and min(p) < 0.01
+    values = labels.select("obs_id", F.lit(1).alias("gene_id"), F.col("label").cast("double").alias("value"))
+    p = [r["p_sim"] for r in spatial.local_morans_p(e, values).collect()]
+    assert len(p) == 60 and all(math.isclose(x * 1000, round(x * 1000), abs_tol=1e-9) for x in p) and min(p) < 0.01
+
+
+def test_default_permutations_of_pairs_and_sets(spark):
+    import inspect
+
+    for f, n in ((communication.pair_p_values, 1000), (enrichment.prerank, 1000), (spatial.neighbourhood_enrichment, 1000)):
+        assert inspect.signature(f).parameters["permutations"].default == n
+    ranking = spark.createDataFrame([(g, 30.0 - g) for g in range(60)], "gene_id long, score double")
+    sets = spark.createDataFrame([("top", g) for g in range(8)], "set_name string, gene_id long")
+    assert enrichment.prerank(ranking, sets).first()["p"] < 0.01

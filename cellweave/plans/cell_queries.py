@@ -62,6 +62,12 @@ def pearson_residuals_topvar(s, d):
     return preprocess.pearson_residuals(c, proxy.cells(s, d), top).select("obs_id", "gene_id", r6("residual"))
 
 
+@query()
+def pearson_residuals_full(s, d):
+    c = proxy.counts(s, d)
+    return preprocess.pearson_residuals(c, proxy.cells(s, d), c.select("gene_id").distinct()).select("obs_id", "gene_id", r6("residual"))
+
+
 @query("SELECT gene_id, round(lm, 6) AS mean, round(disp, 6) + 0.0 AS dispersion, bin, round(CASE WHEN coalesce(sd, 0) = 0 THEN 1 ELSE (disp - av) / sd END, 4) + 0.0 AS norm_dispersion FROM (SELECT *, avg(disp) OVER (PARTITION BY bin) AS av, stddev_samp(disp) OVER (PARTITION BY bin) AS sd FROM (SELECT gene_id, lm, disp, CAST(least(20, floor((lm - min(lm) OVER ()) / ((max(lm) OVER () - min(lm) OVER ()) / 20)) + 1) AS INTEGER) AS bin FROM (SELECT gene_id, ln(1 + s / n) AS lm, CASE WHEN (q - s * s / n) > 0 THEN ln((q - s * s / n) / (n - 1) / (s / n)) END AS disp FROM (SELECT gene_id, sum(exp(value) - 1) AS s, sum((exp(value) - 1) * (exp(value) - 1)) AS q, (SELECT count(*)::DOUBLE FROM cells) AS n FROM lognorm GROUP BY 1))))")
 def gene_dispersion_bins(s, d):
     g = preprocess.gene_dispersion(preprocess.normalise(proxy.counts(s, d)), proxy.cells(s, d).count())

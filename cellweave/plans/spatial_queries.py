@@ -392,3 +392,8 @@ def nhood_zscore_perm_full(s, d):
 @query()
 def lr_perm_full(s, d):
     return communication.pair_p_values(proxy.spot_values(s, d), _groups(s, d), proxy.pairs(s, d))
+
+
+@query()
+def kendall_corr_full(s, d):
+    return plotdata.correlations(proxy.spot_values(s, d), "kendall").select("gene_a", "gene_b", r6("r"))

@@ -198,3 +198,28 @@ def test_default_permutations_of_pairs_and_sets(spark):
     ranking = spark.createDataFrame([(g, 30.0 - g) for g in range(60)], "gene_id long, score double")
     sets = spark.createDataFrame([("top", g) for g in range(8)], "set_name string, gene_id long")
     assert enrichment.prerank(ranking, sets).first()["p"] < 0.01
+
+
+def test_kendall_of_all_genes_against_brute_force(spark):
+    from cellweave.operators import plotdata
+
+    rng = np.random.default_rng(4)
+    v = {g: rng.integers(0, 4 + 9 * g, 60).astype(float) if g else np.ones(60) for g in range(9)}
+    df = spark.createDataFrame([(i, g, float(x)) for g, xs in v.items() for i, x in enumerate(xs) if (g, i) != (3, 5)], "obs_id long, gene_id int, value double")
+    got = {(r["gene_a"], r["gene_b"]): r["r"] for r in plotdata.correlations(df, "kendall").collect()}
+    assert len(got) == 36
+    for (a, b), r in got.items():
+        keep = np.arange(60) != 5 if 3 in (a, b) else np.ones(60, bool)
+        s, t = (np.sign(x[keep][:, None] - x[keep][None]) for x in (v[a], v[b]))
+        assert r is None if a == 0 else math.isclose(r, (s * t).sum() / math.sqrt((s * s).sum() * (t * t).sum()), abs_tol=1e-12)
+
+
+def test_full_queries_leave_no_gene_out(spark):
+    import __spark_entry__ as entry_module
+
+    q, d = entry_module.queries(), "/root/testdata/sf0.001"
+    assert q["kendall_corr_full"](spark, d).count() == 62 * 61 // 2
+    c = spark.read.parquet(f"{d}/lineitem.parquet")
+    got = q["pearson_residuals_full"](spark, d)
+    assert got.select("gene_id").distinct().count() == c.select("l_partkey").distinct().count()
+    assert {tuple(r) for r in q["pearson_residuals_topvar"](spark, d).collect()} <= {tuple(r) for r in got.collect()}

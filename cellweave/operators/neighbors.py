@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,8 +137,8 @@ def clustering(edges: DataFrame) -> DataFrame:
     und = symmetric(edges)
     ab, bc, ac = und.select("a", "b"), und.select(F.col("a").alias("b"), F.col("b").alias("c")), und.select("a", F.col("b").alias("c"))
     tri = ab.join(bc, "b").join(ac, ["a", "c"])
-    count = tri.select(F.explode(F.array("a", "b", "c")).alias("obs_id")).groupBy("obs_id").agg(F.count("*").alias("triangles"))
-    d = degree(edges).join(count, "obs_id", "left").na.fill(0, ["triangles"])
+    per_node = tri.select(F.explode(F.array("a", "b", "c")).alias("obs_id")).groupBy("obs_id").agg(F.count("*").alias("triangles"))
+    d = degree(edges).join(per_node, "obs_id", "left").na.fill(0, ["triangles"])
     return d.withColumn("clustering", F.when(F.col("degree") > 1, 2.0 * F.col("triangles") / (F.col("degree") * (F.col("degree") - 1))).otherwise(0.0))
 
 
@@ -154,19 +156,24 @@ def connected(edges: DataFrame, nodes: DataFrame, max_rounds: int = 50) -> DataF
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.select("obs_id").join(e.select(F.col("u").alias("obs_id"), F.col("v").alias("component")), "obs_id", "left").withColumn("component", F.coalesce("component", "obs_id"))
 
 
-def hops(edges: DataFrame, nodes: DataFrame, max_depth: int = 200) -> DataFrame:
-    """(src, dst, hops) for all reachable ordered pairs of an undirected graph: breadth-first frontiers as joins."""
+def hops(edges: DataFrame, nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(src, dst, hops) for all reachable ordered pairs of an undirected graph: breadth-first frontiers as joins, until one is
+    empty; an error if pairs lie further apart than ``max_depth``."""
     und = symmetric(edges)
     step = und.select(F.col("a").alias("dst"), F.col("b").alias("to")).unionByName(und.select(F.col("b").alias("dst"), F.col("a").alias("to")))
     step = cut(step)
     seen = cut(nodes.select(F.col("obs_id").alias("src"), F.col("obs_id").alias("dst"), F.lit(0).alias("hops")))
     front = seen
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         front = cut(front.join(step, "dst").select("src", F.col("to").alias("dst")).distinct().join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("hops", F.lit(depth)))
         if front.isEmpty():
             break
+        if max_depth is not None and depth > max_depth:
+            raise RuntimeError(f"nodes lie more than {max_depth} steps apart")
         seen = cut(seen.unionByName(front))
     return seen.where("hops > 0")

@@ -223,3 +223,19 @@ def test_full_queries_leave_no_gene_out(spark):
     got = q["pearson_residuals_full"](spark, d)
     assert got.select("gene_id").distinct().count() == c.select("l_partkey").distinct().count()
     assert {tuple(r) for r in q["pearson_residuals_topvar"](spark, d).collect()} <= {tuple(r) for r in got.collect()}
+
+
+def test_absorption_reaches_far_states(spark):
+    k = spark.createDataFrame([(i, i - 1, 1.0) for i in range(1, 121)], "src long, dst long, w double")
+    got = dynamics.absorption(k, spark.createDataFrame([(0, "a")], "obs_id long, fate string")).collect()
+    assert len(got) == 121 and all(r["p"] == 1.0 for r in got)
+
+
+def test_bounds_that_are_hit_raise(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(6)], "src long, dst long")
+    nodes = spark.range(7).withColumnRenamed("id", "obs_id")
+    with pytest.raises(RuntimeError):
+        neighbors.hops(e, nodes, 3)
+    with pytest.raises(RuntimeError):
+        neighbors.connected(e, nodes, 1)
+    assert neighbors.hops(e, nodes, 6).count() == 42

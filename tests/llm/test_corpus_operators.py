@@ -371,23 +371,44 @@ def test_language_is_learnt(spark):
     assert len(got) > 40 and sum(truth[r["doc_id"]] == r["lang_pred"] for r in got) >= 0.98 * len(got)
 
 
-@pytest.mark.parametrize("block", [topk.CANDIDATE_BLOCK, 64])
-def test_topk(spark, monkeypatch, block):
-    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", block)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+@pytest.mark.parametrize("cells", [topk.CANDIDATE_CELLS, 512])
+def test_topk(spark, monkeypatch, cells):
+    monkeypatch.setattr(topk, "CANDIDATE_CELLS", cells)
+    monkeypatch.setattr(topk, "QUERY_CELLS", 56)
     rng = np.random.default_rng(0)
     x = rng.normal(0, 0.3, (300, 8))
     x[250:] = x[0]  # ties
-    data = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, None), (901, [1.0, None] + [0.0] * 6), (902, [float("nan")] * 8), (903, [float("inf")] * 8), (None, [1.0] * 8), (940, [0.0] * 8)]
+    data = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, None), (901, [1.0, None] + [0.0] * 6), (902, [float("nan")] * 8), (903, [float("inf")] * 8), (None, [1.0] * 8), (905, []), (940, [0.0] * 8)]
+    data += [(960, [5e7, 2.0]), (961, [1.0, 2.0]), (962, [-5e7, 1.0, 3.0]), (980, [0.5] * 30), (981, [1.0] * 31), (982, [2.0]), (7, data[7][1])]  # large components, other lengths, a repeated row
     v = topk.vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumn("v", common.F.lit("clash")))
     got = topk.search(v, v.where("vec_id % 20 = 0"), 5)
-    y = {i: np.floor(64 * np.array(r)).astype(int) for i, r in data[:300] + data[-1:]}
+    y = [(i, [int(np.floor(64 * a)) for a in r]) for i, r in data if i is not None and r and None not in r and all(map(np.isfinite, r))]
     want = []
-    for q in (i for i in y if i % 20 == 0):
-        best = sorted(((-int(y[q] @ y[i]), i) for i in y if i != q))[:5]
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    for q, r in y:
+        if q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(r, s, strict=False)), i) for i, s in y if i != q)[:5]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert rows(got, "query_id", "rank", "vec_id", "score") == sorted(want)
     assert topk.search(v.where("false"), v.where("false")).count() == 0
+    assert topk.search(v, v.where("false"), 5).count() == 0 and topk.search(v.where("vec_id < 3"), v.where("vec_id = 0"), 5).count() == 2
+
+
+def test_topk_stops_early_and_skips_blocks():
+    rng = np.random.default_rng(1)
+    x = rng.integers(-40, 40, (4000, 3)) * np.array([1, 4, 9])
+    q = rng.integers(-40, 40, (30, 3))
+    best = topk.Best(np.full(30, -1), 5)
+    first = topk.search_block(np.arange(4000), x, q, best)
+    assert (first > 0).all() and (first < 1).mean() > 0.5
+    assert (topk.search_block(np.arange(4000, 5000), x[:1000] // 8, q, best) == 0).mean() > 0.9  # the bar of the first block
+    for t in range(30):
+        s = x @ q[t]
+        assert best.ids[t].tolist() == np.lexsort((np.arange(4000), -s))[:5].tolist()
+
+
+def test_topk_scores_beyond_a_long_are_cut():
+    big = 1 << 62
+    assert topk.scores(np.array([[big, big], [-big, -big], [1, 0]]), np.array([5, 5])).tolist() == [topk.LONG.max, topk.LONG.min, 5]
 
 
 def test_warc(spark):

@@ -26,6 +26,14 @@ def stored(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return spark.read.schema(schema).parquet(path), path
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that are done: it does so once their handles are collected as garbage."""
     for _ in range(2):  # the first round only tells the JVM which handles Python has dropped

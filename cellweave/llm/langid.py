@@ -15,10 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.llm import common
+
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
 PAD = 256
-#: The training sample: at most so many documents a language, windows a document and languages (the most frequent).
-SAMPLE_DOCS, SAMPLE_WINDOWS, SAMPLE_LANGS = 500, 3, 64
+#: The training sample: at most so many documents a language (fewer where languages are many, but never under the least),
+#: documents in all and windows a document. Every language takes part.
+SAMPLE_DOCS, SAMPLE_LEAST, SAMPLE_ALL, SAMPLE_WINDOWS = 500, 20, 32_000, 3
+#: Windows of noise that a net with a class for it learns from, and how sure it must be of noise to reject a text.
+NOISE_WINDOWS, NOISE_SURE = 1500, 0.9
 STEPS, BATCH, RATE, SEED = 500, 64, 4e-3, 7
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -140,20 +145,33 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame) -> ByteNet | None:
+def noise_windows(x: np.ndarray, count: int = NOISE_WINDOWS, seed: int = SEED) -> np.ndarray:
+    """Windows that are no language: any bytes, printable bytes, bytes of the windows ``x`` out of order, digits and marks; of any length."""
+    rng, marks = np.random.default_rng(seed), np.frombuffer(b"0123456789 .,-$%#*+/()=&", np.uint8)
+    out = np.full((count, WINDOW), PAD, np.int16)
+    for i, size in enumerate(rng.integers(8, WINDOW + 1, count).tolist()):
+        own = x[rng.integers(len(x))]
+        row = (rng.integers(0, 256, size), rng.integers(32, 127, size), rng.permutation(own[own != PAD])[:size], rng.choice(marks, size))[i % 4]
+        out[i, : len(row)] = row
+    return out
+
+
+def train(docs: DataFrame, noise: bool = False) -> ByteNet | None:
     """A net learnt from a bounded sample of the labelled documents that are not held out; None if there is no label.
 
-    Of each of the ``SAMPLE_LANGS`` most frequent languages, about ``SAMPLE_DOCS`` documents by a hash of their id and text, and up to
-    ``SAMPLE_WINDOWS`` windows of each, spread over its whole length.
+    Of each language about ``SAMPLE_DOCS`` documents (see there) by a hash of their id and text, rows that repeat once, and up
+    to ``SAMPLE_WINDOWS`` windows of each, spread over its whole length. With ``noise`` the net has a last class ``und``, learnt
+    from ``noise_windows``.
     """
     seen = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != UNKNOWN)).select("text", "lang", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 31)).alias("u"))
-    counts = {r["lang"]: r["n"] for r in seen.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(SAMPLE_LANGS).collect()}
+    counts = {r["lang"]: r["n"] for r in seen.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
     if not counts:
         return None
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, SAMPLE_DOCS / n)))])
+    most = max(SAMPLE_LEAST, min(SAMPLE_DOCS, SAMPLE_ALL // len(counts)))
+    share = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(min(1.0, most / n)))])
     length = F.length("text")
     parts = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1)), lambda i: F.substring(F.col("text"), (F.greatest(length - WINDOW, F.lit(0)) * i / max(1, SAMPLE_WINDOWS - 1) + 1).cast("int"), F.lit(WINDOW)))
-    rows = seen.where(F.col("lang").isin(list(counts)) & (F.col("u") < share[F.col("lang")] * (1 << 31))).select("u", "lang", F.explode(F.array_distinct(parts)).alias("part")).orderBy("u", "lang", "part").collect()
+    rows = seen.where(F.col("u") < share[F.col("lang")] * (1 << 31)).select("u", "lang", F.explode(F.array_distinct(parts)).alias("part")).distinct().orderBy("u", "lang", "part").collect()
     classes = sorted(counts)
     fine = [(r["part"], r["lang"]) for r in rows if LETTER.search(r["part"])]
     if not fine:
@@ -161,8 +179,12 @@ def train(docs: DataFrame) -> ByteNet | None:
     x = np.concatenate([windows(p.encode()[:WINDOW]) for p, _ in fine])
     y = np.array([classes.index(lang) for _, lang in fine])
     even = np.random.default_rng(SEED)  # languages weigh alike
-    pick = np.concatenate([even.choice(np.flatnonzero(y == c), SAMPLE_DOCS * SAMPLE_WINDOWS) for c in np.unique(y)])
-    return ByteNet(classes).fit(x[pick], y[pick])
+    pick = np.concatenate([even.choice(np.flatnonzero(y == c), most * SAMPLE_WINDOWS) for c in np.unique(y)])
+    x, y = x[pick], y[pick]
+    if noise:
+        other = noise_windows(x)
+        classes, x, y = [*classes, UNKNOWN], np.concatenate([x, other]), np.concatenate([y, np.full(len(other), len(classes))])
+    return ByteNet(classes).fit(x, y)
 
 
 def apply(docs: DataFrame, net: ByteNet | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -188,8 +210,16 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     return apply(docs.select("doc_id", held_out().alias("held_out"), "text"), net).select("doc_id", "held_out", "lang_pred", F.col("score").cast("double"))
 
 
-def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """``docs`` without those whose language cannot be told: no letter, or a score below ``least``."""
-    names = ("_predicted_language", "_predicted_score")
-    seen = apply(docs, train(docs), names)
-    return seen.where((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= least)).select(docs.columns)
+def keep_identified(docs: DataFrame, sure: float = NOISE_SURE) -> DataFrame:
+    """``docs`` without those in no language: no letter (null and empty texts too), or noise to the net with probability ``sure`` or more.
+
+    The net has a class for noise beside the languages of ``docs``; where nothing is labelled there is no net, and only
+    texts without a letter go. Rows that repeat stay or go together, null ids and languages stay, columns of any name pass
+    through, an empty table stays empty.
+    """
+    net = train(docs, noise=True)
+    if net is None:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    names = (common.unused(docs, "predicted"), common.unused(docs, "certainty"))
+    told, certain = map(F.col, names)
+    return apply(docs, net, names).where((told != UNKNOWN) | ((certain > 0) & (certain < sure))).select(docs.columns)

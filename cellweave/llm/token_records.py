@@ -28,7 +28,9 @@ from cellweave.llm import common
 
 MASK_DELTA = 0xA282EAD8
 END_ID = 0
-CHUNK_BYTES = 16_000_000
+#: Texts are encoded, and their frames handed on, in chunks of about so many bytes (one text at least); a file ends after
+#: so many chunks, so that it can be read back as one value.
+CHUNK_BYTES, FILE_CHUNKS = 16_000_000, 16
 
 
 def masked(crc: int) -> int:
@@ -169,13 +171,13 @@ def write_records(docs: DataFrame, tokenizer: str, path: str) -> None:
             while at < len(ids):  # a bounded piece of the batch at a time
                 stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + CHUNK_BYTES, "right")))
                 out = [frame(pack(i, t + end, encoder.width)) for i, t in zip(ids[at:stop], encoder.encode(texts.slice(at, stop - at)), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                yield pa.RecordBatch.from_arrays([pa.array([b"\n".join(out)], pa.binary())], names=["value"])
                 at = stop
             pa.default_memory_pool().release_unused()
 
     n = common.partitions(docs.sparkSession)
     ordered = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    ordered.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    ordered.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_CHUNKS).text(path)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -199,19 +201,28 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def write_dataset(docs: DataFrame, tokenizer: str) -> tuple[DataFrame, str]:
     """Write records and their offset index to a new folder; returns the index as rows and the folder.
 
-    The index is ``read_records`` with start, the tokens of all documents before. Totals of files (one small row each)
-    carry the start over file borders; parts sort by name as they were written. Repeated documents give repeated records,
-    an empty table gives an empty index, other columns are ignored.
+    The index is ``read_records`` with start, the tokens of all documents before (``with_starts``). Repeated documents give
+    repeated records, an empty table gives an empty index, other columns are ignored.
     """
     spark = docs.sparkSession
     base = common.new_path(spark, "tokens")
     write_records(docs, tokenizer, f"{base}/records")
     seen, _ = _store_at(read_records(spark, f"{base}/records"), f"{base}/seen")
+    return with_starts(seen), base
+
+
+def with_starts(seen: DataFrame) -> DataFrame:
+    """``seen`` (part, offset, n_tokens, ...) with start. Totals of files, one small row each, carry it over file borders.
+
+    Files follow in the order in which they were written: by the number of the partition, then of the file within it, both
+    as numbers (a name sorts part-100000 before part-99999).
+    """
+    number = F.regexp_extract("part", r"^part-(\d+)", 1).cast("long")
+    within = F.coalesce(F.try_to_number(F.regexp_extract("part", r"-c(\d+)\.", 1), F.lit("999999999999")).cast("long"), F.lit(0))
     totals = seen.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
+    before = totals.select("part", (F.sum("n").over(Window.orderBy(number, within)) - F.col("n")).alias("base"))
     w = Window.partitionBy("part").orderBy("offset")
-    index = seen.join(before, "part").withColumn("start", F.col("base") + F.sum("n_tokens").over(w) - F.col("n_tokens")).drop("base")
-    return index, base
+    return seen.join(before, "part").withColumn("start", F.col("base") + F.sum("n_tokens").over(w) - F.col("n_tokens")).drop("base")
 
 
 def _store_at(df: DataFrame, path: str) -> tuple[DataFrame, str]:

@@ -4,7 +4,8 @@ For one pre-token with symbols s_1..s_n, ``inner[i]`` is the number of tokens of
 ``last[i]`` the last of them. A token t that ends at i extends the encoding of its prefix s_1..s_j exactly if the pair
 (last[j], t) stays two tokens when encoded alone; then inner[i] = inner[j] + 1. ``whole[i]`` closes the pre-token at i,
 where the vocabulary marks the end of a word. Pre-tokens never cross white space, so counts at every prefix of a text
-are the running sum over its white-space-free chunks plus the table of the chunk that the prefix ends in.
+are the running sum over its white-space-free chunks plus the table of the chunk that the prefix ends in. Stored with the
+text (``prefix_table``), they tell the tokens of any prefix and the longest prefix within a budget without encoding again.
 """
 
 from __future__ import annotations
@@ -12,17 +13,49 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: The white space of the tokenizer's pattern (Unicode White_Space). str.split() takes U+001C to U+001F too.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 ODD = re.compile("[\x1c-\x1f]")
 #: Letters (Latin, which normalisation leaves as they are) and then ASCII marks: two pre-tokens at most.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
-CACHE_WORDS, CACHE_CHARS = 1_000_000, 40
+CONTRACTION = re.compile("'(?:s|t|re|ve|m|ll|d)", re.I)
+#: Words, pieces and pairs of tokens kept: two generations of so many each, the older one let go when the newer is full.
+CACHE, CACHE_CHARS = 150_000, 40
+
+
+class Kept(dict):
+    """A bounded memory: what is asked for again moves to the newer generation."""
+
+    __slots__ = ("old",)
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict = {}
+
+    def find(self, key):
+        """The value, or None; to be called where the newer generation does not have it."""
+        value = self.old.get(key)
+        if value is not None:
+            self.keep(key, value)
+        return value
+
+    def keep(self, key, value):
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -36,7 +69,10 @@ BYTES = _byte_letters()
 
 
 class PrefixCounter:
-    """Exact token counts of every prefix for a BPE vocabulary file with an end-of-word mark."""
+    """Exact token counts of every prefix for a BPE vocabulary file that lower-cases, cuts at white space and marks the ends of words.
+
+    ValueError for any other vocabulary.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -47,14 +83,14 @@ class PrefixCounter:
         model = spec["model"]
         self.end = model.get("end_of_word_suffix") or ""
         self.vocab = model["vocab"]
+        if not self.end or any(BYTES[32] in t and t.removesuffix(self.end) != BYTES[32] for t in self.vocab) or self.lib.normalizer is None or self.lib.normalizer.normalize_str("Ab\u00c9") != "ab\u00e9":
+            raise ValueError(f"{path}: prefix counts need a vocabulary that lower-cases, cuts at white space and marks the ends of words")
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.rank = {m: i for i, m in enumerate(merges)}
         self.special = re.compile("|".join(re.escape(t["content"]) for t in sorted(spec["added_tokens"], key=lambda t: -len(t["content"]))) or r"(?!)")
         self.longest = max((len(t) - len(self.end) * t.endswith(self.end) for t in self.vocab), default=1)
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.own: dict[str, bool] = {}
-        self.words: dict[str, int] = {}
-        self.parts: dict[str, int] = {}
+        self.pairs, self.words, self.parts = Kept(), Kept(), Kept()
+        self.own: dict[str, bool] = {}  # at most the vocabulary and single symbols
 
     def _merge(self, parts: list[str]) -> list[str]:
         rank = self.rank
@@ -76,9 +112,10 @@ class PrefixCounter:
         key = (left, right)
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 3_000_000:
-                self.pairs.clear()
-            known = self.pairs[key] = self._merge([*left, *self._symbols(right, closes)]) == [left, right]
+            known = self.pairs.find(key)
+        if known is None:
+            known = self._merge([*left, *self._symbols(right, closes)]) == [left, right]
+            self.pairs.keep(key, known)
         return known
 
     def _is_own(self, token: str, closes: bool) -> bool:
@@ -115,12 +152,12 @@ class PrefixCounter:
 
     def piece(self, piece: str) -> int:
         known = self.parts.get(piece)
+        if known is None:
+            known = self.parts.find(piece)
         if known is None:
             known = self.table(piece, False)[-1]
             if len(piece) <= CACHE_CHARS:
-                if len(self.parts) >= CACHE_WORDS:
-                    self.parts.clear()
-                self.parts[piece] = known
+                self.parts.keep(piece, known)
         return known
 
     def _pieces(self, chunk: str) -> list[str]:
@@ -137,6 +174,8 @@ class PrefixCounter:
     def chunk(self, chunk: str) -> int:
         """Tokens of a chunk without white space."""
         known = self.words.get(chunk)
+        if known is None:
+            known = self.words.find(chunk)
         if known is not None:
             return known
         n, at = 0, 0
@@ -145,9 +184,7 @@ class PrefixCounter:
             at = m.end()
         n += sum(self.piece(p) for p in self._pieces(chunk[at:]))
         if len(chunk) <= CACHE_CHARS:
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            self.words[chunk] = n
+            self.words.keep(chunk, n)
         return n
 
     @staticmethod
@@ -164,6 +201,26 @@ class PrefixCounter:
             total += chunk(c) if n is None else n
         return total
 
+    def chunk_prefixes(self, chunk: str) -> np.ndarray:
+        """Tokens of chunk[:i] for every i = 0..len(chunk), of a chunk without white space."""
+        out = np.zeros(len(chunk) + 1, dtype=np.int64)
+        text = self.lib.normalizer.normalize_str(chunk)
+        each = {c: self.lib.normalizer.normalize_str(c) for c in set(chunk)}
+        if self.special.search(chunk) or any(len(c) != 1 for c in each.values()) or "".join(map(each.__getitem__, chunk)) != text:
+            return np.array([self.chunk(chunk[:i]) for i in range(len(chunk) + 1)])  # the normal form of a prefix is no prefix
+        for piece, (a, b) in self.lib.pre_tokenizer.pre_tokenize_str(text):
+            if CONTRACTION.fullmatch(text, a, b):  # cut short, it is other pre-tokens
+                out[a + 1 : b + 1] = [self.chunk(chunk[:i]) for i in range(a + 1, b + 1)]
+            else:
+                ends = np.cumsum([len(c.encode()) for c in text[a:b]])
+                out[a + 1 : b + 1] = out[a] + np.asarray(self.table(piece))[ends]
+        return out
+
+    def forget(self) -> None:
+        """Let go of what was kept: an idle worker holds the vocabulary only."""
+        for kept in (self.pairs, self.words, self.parts):
+            kept.forget()
+
     def prefixes(self, text: str | None) -> np.ndarray:
         """Tokens of text[:i] for every i = 0..len(text): what encoding that prefix alone would give."""
         text = text or ""
@@ -171,11 +228,7 @@ class PrefixCounter:
         at = 0
         for m in [*SPACE.finditer(text), None]:
             stop = m.start() if m else len(text)
-            chunk = text[at:stop]
-            if chunk.isascii() and chunk.isalpha():
-                out[at : stop + 1] = before + np.asarray(self.table(chunk.lower()))
-            else:  # normalisation and pre-tokens may differ from one prefix to the next
-                out[at : stop + 1] = [before + self.chunk(chunk[:i]) for i in range(len(chunk) + 1)]
+            out[at : stop + 1] = before + self.chunk_prefixes(text[at:stop])
             before = int(out[stop])
             if m:
                 out[stop : m.end() + 1] = before
@@ -183,8 +236,15 @@ class PrefixCounter:
         return out
 
     def fits(self, text: str | None, budget: int) -> int:
-        """Length of the longest prefix of at most ``budget`` tokens."""
-        return int(np.flatnonzero(self.prefixes(text) <= budget)[-1])
+        """Length of the longest prefix of at most ``budget`` tokens: only the table of the chunk that passes it is made."""
+        text, before, at = text or "", 0, 0
+        for m in [*SPACE.finditer(text), None]:
+            stop = m.start() if m else len(text)
+            after = before + self.chunk(text[at:stop]) if stop > at else before
+            if after > budget:
+                return at + int(np.flatnonzero(before + self.chunk_prefixes(text[at:stop]) <= budget)[-1])
+            before, at = after, m.end() if m else stop
+        return len(text)
 
 
 _COUNTERS: dict[str, PrefixCounter] = {}
@@ -197,19 +257,72 @@ def counter(path: str) -> PrefixCounter:
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): n_bytes, n_tokens and whether n_tokens is over ``limit``.
+    """Per row of ``docs`` (doc_id, text): n_bytes, n_tokens, whether n_tokens is over ``limit``, and fit_chars.
 
-    ``tokenizer`` names a public vocabulary file. Null or empty texts: 0 bytes, 0 tokens. Repeated rows each give a row,
-    null ids stay null, other columns are ignored; one narrow stage without a shuffle, however long the texts.
+    ``tokenizer`` names a public vocabulary file; fit_chars is the length of the longest prefix of at most ``limit`` tokens.
+    Null or empty texts: 0 bytes, 0 tokens. Repeated rows each give a row, null ids stay null, other columns are ignored; an
+    empty table gives an empty result; one narrow stage without a shuffle, however long the texts.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import public_tokenizers
 
-        count = counter(public_tokenizers.path(tokenizer)).count
+        c = counter(public_tokenizers.path(tokenizer))
         for b in batches:
             texts = b["text"].fillna("")
-            tokens = np.fromiter(map(count, texts), dtype=np.int64, count=len(b))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": np.fromiter((len(t.encode()) for t in texts), np.int64, len(b)), "n_tokens": tokens, "over_limit": tokens > limit})
+            tokens = np.fromiter(map(c.count, texts), dtype=np.int64, count=len(b))
+            fit = np.fromiter((len(t) if n <= limit else c.fits(t, limit) for t, n in zip(texts, tokens.tolist(), strict=True)), np.int64, len(b))
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": np.fromiter((len(t.encode()) for t in texts), np.int64, len(b)), "n_tokens": tokens, "over_limit": tokens > limit, "fit_chars": fit})
+        c.forget()
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+
+
+def _appended(docs: DataFrame, tokenizer: str, name: str, kind: pa.DataType, values) -> DataFrame:
+    """``docs`` with a column of ``values(counter, text)`` under ``name``; null texts are empty."""
+    schema = docs.select("*", F.lit(None).cast({pa.int64(): "long"}.get(kind, "array<int>")).alias(name)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import public_tokenizers
+
+        c = counter(public_tokenizers.path(tokenizer))
+        for b in batches:
+            texts = b.column(b.schema.get_field_index("text"))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([values(c, t.as_py()) for t in texts], kind)], names=[*b.schema.names, name])
+        c.forget()
+
+    return docs.mapInArrow(run, schema)
+
+
+def text_counter(tokenizer: str):
+    """What ``packing.pack`` takes as ``count``: made in a worker, it gives the tokens of a text, and lets go when it is done."""
+
+    @contextmanager
+    def made():
+        import public_tokenizers
+
+        c = counter(public_tokenizers.path(tokenizer))
+        yield c.count
+        c.forget()
+
+    return made
+
+
+def with_counts(docs: DataFrame, tokenizer: str, name: str = "n_tokens") -> DataFrame:
+    """``docs`` with the tokens of each whole text under ``name``."""
+    return _appended(docs, tokenizer, name, pa.int64(), lambda c, t: c.count(t))
+
+
+def prefix_table(docs: DataFrame, tokenizer: str, name: str = "prefixes") -> DataFrame:
+    """``docs`` with the tokens of text[:i] for i = 0..n_chars as an array under ``name``: store it, and ask ``within`` and ``at``."""
+    return _appended(docs, tokenizer, name, pa.list_(pa.int32()), lambda c, t: c.prefixes(t).astype(np.int32))
+
+
+def at(prefixes: Column, chars: Column) -> Column:
+    """Tokens of the first ``chars`` characters, from a stored table."""
+    return F.element_at(prefixes, chars.cast("int") + 1)
+
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+def within(prefixes: Column, budget: Column) -> Column:
+    """Length of the longest prefix of at most ``budget`` tokens, from a stored table."""
+    return F.size(prefixes) - F.array_position(F.transform(F.reverse(prefixes), lambda n: n <= budget), True).cast("int")

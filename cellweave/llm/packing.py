@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.llm import simhash
+
 CAPACITY, SHARD, PER_SOURCE = 16_384, 4096, 4
 
 
@@ -67,39 +69,49 @@ class Bins:
         return number, self.capacity - room
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard: int = SHARD, cluster: str | None = None) -> DataFrame:
-    """(doc_id, piece, start, length, shard, bin, bin_offset): where every byte of every text goes.
+def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard: int = SHARD, cluster: str | None = None, length: str | None = None, near: int | None = None, count=None) -> DataFrame:
+    """(doc_id, piece, start, length, shard, bin, bin_offset): where every byte (or token) of every text goes.
 
-    Texts longer than ``capacity`` bytes are cut into full bins and a rest. No bin has two pieces of one duplicate
-    cluster (column ``cluster``; by default texts that are equal) or more than ``per_source`` pieces of one source. Shards are drawn by a hash of
-    doc_id and text over a count made first, so each is bounded whatever the sources. Null and empty texts have length 0
-    and take no bin (bin null); null sources conflict with nothing; repeated rows are copies of each other; other columns are ignored.
+    Lengths are those of the column ``length`` (a number of tokens, say; null or negative: 0), or what ``count`` (see
+    ``prefix_tokens.text_counter``; with ``near``) gives for the text, by default bytes. Texts
+    longer than ``capacity`` are cut into full bins and a rest. No bin has two pieces of one duplicate cluster or more than
+    ``per_source`` pieces of one source. Clusters are the values of the column ``cluster``, or with ``near`` texts that
+    link by fingerprints of up to so many bits, or else texts that are equal. Shards are drawn by a hash of doc_id and
+    text over a count made first, so each is bounded whatever the sources. Null and empty texts have length 0 and take no
+    bin (bin null); null sources conflict with nothing; repeated rows are copies of each other; an empty table gives an
+    empty result; other columns are ignored.
     """
     n = docs.count()
     shards = max(1, -(-n // shard))
-    size = F.octet_length(F.coalesce("text", F.lit("")))
+    size = F.greatest(F.col(length), F.lit(0)) if length else F.octet_length("text")
     group = F.xxhash64(cluster) if cluster else F.xxhash64("text")
-    light = docs.select("doc_id", size.cast("long").alias("n_bytes"), "source", group.alias("cluster"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"))
+    units = [] if count else [F.coalesce(size, F.lit(0)).cast("long").alias("n_units")]
+    light = docs.select("doc_id", "text", *units, F.col("source").cast("string").alias("source"), group.alias("cluster"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"))
+    if near is not None and not cluster:
+        keep = tuple(c for c in light.columns if c not in ("doc_id", "text"))
+        light = simhash.near_duplicates(light, near, keep=keep, count=count).withColumn("cluster", F.coalesce(F.xxhash64("component_id"), "cluster"))
+    light = light.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), "n_units", "source", "cluster", "shard")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n_bytes", "doc_id", "cluster"], ascending=[False, True, True], kind="stable")
+        rows = rows.sort_values(["n_units", "known", "doc_id", "cluster"], ascending=[False, False, True, True], kind="stable")
         sources, names = pd.factorize(rows["source"])
         clusters, groups = pd.factorize(rows["cluster"])
         alone = np.bincount(clusters, minlength=len(groups)) == 1  # a cluster of one piece cannot conflict
         number = np.cumsum(~alone) - 1
         bins = Bins(capacity, len(names), int((~alone).sum()), per_source)
         out, pieces = [], []
-        for doc_id, size, s, c in zip(rows["doc_id"].tolist(), rows["n_bytes"].tolist(), sources.tolist(), clusters.tolist(), strict=True):
+        for doc_id, known, size, s, c in zip(rows["doc_id"].tolist(), rows["known"].tolist(), rows["n_units"].tolist(), sources.tolist(), clusters.tolist(), strict=True):
+            doc_id = doc_id if known else None
             if size == 0:
                 out.append((doc_id, 0, 0, 0, None, None))
             for k, start in enumerate(range(0, size, capacity)):
                 pieces.append((min(capacity, size - start), doc_id, k, start, s, -1 if alone[c] else int(number[c])))
-        pieces.sort(key=lambda p: (-p[0], p[1] is None, p[1] if p[1] == p[1] and p[1] is not None else 0, p[2]))
+        pieces.sort(key=lambda p: (-p[0], p[1] is None, p[1] or 0, p[2]))
         for length, doc_id, k, start, s, c in pieces:
             number_, offset = bins.place(length, s, c)
             out.append((doc_id, k, start, length, number_, offset))
-        got = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "bin", "bin_offset"])
-        return got.assign(doc_id=got["doc_id"].astype("Int64"), bin=got["bin"].astype("Int64"), bin_offset=got["bin_offset"].astype("Int64"), shard=int(rows["shard"].iloc[0]))
+        got = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "bin", "bin_offset"], dtype=object)
+        return got.assign(doc_id=got["doc_id"].astype("Int64"), piece=got["piece"].astype("int64"), start=got["start"].astype("int64"), length=got["length"].astype("int64"), bin=got["bin"].astype("Int64"), bin_offset=got["bin_offset"].astype("Int64"), shard=int(rows["shard"].iloc[0]))
 
     schema = "doc_id long, piece long, start long, length long, bin long, bin_offset long, shard int"
     return light.groupBy("shard").applyInPandas(run, schema).select("doc_id", "piece", "start", "length", "shard", "bin", "bin_offset")

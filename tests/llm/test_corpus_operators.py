@@ -55,9 +55,17 @@ def test_prefix_tokens(docs, empty):
     assert all(r["over_limit"] == (r["n_tokens"] > 50) for r in got.collect())
     assert prefix_tokens.token_counts(empty, "word_bpe_49k.json").count() == 0
     counter = prefix_tokens.PrefixCounter(public_tokenizers.path("word_bpe_49k.json"))
-    for t in ("it's the 2nd CAFÉ, über-straße!! 123 <|endoftext|>x", "étude ﬁ"):
+    for t in ("it's the 2nd CAFÉ, über-straße!! 123 <|endoftext|>x", "étude ﬁ", "they'RE 'twas!!'s 中文字12", "e\u0301 İσΣ a\u0301b"):
         assert counter.prefixes(t).tolist() == [len(lib.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)]
-        assert len(lib.encode(t[: counter.fits(t, 5)], add_special_tokens=False).ids) <= 5
+        fit = counter.fits(t, 5)
+        assert fit == max(i for i in range(len(t) + 1) if len(lib.encode(t[:i], add_special_tokens=False).ids) <= 5)
+    with pytest.raises(ValueError):
+        prefix_tokens.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json"))
+    F = common.F
+    stored = prefix_tokens.prefix_table(docs.where("doc_id in (3, 44, 46, 50, 51)"), "word_bpe_49k.json")
+    asked = stored.select("text", F.size("prefixes").alias("size"), prefix_tokens.at(F.col("prefixes"), F.lit(2)).alias("two"), prefix_tokens.within(F.col("prefixes"), F.lit(4)).alias("fit"))
+    for r in asked.where("text is not null").collect():
+        assert (r["size"], r["two"], r["fit"]) == (len(r["text"]) + 1, len(lib.encode(r["text"][:2], add_special_tokens=False).ids), counter.fits(r["text"], 4))
 
 
 def test_token_records(spark, docs, empty):
@@ -80,6 +88,31 @@ def test_token_records(spark, docs, empty):
     assert token_records.write_dataset(empty, "byte_bpe_50k.json")[0].count() == 0
 
 
+def test_starts_follow_the_numbers_of_files(spark):
+    names = [f"part-{n}-abc-c{c:03d}.txt" for n in ("00007", "99999", "100000") for c in (0, 1, 1000)]
+    seen = spark.createDataFrame([(part, at, 10 * k + at) for k, part in enumerate(names) for at in (0, 5)], "part string, offset long, n_tokens long").repartition(3)
+    got = {(r["part"], r["offset"]): r["start"] for r in token_records.with_starts(seen).collect()}
+    total = 0
+    for k, part in enumerate(names):
+        for at in (0, 5):
+            assert got[part, at] == total
+            total += 10 * k + at
+
+
+def test_files_end_after_some_chunks(spark, monkeypatch):
+    monkeypatch.setattr(token_records, "FILE_CHUNKS", 1)
+    monkeypatch.setattr(common, "partitions", lambda _: 1)
+    df = spark.createDataFrame([(k, "word " * 20) for k in range(30)], "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        index, _ = token_records.write_dataset(df, "byte_bpe_50k.json")
+        got = sorted((r["doc_id"], r["start"], r["n_tokens"], r["part"]) for r in index.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len({g[3] for g in got}) == 5
+    assert [g[1] for g in got] == [sum(h[2] for h in got[:k]) for k in range(30)]
+
+
 def test_damaged_records_are_told():
     data = token_records.frame(token_records.pack(3, b"\1\0\2\0")) + b"\n"
     assert token_records.unpack(next(token_records.frames(data))[2])[1].tolist() == [1, 2]
@@ -195,18 +228,34 @@ def test_pairs_that_meet_in_a_band_are_not_lost_to_the_estimate(spark):
     assert gone == {2 * k + 1 for k in met} and len(met) >= 0.99 * len(pairs)
 
 
-def test_block_links_leave_no_pair_unseen():
-    rng = np.random.default_rng(3)
-    n = 40
-    reps, fps, signatures = np.arange(n), np.zeros(n, np.int64), rng.integers(0, 256, (n, 128), dtype=np.uint8)
-    signatures[1:20] = np.where(rng.random((19, 128)) < 0.15, signatures[1:20], signatures[0])
-    want = {(a, b) for b in range(n) for a in range(b) if ((signatures[a] == signatures[b]).mean() - 1 / 256) / (1 - 1 / 256) >= 0.72}
-    seen, rest, turn = set(), reps, 0
-    while len(rest):
-        found, at = simhash.block_links(rest, fps[rest], signatures[rest], 0.72, 2.0, rest, None, 4**turn)
-        seen |= {(min(a, b), max(a, b)) for a, b, _ in found}
-        rest, turn = rest[at], turn + 1
-    assert seen == want and turn < 6
+def test_leaders_and_the_exact_pass_see_all_pairs(spark, monkeypatch):
+    """A hot group without a base, and copies of it near the threshold: groups are those of all pairs at 0.8 that share a block."""
+    monkeypatch.setattr(simhash, "LEADERS", 7)
+    monkeypatch.setattr(simhash, "CELLS", 5000)
+    rng = random.Random(17)
+    base = [f"w{rng.randrange(900)}" for _ in range(150)]
+    texts = []
+    for k in range(160):
+        near = list(base)
+        for at in rng.sample(range(150), 2 + k % 7):
+            near[at] = f"x{rng.randrange(40)}" if k % 3 else f"y{k}"
+        texts.append(" ".join(near))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    met = [set(simhash.sketch(t, 5)[2].tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if met[a] & met[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    got = {r["doc_id"]: r["root"] for r in simhash.similar_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i in range(len(texts))} and len(set(got.values())) > 10
 
 
 def test_components_of_a_long_path(spark):
@@ -236,7 +285,7 @@ def brute_removed(data):
     return out
 
 
-@pytest.mark.parametrize("shard_bytes", [suffix_dedup.SHARD_BYTES, 2000])
+@pytest.mark.parametrize("shard_bytes", [suffix_dedup.SHARD_BYTES, 500])
 def test_suffix_dedup(docs, empty, monkeypatch, shard_bytes):
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard_bytes)
     got = suffix_dedup.repeats(docs)
@@ -284,6 +333,60 @@ def test_license_scan(docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def naive_labels(text):
+    """(labels, score) by plain loops over words."""
+    w, found, score = licenses.words(text), set(), 0.0
+    for label, phrase in licenses.PHRASES:
+        p = phrase.encode().split()
+        if any(w[k : k + len(p)] == p for k in range(len(w))):
+            found.add(label)
+            score = 1.0
+    for label, notice in licenses.NOTICES:
+        t, diagonals = notice.encode().split(), {}
+        for a in range(len(w) - 1):
+            for b in range(len(t) - 1):
+                if w[a : a + 2] == t[b : b + 2]:
+                    diagonals.setdefault(a - b, {})[b] = a
+        size, spans = len(t) - 1, []
+        strong = {d: h for d, h in diagonals.items() if len(h) >= max(2, licenses.LEAST_SHARE * size)}
+        for d in sorted(strong):
+            if spans and d - spans[-1][-1] <= licenses.SLACK:
+                spans[-1].append(d)
+            else:
+                spans.append([d])
+        for span in spans:
+            cover = len(set().union(*(strong[d] for d in span))) / size
+            places = [a for d in span for a in strong[d].values()]
+            if cover >= licenses.LEAST_COVER and max(places) - min(places) < 2 * size + licenses.SLACK:
+                found.add(label)
+                score = max(score, cover)
+    return ",".join(sorted(found)), round(score, 9)
+
+
+def test_labels_equal_plain_loops(spark, docs):
+    rng = random.Random(14)
+    filler = "the of software this license to or in and a is".split()
+    texts = [t for _, t, *_ in corpus() if t and len(t) < 5000]
+    for k in range(120):
+        notice = list(rng.choice(licenses.NOTICES)[1].split())
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randrange(len(notice))
+            notice[at : at + rng.randint(0, 2)] = [rng.choice(filler)] * rng.randint(0, 3)
+        cut = notice[: rng.randint(len(notice) // 3, len(notice))]
+        texts.append(" ".join([*(rng.choice(filler) for _ in range(rng.randint(0, 200))), *cut, *(rng.choice(filler) for _ in range(50))]).title())
+    got = {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {k: naive_labels(t) for k, t in enumerate(texts)}
+    assert len({x for x, _ in got.values()}) > 10
+
+
+def test_a_hash_that_stands_for_other_words_is_no_hit(monkeypatch):
+    known = licenses.KnownGrams()
+    tokens = [b"mit", b"license", b"apache"]
+    fine = known.checked(tokens)
+    monkeypatch.setitem(known.grams, int(fine[0]), (b"other", b"words"))
+    assert fine[0] != licenses.NOTHING and known.checked(tokens).tolist() == [licenses.NOTHING, *fine[1:].tolist()]
+
+
 def test_notices_are_voted_for(spark):
     bsd = dict(licenses.NOTICES)["bsd"].split()
     texts = ["Some code. " + " ".join(bsd) + " end", "x " + " ".join(bsd[:6] + ["inserted"] + bsd[6:]) + " y", " ".join(bsd[:4]), "nothing here"]
@@ -305,17 +408,67 @@ def test_decontamination_finds_reordered_passages(spark, docs, empty):
     assert decontaminate.matches(empty, bench).count() == 0 and decontaminate.matches(docs, bench.where("false")).count() == 0
 
 
-def test_tiles_do_not_overlap():
+def naive_tiles(doc, item, least):
+    free_d, free_i, out = [True] * len(doc), [True] * len(item), []
+    while True:
+        best = None
+        for d in range(len(doc)):
+            for i in range(len(item)):
+                n = 0
+                while d + n < len(doc) and i + n < len(item) and doc[d + n] == item[i + n] and free_d[d + n] and free_i[i + n]:
+                    n += 1
+                if n >= least and (best is None or n > best[2]):
+                    best = (d, i, n)
+        if best is None:
+            return out
+        out.append(best)
+        for k in range(best[2]):
+            free_d[best[0] + k] = free_i[best[1] + k] = False
+
+
+def test_tiles_equal_naive_tiling():
     rng = np.random.default_rng(0)
-    for _ in range(50):
-        d, i = rng.integers(0, 4, 60).astype(np.uint64), rng.integers(0, 4, 20).astype(np.uint64)
-        seen_d, seen_i, longest = set(), set(), 99
-        for a, b, n in decontaminate.tiles(d, i):
-            assert n <= longest and (d[a : a + n] == i[b : b + n]).all()
-            assert not seen_d & set(range(a, a + n)) and not seen_i & set(range(b, b + n))
-            seen_d |= set(range(a, a + n))
-            seen_i |= set(range(b, b + n))
-            longest = n
+    for _ in range(150):
+        letters = rng.integers(1, 6)
+        d, i = rng.integers(0, letters, rng.integers(0, 60)).astype(np.uint64), rng.integers(0, letters, rng.integers(0, 25)).astype(np.uint64)
+        assert decontaminate.tiles(d, i) == naive_tiles(d.tolist(), i.tolist(), decontaminate.LEAST)
+
+
+def test_decontamination_equals_naive_search(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(40)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(k, text(rng.choice([0, 1, 2, 3, 4, 7, 12, 20]))) for k in range(24)] + [(3, text(9))]
+    data = []
+    for k in range(60):
+        t, own = text(rng.randint(0, 30)), rng.choice(items)[1]
+        if k % 3:  # an item in runs of three or four words, in another order, or with a word changed
+            cut = [own[a : a + 3 + k % 2] for a in range(0, len(own), 3 + k % 2)]
+            rng.shuffle(cut)
+            t += [w for part in cut for w in ([*part, rng.choice(vocabulary)] if k % 5 else part)]
+        data.append((k, " ".join(t).upper() if k % 7 == 0 else ", ".join(t)))
+    got = {(r["doc_id"], r["item_id"]): (round(r["cover"], 9), r["n_tiles"]) for r in decontaminate.matches(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(t)) for k, t in items], "item_id long, text string")).collect()}
+    want = {}
+    for k, t in data:
+        for item_id, item in items:
+            made = naive_tiles(decontaminate.words(t), item, decontaminate.LEAST)
+            covered = sum(n for _, _, n in made)
+            if item and covered >= 0.7 * len(item) - 1e-9:
+                want[k, item_id] = max(want.get((k, item_id), (0, 0)), (round(covered / len(item), 9), len(made)))
+    assert got == want and len(want) > 20
+
+
+def test_long_texts_in_decontamination_and_licenses(spark):
+    rng = random.Random(8)
+    item, notice = [f"w{rng.randrange(99)}" for _ in range(30)], licenses.NOTICES[0][1]
+    text = " ".join(f"v{rng.randrange(5000)}" for _ in range(1_600_000))
+    assert len(text) > 10_000_000 - 2_000_000
+    df = spark.createDataFrame([(1, text + " " + " ".join(item) + " " + notice)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.matches(df, bench).collect()] == [(1, 7, 1.0, 1)]
+    assert licenses.scan(df).first()["labels"] == "mit"
+    found = packing.pack(df.withColumn("source", common.F.lit("s"))).agg({"length": "sum"}).first()[0]
+    assert found == len(text) + len(" ".join(item)) + len(notice) + 2
 
 
 def test_packing(docs, empty):
@@ -342,6 +495,48 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def naive_packing(rows, capacity, per_source):
+    """Best fit in a plain loop: (doc_id, piece) to (bin, offset); rows are (doc_id, length, source, cluster)."""
+    pieces = [(min(capacity, n - a), i, k, s, c) for i, n, s, c in rows for k, a in enumerate(range(0, n, capacity))]
+    pieces.sort(key=lambda p: (-p[0], p[1], p[2]))
+    bins, out = [], {}
+    for n, i, k, s, c in pieces:
+        fits = [(b["room"], at) for at, b in enumerate(bins) if b["room"] >= n and b["room"] > 0 and b["sources"].count(s) < per_source and c not in b["clusters"]]
+        at = min(fits)[1] if fits else len(bins)
+        if not fits:
+            bins.append({"room": capacity, "sources": [], "clusters": set()})
+        b = bins[at]
+        out[i, k] = (at, capacity - b["room"])
+        b["room"] -= n
+        if s is not None:
+            b["sources"].append(s)
+        b["clusters"].add(c)
+    return out
+
+
+@pytest.mark.parametrize("by", ["bytes", "tokens", "near"])
+def test_packing_equals_a_plain_best_fit(spark, by):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 90))) for _ in range(60)]
+    data = []
+    for k in range(150):
+        t = rng.choice(texts) if k % 3 == 0 else " ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 90)))
+        if k == 5:
+            t = t * 40
+        data.append((k, t, rng.choice(["a", "a", "a", "b", None]), rng.randint(0, 700)))
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, n long").repartition(4)
+    options = {"bytes": {}, "tokens": {"length": "n"}, "near": {"near": 2}}[by]
+    got = {(r["doc_id"], r["piece"]): (r["bin"], r["bin_offset"]) for r in packing.pack(df, 1000, 2, 10_000, **options).collect() if r["length"]}
+    component = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    rows_ = [(k, n if by == "tokens" else len(t.encode()), s, component[k] if by == "near" else t) for k, t, s, n in data]
+    assert got == naive_packing(rows_, 1000, 2)
+    if by == "near":
+        held = {}
+        for (k, _), (b, _) in got.items():
+            held.setdefault(b, []).append(component[k])
+        assert all(len(c) == len(set(c)) for c in held.values()) and len(set(component.values())) < 150
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     b = packing.Bins(100, 3, 3, 1)
     assert b.place(60, 0, -1) == (0, 0)
@@ -351,6 +546,63 @@ def test_best_fit_takes_the_tightest_compatible_bin():
     assert b.place(30, 2, 1) == (1, 70)
 
 
+def naive_net(net, data):
+    """Class probabilities of one window of bytes, by explicit convolution."""
+    p, x = net.params, [*data, *[langid.PAD] * (langid.WINDOW - len(data))]
+    features = []
+    for w in langid.WIDTHS:
+        for f in range(langid.FILTERS):
+            sums = [sum(float(p["E"][x[at + k]] @ p[f"W{w}"][k][:, f]) for k in range(w)) for at in range(len(x) - w + 1)]
+            features.append(max(0.0, max(sums) + float(p[f"b{w}"][f])))
+    z = np.array(features) @ p["U"] + p["c"]
+    z = np.exp(z - z.max())
+    return z / z.sum()
+
+
+def test_net_equals_naive_convolution():
+    net = langid.ByteNet(["a", "b", "c"], seed=3)
+    for data in (b"some text here", bytes(range(200)), b"x" * langid.WINDOW):
+        got = np.exp(net.log_probs(langid.windows(data), net.tables()))[0]
+        assert np.allclose(got, naive_net(net, data), atol=1e-5)
+
+
+def test_net_learns_along_the_numeric_gradient(monkeypatch):
+    """One step of training moves each parameter against the sign of its numeric gradient (the first step of Adam is that sign)."""
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 256, (4, langid.WINDOW)).astype(np.int16), np.array([0, 1, 1, 0])
+    net, seed = langid.ByteNet(["a", "b"], seed=1), 2
+    net.params = {k: v.astype(np.float64) for k, v in net.params.items()}
+    start = {k: v.copy() for k, v in net.params.items()}
+    draw = np.random.default_rng(seed)
+    pick = draw.integers(0, len(x), len(x))
+    cut = int(draw.integers(langid.WINDOW // 8, langid.WINDOW + 1))
+    xb, yb = x[pick].copy(), y[pick]
+    xb[:, cut:] = langid.PAD
+
+    def tables(params):
+        return {w: np.einsum("be,wef->wbf", params["E"], params[f"W{w}"]) for w in langid.WIDTHS}
+
+    def loss(params):
+        net.params = params
+        return -float(net.log_probs(xb, tables(params))[np.arange(len(yb)), yb].mean())
+
+    monkeypatch.setattr(langid.ByteNet, "tables", lambda self: tables(self.params))
+    net.params = {k: v.copy() for k, v in start.items()}
+    net.fit(x, y, steps=1, seed=seed)
+    moved = {k: net.params[k] - start[k] for k in start}
+    checked = 0
+    for name in start:
+        for place in list(np.ndindex(start[name].shape))[:: max(1, start[name].size // 12)]:
+            up, down = ({k: v.copy() for k, v in start.items()} for _ in range(2))
+            up[name][place] += 1e-5
+            down[name][place] -= 1e-5
+            g = (loss(up) - loss(down)) / 2e-5
+            if abs(g) > 1e-6 and not (name == "E" and place[0] == langid.PAD):
+                assert np.sign(moved[name][place]) == -np.sign(g)
+                checked += 1
+    assert checked > 30
+
+
 def test_language(docs, empty):
     got = {(r["doc_id"], r["lang_pred"] == langid.UNKNOWN) for r in langid.identify(docs).collect()}
     assert {(43, True), (44, True), (45, True), (46, True), (47, False), (None, False)} <= got
@@ -442,3 +694,117 @@ def test_pipeline(spark, tmp_path, docs):
     assert not {40, 41, 43, 44, 45, 46} & texts.keys() and 3 in texts
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in out.collect()} == texts.keys()
+
+
+def pipeline_corpus():
+    rng = random.Random(21)
+    parts = {"en": ["the", "ing", "tion", "and", "her"], "de": ["sch", "ung", "ein", "ver", "keit"]}
+    word = lambda lang: "".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 4)))
+    item = [word("en") for _ in range(30)]
+    passage = " ".join(word("en") for _ in range(25))
+    data = []
+    for k in range(90):
+        lang = "en" if k % 3 else "de"
+        w = [word(lang) for _ in range(rng.randint(40, 300))]
+        if k % 10 == 4:
+            w[10:10] = [passage]
+        if k % 30 == 7:
+            w += item[15:] + item[:15]
+        data.append((k, " ".join(w), lang))
+        if k % 6 == 0:  # an edited copy, far above the threshold, an exact one, and one far below
+            near = list(w)
+            near[len(near) // 2] = "changed"
+            data += [(200 + k, " ".join(near), lang), (300 + k, " ".join(w).upper(), lang)]
+    noise = ["".join(chr(rng.randint(33, 126)) for _ in range(900)) for _ in range(3)]
+    data += [(500 + k, t, None) for k, t in enumerate(noise)] + [(510, "", "en"), (511, None, "en"), (512, "12 !!", None)]
+    rows_ = [(i, t, lang, f"s{i % 3}", len(t or "")) for i, t, lang in data]
+    return rows_, [(1, " ".join(item)), (2, "never seen words stand here in a row")]
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    data, items = pipeline_corpus()
+    spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    step = {i: (t, s) for i, t, _, s, _ in data if t and re.search(r"[^\W\d_]", t) and i < 500}
+    shingles = {i: {tuple(w[k : k + 5]) for w in [t.lower().split()] for k in range(max(1, len(w) - 4))} for i, (t, _) in step.items()}
+    root = {i: i for i in step}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in step:
+        for b in step:
+            if a < b and len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    step = {i: x for i, x in step.items() if find(i) == i}
+    first = {}
+    for i, (t, _) in step.items():
+        for p in range(len(t) - 49):
+            first[t[p : p + 50]] = min(first.get(t[p : p + 50], i), i)
+    for i, (t, s) in list(step.items()):
+        gone = set()
+        for p in range(len(t) - 49):
+            if first[t[p : p + 50]] < i:
+                gone |= set(range(p, p + 50))
+        step[i] = ("".join(c for p, c in enumerate(t) if p not in gone), s)
+    held = set()
+    for i, (t, _) in step.items():
+        for _, item in items:
+            w = decontaminate.words(item)
+            if sum(n for _, _, n in naive_tiles(decontaminate.words(t), w, 3)) >= 0.7 * len(w):
+                held.add(i)
+    assert held and len(step) < 100
+    step = {i: x for i, x in step.items() if i not in held}
+    lib = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.TOKENIZER))
+    rows_ = [(i, len(lib.encode(t, add_special_tokens=False).ids), s, i) for i, (t, s) in step.items()]
+    want = naive_packing(rows_, corpus_pipeline.BIN_TOKENS, packing.PER_SOURCE)
+    got = {(r["doc_id"], r["piece"]): (r["bin"], r["bin_offset"]) for r in out if r["length"]}
+    assert got.keys() == want.keys() and got == want
+
+
+def test_near_duplicate_recall(spark):
+    """Of all pairs of texts at 0.8 or more, in groups of edited copies without a base too, nine in ten and more fall into one group."""
+    rng = random.Random(31)
+    data = []
+    for g in range(40):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.randint(60, 400))]
+        for c in range(6):
+            near = list(base)
+            for at in rng.sample(range(len(near)), max(1, len(near) * rng.choice([0, 1, 2, 3]) // 100)):
+                near[at] = f"x{rng.random()}"
+            data.append((10 * g + c, " ".join(near)))
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in data}
+    pairs = [(a, b) for a in sets for b in sets if a < b and a // 10 == b // 10 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    roots = {r["doc_id"]: r["root"] for r in simhash.similar_classes(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    found = sum(roots[a] == roots[b] for a, b in pairs)
+    assert len(pairs) > 150 and found >= 0.99 * len(pairs)
+    assert all(r // 10 == i // 10 for i, r in roots.items())
+
+
+def test_clashing_names_pass_through(spark, docs):
+    names = ["_tag", "tag", "_sets", "places", "_places", "_id", "predicted", "_predicted", "certainty", "_predicted_language", "n_tokens", "other", "doc"]
+    df = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for n in names:
+        df = df.withColumn(n, common.F.lit("clash"))
+    bench = spark.createDataFrame([(1, "one two three four")], "item_id long, text string").withColumn("item", common.F.lit("clash"))
+    for made in (langid.keep_identified(df), simhash.keep_one(df), suffix_dedup.without_repeats(df), decontaminate.clean(df, bench)):
+        assert made.columns == df.columns and made.where(" or ".join(f"`{n}` <> 'clash'" for n in names)).count() == 0
+    assert packing.pack(prefix_tokens.with_counts(df, "word_bpe_49k.json", common.unused(df, "n_tokens")), length="_n_tokens").count() >= df.count()
+
+
+def test_noise_is_rejected_and_languages_stay(spark):
+    data, _ = pipeline_corpus()
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in langid.keep_identified(df).collect()}
+    assert kept == {i for i, *_ in data if i < 500}
+    unlabelled = langid.keep_identified(df.withColumn("lang", common.F.lit(None).cast("string")))
+    assert {i for i, t, *_ in data if t and re.search("[a-zA-Z]", t)} == {r["doc_id"] for r in unlabelled.collect()}

@@ -95,11 +95,27 @@ def resolve_layer(data: SpatialData, complete_genes: bool = True, require_counts
 
 
 def unique_names(names: DataFrame, column: str = "gene_id", order: str = "ord") -> DataFrame:
-    """Second and later uses of a name get -1, -2, ... in row order."""
-    from pyspark.sql import Window
-
-    rn = F.row_number().over(Window.partitionBy(column).orderBy(order))
-    return names.withColumn("_rn", rn).withColumn(column, F.when(F.col("_rn") > 1, F.concat(F.col(column), F.lit("-"), (F.col("_rn") - 1).cast("string"))).otherwise(F.col(column))).drop("_rn")
+    """Second and later uses of a name get -1, -2, ... in row order, the next number where a name so made is taken. One task: a row per gene."""
+    import pandas as pd
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order, kind="stable")
+        taken, met, out = set(rows[column]), {}, []
+        for name in rows[column]:
+            if name not in met:
+                met[name] = 0
+                out.append(name)
+                continue
+            while True:
+                met[name] += 1
+                new = f"{name}-{met[name]}"
+                if new not in taken:
+                    break
+            taken.add(new)
+            out.append(new)
+        return rows.drop(columns="_one").assign(**{column: out})
+
+    return names.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(run, names.schema)
 
 
 def after_load(data: SpatialData) -> SpatialData:
@@ -137,6 +153,32 @@ def check_velocity_layers(data: SpatialData) -> None:
             raise MissingDataError(f"layer {name} is absent, empty or holds NaN")
 
 
+def resolve_feature(data: SpatialData, name: str, layer: str | None = None) -> DataFrame:
+    """(obs_id, value) of a gene, else of a column of observations, else of a vector's component (``name_2`` is the third of ``name``).
+
+    A gene's zeros are filled; an error names what was looked through.
+    """
+    if not data.var.where(F.col("gene_id").cast("string") == name).isEmpty():
+        values = data.layer(layer or resolve_layer(data)).where(F.col("gene_id").cast("string") == name)
+        return data.obs.select("obs_id").join(values.select("obs_id", "value"), "obs_id", "left").na.fill(0.0, ["value"])
+    if name in data.obs.columns:
+        return data.obs.select("obs_id", F.col(name).alias("value"))
+    stem, _, at = name.rpartition("_")
+    if stem in data.vectors and at.isdigit():
+        return data.vectors[stem].select("obs_id", F.get("v", F.lit(int(at))).alias("value"))
+    raise MissingDataError(f"{name} is no gene, column ({', '.join(data.obs.columns)}) or vector component ({', '.join(sorted(data.vectors))})")
+
+
+def categorical_columns(data: SpatialData, most: int = 100) -> list[str]:
+    """Columns of observations that are text, or numbers of at most ``most`` values, from one pass."""
+    columns = [c for c in data.obs.columns if c != "obs_id"]
+    if not columns:
+        return []
+    n = data.obs.agg(*[F.approx_count_distinct(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    kinds = dict(data.obs.dtypes)
+    return [c for i, c in enumerate(columns) if kinds[c] in ("string", "boolean") or (kinds[c] in ("int", "bigint") and n[f"n{i}"] <= most)]
+
+
 def select_genes(data: SpatialData, wanted: list[str] | None = None, n: int = 20) -> DataFrame:
     """The wanted genes that exist (an error names close ones if none does), else the first n variable genes."""
     if wanted:

@@ -45,5 +45,20 @@ def by_group(profile: DataFrame, groups: DataFrame) -> DataFrame:
     return profile.join(groups.select("obs_id", "group"), "obs_id").groupBy("group", "chromosome", "bin").agg(F.avg("cnv").alias("cnv"))
 
 
+def reference_cells(groups: DataFrame, names: list) -> DataFrame:
+    """The cells of the reference groups; an error names those that no cell has."""
+    from cellweave.operators.markers import in_groups
+
+    return in_groups(groups, names).select("obs_id")
+
+
+def clusters(profile: DataFrame, obs: DataFrame, k: int = 15, resolution: float = 1.0) -> DataFrame:
+    """(obs_id, cluster): communities of the kNN graph of the cells' profiles."""
+    from cellweave.operators import embedding, neighbors
+
+    v = profile.groupBy("obs_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("chromosome", "bin", "cnv"))), lambda s: s["cnv"]).alias("v"))
+    return embedding.communities(neighbors.vector_knn(v, k).select("src", "dst"), obs, resolution)
+
+
 def haplotype_model(*_, **__):
     raise DependencyError("the haplotype-aware model needs R; use infer for expression-based profiles")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.errors import ParameterError
 from cellweave.functions import stats
 
 
@@ -73,6 +76,123 @@ def microenvironments(points: DataFrame, groups: DataFrame, radius: float | None
     return sets.select("environment", "signature", F.explode("groups").alias("group"))
 
 
+def magnitudes(expr: DataFrame, groups: DataFrame, pairs: DataFrame, min_fraction: float = 0.1, min_cells: int = 3) -> DataFrame:
+    """(source, target, ligand, receptor, mean, product, root): three magnitudes of a pair: the mean of both sides' means, their
+    product, and the root of the product over itself plus the mean of all values of the genes in pairs."""
+    genes = pairs.select(F.col("ligand").alias("gene_id")).unionByName(pairs.select(F.col("receptor").alias("gene_id"))).distinct()
+    used = expr.join(genes, "gene_id", "left_semi")
+    m = group_means(used, groups, min_cells).where(F.col("fraction") >= min_fraction)
+    n = groups.agg(F.count("*").alias("n")).join(genes.agg(F.count("*").alias("g")))
+    level = used.join(groups.select("obs_id"), "obs_id", "left_semi").agg(F.sum("value").alias("s")).join(n).select((F.col("s") / F.col("n") / F.col("g")).alias("level"))  # single rows
+    lig = m.select(F.col("group").alias("source"), F.col("gene_id").alias("ligand"), F.col("mean").alias("lm"))
+    rec = m.select(F.col("group").alias("target"), F.col("gene_id").alias("receptor"), F.col("mean").alias("rm"))
+    x = pairs.join(lig, "ligand").join(rec, "receptor").join(F.broadcast(level))
+    product = F.greatest(F.lit(0.0), F.col("lm") * F.col("rm"))
+    root = F.sqrt(product)
+    below = root + F.abs("level")
+    return x.select("source", "target", "ligand", "receptor", ((F.col("lm") + F.col("rm")) / 2).alias("mean"), product.alias("product"), F.when(below > 0, root / below).otherwise(0.0).alias("root"))
+
+
+def rank_aggregate(scores: DataFrame, columns: tuple[str, ...] = ("mean", "product", "root"), keys: tuple[str, ...] = ("source", "target", "ligand", "receptor")) -> DataFrame:
+    """(*keys, rank): robust rank aggregation of several scores, the larger the better.
+
+    Each score's mean rank over the number of rows; the k-th smallest of a row's m shares r is tested against k uniform draws
+    of m (a binomial tail); the least of the m p-values, times m, at most one.
+    """
+    m = len(columns)
+    ranked = scores
+    for c in columns:
+        w = Window.orderBy(F.col(c).desc())  # a row per pair of genes and groups
+        ranked = ranked.withColumn(f"_{c}", (F.rank().over(w) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2.0) / F.count("*").over(Window.partitionBy(F.lit(0))))
+    shares = ranked.withColumn("_r", F.array_sort(F.array(*[F.col(f"_{c}") for c in columns])))
+
+    def tail(k: int):
+        r = F.col("_r")[k - 1]
+        return sum((math.comb(m, j) * F.pow(r, F.lit(float(j))) * F.pow(1.0 - r, F.lit(float(m - j))) for j in range(k, m + 1)), F.lit(0.0))
+
+    least = F.least(*[tail(k) for k in range(1, m + 1)]) if m > 1 else tail(1)
+    return shares.select(*keys, F.least(F.lit(1.0), least * m).alias("rank"))
+
+
+def local_similarity(expr: DataFrame, edges: DataFrame, pairs: DataFrame, metric: str = "cosine") -> DataFrame:
+    """(obs_id, ligand, receptor, local) over an obs and its neighbours, all with the same weight: cosine, pearson, spearman (pearson of
+    ranks over all obs) or jaccard (of the neighbours that have one or the other). Null where one side has no spread, or nothing."""
+    if metric not in ("cosine", "pearson", "spearman", "jaccard"):
+        raise ParameterError(f"unknown metric {metric}")
+    genes = pairs.select(F.col("ligand").alias("gene_id")).unionByName(pairs.select(F.col("receptor").alias("gene_id"))).distinct()
+    x = expr.join(genes, "gene_id", "left_semi").select("obs_id", "gene_id", "value")
+    if metric == "spearman":
+        x = x.select("obs_id", "gene_id", stats.average_rank("value", ("gene_id",)).alias("value"))
+    both = pairs.join(x.select("obs_id", F.col("gene_id").alias("ligand"), F.col("value").alias("a")), "ligand")
+    both = both.join(x.select("obs_id", F.col("gene_id").alias("receptor"), F.col("value").alias("b")), ["obs_id", "receptor"])
+    star = edges.select("src", "dst").unionByName(expr.select(F.col("obs_id").alias("src"), F.col("obs_id").alias("dst")).distinct()).distinct()
+    near = star.join(both.withColumnRenamed("obs_id", "dst"), "dst").groupBy(F.col("src").alias("obs_id"), "ligand", "receptor")
+    a, b = F.col("a"), F.col("b")
+    if metric == "jaccard":
+        local = F.try_divide(F.count_if((a > 0) & (b > 0)).cast("double"), F.count_if((a > 0) | (b > 0)))
+        return near.agg(local.alias("local"))
+    s = near.agg(F.count("*").alias("n"), F.sum(a).alias("sa"), F.sum(b).alias("sb"), F.sum(a * a).alias("aa"), F.sum(b * b).alias("bb"), F.sum(a * b).alias("ab"))
+    if metric == "cosine":
+        aa, bb, ab = F.col("aa"), F.col("bb"), F.col("ab")
+    else:
+        n = F.col("n")
+        aa, bb, ab = F.col("aa") - F.col("sa") * F.col("sa") / n, F.col("bb") - F.col("sb") * F.col("sb") / n, F.col("ab") - F.col("sa") * F.col("sb") / n
+    return s.select("obs_id", "ligand", "receptor", F.when((aa > 1e-12) & (bb > 1e-12), ab / F.sqrt(aa * bb)).alias("local"))
+
+
+def global_similarity(expr: DataFrame, edges: DataFrame, pairs: DataFrame, permutations: int = 100, seed: int = 42) -> DataFrame:
+    """(ligand, receptor, moran, lee, p, q): bivariate Moran (values against the lag) and Lee (lag against lag) of each pair over
+    row-standardised weights, the share of permutations of the receptor's places with as large a Moran, and BH of it."""
+    from cellweave.operators import spatial
+    from cellweave.storage import cut
+
+    genes = pairs.select(F.col("ligand").alias("gene_id")).unionByName(pairs.select(F.col("receptor").alias("gene_id"))).distinct()
+    z = cut(spatial.centred(expr.join(genes, "gene_id", "left_semi")).select("obs_id", "gene_id", "z"))
+    e = cut(edges.select("src", "dst"))
+    lag = cut(spatial._lag(e, z))
+    zz = z.groupBy("gene_id").agg(F.sum(F.col("z") * F.col("z")).alias("zz"))
+    x = pairs.join(z.select("obs_id", F.col("gene_id").alias("ligand"), "z"), "ligand")
+    side = lag.select("obs_id", F.col("gene_id").alias("receptor"), F.col("lag").alias("lr"))
+    own = lag.select("obs_id", F.col("gene_id").alias("ligand"), F.col("lag").alias("ll"))
+    sums = x.join(side, ["obs_id", "receptor"]).join(own, ["obs_id", "ligand"]).groupBy("ligand", "receptor").agg(F.sum(F.col("z") * F.col("lr")).alias("m"), F.sum(F.col("ll") * F.col("lr")).alias("l"))
+    down = F.sqrt(F.col("zl") * F.col("zr"))
+    sums = sums.join(zz.select(F.col("gene_id").alias("ligand"), F.col("zz").alias("zl")), "ligand").join(zz.select(F.col("gene_id").alias("receptor"), F.col("zz").alias("zr")), "receptor").where(down > 0)
+    one = sums.select("ligand", "receptor", "m", (F.col("m") / down).alias("moran"), (F.col("l") / down).alias("lee"))
+    # The lag of permuted ligands is that of their places: sum over obs of z(partner) * lag.
+    perm = spatial.permutation_order(z, permutations, seed)
+    moved = perm.join(z.select(F.col("obs_id").alias("partner"), F.col("gene_id").alias("ligand"), "z"), "partner").join(pairs, "ligand").join(side, ["obs_id", "receptor"])
+    null = moved.groupBy("ligand", "receptor", "perm").agg(F.sum(F.col("z") * F.col("lr")).alias("mp"))
+    p = null.join(one.select("ligand", "receptor", "m"), ["ligand", "receptor"]).groupBy("ligand", "receptor").agg(((F.count_if(F.col("mp") >= F.col("m") - 1e-12) + 1.0) / (permutations + 1.0)).alias("p"))
+    out = one.join(p, ["ligand", "receptor"]).select("ligand", "receptor", "moran", "lee", "p")
+    return stats.adjust(out, "p", "q", "bh", (), ("ligand", "receptor"))
+
+
+def long_pairs(wide: DataFrame, key: str = "pair", separator: str = "|") -> DataFrame:
+    """(source, target, ligand, receptor, score) of a matrix with a row per pair and a column per ``source|target``; zeros, nulls and NaN are left out."""
+    columns = [c for c in wide.columns if c != key and separator in c]
+    if not columns:
+        raise ParameterError(f"no column holds {separator}")
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("between"), F.col(f"`{c}`").cast("double").alias("score")) for c in columns]))
+    x = wide.select(parse_pair(F.col(key)).alias("p"), cells.alias("c")).select("p.*", "c.*").where("score is not null and not isnan(score) and score <> 0")
+    side = F.split("between", f"\\Q{separator}\\E", 2)
+    return x.select(side[0].alias("source"), side[1].alias("target"), "ligand", "receptor", "score")
+
+
+def unit_ranks(scores: DataFrame, column: str = "score") -> DataFrame:
+    """``scores`` with the column divided by its largest value where that is over one, so that ranks of any scale plot alike."""
+    top = scores.agg(F.max(column).alias("_top"))
+    return scores.join(F.broadcast(top)).withColumn(column, F.when(F.col("_top") > 1, F.col(column) / F.col("_top")).otherwise(F.col(column))).drop("_top")
+
+
+def interaction_probability(expr: DataFrame, groups: DataFrame, pairs: DataFrame, half: float = 0.5, power: float = 1.0) -> DataFrame:
+    """(source, target, ligand, receptor, probability): Hill function of the product of both sides' trimeans."""
+    t = summaries(expr, groups).where("summary = 'trimean'").select("group", "gene_id", "value")
+    lig = t.select(F.col("group").alias("source"), F.col("gene_id").alias("ligand"), F.col("value").alias("l"))
+    rec = t.select(F.col("group").alias("target"), F.col("gene_id").alias("receptor"), F.col("value").alias("r"))
+    lr = F.pow(F.col("l") * F.col("r"), F.lit(power))
+    return pairs.join(lig, "ligand").join(rec, "receptor").select("source", "target", "ligand", "receptor", (lr / (F.lit(half**power) + lr)).alias("probability"))
+
+
 def autocrine(scores: DataFrame, n: int | None = None) -> DataFrame:
     """Pairs whose source is their target, by falling score."""
     own = scores.where("source = target and score > 0")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.errors import ParameterError
 from cellweave.operators import embedding, neighbors, spatial
+from cellweave.storage import cut
 
 
 def spatial_domains(vectors: DataFrame, points: DataFrame, k: int = 6, spatial_weight: float = 0.3, resolution: float = 0.5, refine: bool = True, threshold: float = 0.5) -> DataFrame:
@@ -26,6 +29,26 @@ def spatial_domains(vectors: DataFrame, points: DataFrame, k: int = 6, spatial_w
     return spatial.refine_labels(near, found, threshold).select("obs_id", F.col("label").alias("domain"), "refined")
 
 
+def group_closeness(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(label, closeness): the nodes outside a group over the sum of their distances to it (those out of reach add nothing; 0 if all are).
+
+    One frontier per group, widened by joins until none moves.
+    """
+    und = neighbors.symmetric(edges)
+    step = cut(und.select(F.col("a").alias("obs_id"), F.col("b").alias("to")).unionByName(und.select(F.col("b").alias("obs_id"), F.col("a").alias("to"))))
+    seen = cut(labels.select("label", "obs_id", F.lit(0).alias("hops")))
+    front = seen
+    for depth in count(1):
+        front = cut(front.join(step, "obs_id").select("label", F.col("to").alias("obs_id")).distinct().join(seen.select("label", "obs_id"), ["label", "obs_id"], "left_anti").withColumn("hops", F.lit(depth)))
+        if front.isEmpty():
+            break
+        seen = cut(seen.unionByName(front))
+    n = labels.agg(F.count("*").alias("n"))
+    size = labels.groupBy("label").agg(F.count("*").alias("size"))
+    far = seen.groupBy("label").agg(F.sum("hops").alias("far"))
+    return size.join(far, "label").join(F.broadcast(n)).select("label", F.when(F.col("far") > 0, (F.col("n") - F.col("size")) / F.col("far")).otherwise(0.0).alias("closeness"))
+
+
 def group_centrality(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """(label, degree_centrality, clustering): share of outside nodes next to the group, and the mean clustering of its nodes."""
     und = neighbors.symmetric(edges)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.errors import DataError, DependencyError
+from cellweave.storage import cut
 
 
 def concatenate(parts: list[DataFrame], names: list[str] | None = None, keep_gene: str = "outer") -> DataFrame:
@@ -66,7 +67,7 @@ def harmonise(vectors: DataFrame, clusters: int = 10, rounds: int = 10, ridge: f
     import pandas as pd
 
     spark = vectors.sparkSession
-    v = centre_batches(vectors).persist()
+    v = cut(centre_batches(vectors))
     first = v.orderBy(F.xxhash64("obs_id", F.lit(seed)), "obs_id").limit(clusters).collect()
     centres = np.array([r["v"] for r in first], float)
     batches = sorted(r[0] for r in v.select("batch").distinct().collect())

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.errors import DataError, ParameterError
 from cellweave.functions import stats
 
 
@@ -35,12 +38,32 @@ def group_moments(expr: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def t_test(expr: DataFrame, groups: DataFrame, overestimate: bool = False) -> DataFrame:
-    """(gene_id, group, t, df): Welch's t of each group against the rest; ``overestimate`` divides the rest's variance by the group's size."""
+    """(gene_id, group, t, df, p, q): Welch's t of each group against the rest, two-sided p, BH within the group.
+
+    ``overestimate`` divides the rest's variance by the group's size.
+    """
     m = group_moments(expr, groups)
     b = F.col("n1") if overestimate else F.col("n2")
     a1, a2 = F.col("v1") / F.col("n1"), F.col("v2") / b
     df = (a1 + a2) * (a1 + a2) / (a1 * a1 / (F.col("n1") - 1) + a2 * a2 / (b - 1))
-    return m.where(a1 + a2 > 0).select("gene_id", "group", ((F.col("m1") - F.col("m2")) / F.sqrt(a1 + a2)).alias("t"), df.alias("df"))
+    out = m.where(a1 + a2 > 0).select("gene_id", "group", ((F.col("m1") - F.col("m2")) / F.sqrt(a1 + a2)).alias("t"), df.alias("df"))
+    return stats.adjust(stats.student_two_sided(out), "p", "q", "bh", ("group",), ("gene_id",))
+
+
+def in_groups(groups: DataFrame, chosen: list) -> DataFrame:
+    """The observations of the groups asked for; an error names those that no observation has."""
+    have = {r[0] for r in groups.select("group").distinct().where(F.col("group").isin(chosen)).collect()}
+    if missing := [g for g in chosen if g not in have]:
+        raise ParameterError(f"no observation is in group {', '.join(map(str, missing))}")
+    return groups.where(F.col("group").isin(chosen))
+
+
+def pairwise(expr: DataFrame, groups: DataFrame, first, second=None, test=None) -> DataFrame:
+    """``test`` (by default ``wilcoxon``) of group ``first`` against ``second``, or against all other cells where that is None."""
+    chosen = in_groups(groups, [first] if second is None else [first, second])
+    used = groups if second is None else chosen
+    inside = expr.join(used.select("obs_id"), "obs_id", "left_semi")
+    return (test or wilcoxon)(inside, used).where(F.col("group") == first)
 
 
 def wilcoxon(expr: DataFrame, groups: DataFrame) -> DataFrame:
@@ -64,12 +87,38 @@ def wilcoxon(expr: DataFrame, groups: DataFrame) -> DataFrame:
     return stats.adjust(out, "p", "q", "bh", ("group",), ("gene_id",))
 
 
-def top_markers(scores: DataFrame, n: int, score: str = "z") -> DataFrame:
-    """(group, rank, gene_id, score): each group's ``n`` best genes; then each gene stays only where it came first, groups in order."""
+def top_markers(scores: DataFrame, n: int, score: str = "z", total: int | None = None) -> DataFrame:
+    """(group, rank, gene_id, score): each group's ``n`` best genes; then each gene stays only where it came first, groups in order.
+
+    With ``total`` only the first so many of these rows are kept, groups in order.
+    """
     w = Window.partitionBy("group").orderBy(F.col(score).desc(), "gene_id")
     top = scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
     first = Window.partitionBy("gene_id").orderBy("group")
-    return top.withColumn("seen", F.row_number().over(first)).where("seen = 1").select("group", "rank", "gene_id", F.col(score).alias("score"))
+    once = top.withColumn("seen", F.row_number().over(first)).where("seen = 1").select("group", "rank", "gene_id", F.col(score).alias("score"))
+    return once.orderBy("group", "rank").limit(total) if total else once
+
+
+def marker_summary(tested: DataFrame, folds: DataFrame, groups: DataFrame, top: DataFrame, extreme: float = 10.0) -> DataFrame:
+    """(group, n_cells, n_markers, mean_log2fc, median_q, suspicious) of the markers ``top``; suspicious where a mean fold change passes ``extreme``."""
+    x = top.select("group", "gene_id").join(tested.select("group", "gene_id", "q"), ["group", "gene_id"]).join(folds.select("group", "gene_id", "log2fc"), ["group", "gene_id"])
+    got = x.groupBy("group").agg(F.count("*").alias("n_markers"), F.avg("log2fc").alias("mean_log2fc"), F.median("q").alias("median_q"))
+    cells = groups.groupBy("group").agg(F.count("*").alias("n_cells"))
+    return cells.join(got, "group").withColumn("suspicious", F.abs("mean_log2fc") > extreme)
+
+
+def group_counts(groups: DataFrame) -> DataFrame:
+    """(group, n): observations of each group."""
+    return groups.groupBy("group").agg(F.count("*").alias("n"))
+
+
+def sample_conditions(samples: DataFrame, least: int = 2) -> DataFrame:
+    """(condition, n_samples): a sample counts for the condition of its smallest obs_id; an error if a condition has fewer than ``least``."""
+    of = samples.groupBy("sample").agg(F.min_by("condition", "obs_id").alias("condition"))
+    counts = of.groupBy("condition").agg(F.count("*").alias("n_samples"))
+    if few := [r[0] for r in counts.where(F.col("n_samples") < least).orderBy("condition").collect()]:
+        raise DataError(f"fewer than {least} samples of condition {', '.join(map(str, few))}")
+    return counts
 
 
 def log2_fold_change(raw: DataFrame, groups: DataFrame, pseudocount: float = 1.0) -> DataFrame:
@@ -87,12 +136,19 @@ def pseudobulk(counts: DataFrame, samples: DataFrame, by: tuple[str, ...] = ("sa
     return x.join(F.broadcast(n), list(by))
 
 
-def size_factors(bulk: DataFrame, sample: str = "sample") -> DataFrame:
-    """(sample, size_factor): median over genes of count over the gene's geometric mean, genes positive in every sample."""
+def size_factors(bulk: DataFrame, sample: str = "sample", positive: bool = False) -> DataFrame:
+    """(sample, size_factor): median over genes of count over the gene's geometric mean, genes positive in every sample.
+
+    With ``positive``, where no such gene exists: geometric means over all samples of the positive counts (zeros count as
+    one), medians over the genes that a sample has, and factors of geometric mean one.
+    """
     n = bulk.select(sample).distinct().agg(F.count("*").alias("n_s"))
-    logs = bulk.where("value > 0").groupBy("gene_id").agg(F.avg(F.log("value")).alias("lg"), F.count("*").alias("n_g"))
-    full = logs.join(F.broadcast(n)).where("n_g = n_s")
-    return bulk.join(full, "gene_id").groupBy(sample).agg(F.exp(F.median(F.log("value") - F.col("lg"))).alias("size_factor"))
+    logs = bulk.where("value > 0").groupBy("gene_id").agg(F.sum(F.log("value")).alias("sl"), F.count("*").alias("n_g")).join(F.broadcast(n))
+    means = logs.select("gene_id", (F.col("sl") / F.col("n_s")).alias("lg")) if positive else logs.where("n_g = n_s").select("gene_id", (F.col("sl") / F.col("n_g")).alias("lg"))
+    out = bulk.where("value > 0").join(means, "gene_id").groupBy(sample).agg(F.median(F.log("value") - F.col("lg")).alias("lf"))
+    if positive:
+        out = out.join(F.broadcast(out.agg(F.avg("lf").alias("mid")))).withColumn("lf", F.col("lf") - F.col("mid"))
+    return out.select(sample, F.exp("lf").alias("size_factor"))
 
 
 def condition_fold_change(bulk: DataFrame, factors: DataFrame, a: str, b: str, pseudocount: float = 1.0, by: tuple[str, ...] = ()) -> DataFrame:
@@ -106,7 +162,7 @@ def condition_fold_change(bulk: DataFrame, factors: DataFrame, a: str, b: str, p
 
 
 def negative_binomial_wald(bulk: DataFrame, factors: DataFrame, a: str, b: str) -> DataFrame:
-    """(gene_id, base_mean, log2fc, se, p, q): two-condition NB regression per gene by IRLS, moment dispersions, Wald test.
+    """(gene_id, base_mean, log2fc, se, p, q): two-condition NB regression per gene by IRLS, moment dispersions within conditions, Wald test.
 
     Grouped by gene, one row per sample: each group is as long as there are samples.
     """
@@ -122,8 +178,13 @@ def negative_binomial_wald(bulk: DataFrame, factors: DataFrame, a: str, b: str)
         y, s = g["value"].to_numpy(float), g["size_factor"].to_numpy(float)
         design = np.column_stack([np.ones(len(g)), (g["condition"] == a).to_numpy(float)])
         q = y / s
-        base, var = q.mean(), q.var(ddof=1) if len(q) > 1 else 0.0
-        alpha = max(1e-8, (var - base * (1 / s).mean()) / base**2) if base > 0 else 1.0
+        base, over, under = q.mean(), 0.0, 0.0
+        for side in (design[:, 1] == 0, design[:, 1] == 1):  # the spread within the conditions, not between them
+            if side.sum() > 1:
+                m = q[side].mean()
+                over += (side.sum() - 1) * (q[side].var(ddof=1) - m * (1 / s[side]).mean())
+                under += (side.sum() - 1) * m**2
+        alpha = max(1e-8, over / under) if under > 0 else 1.0
         beta = np.array([np.log(max(base, 1e-8)), 0.0])
         for _ in range(50):
             mu = np.maximum(s * np.exp(np.clip(design @ beta, -30, 30)), 1e-8)
@@ -141,6 +202,28 @@ def negative_binomial_wald(bulk: DataFrame, factors: DataFrame, a: str, b: str)
     return stats.adjust(out.withColumn("p", stats.normal_two_sided(F.col("log2fc") / F.col("se"))), "p", "q", "bh", (), ("gene_id",))
 
 
+def regulated(tested: DataFrame, q: float = 0.05, fold: float = 0.0, n: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, direction, rank, gene_id, log2fc, q): significant genes, up or down, by falling size of the fold change; the first ``n`` of each."""
+    t = tested.where((F.col("q") < q) & (F.abs("log2fc") > fold)).withColumn("direction", F.when(F.col("log2fc") > 0, "up").otherwise("down"))
+    w = Window.partitionBy(*by, "direction").orderBy(F.abs("log2fc").desc(), "gene_id")
+    t = t.withColumn("rank", F.row_number().over(w))
+    return (t.where(F.col("rank") <= n) if n else t).select(*by, "direction", "rank", "gene_id", "log2fc", "q")
+
+
+def wald_by_stratum(counts: DataFrame, samples: DataFrame, a, b, stratum: str = "cell_type", min_cells: int = 10) -> DataFrame:
+    """``negative_binomial_wald`` within each value of ``stratum``, with size factors of its own: (stratum, gene_id, ...), BH within it."""
+    kind = dict(samples.dtypes)[stratum]
+    parts = []
+    for r in samples.select(stratum).distinct().orderBy(stratum).collect():  # a row per cell type
+        inside = samples.where(F.col(stratum).eqNullSafe(F.lit(r[0])))
+        bulk = pseudobulk(counts, inside, min_cells=min_cells)
+        if bulk.where(F.col("condition").isin(a, b)).select("condition").distinct().count() == 2:
+            parts.append(negative_binomial_wald(bulk, size_factors(bulk, positive=True), a, b).withColumn(stratum, F.lit(r[0]).cast(kind)))
+    if not parts:
+        raise DataError(f"no {stratum} has samples of both conditions")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def logistic_markers(dense: DataFrame, groups: DataFrame, regularisation: float = 0.1) -> DataFrame:
     """(group, gene_id, coefficient) of a multinomial logistic regression on the chosen genes (MLlib)."""
     from pyspark.ml.classification import LogisticRegression

@@ -105,6 +105,38 @@ def vector_knn(vectors: DataFrame, k: int, per: str | None = None) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("src", "dst", *groups, F.sqrt("d2").alias("d"), "rank")
 
 
+def fuzzy_weights(edges: DataFrame) -> DataFrame:
+    """(src, dst, w) of kNN edges with d: exp(-(d - nearest) / scale), the scale such that a row's weights sum to log2 of their
+    number, joined with the reverse edge by a + b - ab. Grouped by src: k rows each."""
+    import numpy as np
+    import pandas as pd
+
+    kind = dict(edges.dtypes)["src"]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        d = rows["d"].to_numpy(float)
+        near = d[d > 0].min() if (d > 0).any() else 0.0
+        past, goal = np.maximum(d - near, 0.0), np.log2(max(2, len(d)))
+        low, high, scale = 0.0, np.inf, 1.0
+        for _ in range(64):
+            total = np.exp(-past / scale).sum()
+            if abs(total - goal) < 1e-5:
+                break
+            if total > goal:
+                high = scale
+                scale = (low + high) / 2
+            else:
+                low = scale
+                scale = scale * 2 if high == np.inf else (low + high) / 2
+        scale = max(scale, 1e-3 * d.mean()) if d.mean() > 0 else scale
+        return pd.DataFrame({"src": rows["src"], "dst": rows["dst"], "w": np.exp(-past / scale)})
+
+    one = edges.select("src", "dst", "d").groupBy("src").applyInPandas(run, f"src {kind}, dst {kind}, w double")
+    both = one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    # a + b - ab of the one or two weights of a pair
+    return both.groupBy("src", "dst").agg((F.sum("w") - F.when(F.count("*") > 1, F.max("w") * F.min("w")).otherwise(0.0)).alias("w"))
+
+
 def mutual(edges: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of edges that exist both ways."""
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cellweave.errors import DataError, ParameterError
 from cellweave.functions import stats
+from cellweave.storage import cut
 
 
 def flag_genes(genes: DataFrame) -> DataFrame:
@@ -160,7 +161,8 @@ def variable_genes_by_batch(normalised: DataFrame, batches: DataFrame, n_top: in
     g = g.withColumn("bin", F.least(F.lit(20), F.floor((F.col("lm") - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / 20)) + 1).cast("int"))
     w = Window.partitionBy("batch", "bin")
     sd = F.stddev_samp("dispersion").over(w)
-    g = g.withColumn("nd", F.when(sd > 0, (F.col("dispersion") - F.avg("dispersion").over(w)) / sd).otherwise(1.0))
+    # Rounded, so that the order does not hang on the order of a sum: two genes alone in a bin are always at the same distance.
+    g = g.withColumn("nd", F.round(F.when(sd > 0, (F.col("dispersion") - F.avg("dispersion").over(w)) / sd).otherwise(1.0), 9))
     g = g.withColumn("r", F.row_number().over(Window.partitionBy("batch").orderBy(F.col("nd").desc(), "gene_id")))
     return g.groupBy("gene_id").agg(F.count_if(F.col("r") <= n_top).alias("n_batches"), F.median("nd").alias("median_disp")).orderBy(F.col("n_batches").desc(), F.col("median_disp").desc(), "gene_id").limit(n_top)
 
@@ -180,13 +182,35 @@ def gene_cv(expr: DataFrame, n_obs: int) -> DataFrame:
     return m.select("gene_id", "mean", F.when(F.abs("mean") > 1e-10, F.sqrt("var") / F.abs("mean")).otherwise(0.0).alias("cv"))
 
 
-def pipeline(expr: DataFrame, genes: DataFrame, min_cells: int = 3, min_genes: int = 30, max_mito: float = 20.0, n_hvg: int = 2000) -> dict[str, DataFrame]:
-    """QC, filters, normalisation, variable genes in the fixed order; returns qc, counts, normalised and hvg tables."""
+def pipeline(expr: DataFrame, genes: DataFrame, min_cells: int = 3, min_genes: int = 30, max_mito: float = 20.0, n_hvg: int = 2000, sample_cells: int | None = None, sample_genes: int | None = None, doublets: bool = False, scaled: bool = False, normalisation: str = "log") -> dict[str, DataFrame]:
+    """Quality control, filters, snapshot, subsample, doublets, normalisation, variable genes and scaling in the fixed order.
+
+    Returns qc, raw (what the filters left: the snapshot), counts, normalised and hvg; with ``doublets`` their scores, taken out
+    of counts; with ``scaled`` the variable genes' z-scores. ``sample_genes`` keeps that many variable genes in counts.
+    Normalisation is log, pearson (residuals of the variable genes) or none.
+    """
+    if normalisation not in ("log", "pearson", "none"):
+        raise ParameterError(f"unknown normalisation {normalisation}")
     qc = qc_per_cell(expr, genes)
-    counts = filter_mito(filter_cells(filter_genes(expr, min_cells), min_genes), qc, max_mito)
-    logged = normalise(counts)
-    n = counts.select("obs_id").distinct().count()
-    return {"qc": qc, "counts": counts, "normalised": logged, "hvg": variable_genes(gene_dispersion(logged, n), n_hvg)}
+    raw = counts = cut(filter_mito(filter_cells(filter_genes(expr, min_cells), min_genes), qc, max_mito))
+    if sample_cells is not None:
+        counts = counts.join(subsample(counts.select("obs_id").distinct(), sample_cells), "obs_id", "left_semi")
+    out = {"qc": qc, "raw": raw}
+    if doublets:
+        out["doublets"] = cut(doublet_scores(counts, counts.select("obs_id").distinct()))
+        counts = counts.join(out["doublets"].where("doublet").select("obs_id"), "obs_id", "left_anti")
+    counts = cut(counts)
+    obs = cut(counts.select("obs_id").distinct())
+    logged = counts if normalisation == "none" else normalise(counts)
+    hvg = cut(variable_genes(gene_dispersion(logged, obs.count()), min(n_hvg, sample_genes) if sample_genes else n_hvg))
+    if sample_genes:
+        counts, logged = (x.join(hvg.select("gene_id"), "gene_id", "left_semi") for x in (counts, logged))
+    if normalisation == "pearson":
+        logged = pearson_residuals(counts, obs, hvg).withColumnRenamed("residual", "value")
+    out |= {"counts": counts, "normalised": logged, "hvg": hvg}
+    if scaled:
+        out["scaled"] = scale(densify(logged.join(hvg.select("gene_id"), "gene_id", "left_semi"), obs, hvg))
+    return out
 
 
 def spatial_gene_filter(expr: DataFrame, n_obs: int, min_share: float = 0.1, min_total: float = 10.0) -> DataFrame:
@@ -196,9 +220,43 @@ def spatial_gene_filter(expr: DataFrame, n_obs: int, min_share: float = 0.1, min
 
 
 def simulate_doublets(expr: DataFrame, obs: DataFrame, ratio: float = 2.0, seed: int = 0) -> DataFrame:
-    """(obs_id, gene_id, value) of simulated doublets (negative ids): sums of two cells paired by hash."""
+    """(obs_id, gene_id, value) of simulated doublets (negative ids): sums of two cells paired by hash.
+
+    Cells are numbered by the order of a hash, one bucket of it a task; ids are integers.
+    """
     n = obs.count()
     total = int(n * ratio)
-    place = obs.select("obs_id", (F.row_number().over(Window.orderBy(F.xxhash64("obs_id"), "obs_id")) - 1).alias("place"))
+    buckets = max(1, -(-n // 100_000))
+    placed = obs.select("obs_id", F.pmod(F.xxhash64("obs_id"), F.lit(buckets)).alias("bucket"))
+    placed = placed.withColumn("at", F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("obs_id"), "obs_id")) - 1)
+    sizes = placed.groupBy("bucket").agg(F.count("*").alias("size"))
+    before = sizes.select("bucket", (F.sum("size").over(Window.orderBy("bucket")) - F.col("size")).alias("before"))  # a row per bucket
+    place = placed.join(F.broadcast(before), "bucket").select("obs_id", (F.col("before") + F.col("at")).alias("place"))
     sims = obs.sparkSession.range(total).select((-F.col("id") - 1).alias("sim"), F.explode(F.array(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)), F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(n)))).alias("place"))
     return sims.join(place, "place").join(expr, "obs_id").groupBy(F.col("sim").alias("obs_id"), "gene_id").agg(F.sum("value").alias("value"))
+
+
+def doublet_scores(expr: DataFrame, obs: DataFrame, ratio: float = 2.0, rate: float = 0.06, k: int | None = None, n_genes: int = 500, n_components: int = 30, seed: int = 0) -> DataFrame:
+    """(obs_id, score, doublet): by how many simulated doublets stand among the nearest of a cell and of them.
+
+    Cells and simulated doublets are normalised together, reduced to variable genes and principal components; of the share f of
+    doublets among k neighbours the score is rate f / ratio / ((1 - rate)(1 - f) + rate f / ratio). A cell is called a doublet
+    over the ``rate``-th highest score. Fewer than 100 cells: score 0, no doublet.
+    """
+    from cellweave.operators import embedding, neighbors
+
+    n = obs.count()
+    if n < 100:
+        return obs.select("obs_id", F.lit(0.0).alias("score"), F.lit(False).alias("doublet"))
+    both = cut(normalise(expr.select("obs_id", "gene_id", "value").unionByName(simulate_doublets(expr, obs, ratio, seed))))
+    everyone = both.select("obs_id").distinct()
+    genes = cut(variable_genes(gene_dispersion(both.where("obs_id >= 0"), n), n_genes).select("gene_id"))
+    dense = densify(both.join(F.broadcast(genes), "gene_id", "left_semi"), everyone, genes)
+    scores, _, _ = embedding.pca(embedding.to_vectors(dense), n_components)
+    k = k or max(5, round(0.5 * n**0.5))
+    near = neighbors.vector_knn(cut(scores), int(k * (1 + ratio)))
+    f = near.where("src >= 0").groupBy(F.col("src").alias("obs_id")).agg((F.count_if(F.col("dst") < 0) + 1.0).alias("m"), F.count("*").alias("k"))
+    share = F.col("m") / (F.col("k") + 2.0)
+    s = cut(f.select("obs_id", (rate * share / ratio / ((1 - rate) * (1 - share) + rate * share / ratio)).alias("score")))
+    bar = s.agg(F.percentile("score", F.lit(1 - rate)).alias("bar"))
+    return s.join(F.broadcast(bar)).select("obs_id", "score", (F.col("score") > F.col("bar")).alias("doublet"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cellweave.functions import stats
 from cellweave.operators import deconvolution, dynamics, enrichment, integration, markers, neighbors, plotdata, preprocess, profile
 from cellweave.plans import proxy
-from cellweave.plans.proxy import query, r6
+from cellweave.plans.proxy import query, r6, sql_bh, sql_normal_p, sql_student_p
 
 
 @query("SELECT obs_id, n_genes, round(total, 6) AS total, round(ln(1 + total), 6) AS log1p_total, round(100.0 * tm / total, 6) AS pct_mt, round(100.0 * tr / total, 6) AS pct_ribo FROM (SELECT obs_id, count(*) FILTER (value > 0) AS n_genes, sum(value) AS total, sum(CASE WHEN mt THEN value ELSE 0 END) AS tm, sum(CASE WHEN ribo THEN value ELSE 0 END) AS tr FROM counts JOIN genes USING (gene_id) GROUP BY 1)")
@@ -55,15 +55,8 @@ def normalize_log1p(s, d):
     return preprocess.normalise(proxy.counts(s, d)).select("obs_id", "gene_id", r6("value"))
 
 
-@query("SELECT obs_id, gene_id, round(greatest(-sqrt(n), least(sqrt(n), (coalesce(value, 0) - mu) / sqrt(mu + mu * mu / 100))), 6) + 0.0 AS residual FROM (SELECT o.obs_id, g.gene_id, c.value, r * k / s AS mu, n FROM (SELECT obs_id, sum(value) AS r FROM counts GROUP BY 1) o CROSS JOIN (SELECT gene_id, sum(value) AS k FROM counts GROUP BY 1 ORDER BY k DESC, gene_id LIMIT 50) g CROSS JOIN (SELECT sum(value) AS s, (SELECT count(*)::DOUBLE FROM cells) AS n FROM counts) LEFT JOIN counts c ON c.obs_id = o.obs_id AND c.gene_id = g.gene_id)")
-def pearson_residuals_topvar(s, d):
-    c = proxy.counts(s, d)
-    top = c.groupBy("gene_id").agg(F.sum("value").alias("k")).orderBy(F.col("k").desc(), "gene_id").limit(50)
-    return preprocess.pearson_residuals(c, proxy.cells(s, d), top).select("obs_id", "gene_id", r6("residual"))
-
-
-@query()
-def pearson_residuals_full(s, d):
+@query("SELECT obs_id, gene_id, round(greatest(-sqrt(n), least(sqrt(n), (coalesce(value, 0) - mu) / sqrt(mu + mu * mu / 100))), 6) + 0.0 AS residual FROM (SELECT o.obs_id, g.gene_id, c.value, r * k / s AS mu, n FROM (SELECT obs_id, sum(value) AS r FROM counts GROUP BY 1) o CROSS JOIN (SELECT gene_id, sum(value) AS k FROM counts GROUP BY 1) g CROSS JOIN (SELECT sum(value) AS s, (SELECT count(*)::DOUBLE FROM cells) AS n FROM counts) LEFT JOIN counts c ON c.obs_id = o.obs_id AND c.gene_id = g.gene_id)")
+def pearson_residuals(s, d):
     c = proxy.counts(s, d)
     return preprocess.pearson_residuals(c, proxy.cells(s, d), c.select("gene_id").distinct()).select("obs_id", "gene_id", r6("residual"))
 
@@ -108,30 +101,84 @@ def common_genes(s, d):
 # --- markers -------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT gene_id, grp AS \"group\", round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 5) + 0.0 AS t, round((v1 / n1 + v2 / n2) * (v1 / n1 + v2 / n2) / (v1 / n1 * v1 / n1 / (n1 - 1) + v2 / n2 * v2 / n2 / (n2 - 1)), 4) AS df FROM gmom WHERE v1 / n1 + v2 / n2 > 0")
+def _t_sql(b: str) -> str:
+    """t, df, p and q of each group against the rest in SQL; ``b`` is the size that divides the rest's variance."""
+    a1, a2 = "v1 / n1", f"v2 / {b}"
+    t = f"SELECT gene_id, grp, (m1 - m2) / sqrt({a1} + {a2}) AS t, ({a1} + {a2}) * ({a1} + {a2}) / ({a1} * {a1} / (n1 - 1) + {a2} * {a2} / ({b} - 1)) AS df FROM gmom WHERE {a1} + {a2} > 0"
+    inner, outer = sql_bh("p", "grp", "gene_id")
+    return f"SELECT *, {outer} AS q FROM (SELECT *, {inner} FROM (SELECT *, {sql_student_p('t', 'df')} AS p FROM ({t})))"
+
+
+def _t_rows(t):
+    return t.select("gene_id", "group", (F.round("t", 5) + 0.0).alias("t"), F.round("df", 4).alias("df"), F.round("p", 5).alias("p"), F.round("q", 5).alias("q"))
+
+
+@query(f"SELECT gene_id, grp AS \"group\", round(t, 5) + 0.0 AS t, round(df, 4) AS df, round(p, 5) AS p, round(q, 5) AS q FROM ({_t_sql('n2')})")
 def ttest_markers(s, d):
-    t = markers.t_test(preprocess.normalise(proxy.counts(s, d)), proxy.cells(s, d))
-    return t.select("gene_id", "group", (F.round("t", 5) + 0.0).alias("t"), F.round("df", 4).alias("df"))
+    return _t_rows(markers.t_test(preprocess.normalise(proxy.counts(s, d)), proxy.cells(s, d)))
 
 
-@query("SELECT gene_id, grp AS \"group\", round((m1 - m2) / sqrt(v1 / n1 + v2 / n1), 5) + 0.0 AS t FROM gmom WHERE v1 / n1 + v2 / n1 > 0")
+@query(f"SELECT gene_id, grp AS \"group\", round(t, 5) + 0.0 AS t, round(df, 4) AS df, round(p, 5) AS p, round(q, 5) AS q FROM ({_t_sql('n1')})")
 def ttest_overestim(s, d):
-    t = markers.t_test(preprocess.normalise(proxy.counts(s, d)), proxy.cells(s, d), overestimate=True)
-    return t.select("gene_id", "group", (F.round("t", 5) + 0.0).alias("t"))
+    return _t_rows(markers.t_test(preprocess.normalise(proxy.counts(s, d)), proxy.cells(s, d), overestimate=True))
 
 
 _WILCOXON = "SELECT gene_id, grp, (r1 - n1 * (n1 + n2 + 1) / 2) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12) AS z FROM (SELECT gene_id, grp, sum(rk) AS r1, count(*)::DOUBLE AS n1, (SELECT count(*) FROM cells) - count(*)::DOUBLE AS n2 FROM (SELECT gene_id, grp, rank() OVER (PARTITION BY gene_id ORDER BY v) + (count(*) OVER (PARTITION BY gene_id, v) - 1) / 2.0 AS rk FROM (SELECT g.gene_id, c.grp, coalesce(value, 0) AS v FROM (SELECT DISTINCT gene_id FROM counts) g CROSS JOIN cells c LEFT JOIN lognorm l ON l.gene_id = g.gene_id AND l.obs_id = c.obs_id)) GROUP BY 1, 2)"
 
 
-@query(f"SELECT gene_id, grp AS \"group\", round(z, 5) + 0.0 AS z FROM ({_WILCOXON})")
+def _wilcoxon_q(z: str) -> str:
+    inner, outer = sql_bh("p", "grp", "gene_id")
+    return f"SELECT *, {outer} AS q FROM (SELECT *, {inner} FROM (SELECT *, {sql_normal_p('z')} AS p FROM ({z})))"
+
+
+@query(f"SELECT gene_id, grp AS \"group\", round(z, 5) + 0.0 AS z, round(p, 5) AS p, round(q, 5) AS q FROM ({_wilcoxon_q(_WILCOXON)})")
 def wilcoxon_markers(s, d):
-    return markers.wilcoxon(preprocess.normalise(proxy.counts(s, d)), proxy.cells(s, d)).select("gene_id", "group", (F.round("z", 5) + 0.0).alias("z"))
+    w = markers.wilcoxon(preprocess.normalise(proxy.counts(s, d)), proxy.cells(s, d))
+    return w.select("gene_id", "group", (F.round("z", 5) + 0.0).alias("z"), F.round("p", 5).alias("p"), F.round("q", 5).alias("q"))
+
+
+_PAIR = _WILCOXON.replace("FROM cells)", "FROM cells WHERE grp IN (1, 3))").replace("(SELECT DISTINCT gene_id FROM counts)", "(SELECT DISTINCT gene_id FROM counts JOIN cells USING (obs_id) WHERE grp IN (1, 3))").replace("CROSS JOIN cells c", "CROSS JOIN (SELECT * FROM cells WHERE grp IN (1, 3)) c")
 
 
-@query(f"SELECT \"group\", CAST(rank AS INTEGER) AS rank, gene_id FROM (SELECT *, row_number() OVER (PARTITION BY gene_id ORDER BY \"group\") AS seen FROM (SELECT gene_id, grp AS \"group\", row_number() OVER (PARTITION BY grp ORDER BY round(z, 5) DESC, gene_id) AS rank FROM ({_WILCOXON})) WHERE rank <= 25) WHERE seen = 1")
+@query(f"SELECT gene_id, grp AS \"group\", round(z, 5) + 0.0 AS z, round(p, 5) AS p, round(q, 5) AS q FROM ({_wilcoxon_q(_PAIR)}) WHERE grp = 1")
+def markers_pairwise(s, d):
+    w = markers.pairwise(preprocess.normalise(proxy.counts(s, d)), proxy.cells(s, d), 1, 3)
+    return w.select("gene_id", "group", (F.round("z", 5) + 0.0).alias("z"), F.round("p", 5).alias("p"), F.round("q", 5).alias("q"))
+
+
+_TOP = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gene_id ORDER BY grp) AS seen FROM (SELECT gene_id, grp, row_number() OVER (PARTITION BY grp ORDER BY round(z, 5) DESC, gene_id) AS rank FROM ({_WILCOXON})) WHERE rank <= 25) WHERE seen = 1"
+
+
+@query(f"SELECT grp AS \"group\", CAST(rank AS INTEGER) AS rank, gene_id FROM ({_TOP}) ORDER BY grp, rank LIMIT 60")
 def marker_topn_dedup(s, d):
     z = markers.wilcoxon(preprocess.normalise(proxy.counts(s, d)), proxy.cells(s, d)).withColumn("z", F.round("z", 5))
-    return markers.top_markers(z, 25).select("group", "rank", "gene_id")
+    return markers.top_markers(z, 25, total=60).select("group", "rank", "gene_id")
+
+
+_FOLD = "SELECT gene_id, grp, log2((s1 / n1 + 1) / ((s - s1) / n2 + 1)) AS log2fc FROM (SELECT t.gene_id, g.grp, coalesce(s1, 0) AS s1, s, n1, (SELECT count(*) FROM cells) - n1 AS n2 FROM (SELECT gene_id, sum(exp(value) - 1) AS s FROM lognorm GROUP BY 1) t CROSS JOIN (SELECT grp, count(*)::DOUBLE AS n1 FROM cells GROUP BY 1) g LEFT JOIN (SELECT gene_id, grp, sum(exp(value) - 1) AS s1 FROM lognorm JOIN cells USING (obs_id) GROUP BY 1, 2) x ON x.gene_id = t.gene_id AND x.grp = g.grp)"
+
+
+@query(f"SELECT grp AS \"group\", (SELECT count(*) FROM cells c WHERE c.grp = t.grp) AS n_cells, count(*) AS n_markers, round(avg(log2fc), 5) + 0.0 AS mean_log2fc, round(median(q), 5) AS median_q, abs(avg(log2fc)) > 10 AS suspicious FROM ({_TOP}) t JOIN ({_wilcoxon_q(_WILCOXON)}) w USING (gene_id, grp) JOIN ({_FOLD}) f USING (gene_id, grp) GROUP BY 1")
+def marker_summary(s, d):
+    n, groups = preprocess.normalise(proxy.counts(s, d)), proxy.cells(s, d)
+    tested = markers.wilcoxon(n, groups).withColumn("z", F.round("z", 5))
+    out = markers.marker_summary(tested, markers.log2_fold_change(proxy.counts(s, d), groups), groups, markers.top_markers(tested, 25))
+    return out.select("group", "n_cells", "n_markers", (F.round("mean_log2fc", 5) + 0.0).alias("mean_log2fc"), F.round("median_q", 5).alias("median_q"), "suspicious")
+
+
+@query("SELECT grp AS \"group\", count(*) AS n FROM cells GROUP BY 1")
+def group_counts(s, d):
+    return markers.group_counts(proxy.cells(s, d))
+
+
+@query("SELECT condition, count(*) AS n_samples FROM (SELECT sample, first(condition ORDER BY obs_id) AS condition FROM samples GROUP BY 1) GROUP BY 1")
+def sample_conditions(s, d):
+    return markers.sample_conditions(proxy.samples(s, d), 1)
+
+
+@query("SELECT obs_id, gene_id, value FROM counts JOIN cells USING (obs_id) WHERE grp IN (1, 3)")
+def group_subset(s, d):
+    return proxy.counts(s, d).join(markers.in_groups(proxy.cells(s, d), [1, 3]), "obs_id", "left_semi")
 
 
 @query("SELECT gene_id, grp AS \"group\", round(log2((s1 / n1 + 1) / ((s - s1) / n2 + 1)), 6) + 0.0 AS log2fc FROM (SELECT t.gene_id, g.grp, coalesce(s1, 0) AS s1, s, n1, (SELECT count(*) FROM cells) - n1 AS n2 FROM (SELECT gene_id, sum(exp(value) - 1) AS s FROM lognorm GROUP BY 1) t CROSS JOIN (SELECT grp, count(*)::DOUBLE AS n1 FROM cells GROUP BY 1) g LEFT JOIN (SELECT gene_id, grp, sum(exp(value) - 1) AS s1 FROM lognorm JOIN cells USING (obs_id) GROUP BY 1, 2) x ON x.gene_id = t.gene_id AND x.grp = g.grp)")
@@ -156,27 +203,41 @@ def pseudobulk_strat(s, d):
 
 
 def _bulk(s, d):
-    """Over 40 gene groups, so that some are positive in every sample, as size factors need."""
-    c = proxy.order_counts(s, d).groupBy("obs_id", (F.col("gene_id") % 40).alias("gene_id")).agg(F.sum("value").alias("value"))
-    return markers.pseudobulk(c, proxy.samples(s, d), min_cells=1)
+    return markers.pseudobulk(proxy.order_counts(s, d), proxy.samples(s, d), min_cells=1)
 
 
 @query("SELECT sample, round(size_factor, 6) AS size_factor FROM factors")
 def deseq_size_factors(s, d):
-    return markers.size_factors(_bulk(s, d)).select("sample", r6("size_factor"))
+    return markers.size_factors(_bulk(s, d), positive=True).select("sample", r6("size_factor"))
+
 
+_CONDITION = "SELECT {by}gene_id, sa / na AS mean_a, sb / nb AS mean_b, log2((sa / na + 1) / (sb / nb + 1)) AS log2fc FROM (SELECT gene_id, sum(CASE WHEN condition = 0 THEN value / size_factor ELSE 0 END) AS sa, sum(CASE WHEN condition = 1 THEN value / size_factor ELSE 0 END) AS sb, (SELECT count(DISTINCT sample)::DOUBLE FROM bulk WHERE condition = 0) AS na, (SELECT count(DISTINCT sample)::DOUBLE FROM bulk WHERE condition = 1) AS nb FROM bulk JOIN factors USING (sample) GROUP BY 1)"
 
-@query("SELECT gene_id, round(sa / na, 5) AS mean_a, round(sb / nb, 5) AS mean_b, round(log2((sa / na + 1) / (sb / nb + 1)), 5) + 0.0 AS log2fc FROM (SELECT gene_id, sum(CASE WHEN condition = 0 THEN value / size_factor ELSE 0 END) AS sa, sum(CASE WHEN condition = 1 THEN value / size_factor ELSE 0 END) AS sb, (SELECT count(DISTINCT sample)::DOUBLE FROM bulk WHERE condition = 0) AS na, (SELECT count(DISTINCT sample)::DOUBLE FROM bulk WHERE condition = 1) AS nb FROM bulk JOIN factors USING (sample) GROUP BY 1)")
+
+@query(f"SELECT gene_id, round(mean_a, 5) AS mean_a, round(mean_b, 5) AS mean_b, round(log2fc, 5) + 0.0 AS log2fc FROM ({_CONDITION.format(by='')})")
 def condition_log2fc(s, d):
     b = _bulk(s, d)
-    f = markers.condition_fold_change(b, markers.size_factors(b), 0, 1)
+    f = markers.condition_fold_change(b, markers.size_factors(b, positive=True), 0, 1)
     return f.select("gene_id", F.round("mean_a", 5).alias("mean_a"), F.round("mean_b", 5).alias("mean_b"), (F.round("log2fc", 5) + 0.0).alias("log2fc"))
 
 
+@query(f"SELECT direction, CAST(row_number() OVER (PARTITION BY direction ORDER BY round(abs(log2fc), 9) DESC, gene_id) AS INTEGER) AS rank, gene_id FROM (SELECT *, CASE WHEN log2fc > 0 THEN 'up' ELSE 'down' END AS direction FROM (SELECT gene_id, log2fc, (gene_id % 100) / 1000.0 AS q FROM ({_CONDITION.format(by='')}))) WHERE q < 0.05 AND abs(log2fc) > 0.5")
+def regulated_genes(s, d):
+    """Fold changes with a q of the gene's number, so that SQL can follow the lists."""
+    b = _bulk(s, d)
+    f = markers.condition_fold_change(b, markers.size_factors(b, positive=True), 0, 1).withColumns({"q": (F.col("gene_id") % 100) / 1000.0, "log2fc": F.round("log2fc", 9)})
+    return markers.regulated(f, 0.05, 0.5).select("direction", "rank", "gene_id")
+
+
 @query()
 def condition_wald(s, d):
     b = _bulk(s, d)
-    return markers.negative_binomial_wald(b, markers.size_factors(b), 0, 1)
+    return markers.negative_binomial_wald(b, markers.size_factors(b, positive=True), 0, 1)
+
+
+@query()
+def condition_wald_by_type(s, d):
+    return markers.wald_by_stratum(proxy.order_counts(s, d), proxy.samples(s, d), 0, 1, min_cells=1)
 
 
 # --- enrichment ----------------------------------------------------------------------------------------------------
@@ -197,12 +258,30 @@ _LC = "(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1))"
 _TERM = "exp(" + _LC.format(n="k", k="i") + " + " + _LC.format(n="(m - k)", k="(n - i)") + " - " + _LC.format(n="m", k="n") + ")"
 
 
-@query(f"SELECT set_name, a AS overlap, k AS set_size, CASE WHEN (n - a) * (k - a) > 0 THEN round(a * (m - n - k + a)::DOUBLE / ((n - a) * (k - a)), 6) END AS odds_ratio, round(least(1, sum({_TERM})), 6) AS p FROM ({_ORA}), range(0, 101) t(i) WHERE i >= a AND i <= least(k, n) AND m - k >= n - i GROUP BY set_name, a, k, n, m")
-def ora_fisher(s, d):
+_ORA_P = f"SELECT set_name, a AS overlap, k AS set_size, CASE WHEN (n - a) * (k - a) > 0 THEN a * (m - n - k + a)::DOUBLE / ((n - a) * (k - a)) END AS odds_ratio, least(1, sum({_TERM})) AS p FROM ({_ORA}), range(0, 101) t(i) WHERE i >= a AND i <= least(k, n) AND m - k >= n - i GROUP BY set_name, a, k, n, m"
+_ORA_Q = f"SELECT *, {sql_bh('p', '', 'set_name')[1]} AS q FROM (SELECT *, {sql_bh('p', '', 'set_name')[0]} FROM ({_ORA_P}))"
+
+
+def _ora(s, d):
     c = proxy.counts(s, d)
     top = c.groupBy("gene_id").agg(F.sum("value").alias("t")).orderBy(F.col("t").desc(), "gene_id").limit(100)
     g = proxy.genes(s, d)
-    return enrichment.over_representation(top, g, g, 1, 1_000_000).select("set_name", "overlap", "set_size", r6("odds_ratio"), r6("p"))
+    return enrichment.over_representation(top, g, g, 1, 1_000_000)
+
+
+@query(f"SELECT set_name, overlap, set_size, round(odds_ratio, 6) AS odds_ratio, round(p, 6) AS p, round(q, 6) AS q FROM ({_ORA_Q})")
+def ora_fisher(s, d):
+    return _ora(s, d).select("set_name", "overlap", "set_size", r6("odds_ratio"), r6("p"), r6("q"))
+
+
+@query(f"SELECT count(*) AS n_tested, count(*) FILTER (q < 0.25) AS n_kept, count(*) FILTER (q < 0.05) AS n_significant FROM ({_ORA_Q})")
+def significance_counts(s, d):
+    return enrichment.significance_counts(_ora(s, d), "gsea")
+
+
+@query(f"SELECT set_name, CAST(row_number() OVER (ORDER BY round(q, 9), set_name) AS INTEGER) AS rank, round(-log10(greatest(round(q, 9), 1e-300)), 6) + 0.0 AS neg_log10 FROM ({_ORA_Q}) ORDER BY round(q, 9), set_name LIMIT 10")
+def best_sets(s, d):
+    return enrichment.best_sets(_ora(s, d).withColumn("q", F.round("q", 9)), 10).select("set_name", "rank", r6("neg_log10"))
 
 
 @query("SELECT set_name, round(CASE WHEN up >= -down THEN up ELSE down END, 5) + 0.0 AS es FROM (SELECT set_name, max(run) AS up, min(run) AS down FROM (SELECT s.set_name, sum(CASE WHEN g.set_name = s.set_name THEN abs(score) / tot ELSE -1.0 / (n - size) END) OVER (PARTITION BY s.set_name ORDER BY r.pos) AS run FROM (SELECT gene_id, round(score, 9) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, gene_id) AS pos, count(*) OVER () AS n FROM ranked WHERE gene_id IN (SELECT gene_id FROM counts JOIN cells USING (obs_id) WHERE grp IN (0, 1))) r JOIN (SELECT gene_id, set_name FROM genes) g USING (gene_id) CROSS JOIN (SELECT set_name, sum(abs(round(score, 9))) AS tot, count(*) AS size FROM ranked JOIN genes USING (gene_id) WHERE gene_id IN (SELECT gene_id FROM counts JOIN cells USING (obs_id) WHERE grp IN (0, 1)) GROUP BY 1) s) GROUP BY 1)")
@@ -211,9 +290,24 @@ def gsea_es(s, d):
     return enrichment.running_score(r, proxy.genes(s, d).select("set_name", "gene_id")).select("set_name", (F.round("es", 5) + 0.0).alias("es"))
 
 
-@query()
+_RANKED = "(SELECT gene_id, round(score, 9) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, gene_id) AS pos, count(*) OVER () AS n FROM ranked WHERE gene_id IN (SELECT gene_id FROM counts JOIN cells USING (obs_id) WHERE grp IN (0, 1)))"
+_HITS = "SELECT {key}set_name, cum / tot - (pos - k) / (n - size) AS after, (cum - wt) / tot - (pos - k) / (n - size) AS before FROM (SELECT {key}set_name, pos, wt, n, row_number() OVER (w ORDER BY pos) AS k, sum(wt) OVER (w ORDER BY pos ROWS UNBOUNDED PRECEDING) AS cum, sum(wt) OVER w AS tot, count(*) OVER w::DOUBLE AS size FROM {hits} WINDOW w AS (PARTITION BY {key}set_name))"
+_ES = "SELECT {key}set_name, CASE WHEN max(after) >= -min(before) THEN max(after) ELSE min(before) END AS es FROM ({hits}) GROUP BY ALL"
+_DRAW = "(SELECT a.perm, g.set_name, a.pos, a.wt, a.n FROM (SELECT perm, pos, abs(score) AS wt, n FROM r, range(1, 1001) t(perm)) a JOIN (SELECT perm, gene_id, row_number() OVER (PARTITION BY perm ORDER BY md5('42:' || CAST(perm AS VARCHAR) || ':' || CAST(gene_id AS VARCHAR)), gene_id) AS pos FROM r, range(1, 1001) t(perm)) b USING (perm, pos) JOIN genes g ON g.gene_id = b.gene_id)"
+_GSEA = (
+    f"WITH r AS MATERIALIZED (SELECT * FROM {_RANKED}), o AS MATERIALIZED ({_ES.format(key='', hits=_HITS.format(key='', hits='(SELECT set_name, pos, abs(score) AS wt, n FROM r JOIN (SELECT gene_id, set_name FROM genes) USING (gene_id))'))}), "
+    f"e AS MATERIALIZED ({_ES.format(key='perm, ', hits=_HITS.format(key='perm, ', hits=_DRAW))}), "
+    "m AS MATERIALIZED (SELECT set_name, avg(es) FILTER (es > 0) AS up, -avg(es) FILTER (es < 0) AS down FROM e GROUP BY 1), "
+    "s AS MATERIALIZED (SELECT o.set_name, o.es, o.es / CASE WHEN o.es >= 0 THEN up ELSE down END AS nes, (SELECT count(*) FILTER (abs(e.es) >= abs(o.es))::DOUBLE / count(*) FROM e WHERE e.set_name = o.set_name AND sign(e.es) = sign(o.es)) AS p FROM o JOIN m USING (set_name)), "
+    "x AS MATERIALIZED (SELECT e.es / CASE WHEN e.es >= 0 THEN up ELSE down END AS v FROM e JOIN m USING (set_name)) "
+    "SELECT set_name, es, nes, p, least(1, ((SELECT count(*) FILTER (abs(v) >= abs(nes)) FROM x WHERE (v >= 0) = (nes >= 0)) / (SELECT count(*)::DOUBLE FROM x WHERE (v >= 0) = (nes >= 0))) / ((SELECT count(*) FILTER (abs(t.nes) >= abs(s.nes)) FROM s t WHERE (t.nes >= 0) = (s.nes >= 0)) / (SELECT count(*)::DOUBLE FROM s t WHERE (t.nes >= 0) = (s.nes >= 0)))) AS fdr FROM s"
+)
+
+
+@query(f"SELECT set_name, round(es, 5) + 0.0 AS es, round(nes, 5) + 0.0 AS nes, round(p, 6) AS p, round(fdr, 5) AS fdr FROM ({_GSEA})")
 def gsea_prerank(s, d):
-    return enrichment.prerank(_ranking(s, d), proxy.genes(s, d).select("set_name", "gene_id"))
+    t = enrichment.prerank(_ranking(s, d).withColumn("score", F.round("score", 9)), proxy.genes(s, d).select("set_name", "gene_id"))
+    return t.select("set_name", (F.round("es", 5) + 0.0).alias("es"), (F.round("nes", 5) + 0.0).alias("nes"), r6("p"), F.round("fdr", 5).alias("fdr"))
 
 
 def _spot_sets(s):
@@ -273,12 +367,12 @@ def nnls_proportions(s, d):
     return deconvolution.proportions(c, ref)
 
 
-@query("SELECT m.obs_id, gene_id, round(ms, 6) AS ms, round(mu, 6) AS mu, round(mu - g * ms + 1.2345e-8, 6) + 0.0 AS velocity FROM (SELECT src AS obs_id, gene_id, sum(spliced) / 5.0 AS ms, sum(unspliced) / 5.0 AS mu FROM e JOIN layers ON layers.obs_id = dst GROUP BY 1, 2) m JOIN (SELECT gene_id, sum(mu * ms) / sum(ms * ms) AS g FROM (SELECT src AS obs_id, gene_id, sum(spliced) / 5.0 AS ms, sum(unspliced) / 5.0 AS mu FROM e JOIN layers ON layers.obs_id = dst GROUP BY 1, 2) GROUP BY 1 HAVING sum(ms * ms) > 0) USING (gene_id)".replace(" e ", " (SELECT a.s_suppkey AS src, (a.s_suppkey + i) % (SELECT count(*) FROM supplier) AS dst FROM supplier a, range(0, 5) t(i)) e "))
+@query("SELECT m.obs_id, gene_id, round(ms, 6) AS ms, round(mu, 6) AS mu, round(mu - g * ms, 3) + 0.0 AS velocity FROM (SELECT src AS obs_id, gene_id, sum(spliced) / 5.0 AS ms, sum(unspliced) / 5.0 AS mu FROM e JOIN layers ON layers.obs_id = dst GROUP BY 1, 2) m JOIN (SELECT gene_id, sum(mu * ms) / sum(ms * ms) AS g FROM (SELECT src AS obs_id, gene_id, sum(spliced) / 5.0 AS ms, sum(unspliced) / 5.0 AS mu FROM e JOIN layers ON layers.obs_id = dst GROUP BY 1, 2) GROUP BY 1 HAVING sum(ms * ms) > 0) USING (gene_id)".replace(" e ", " (SELECT a.s_suppkey AS src, (a.s_suppkey + i) % (SELECT count(*) FROM supplier) AS dst FROM supplier a, range(0, 5) t(i)) e "))
 def velocity_moments(s, d):
     n = proxy.cells(s, d).count()
     e = proxy.cells(s, d).select(F.col("obs_id").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("i")).select("src", ((F.col("src") + F.col("i")) % n).alias("dst"))
     m = dynamics.moments(proxy.layers(s, d), e)
-    return m.join(dynamics.velocity(m).select("obs_id", "gene_id", "velocity"), ["obs_id", "gene_id"]).select("obs_id", "gene_id", r6("ms"), r6("mu"), r6(F.col("velocity") + 1.2345e-8, "velocity"))  # exact fractions lie on ties of the rounding
+    return m.join(dynamics.velocity(m).select("obs_id", "gene_id", "velocity"), ["obs_id", "gene_id"]).select("obs_id", "gene_id", r6("ms"), r6("mu"), (F.round("velocity", 3) + 0.0).alias("velocity"))
 
 
 @query("SELECT grp AS \"group\", round(sum(spliced) / sum(spliced + unspliced), 6) AS spliced, round(sum(unspliced) / sum(spliced + unspliced), 6) AS unspliced FROM layers JOIN cells USING (obs_id) GROUP BY 1")

@@ -23,6 +23,26 @@ def query(sql: str | None = None, **named: str):
     return keep
 
 
+def sql_normal_p(z: str) -> str:
+    """Two-sided normal p in SQL: Simpson's rule on the density from |z| to |z| + 8."""
+    return f"(2 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 4001), lambda i: (CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-power(abs({z}) + i * 0.002, 2) / 2))) * 0.002 / 3)"
+
+
+def sql_student_p(t: str, v: str) -> str:
+    """Two-sided p of Student's t in SQL: Simpson's rule on the power of the cosine that the law is in terms of the angle, over the root of the angle left."""
+    side = f"sqrt(pi() / 2 - atan(abs({t}) / sqrt({v})))"
+    at = f"(i * {side} / 4000)"
+    sums = f"list_sum(list_transform(range(1, 4001), lambda i: (CASE WHEN i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * 2 * {at} * power(sin({at} * {at}), {v} - 1)))"
+    return f"(2 * exp(lgamma(({v} + 1) / 2) - lgamma({v} / 2) - ln(pi()) / 2) * {sums} * {side} / 12000)"
+
+
+def sql_bh(p: str, by: str, order: str) -> tuple[str, str]:
+    """(inner, outer) SQL columns of Benjamini-Hochberg's q: step and place inside a subquery, q over it."""
+    part = f"PARTITION BY {by} " if by else ""
+    inner = f"least(1, {p} * count(*) OVER ({part}) / row_number() OVER ({part}ORDER BY {p}, {order})) AS step_, row_number() OVER ({part}ORDER BY {p}, {order}) AS place_"
+    return inner, f"min(step_) OVER ({part}ORDER BY place_ ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -118,8 +138,8 @@ SQL = {
     "lag": "SELECT src AS obs_id, gene_id, avg(z) AS lag FROM nn JOIN zs ON zs.obs_id = nn.dst GROUP BY 1, 2",
     "lognorm": "SELECT c.obs_id, c.gene_id, ln(1 + c.value * (SELECT median(t) FROM (SELECT sum(value) AS t FROM counts GROUP BY obs_id)) / t.t) AS value FROM counts c JOIN (SELECT obs_id, sum(value) AS t FROM counts GROUP BY obs_id) t ON c.obs_id = t.obs_id",
     "gmom": "SELECT gene_id, grp, n1, n2, s1 / n1 AS m1, greatest(0, (q1 - s1 * s1 / n1) / (n1 - 1)) AS v1, (s - s1) / n2 AS m2, greatest(0, (q - q1 - (s - s1) * (s - s1) / n2) / (n2 - 1)) AS v2 FROM (SELECT t.gene_id, g.grp, n1, n_all - n1 AS n2, coalesce(s1, 0) AS s1, coalesce(q1, 0) AS q1, s, q FROM (SELECT gene_id, sum(value) AS s, sum(value * value) AS q FROM lognorm GROUP BY 1) t CROSS JOIN (SELECT grp, count(*) AS n1, (SELECT count(*) FROM cells) AS n_all FROM cells GROUP BY 1) g LEFT JOIN (SELECT gene_id, grp, sum(value) AS s1, sum(value * value) AS q1 FROM lognorm JOIN cells USING (obs_id) GROUP BY 1, 2) x ON x.gene_id = t.gene_id AND x.grp = g.grp)",
-    "bulk": "SELECT sample, condition, gene_id % 40 AS gene_id, sum(value) AS value FROM ocounts JOIN samples USING (obs_id) GROUP BY 1, 2, 3",
-    "factors": "SELECT sample, exp(median(ln(value) - lg)) AS size_factor FROM bulk JOIN (SELECT gene_id, avg(ln(value)) AS lg FROM bulk WHERE value > 0 GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT sample) FROM bulk)) USING (gene_id) GROUP BY 1",
+    "bulk": "SELECT sample, condition, gene_id, sum(value) AS value FROM ocounts JOIN samples USING (obs_id) GROUP BY 1, 2, 3",
+    "factors": "SELECT sample, exp(lf - avg(lf) OVER ()) AS size_factor FROM (SELECT sample, median(ln(value) - lg) AS lf FROM bulk JOIN (SELECT gene_id, sum(ln(value)) / (SELECT count(DISTINCT sample) FROM bulk) AS lg FROM bulk WHERE value > 0 GROUP BY 1) USING (gene_id) WHERE value > 0 GROUP BY 1)",
     "scaled": "SELECT obs_id, gene_id, greatest(-10.0, least(10.0, (value - avg(value) OVER w) / CASE WHEN stddev_samp(value) OVER w > 0 THEN stddev_samp(value) OVER w ELSE 1 END)) AS value FROM vals WINDOW w AS (PARTITION BY gene_id)",
     "lrm": "SELECT cluster AS grp, gene_id, avg(value) AS mean, avg(CASE WHEN value > 0 THEN 1.0 ELSE 0 END) AS fraction FROM vals JOIN spots USING (obs_id) GROUP BY 1, 2",
     "lrs": "SELECT l.grp AS source, r.grp AS target, ligand, receptor, (l.mean + r.mean) / 2 AS score FROM lr JOIN lrm l ON l.gene_id = ligand AND l.fraction >= 0.1 JOIN lrm r ON r.gene_id = receptor AND r.fraction >= 0.1",
@@ -137,6 +157,6 @@ def _needed(sql: str) -> list[str]:
     text, found = sql, []
     for name in reversed(SQL):
         if re.search(rf"\b{name}\b", text):
-            found.append(f"{name} AS ({SQL[name]})")
+            found.append(f"{name} AS MATERIALIZED ({SQL[name]})")
             text += f" {SQL[name]}"
     return found[::-1]

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellweave.operators import annotation, cnv, communication, domains, dynamics, embedding, integration, neighbors, plotdata, preprocess, spatial
+from cellweave.operators import annotation, cnv, communication, domains, dynamics, embedding, integration, neighbors, plotdata, preprocess, spatial, summaries
 from cellweave.plans import proxy
-from cellweave.plans.proxy import query, r6
+from cellweave.plans.proxy import query, r6, sql_bh, sql_normal_p
 from cellweave.sources import sinks
 
 K = 6
@@ -61,14 +61,17 @@ def combined_graph(s, d):
     return neighbors.combined(e, neighbors.row_standardised(_graph(s, d)), 0.3).select("src", "dst", r6("w"))
 
 
-@query("SELECT gene_id, round(i, 6) AS moran_i, round(v, 6) AS variance, round((i - e) / sqrt(v), 5) AS z FROM (SELECT gene_id, n / s0 * num / zz AS i, -1.0 / (n - 1) AS e, (n * n * s1 - n * s2 + 3 * s0 * s0) / ((n * n - 1) * s0 * s0) - 1.0 / ((n - 1) * (n - 1)) AS v FROM (SELECT gene_id, sum(a.z * b.z) AS num FROM nn JOIN zs a ON a.obs_id = src JOIN zs b USING (gene_id) WHERE b.obs_id = dst GROUP BY 1) JOIN (SELECT gene_id, count(*)::DOUBLE AS n, sum(z * z) AS zz FROM zs GROUP BY 1) USING (gene_id), moments)")
+@query(f"SELECT gene_id, round(i, 6) AS moran_i, round(v, 6) AS variance, round(z, 5) AS z, round({sql_normal_p('z')}, 6) AS p FROM (SELECT *, (i - e) / sqrt(v) AS z FROM (SELECT gene_id, n / s0 * num / zz AS i, -1.0 / (n - 1) AS e, (n * n * s1 - n * s2 + 3 * s0 * s0) / ((n * n - 1) * s0 * s0) - 1.0 / ((n - 1) * (n - 1)) AS v FROM (SELECT gene_id, sum(a.z * b.z) AS num FROM nn JOIN zs a ON a.obs_id = src JOIN zs b USING (gene_id) WHERE b.obs_id = dst GROUP BY 1) JOIN (SELECT gene_id, count(*)::DOUBLE AS n, sum(z * z) AS zz FROM zs GROUP BY 1) USING (gene_id), moments))")
 def morans_i(s, d):
-    return spatial.morans_i(_graph(s, d), proxy.spot_values(s, d)).select("gene_id", r6("moran_i"), r6("variance"), F.round("z", 5).alias("z"))
+    return spatial.morans_i(_graph(s, d), proxy.spot_values(s, d)).select("gene_id", r6("moran_i"), r6("variance"), F.round("z", 5).alias("z"), r6("p"))
 
 
-@query("SELECT gene_id, round((n - 1) / (2 * s0) * num / zz, 6) AS geary_c, round(((2 * s1 + s2) * (n - 1) - 4 * s0 * s0) / (2 * (n + 1) * s0 * s0), 6) AS variance FROM (SELECT gene_id, sum((a.z - b.z) * (a.z - b.z)) AS num FROM nn JOIN zs a ON a.obs_id = src JOIN zs b USING (gene_id) WHERE b.obs_id = dst GROUP BY 1) JOIN (SELECT gene_id, count(*)::DOUBLE AS n, sum(z * z) AS zz FROM zs GROUP BY 1) USING (gene_id), moments")
+_GEARY = "SELECT gene_id, (n - 1) / (2 * s0) * num / zz AS c, ((2 * s1 + s2) * (n - 1) - 4 * s0 * s0) / (2 * (n + 1) * s0 * s0) AS v FROM (SELECT gene_id, sum((a.z - b.z) * (a.z - b.z)) AS num FROM nn JOIN zs a ON a.obs_id = src JOIN zs b USING (gene_id) WHERE b.obs_id = dst GROUP BY 1) JOIN (SELECT gene_id, count(*)::DOUBLE AS n, sum(z * z) AS zz FROM zs GROUP BY 1) USING (gene_id), moments"
+
+
+@query(f"SELECT gene_id, round(c, 6) AS geary_c, round(v, 6) AS variance, round(z, 5) AS z, round({sql_normal_p('z')}, 6) AS p FROM (SELECT *, (c - 1) / sqrt(v) AS z FROM ({_GEARY}))")
 def gearys_c(s, d):
-    return spatial.gearys_c(_graph(s, d), proxy.spot_values(s, d)).select("gene_id", r6("geary_c"), r6("variance"))
+    return spatial.gearys_c(_graph(s, d), proxy.spot_values(s, d)).select("gene_id", r6("geary_c"), r6("variance"), F.round("z", 5).alias("z"), r6("p"))
 
 
 _LISA = "SELECT obs_id, gene_id, z * lag / m2 AS local_i, CASE WHEN z > 0 AND lag > 0 THEN 1 WHEN z <= 0 AND lag > 0 THEN 2 WHEN z <= 0 THEN 3 ELSE 4 END AS quadrant FROM zs JOIN lag USING (obs_id, gene_id) JOIN (SELECT gene_id, sum(z * z) / (count(*) - 1) AS m2 FROM zs GROUP BY 1) USING (gene_id)"
@@ -93,11 +96,29 @@ def local_morans_perm_p(s, d):
     return spatial.local_morans_p(_graph(s, d), proxy.spot_values(s, d), 19).select("obs_id", "gene_id", r6("p_sim"))
 
 
-@query("SELECT obs_id, gene_id, round(g, 5) + 0.0 AS g_z, CASE WHEN g > 1.959963984540054 THEN 'hot' WHEN g < -1.959963984540054 THEN 'cold' ELSE 'ns' END AS spot FROM (SELECT src AS obs_id, gene_id, (avg(value) - any_value(m)) / (any_value(sd) * sqrt((any_value(n) / count(*) - 1) / (any_value(n) - 1))) AS g FROM (SELECT src, dst FROM nn UNION ALL SELECT obs_id, obs_id FROM spots) e JOIN vals ON vals.obs_id = dst JOIN (SELECT gene_id, count(*)::DOUBLE AS n, avg(value) AS m, stddev_pop(value) AS sd FROM vals GROUP BY 1) USING (gene_id) GROUP BY 1, 2)")
+_GI = "SELECT src AS obs_id, gene_id, (avg(value) - any_value(m)) / (any_value(sd) * sqrt((any_value(n) / count(*) - 1) / (any_value(n) - 1))) AS g FROM (SELECT src, dst FROM nn UNION ALL SELECT obs_id, obs_id FROM spots) e JOIN vals ON vals.obs_id = dst JOIN (SELECT gene_id, count(*)::DOUBLE AS n, avg(value) AS m, stddev_pop(value) AS sd FROM vals GROUP BY 1) USING (gene_id) GROUP BY 1, 2"
+
+
+@query(f"SELECT obs_id, gene_id, round(g, 5) + 0.0 AS g_z, CASE WHEN g > 1.959963984540054 THEN 'hot' WHEN g < -1.959963984540054 THEN 'cold' ELSE 'ns' END AS spot FROM ({_GI})")
 def getis_ord_gi(s, d):
     return spatial.getis_ord(_graph(s, d), proxy.spot_values(s, d)).select("obs_id", "gene_id", (F.round("g_z", 5) + 0.0).alias("g_z"), "spot")
 
 
+_GI_P = f"SELECT *, {sql_normal_p('g')} AS p FROM ({_GI})"
+_GI_Q = f"SELECT *, {sql_bh('p', 'gene_id', 'obs_id')[1]} AS q FROM (SELECT *, {sql_bh('p', 'gene_id', 'obs_id')[0]} FROM ({_GI_P}))"
+
+
+@query(f"SELECT obs_id, gene_id, round(p, 5) AS p, round(q, 5) AS q, CASE WHEN q < 0.05 AND g > 0 THEN 'hot' WHEN q < 0.05 AND g < 0 THEN 'cold' ELSE 'ns' END AS spot FROM ({_GI_Q})")
+def getis_ord_bh(s, d):
+    return spatial.getis_ord(_graph(s, d), proxy.spot_values(s, d), correction="bh").select("obs_id", "gene_id", F.round("p", 5).alias("p"), F.round("q", 5).alias("q"), "spot")
+
+
+@query(f"SELECT gene_id, round(avg(g), 6) + 0.0 AS mean_z, round(stddev_pop(g), 6) AS sd_z, count(*) FILTER (g > 3.3499595 AND p * 62 < 0.05) AS n_hot, count(*) FILTER (g < -3.3499595 AND p * 62 < 0.05) AS n_cold, count(*) FILTER (p * 62 < 0.05) AS n_significant FROM ({_GI_P}) GROUP BY 1")
+def getis_ord_summary(s, d):
+    t = spatial.getis_summary(spatial.getis_ord(_graph(s, d), proxy.spot_values(s, d), correction="bonferroni"))
+    return t.select("gene_id", r6("mean_z"), r6("sd_z"), "n_hot", "n_cold", "n_significant")
+
+
 @query("SELECT ligand AS gene_x, receptor AS gene_y, round(num / sqrt(xx * yy), 6) + 0.0 AS moran_xy FROM (SELECT ligand, receptor, sum(z * lag) AS num FROM lr JOIN zs ON zs.gene_id = ligand JOIN lag ON lag.obs_id = zs.obs_id AND lag.gene_id = receptor GROUP BY 1, 2) JOIN (SELECT gene_id AS ligand, sum(z * z) AS xx FROM zs GROUP BY 1) USING (ligand) JOIN (SELECT gene_id AS receptor, sum(z * z) AS yy FROM zs GROUP BY 1) USING (receptor)")
 def bivariate_moran(s, d):
     p = proxy.pairs(s, d).select(F.col("ligand").alias("gene_x"), F.col("receptor").alias("gene_y"))
@@ -124,16 +145,39 @@ def nhood_zscore_perm(s, d):
     return spatial.neighbourhood_enrichment(_graph(s, d), _labels(s, d), 30).select("label_a", "label_b", "n", (F.round("zscore", 4) + 0.0).alias("zscore"))
 
 
-@query("SELECT label_a, label_b, bin, round((c / a_all) / (b_all / every), 6) AS ratio FROM (SELECT *, sum(c) OVER (PARTITION BY label_a, bin) AS a_all, sum(c) OVER (PARTITION BY label_b, bin) AS b_all, sum(c) OVER (PARTITION BY bin) AS every FROM (SELECT label_a, label_b, bin, sum(n) OVER (PARTITION BY label_a, label_b ORDER BY bin) AS c FROM (SELECT g.label_a, g.label_b, g.bin, coalesce(n, 0)::DOUBLE AS n FROM (SELECT DISTINCT a.cluster AS label_a, b.cluster AS label_b, CAST(bin AS INTEGER) AS bin FROM spots a, spots b, range(1, 21) t(bin)) g LEFT JOIN (SELECT la AS label_a, lb AS label_b, CAST(least(20, floor(d / (top / 20)) + 1) AS INTEGER) AS bin, count(*) AS n FROM (SELECT a.cluster AS la, b.cluster AS lb, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, top FROM spots a JOIN spots b ON a.obs_id <> b.obs_id, (SELECT sqrt((max(x) - min(x)) * (max(x) - min(x)) + (max(y) - min(y)) * (max(y) - min(y))) / 2 AS top FROM spots)) WHERE d <= top GROUP BY 1, 2, 3) h USING (label_a, label_b, bin)))) WHERE c > 0")
+_CO = "SELECT label_a, label_b, bin, (c / a_all) / (b_all / every) AS ratio FROM (SELECT *, sum(c) OVER (PARTITION BY label_a, bin) AS a_all, sum(c) OVER (PARTITION BY label_b, bin) AS b_all, sum(c) OVER (PARTITION BY bin) AS every FROM (SELECT label_a, label_b, bin, sum(n) OVER (PARTITION BY label_a, label_b ORDER BY bin) AS c FROM (SELECT g.label_a, g.label_b, g.bin, coalesce(n, 0)::DOUBLE AS n FROM (SELECT DISTINCT a.cluster AS label_a, b.cluster AS label_b, CAST(bin AS INTEGER) AS bin FROM spots a, spots b, range(1, 51) t(bin)) g LEFT JOIN (SELECT la AS label_a, lb AS label_b, CAST(least(50, floor(d / (top / 50)) + 1) AS INTEGER) AS bin, count(*) AS n FROM (SELECT a.cluster AS la, b.cluster AS lb, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, top FROM spots a JOIN spots b ON a.obs_id <> b.obs_id, (SELECT sqrt((max(x) - min(x)) * (max(x) - min(x)) + (max(y) - min(y)) * (max(y) - min(y))) / 2 AS top FROM spots)) WHERE d <= top GROUP BY 1, 2, 3) h USING (label_a, label_b, bin)))) WHERE c > 0"
+
+
+@query(f"SELECT label_a, label_b, bin, round(ratio, 6) AS ratio FROM ({_CO})")
 def co_occurrence(s, d):
     return spatial.co_occurrence(proxy.spots(s, d), _labels(s, d)).select("label_a", "label_b", "bin", r6("ratio"))
 
 
-@query("SELECT label, step, round(sqrt(area * sum(n) OVER (PARTITION BY label ORDER BY step) / (pi() * size * (size - 1))), 6) AS l FROM (SELECT g.label, g.step, size, area, coalesce(n, 0)::DOUBLE AS n FROM (SELECT cluster AS label, count(*)::DOUBLE AS size, CAST(step AS INTEGER) AS step FROM spots, range(1, 11) t(step) GROUP BY 1, 3) g LEFT JOIN (SELECT label, CAST(ceil(d / (top / 10)) AS INTEGER) AS step, count(*) AS n FROM (SELECT a.cluster AS label, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, top FROM spots a JOIN spots b ON a.obs_id <> b.obs_id AND a.cluster = b.cluster, (SELECT greatest(max(x) - min(x), max(y) - min(y)) / 4 AS top FROM spots)) WHERE d <= top GROUP BY 1, 2) h USING (label, step), (SELECT (max(x) - min(x)) * (max(y) - min(y)) AS area FROM spots))")
+def _ripley_sql(points: str, by: str, steps: int) -> str:
+    """L of point sets in SQL; ``points`` has the columns ``by``, obs_id, x, y."""
+    keys = [k.strip() for k in by.split(",")]
+    same = " AND ".join(f"a.{k} = b.{k}" for k in keys)
+    g, h = ", ".join(f"g.{k}" for k in keys), ", ".join(f"a.{k}" for k in keys)
+    return f"SELECT {by}, step, sqrt(area * sum(n) OVER (PARTITION BY {by} ORDER BY step) / (pi() * size * (size - 1))) AS l FROM (SELECT {g}, g.step, size, area, coalesce(n, 0)::DOUBLE AS n FROM (SELECT {by}, count(*)::DOUBLE AS size, CAST(step AS INTEGER) AS step FROM {points}, range(1, {steps + 1}) t(step) GROUP BY {by}, step) g LEFT JOIN (SELECT {by}, CAST(ceil(d / (top / {steps})) AS INTEGER) AS step, count(*) AS n FROM (SELECT {h}, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, top FROM {points} a JOIN {points} b ON a.obs_id <> b.obs_id AND {same}, (SELECT greatest(max(x) - min(x), max(y) - min(y)) / 4 AS top FROM spots)) WHERE d <= top GROUP BY ALL) h USING ({by}, step), (SELECT (max(x) - min(x)) * (max(y) - min(y)) AS area FROM spots))"
+
+
+_LABELLED = "(SELECT cluster AS label, obs_id, x, y FROM spots)"
+
+
+@query(f"SELECT label, step, round(l, 6) AS l FROM ({_ripley_sql(_LABELLED, 'label', 50)})")
 def ripley_l_observed(s, d):
     return spatial.ripley_l(proxy.spots(s, d), _labels(s, d)).select("label", "step", r6("l"))
 
 
+_DRAWN = "(SELECT label, CAST(sim AS INTEGER) AS sim, i AS obs_id, x0 + (x1 - x0) * (CAST('0x' || substr(md5('42:x:' || sim || ':' || label || ':' || i), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE) AS x, y0 + (y1 - y0) * (CAST('0x' || substr(md5('42:y:' || sim || ':' || label || ':' || i), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE) AS y FROM (SELECT cluster AS label, unnest(range(1, count(*) + 1)) AS i FROM spots GROUP BY 1), range(1, 6) t(sim), (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM spots))"
+
+
+@query(f"SELECT label, step, round(o.l, 6) AS l, round(min(s.l), 6) AS low, round(max(s.l), 6) AS high, round((count(*) FILTER (s.l >= o.l) + 1.0) / 6, 6) AS p FROM ({_ripley_sql(_LABELLED, 'label', 20)}) o JOIN ({_ripley_sql(_DRAWN, 'label, sim', 20)}) s USING (label, step) GROUP BY label, step, o.l")
+def ripley_envelope(s, d):
+    t = spatial.ripley_envelopes(proxy.spots(s, d), _labels(s, d), 20, 5)
+    return t.select("label", "step", r6("l"), r6("low"), r6("high"), r6("p"))
+
+
 @query("SELECT i AS obs_id, count(*) AS degree FROM (SELECT a AS i FROM und UNION ALL SELECT b FROM und) GROUP BY 1")
 def degree_centrality(s, d):
     return neighbors.degree(_graph(s, d))
@@ -149,15 +193,42 @@ def avg_clustering(s, d):
 
 @query(f"SELECT (SELECT count(*) FROM spots) AS n_nodes, CAST(sum(degree) // 2 AS BIGINT) AS n_edges, round(avg(clustering), 6) AS avg_clustering, round(avg(degree), 6) AS degree_mean, round(stddev_pop(degree), 6) AS degree_sd, round(sum(degree) / (count(*) * (count(*) - 1.0)), 6) AS density FROM ({_TRI})")
 def network_density(s, d):
-    p = spatial.network_properties(_graph(s, d), proxy.spots(s, d))
+    p = spatial.network_properties(_graph(s, d), proxy.spots(s, d), paths=False)
     return p.select("n_nodes", "n_edges", r6("avg_clustering"), r6("degree_mean"), r6("degree_sd"), r6("density"))
 
 
-@query()
+_BOTH = "SELECT a AS i, b AS j FROM und UNION ALL SELECT b, a FROM und"
+
+
+@query(f"SELECT obs_id, min(root) AS component FROM (WITH RECURSIVE reach AS (SELECT obs_id, obs_id AS root FROM spots UNION SELECT j, root FROM reach JOIN ({_BOTH}) ON i = obs_id) SELECT * FROM reach) GROUP BY 1")
 def connected_components(s, d):
     return neighbors.connected(_graph(s, d), proxy.spots(s, d))
 
 
+def _paths_sql(levels: int = 40) -> str:
+    """(s, t, hops, paths) of all reachable ordered pairs, level by level, with the number of shortest paths."""
+    parts = [f"two AS MATERIALIZED ({_BOTH})", "l0 AS MATERIALIZED (SELECT obs_id AS s, obs_id AS t, 0 AS hops, 1.0::DOUBLE AS paths FROM spots)", "seen0 AS MATERIALIZED (SELECT s, t FROM l0)"]
+    for k in range(1, levels):
+        parts.append(f"l{k} AS MATERIALIZED (SELECT s, j AS t, {k} AS hops, sum(paths) AS paths FROM l{k - 1} JOIN two ON i = t WHERE NOT EXISTS (SELECT 1 FROM seen{k - 1} z WHERE z.s = l{k - 1}.s AND z.t = two.j) GROUP BY 1, 2)")
+        parts.append(f"seen{k} AS MATERIALIZED (SELECT * FROM seen{k - 1} UNION ALL SELECT s, t FROM l{k})")
+    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(1, levels))
+
+
+@query(f"SELECT obs_id, round(coalesce(k / dist * k / (n - 1), 0), 6) AS closeness FROM spots, (SELECT count(*)::DOUBLE AS n FROM spots) LEFT JOIN (SELECT s, count(*)::DOUBLE AS k, sum(hops)::DOUBLE AS dist FROM ({_paths_sql()}) GROUP BY 1) ON s = obs_id")
+def node_closeness(s, d):
+    return spatial.closeness(_graph(s, d), proxy.spots(s, d)).select("obs_id", r6("closeness"))
+
+
+@query(f"SELECT label, round(coalesce((n - size) / dist, 0), 6) AS closeness FROM (SELECT cluster AS label, count(*)::DOUBLE AS size, (SELECT count(*)::DOUBLE FROM spots) AS n FROM spots GROUP BY 1) LEFT JOIN (SELECT label, sum(h) AS dist FROM (SELECT b.cluster AS label, s, min(hops)::DOUBLE AS h FROM ({_paths_sql()}) JOIN spots a ON a.obs_id = s JOIN spots b ON b.obs_id = t WHERE NOT EXISTS (SELECT 1 FROM spots c WHERE c.obs_id = s AND c.cluster = b.cluster) GROUP BY 1, 2) GROUP BY 1) USING (label)")
+def group_closeness(s, d):
+    return domains.group_closeness(_graph(s, d), _labels(s, d)).select("label", r6("closeness"))
+
+
+@query(f"SELECT components, components = 1 AS connected, round(largest / n_nodes, 6) AS largest_share, CASE WHEN components = 1 THEN diameter END AS diameter, CASE WHEN components = 1 THEN radius END AS radius FROM (SELECT count(*) AS components, max(size)::DOUBLE AS largest FROM (SELECT root, count(*) AS size FROM (SELECT obs_id, least(obs_id, coalesce(min(t), obs_id)) AS root FROM spots LEFT JOIN ({_paths_sql()}) ON s = obs_id GROUP BY 1) GROUP BY 1)), (SELECT count(*)::DOUBLE AS n_nodes FROM spots), (SELECT max(far) AS diameter, min(far) AS radius FROM (SELECT s, max(hops) AS far FROM ({_paths_sql()}) GROUP BY 1))")
+def network_paths(s, d):
+    return spatial.network_properties(_graph(s, d), proxy.spots(s, d)).select("components", "connected", r6("largest_share"), "diameter", "radius")
+
+
 @query("SELECT obs_id, cluster AS label, CASE WHEN 1.0 - same / total >= 0.5 THEN top ELSE cluster END AS refined FROM (SELECT obs_id, cluster, total, coalesce(max(n) FILTER (other = cluster), 0) AS same, first(other ORDER BY n DESC, met) AS top FROM (SELECT s.obs_id, s.cluster, o.cluster AS other, count(*)::DOUBLE AS n, min(rank) AS met, sum(count(*)) OVER (PARTITION BY s.obs_id) AS total FROM (SELECT a.obs_id AS src, b.obs_id AS dst, row_number() OVER (PARTITION BY a.obs_id ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.obs_id) AS rank FROM spots a, spots b) e JOIN spots s ON s.obs_id = src JOIN spots o ON o.obs_id = dst WHERE rank <= 10 GROUP BY 1, 2, 3) GROUP BY 1, 2, 3)")
 def refine_domains(s, d):
     return spatial.refine_labels(neighbors.knn(proxy.spots(s, d), 10, include_self=True), _labels(s, d))
@@ -282,9 +353,9 @@ def raster_counts(s, d):
     return dynamics.raster(proxy.spots(s, d))
 
 
-@query()
+@query(f'SELECT label_a, label_b, round(avg(ratio), 6) AS mean, round(first(ratio ORDER BY bin), 6) AS "first" FROM ({_CO}) GROUP BY 1, 2')
 def co_occurrence_export(s, d):
-    return sinks.co_occurrence_table(spatial.co_occurrence(proxy.spots(s, d), _labels(s, d)))
+    return sinks.co_occurrence_table(spatial.co_occurrence(proxy.spots(s, d), _labels(s, d))).select("label_a", "label_b", r6("mean"), r6("first"))
 
 
 @query()
@@ -314,31 +385,37 @@ def local_join_count_perm_p(s, d):
     return spatial.local_join_count_p(_graph(s, d), _labels(s, d), 19).select("obs_id", "label", "ljc", r6("p_sim"))
 
 
-@query("SELECT a.gene_id AS gene_a, b.gene_id AS gene_b, round(sum(sign(a.value - c.value) * sign(b.value - e.value)) / sqrt(sum(abs(sign(a.value - c.value))) * sum(abs(sign(b.value - e.value)))), 6) + 0.0 AS r FROM vals a JOIN vals b ON a.obs_id = b.obs_id AND a.gene_id < b.gene_id JOIN vals c ON c.gene_id = a.gene_id AND a.obs_id < c.obs_id JOIN vals e ON e.gene_id = b.gene_id AND e.obs_id = c.obs_id WHERE a.gene_id < 6 AND b.gene_id < 6 GROUP BY 1, 2")
+@query("SELECT gene_a, gene_b, round(sum(x * y) / sqrt(sum(abs(x)) * sum(abs(y))), 6) + 0.0 AS r FROM (SELECT a.gene_id AS gene_a, b.gene_id AS gene_b, a.sg AS x, b.sg AS y FROM signs a JOIN signs b ON a.i = b.i AND a.j = b.j AND a.gene_id < b.gene_id) GROUP BY 1, 2".replace("signs a", "(SELECT u.obs_id AS i, w.obs_id AS j, u.gene_id, sign(u.value - w.value) AS sg FROM vals u JOIN vals w ON w.gene_id = u.gene_id AND u.obs_id < w.obs_id) a").replace("signs b", "(SELECT u.obs_id AS i, w.obs_id AS j, u.gene_id, sign(u.value - w.value) AS sg FROM vals u JOIN vals w ON w.gene_id = u.gene_id AND u.obs_id < w.obs_id) b"))
 def kendall_corr(s, d):
-    return plotdata.correlations(proxy.spot_values(s, d).where("gene_id < 6"), "kendall").select("gene_a", "gene_b", r6("r"))
+    return plotdata.correlations(proxy.spot_values(s, d), "kendall").select("gene_a", "gene_b", r6("r"))
 
 
 _SCALES = "(SELECT avg(x) AS mx, avg(y) AS my FROM spots)"
 
 
-@query(f"SELECT gene_id, kernel, round(r2, 6) + 0.0 AS r2, round(exp(-n * r2 / 2), 6) AS p FROM (SELECT gene_id, kernel, n, (ya * ya * bb - 2 * ya * yb * ab + yb * yb * aa) / ((aa * bb - ab * ab) * yy) AS r2 FROM (SELECT gene_id, kernel, sum(value * a) AS ya, sum(value * b) AS yb, count(*) AS n, sum(a * a) AS aa, sum(b * b) AS bb, sum(a * b) AS ab, sum(value * value) - sum(value) * sum(value) / count(*) AS yy FROM (SELECT obs_id, kernel, a - avg(a) OVER (PARTITION BY kernel) AS a, b - avg(b) OVER (PARTITION BY kernel) AS b FROM (SELECT obs_id, 'projection' AS kernel, x AS a, y AS b FROM spots UNION ALL SELECT obs_id, 'gaussian' || CAST(i AS VARCHAR), exp(-cx * cx / (2 * qx[i] * qx[i])), exp(-cy * cy / (2 * qy[i] * qy[i])) FROM (SELECT obs_id, x - mx AS cx, y - my AS cy FROM spots, {_SCALES}) u, (SELECT quantile_cont(abs(x - mx), [0.2, 0.4, 0.6, 0.8, 1.0]) AS qx, quantile_cont(abs(y - my), [0.2, 0.4, 0.6, 0.8, 1.0]) AS qy FROM spots, {_SCALES}) v, range(1, 6) t(i) UNION ALL SELECT obs_id, 'cosine' || CAST(i AS VARCHAR), cos(2 * pi() * cx / qx[i]), cos(2 * pi() * cy / qy[i]) FROM (SELECT obs_id, x - mx AS cx, y - my AS cy FROM spots, {_SCALES}) u, (SELECT quantile_cont(abs(x - mx), [0.2, 0.4, 0.6, 0.8, 1.0]) AS qx, quantile_cont(abs(y - my), [0.2, 0.4, 0.6, 0.8, 1.0]) AS qy FROM spots, {_SCALES}) v, range(1, 6) t(i))) JOIN vals USING (obs_id) GROUP BY 1, 2))")
+_KERNELS = f"(SELECT gene_id, kernel, n, (ya * ya * bb - 2 * ya * yb * ab + yb * yb * aa) / ((aa * bb - ab * ab) * yy) AS r2 FROM (SELECT gene_id, kernel, sum(value * a) AS ya, sum(value * b) AS yb, count(*) AS n, sum(a * a) AS aa, sum(b * b) AS bb, sum(a * b) AS ab, sum(value * value) - sum(value) * sum(value) / count(*) AS yy FROM (SELECT obs_id, kernel, a - avg(a) OVER (PARTITION BY kernel) AS a, b - avg(b) OVER (PARTITION BY kernel) AS b FROM (SELECT obs_id, 'projection' AS kernel, x AS a, y AS b FROM spots UNION ALL SELECT obs_id, 'gaussian' || CAST(i AS VARCHAR), exp(-cx * cx / (2 * qx[i] * qx[i])), exp(-cy * cy / (2 * qy[i] * qy[i])) FROM (SELECT obs_id, x - mx AS cx, y - my AS cy FROM spots, {_SCALES}) u, (SELECT quantile_cont(abs(x - mx), [0.2, 0.4, 0.6, 0.8, 1.0]) AS qx, quantile_cont(abs(y - my), [0.2, 0.4, 0.6, 0.8, 1.0]) AS qy FROM spots, {_SCALES}) v, range(1, 6) t(i) UNION ALL SELECT obs_id, 'cosine' || CAST(i AS VARCHAR), cos(2 * pi() * cx / qx[i]), cos(2 * pi() * cy / qy[i]) FROM (SELECT obs_id, x - mx AS cx, y - my AS cy FROM spots, {_SCALES}) u, (SELECT quantile_cont(abs(x - mx), [0.2, 0.4, 0.6, 0.8, 1.0]) AS qx, quantile_cont(abs(y - my), [0.2, 0.4, 0.6, 0.8, 1.0]) AS qy FROM spots, {_SCALES}) v, range(1, 6) t(i))) JOIN vals USING (obs_id) GROUP BY 1, 2))"
+
+
+@query(f"SELECT gene_id, kernel, round(r2, 6) + 0.0 AS r2, round(exp(-n * r2 / 2), 6) AS p FROM {_KERNELS}")
 def spatial_kernel_test(s, d):
     from cellweave.operators import spatial_genes
 
     return spatial_genes.kernel_test(proxy.spot_values(s, d), proxy.spots(s, d)).select("gene_id", "kernel", r6("r2"), r6("p"))
 
 
-@query()
+_SVG = f"SELECT gene_id, 0.5 - atan(avg(tan((0.5 - least(1 - 1e-12, greatest(1e-300, exp(-n * r2 / 2)))) * 3.141592653589793))) / 3.141592653589793 AS p FROM {_KERNELS} GROUP BY 1"
+
+
+@query(f"SELECT gene_id, round(p, 6) AS p, round(min(step) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS q FROM (SELECT gene_id, p, row_number() OVER (ORDER BY p, gene_id) AS place, least(1, p * count(*) OVER () * (SELECT sum(1.0 / i) FROM range(1, 63) t(i)) / row_number() OVER (ORDER BY p, gene_id)) AS step FROM ({_SVG}))")
 def spatially_variable_genes(s, d):
     from cellweave.operators import spatial_genes
 
-    return spatial_genes.spatially_variable(proxy.spot_values(s, d), proxy.spots(s, d))
+    return spatial_genes.spatially_variable(proxy.spot_values(s, d), proxy.spots(s, d)).select("gene_id", r6("p"), r6("q"))
 
 
-@query()
+@query(f"SELECT obs_id, round(coalesce(b, 0) / ((n - 1) * (n - 2)), 6) AS betweenness FROM spots CROSS JOIN (SELECT count(*)::DOUBLE AS n FROM spots) LEFT JOIN (WITH p AS MATERIALIZED ({_paths_sql()}) SELECT x.t AS v, sum(x.paths * y.paths / z.paths) AS b FROM p z JOIN p x ON x.s = z.s AND x.hops < z.hops JOIN p y ON y.s = x.t AND y.t = z.t AND x.hops + y.hops = z.hops GROUP BY 1) ON v = obs_id")
 def node_betweenness(s, d):
-    return spatial.betweenness(_graph(s, d), proxy.spots(s, d))
+    return spatial.betweenness(_graph(s, d), proxy.spots(s, d)).select("obs_id", r6("betweenness"))
 
 
 @query()
@@ -365,10 +442,78 @@ def spatial_domains(s, d):
     return domains.spatial_domains(proxy.spot_vectors(s, d), proxy.spots(s, d))
 
 
-@query()
+_BATCH = "SELECT batch, gene_id, round(CASE WHEN stddev_samp(disp) OVER w > 0 THEN (disp - avg(disp) OVER w) / stddev_samp(disp) OVER w ELSE 1 END, 9) AS nd FROM (SELECT *, least(20, floor((lm - min(lm) OVER (PARTITION BY batch)) / ((max(lm) OVER (PARTITION BY batch) - min(lm) OVER (PARTITION BY batch)) / 20)) + 1) AS bin FROM (SELECT batch, gene_id, ln(1 + avg(v)) AS lm, ln(var_samp(v) / avg(v)) AS disp FROM (SELECT cluster % 3 AS batch, gene_id, exp(abs(value)) - 1 AS v FROM vals JOIN spots USING (obs_id)) GROUP BY 1, 2 HAVING var_samp(v) > 0)) WINDOW w AS (PARTITION BY batch, bin)"
+
+
+@query(f"SELECT gene_id, count(*) FILTER (r <= 20) AS n_batches, round(median(nd), 4) + 0.0 AS median_disp FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY nd DESC, gene_id) AS r FROM ({_BATCH})) GROUP BY 1 ORDER BY n_batches DESC, median(nd) DESC, gene_id LIMIT 20")
 def variable_genes_by_batch(s, d):
     v = proxy.spot_values(s, d).withColumn("value", F.abs("value"))
-    return preprocess.variable_genes_by_batch(v, proxy.spots(s, d).select("obs_id", (F.col("cluster") % 3).alias("batch")), 20)
+    t = preprocess.variable_genes_by_batch(v, proxy.spots(s, d).select("obs_id", (F.col("cluster") % 3).alias("batch")), 20)
+    return t.select("gene_id", "n_batches", (F.round("median_disp", 4) + 0.0).alias("median_disp"))
+
+
+_LISA_P = f"SELECT obs_id, gene_id, local_i, quadrant, (least(above, 19 - above) + 1.0) / 20 AS p FROM ({_LISA}) JOIN (SELECT obs_id, gene_id, count(*) FILTER (plag >= lag) AS above FROM (SELECT perm, src AS obs_id, gene_id, avg(z) AS plag FROM nn JOIN {_perms(19, 'spots')} p ON p.obs_id = dst JOIN (SELECT obs_id AS partner, gene_id, z FROM zs) USING (partner) GROUP BY 1, 2, 3) JOIN lag USING (obs_id, gene_id) GROUP BY 1, 2) USING (obs_id, gene_id)"
+_LISA_C = f"SELECT *, CASE WHEN q < 0.3 THEN CASE quadrant WHEN 1 THEN 'HH' WHEN 2 THEN 'LH' WHEN 3 THEN 'LL' ELSE 'HL' END ELSE 'ns' END AS cluster FROM (SELECT *, {sql_bh('p', 'gene_id', 'obs_id')[1]} AS q FROM (SELECT *, {sql_bh('p', 'gene_id', 'obs_id')[0]} FROM ({_LISA_P})))"
+
+
+@query(f"SELECT gene_id, round(avg(local_i), 5) + 0.0 AS mean_i, round(stddev_pop(local_i), 5) AS sd_i, count(*) FILTER (cluster <> 'ns') AS n_significant, count(*) FILTER (cluster = 'HH') AS n_hotspots, count(*) FILTER (cluster = 'LL') AS n_coldspots, count(*) FILTER (cluster = 'HL') AS n_high_outliers, count(*) FILTER (cluster = 'LH') AS n_low_outliers FROM ({_LISA_C}) GROUP BY 1")
+def lisa_clusters(s, d):
+    """At 19 permutations, so that SQL can follow; the level is 0.3, under which q can fall there."""
+    t = spatial.lisa_summary(spatial.lisa_clusters(spatial.local_morans_p(_graph(s, d), proxy.spot_values(s, d), 19), 0.3))
+    return t.select("gene_id", (F.round("mean_i", 5) + 0.0).alias("mean_i"), F.round("sd_i", 5).alias("sd_i"), "n_significant", "n_hotspots", "n_coldspots", "n_high_outliers", "n_low_outliers")
+
+
+@query(f"SELECT bb, ww, bw, j, round((count(*) FILTER (c >= bb) + 1.0) / 20, 6) AS p_bb FROM (SELECT sum(a * b) / 2.0 AS bb, sum((1 - a) * (1 - b)) / 2.0 AS ww, sum((a - b) * (a - b)) / 2.0 AS bw, count(*) / 2.0 AS j FROM (SELECT (a.cluster % 2)::DOUBLE AS a, (b.cluster % 2)::DOUBLE AS b FROM nn JOIN spots a ON a.obs_id = src JOIN spots b ON b.obs_id = dst)) CROSS JOIN (SELECT p.perm, sum((a.cluster % 2) * (b.cluster % 2)) / 2.0 AS c FROM nn JOIN {_perms(19, 'spots')} p ON p.obs_id = nn.src JOIN {_perms(19, 'spots')} q ON q.perm = p.perm AND q.obs_id = nn.dst JOIN spots a ON a.obs_id = p.partner JOIN spots b ON b.obs_id = q.partner GROUP BY 1) GROUP BY 1, 2, 3, 4")
+def join_count_perm_p(s, d):
+    labels = proxy.spots(s, d).select("obs_id", F.concat(F.lit("k"), (F.col("cluster") % 2).cast("string")).alias("label"))
+    return spatial.join_count_p(_graph(s, d), labels, 19).select("bb", "ww", "bw", "j", r6("p_bb"))
+
+
+@query(f"SELECT count(*) AS n_features, count(*) FILTER (p < 0.05) AS n_significant, round(avg(i), 6) + 0.0 AS mean_moran_i, (SELECT string_agg(gene_id, ',' ORDER BY k) FROM (SELECT gene_id, row_number() OVER (ORDER BY i DESC, gene_id) AS k FROM m) WHERE k <= 10) AS top FROM m".replace(" m)", " MM)").replace("FROM m", "FROM MM").replace("MM", f"(SELECT gene_id, i, {sql_normal_p('z')} AS p FROM (SELECT gene_id, i, (i - e) / sqrt(v) AS z FROM (SELECT gene_id, n / s0 * num / zz AS i, -1.0 / (n - 1) AS e, (n * n * s1 - n * s2 + 3 * s0 * s0) / ((n * n - 1) * s0 * s0) - 1.0 / ((n - 1) * (n - 1)) AS v FROM (SELECT gene_id, sum(a.z * b.z) AS num FROM nn JOIN zs a ON a.obs_id = src JOIN zs b USING (gene_id) WHERE b.obs_id = dst GROUP BY 1) JOIN (SELECT gene_id, count(*)::DOUBLE AS n, sum(z * z) AS zz FROM zs GROUP BY 1) USING (gene_id), moments)))"))
+def moran_summary(s, d):
+    t = summaries.summary("moran", spatial.morans_i(_graph(s, d), proxy.spot_values(s, d)))
+    return t.select("n_features", "n_significant", r6(F.col("metrics")["mean_moran_i"], "mean_moran_i"), F.array_join("top_features", ",").alias("top"))
+
+
+# --- communication: several scores and spatial pairs -------------------------------------------------------------------
+
+_MAG = "SELECT l.grp AS source, r.grp AS target, ligand, receptor, (l.mean + r.mean) / 2 AS a, greatest(0, l.mean * r.mean) AS b, coalesce(sqrt(greatest(0, l.mean * r.mean)) / nullif(sqrt(greatest(0, l.mean * r.mean)) + abs(level), 0), 0) AS c FROM lr JOIN lrm l ON l.gene_id = ligand AND l.fraction >= 0.1 JOIN lrm r ON r.gene_id = receptor AND r.fraction >= 0.1, (SELECT avg(value) AS level FROM vals)"
+_SHARE = "(rank() OVER (ORDER BY {c} DESC) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0) / count(*) OVER ()"
+
+
+@query("SELECT source, target, ligand, receptor, round(least(1, 3 * least(1 - power(1 - r[1], 3), 3 * r[2] * r[2] * (1 - r[2]) + power(r[2], 3), power(r[3], 3))), 6) AS rank FROM (SELECT source, target, ligand, receptor, list_sort([ra, rb, rc]) AS r FROM (SELECT *, " + ", ".join(f"{_SHARE.format(c=c)} AS r{c}" for c in "abc") + " FROM (SELECT source, target, ligand, receptor, round(a, 9) AS a, round(b, 9) AS b, round(c, 9) AS c FROM (" + _MAG + "))))")
+def lr_rank_aggregate(s, d):
+    m = communication.magnitudes(proxy.spot_values(s, d), _groups(s, d), proxy.pairs(s, d), min_cells=1)
+    for c in ("mean", "product", "root"):
+        m = m.withColumn(c, F.round(c, 9))
+    return communication.rank_aggregate(m).select("source", "target", "ligand", "receptor", r6("rank"))
+
+
+_NEAR = "(SELECT e.src AS obs_id, ligand, receptor, a.value AS a, b.value AS b FROM (SELECT src, dst FROM nn UNION ALL SELECT obs_id, obs_id FROM spots) e CROSS JOIN lr JOIN vals a ON a.obs_id = e.dst AND a.gene_id = ligand JOIN vals b ON b.obs_id = e.dst AND b.gene_id = receptor)"
+
+
+@query(f"SELECT obs_id, ligand, receptor, round(sum(a * b) / sqrt(sum(a * a) * sum(b * b)), 6) + 0.0 AS local FROM {_NEAR} GROUP BY 1, 2, 3")
+def lr_local_cosine(s, d):
+    return communication.local_similarity(proxy.spot_values(s, d), _graph(s, d), proxy.pairs(s, d)).select("obs_id", "ligand", "receptor", r6("local"))
+
+
+@query(f"SELECT obs_id, ligand, receptor, round(corr(a, b), 6) + 0.0 AS local FROM {_NEAR} GROUP BY 1, 2, 3")
+def lr_local_pearson(s, d):
+    return communication.local_similarity(proxy.spot_values(s, d), _graph(s, d), proxy.pairs(s, d), "pearson").select("obs_id", "ligand", "receptor", r6("local"))
+
+
+@query(f"SELECT obs_id, ligand, receptor, round(count(*) FILTER (a > 0 AND b > 0) / nullif(count(*) FILTER (a > 0 OR b > 0), 0)::DOUBLE, 6) AS local FROM {_NEAR} GROUP BY 1, 2, 3")
+def lr_local_jaccard(s, d):
+    return communication.local_similarity(proxy.spot_values(s, d), _graph(s, d), proxy.pairs(s, d), "jaccard").select("obs_id", "ligand", "receptor", r6("local"))
+
+
+_GLOBAL = "SELECT ligand, receptor, sum(x.z * y.lag) AS m, sum(w.lag * y.lag) AS l, any_value(xx.zz) AS zx, any_value(yy.zz) AS zy FROM lr JOIN zs x ON x.gene_id = ligand JOIN lag y ON y.gene_id = receptor AND y.obs_id = x.obs_id JOIN lag w ON w.gene_id = ligand AND w.obs_id = x.obs_id JOIN (SELECT gene_id, sum(z * z) AS zz FROM zs GROUP BY 1) xx ON xx.gene_id = ligand JOIN (SELECT gene_id, sum(z * z) AS zz FROM zs GROUP BY 1) yy ON yy.gene_id = receptor GROUP BY 1, 2"
+
+
+@query(f"SELECT ligand, receptor, round(any_value(m) / sqrt(any_value(zx) * any_value(zy)), 6) + 0.0 AS moran, round(any_value(l) / sqrt(any_value(zx) * any_value(zy)), 6) + 0.0 AS lee, round((count(*) FILTER (mp >= m - 1e-12) + 1.0) / 20, 6) AS p FROM ({_GLOBAL}) JOIN (SELECT ligand, receptor, perm, sum(x.z * y.lag) AS mp FROM lr JOIN zs x ON x.gene_id = ligand JOIN {_perms(19, 'spots')} p ON p.partner = x.obs_id JOIN lag y ON y.gene_id = receptor AND y.obs_id = p.obs_id GROUP BY 1, 2, 3) USING (ligand, receptor) GROUP BY 1, 2")
+def lr_global_moran(s, d):
+    t = communication.global_similarity(proxy.spot_values(s, d), _graph(s, d), proxy.pairs(s, d), 19)
+    return t.select("ligand", "receptor", r6("moran"), r6("lee"), r6("p"))
 
 
 # --- permutations at the reference's counts, which SQL is too slow for ------------------------------------------------
@@ -392,8 +537,3 @@ def nhood_zscore_perm_full(s, d):
 @query()
 def lr_perm_full(s, d):
     return communication.pair_p_values(proxy.spot_values(s, d), _groups(s, d), proxy.pairs(s, d))
-
-
-@query()
-def kendall_corr_full(s, d):
-    return plotdata.correlations(proxy.spot_values(s, d), "kendall").select("gene_a", "gene_b", r6("r"))

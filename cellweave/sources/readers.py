@@ -34,7 +34,11 @@ def matrix_market(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
     rows = spark.read.text(name("matrix.mtx")).where(~F.col("value").startswith("%"))
     parts = F.split(F.trim("value"), r"\s+")
     head = _first_line(rows)
-    entries = rows.where(F.col("value") != head).select(parts[0].cast("int").alias("g"), parts[1].cast("int").alias("c"), parts[2].cast("double").alias("value"))
+    again = rows.where(F.col("value") == head).count() - 1  # an entry may read like the size line
+    entries = rows.where(F.col("value") != head)
+    if again:
+        entries = entries.unionByName(spark.createDataFrame([(head,)] * again, "value string"))
+    entries = entries.select(parts[0].cast("int").alias("g"), parts[1].cast("int").alias("c"), parts[2].cast("double").alias("value"))
     cells = _lines(spark, name("barcodes.tsv")).select(F.col("i").alias("c"), F.split("value", "\t")[0].alias("obs_id"))
     feats = _lines(spark, name("features.tsv", "genes.tsv")).select(F.col("i").alias("g"), F.coalesce(F.get(F.split("value", "\t"), F.lit(1)), F.split("value", "\t")[0]).alias("gene_id"), F.col("i").alias("ord"))
     feats = unique_names(feats)
@@ -93,9 +97,18 @@ def xenium(spark: SparkSession, path: str) -> SpatialData:
 
 
 def generic(spark: SparkSession, path: str) -> SpatialData:
-    """A folder of parquet tables as ``save`` writes them."""
+    """A folder of parquet tables as ``save`` writes them: with coordinates, graphs, vectors and the log of analyses where there are any."""
     read = lambda name: spark.read.parquet(f"{path}/{name}")
-    return SpatialData(read("obs"), read("var"), read("expr"), read("coords") if _exists(spark, f"{path}/coords") else None)
+    named = lambda kind: {n: read(f"{kind}/{n}") for n in _folders(spark, f"{path}/{kind}")}
+    log = tuple(r.asDict() for r in read("analysis_log").collect()) if _exists(spark, f"{path}/analysis_log") else ()  # a row per analysis
+    return SpatialData(read("obs"), read("var"), read("expr"), read("coords") if _exists(spark, f"{path}/coords") else None, named("graphs"), named("vectors"), log)
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    if not _exists(spark, path):
+        return []
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return sorted(f.getPath().getName() for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p) if f.isDirectory())
 
 
 def _needs_h5(spark: SparkSession, path: str) -> SpatialData:

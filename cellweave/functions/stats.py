@@ -46,7 +46,7 @@ def log_gamma(x: Column) -> Column:
     return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + series - F.log(back)
 
 
-def _rule(panels: int = 16, points: int = 5) -> list[tuple[float, float]]:
+def _rule(panels: int = 24, points: int = 7) -> list[tuple[float, float]]:
     """(place, weight) of a composite Gauss rule on the unit interval."""
     import numpy as np
 
@@ -58,16 +58,16 @@ def student_two_sided(df: DataFrame, t: str = "t", freedom: str = "df", out: str
     """Adds the two-sided p of Student's t (null where t or the degrees of freedom are), to nine places for one degree of freedom and more.
 
     With t the tangent of an angle over the root of the degrees v, the tail is an integral of cos(angle)^(v - 1); in terms of
-    the root of the angle left to pi/2 it is smooth for small v, and for large v it is cut where nothing is left. Beyond
+    the fourth root of the angle left to pi/2 it is smooth for small v, and for large v it is cut where nothing is left. Beyond
     10,000 degrees of freedom the normal tail of the corrected t, which agrees to eight places there.
     """
     v, tt = F.col(freedom).cast("double"), F.col(t) * F.col(t)
     left = F.lit(math.pi / 2) - F.atan(F.abs(F.col(t)) / F.sqrt(v))
-    step = df.withColumns({"_b": F.sqrt(left), "_a": F.sqrt(F.greatest(F.lit(0.0), left - 9.0 / F.sqrt(v)))})
+    step = df.withColumns({"_b": F.pow(left, F.lit(0.25)), "_a": F.pow(F.greatest(F.lit(0.0), left - 7.5 / F.sqrt(v)), F.lit(0.25))})
     rule = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(w).alias("w")) for x, w in _rule()])
     a, size, power = F.col("_a"), F.col("_b") - F.col("_a"), v - 1.0
     at = lambda n: a + size * n["x"]
-    area = F.aggregate(rule, F.lit(0.0), lambda acc, n: acc + n["w"] * 2.0 * at(n) * F.pow(F.sin(at(n) * at(n)), power))
+    area = F.aggregate(rule, F.lit(0.0), lambda acc, n: acc + n["w"] * 4.0 * at(n) * at(n) * at(n) * F.pow(F.sin(at(n) * at(n) * at(n) * at(n)), power))
     tail = 2.0 * size * area * F.exp(log_gamma((v + 1) / 2) - log_gamma(v / 2) - math.log(math.pi) / 2)
     wide = normal_two_sided(F.col(t) * (1 - 1 / (4 * v)) / F.sqrt(1 + tt / (2 * v)))
     p = F.when(v > 10_000, wide).otherwise(F.least(F.lit(1.0), tail))

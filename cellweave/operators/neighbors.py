@@ -22,10 +22,10 @@ def _as_dst(points: DataFrame) -> DataFrame:
 _D2 = "(x - x2) * (x - x2) + (y - y2) * (y - y2)"
 
 
-def knn(points: DataFrame, k: int, include_self: bool = False) -> DataFrame:
+def knn(points: DataFrame, k: int, include_self: bool = False, small: int | None = None) -> DataFrame:
     """(src, dst, d, rank): the k nearest points of each of ``points`` (obs_id, x, y), ties to the smaller id.
 
-    Few points: scored against a broadcast copy. Many: points fall into grid cells of about k points; a point joins the
+    Few points (up to ``small``, by default ``SMALL``): scored against a broadcast copy. Many: points fall into grid cells of about k points; a point joins the
     cells around its own, and those whose k-th neighbour may lie beyond the ring searched go on with a ring twice as
     wide. Every row with finite coordinates takes part; a point set of one gives no edges.
     """
@@ -35,7 +35,7 @@ def knn(points: DataFrame, k: int, include_self: bool = False) -> DataFrame:
     w = Window.partitionBy("src").orderBy("d2", "dst")
     best = lambda pairs: pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     src = points.withColumnRenamed("obs_id", "src")
-    if n <= SMALL:
+    if n <= (SMALL if small is None else small):
         near = best(src.join(F.broadcast(_as_dst(points)), apart).withColumn("d2", F.expr(_D2)))
         return near.select("src", "dst", F.sqrt("d2").alias("d"), "rank")
     side = max((x1 - x0), (y1 - y0), 1e-12)

@@ -240,6 +240,36 @@ def condition_wald_by_type(s, d):
     return markers.wald_by_stratum(proxy.order_counts(s, d), proxy.samples(s, d), 0, 1, min_cells=1)
 
 
+@query("SELECT item, round(least(1, p * n), 6) AS bonferroni, round(1 - power(1 - p, n), 6) AS sidak, round(min(step) OVER (ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS yekutieli FROM (SELECT *, least(1, p * n * h / rk) AS step FROM (SELECT p_partkey AS item, (p_retailprice - 899) / 2500 AS p, count(*) OVER () AS n, row_number() OVER (ORDER BY (p_retailprice - 899) / 2500, p_partkey) AS rk FROM part), (SELECT sum(1.0::DOUBLE / i) AS h FROM range(1, (SELECT count(*) + 1 FROM part)) t(i)))")
+def other_corrections(s, d):
+    t = proxy.table(s, d, "part").select(F.col("p_partkey").alias("item"), ((F.col("p_retailprice") - 899) / 2500).alias("p"))
+    for name, method in (("bonferroni", "bonferroni"), ("sidak", "sidak"), ("yekutieli", "by")):
+        t = stats.adjust(t, "p", name, method, (), ("item",))
+    return t.select("item", r6("bonferroni"), r6("sidak"), r6("yekutieli"))
+
+
+@query("SELECT gene_id, regexp_matches(gene_id, '^(MT-|mt-)') AS mt, regexp_matches(gene_id, '^(RPS|RPL|Rps|Rpl)') AS ribo FROM (SELECT CASE WHEN p_partkey % 7 = 0 THEN 'MT-' WHEN p_partkey % 11 = 0 THEN 'mt-' WHEN p_partkey % 5 = 0 THEN 'RPS' WHEN p_partkey % 3 = 0 THEN 'xRPL' ELSE 'Rpl' END || CAST(p_partkey AS VARCHAR) AS gene_id FROM part)")
+def gene_flags(s, d):
+    k = F.col("p_partkey")
+    prefix = F.when(k % 7 == 0, "MT-").when(k % 11 == 0, "mt-").when(k % 5 == 0, "RPS").when(k % 3 == 0, "xRPL").otherwise("Rpl")
+    return preprocess.flag_genes(proxy.table(s, d, "part").select(F.concat(prefix, k.cast("string")).alias("gene_id")))
+
+
+@query("SELECT * FROM (SELECT grp AS \"group\", gene_id, unnest(['mean', 'median', 'q3', 'trimean']) AS summary, unnest([round(avg(v), 6), round(quantile_cont(v, 0.5), 6), round(quantile_cont(v, 0.75), 6), round((quantile_cont(v, 0.25) + 2 * quantile_cont(v, 0.5) + quantile_cont(v, 0.75)) / 4, 6)]) AS value FROM (SELECT grp, g.gene_id, coalesce(value, 0) AS v FROM cells c CROSS JOIN (SELECT DISTINCT gene_id FROM counts) g LEFT JOIN counts x ON x.obs_id = c.obs_id AND x.gene_id = g.gene_id) GROUP BY 1, 2 HAVING max(v) > 0)")
+def group_quantiles(s, d):
+    from cellweave.operators import communication
+
+    return communication.summaries(proxy.counts(s, d), proxy.cells(s, d)).select("group", "gene_id", "summary", r6("value"))
+
+
+@query("SELECT grp AS \"group\", 'k' || CAST(gene_id // 3 AS VARCHAR) AS complex, round(min(m), 6) AS mean FROM (SELECT grp, gene_id, sum(value) / (SELECT count(*) FROM cells c WHERE c.grp = x.grp) AS m FROM counts JOIN cells x USING (obs_id) GROUP BY 1, 2) JOIN (SELECT p_partkey // 3 AS k, count(*) AS size FROM part GROUP BY 1) ON k = gene_id // 3 GROUP BY 1, 2 HAVING count(*) = any_value(size)")
+def complex_means(s, d):
+    from cellweave.operators import communication
+
+    members = proxy.table(s, d, "part").select(F.concat(F.lit("k"), F.expr("p_partkey div 3").cast("string")).alias("complex"), F.col("p_partkey").alias("gene_id"))
+    return communication.complexes(communication.group_means(proxy.counts(s, d), proxy.cells(s, d)), members).select("group", "complex", r6("mean"))
+
+
 # --- enrichment ----------------------------------------------------------------------------------------------------
 
 
@@ -375,6 +405,28 @@ def velocity_moments(s, d):
     return m.join(dynamics.velocity(m).select("obs_id", "gene_id", "velocity"), ["obs_id", "gene_id"]).select("obs_id", "gene_id", r6("ms"), r6("mu"), (F.round("velocity", 3) + 0.0).alias("velocity"))
 
 
+_MOM = "(SELECT src AS obs_id, gene_id, sum(spliced) / 5.0 AS ms, sum(unspliced) / 5.0 AS mu FROM (SELECT a.s_suppkey AS src, (a.s_suppkey + i) % (SELECT count(*) FROM supplier) AS dst FROM supplier a, range(0, 5) t(i)) e JOIN layers ON layers.obs_id = dst GROUP BY 1, 2)"
+_VEL = f"(SELECT o.s_suppkey AS obs_id, g.gene_id, coalesce(mu - gamma * ms, 0) AS v, coalesce(ms, 0) AS ms FROM supplier o CROSS JOIN (SELECT gene_id, sum(mu * ms) / sum(ms * ms) AS gamma FROM {_MOM} GROUP BY 1 HAVING sum(ms * ms) > 0) g LEFT JOIN {_MOM} m ON m.obs_id = o.s_suppkey AND m.gene_id = g.gene_id)"
+
+
+def _ring(s, d):
+    n = proxy.cells(s, d).count()
+    return proxy.cells(s, d).select(F.col("obs_id").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("i")).select("src", ((F.col("src") + F.col("i")) % n).alias("dst"))
+
+
+@query(f"SELECT a.obs_id AS src, b.obs_id AS dst, round(sum(a.v * (b.ms - a.ms)) / sqrt(sum(a.v * a.v) * sum((b.ms - a.ms) * (b.ms - a.ms))), 5) + 0.0 AS cosine FROM {_VEL} a JOIN {_VEL} b ON a.gene_id = b.gene_id JOIN range(1, 5) t(i) ON b.obs_id = (a.obs_id + i) % (SELECT count(*) FROM supplier) GROUP BY 1, 2")
+def velocity_graph(s, d):
+    e = _ring(s, d)
+    m = dynamics.moments(proxy.layers(s, d), e)
+    return dynamics.velocity_graph(dynamics.velocity(m), m, e).select("src", "dst", (F.round("cosine", 5) + 0.0).alias("cosine"))
+
+
+@query(f"SELECT obs_id, round(avg(r), 5) + 0.0 AS confidence FROM (SELECT a.obs_id, b.obs_id AS dst, corr(a.v, b.v) AS r FROM {_VEL} a JOIN {_VEL} b ON a.gene_id = b.gene_id JOIN range(1, 5) t(i) ON b.obs_id = (a.obs_id + i) % (SELECT count(*) FROM supplier) GROUP BY 1, 2) GROUP BY 1")
+def velocity_confidence(s, d):
+    e = _ring(s, d)
+    return dynamics.velocity_confidence(dynamics.velocity(dynamics.moments(proxy.layers(s, d), e)), e).select("obs_id", (F.round("confidence", 5) + 0.0).alias("confidence"))
+
+
 @query("SELECT grp AS \"group\", round(sum(spliced) / sum(spliced + unspliced), 6) AS spliced, round(sum(unspliced) / sum(spliced + unspliced), 6) AS unspliced FROM layers JOIN cells USING (obs_id) GROUP BY 1")
 def splice_proportions(s, d):
     return dynamics.splice_proportions(proxy.layers(s, d), proxy.cells(s, d)).select("group", r6("spliced"), r6("unspliced"))

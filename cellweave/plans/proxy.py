@@ -29,10 +29,10 @@ def sql_normal_p(z: str) -> str:
 
 
 def sql_student_p(t: str, v: str) -> str:
-    """Two-sided p of Student's t in SQL: Simpson's rule on the power of the cosine that the law is in terms of the angle, over the root of the angle left."""
-    side = f"sqrt(pi() / 2 - atan(abs({t}) / sqrt({v})))"
+    """Two-sided p of Student's t in SQL: Simpson's rule on the power of the cosine that the law is in terms of the angle, over the fourth root of the angle left."""
+    side = f"power(pi() / 2 - atan(abs({t}) / sqrt({v})), 0.25)"
     at = f"(i * {side} / 4000)"
-    sums = f"list_sum(list_transform(range(1, 4001), lambda i: (CASE WHEN i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * 2 * {at} * power(sin({at} * {at}), {v} - 1)))"
+    sums = f"list_sum(list_transform(range(1, 4001), lambda i: (CASE WHEN i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * 4 * power({at}, 3) * power(sin(power({at}, 4)), {v} - 1)))"
     return f"(2 * exp(lgamma(({v} + 1) / 2) - lgamma({v} / 2) - ln(pi()) / 2) * {sums} * {side} / 12000)"
 
 

@@ -537,3 +537,55 @@ def nhood_zscore_perm_full(s, d):
 @query()
 def lr_perm_full(s, d):
     return communication.pair_p_values(proxy.spot_values(s, d), _groups(s, d), proxy.pairs(s, d))
+
+
+# --- operators on proxies of their own ---------------------------------------------------------------------------------
+
+_PLACES = "(SELECT c_custkey AS obs_id, c_acctbal AS x, (c_custkey * 7919 % 10007)::DOUBLE AS y FROM customer)"
+
+
+@query(f"SELECT src, dst, round(sqrt(d2), 6) AS d, CAST(rank AS INTEGER) AS rank FROM (SELECT a.obs_id AS src, b.obs_id AS dst, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2, row_number() OVER (PARTITION BY a.obs_id ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.obs_id) AS rank FROM {_PLACES} a JOIN {_PLACES} b ON a.obs_id <> b.obs_id) WHERE rank <= 5")
+def knn_grid_edges(s, d):
+    """The grid, whatever the number of points."""
+    c = proxy.table(s, d, "customer").select(F.col("c_custkey").alias("obs_id"), F.col("c_acctbal").alias("x"), (F.col("c_custkey") * 7919 % 10007).cast("double").alias("y"))
+    return neighbors.knn(c, 5, small=0).select("src", "dst", r6("d"), "rank")
+
+
+_SCORES = "SELECT obs_id, s.cell_type, round(coalesce(sp / sqrt(np), 0) - coalesce(sn / sqrt(nullif(nn_, 0)), 0), 9) AS score FROM (SELECT obs_id, cell_type, sum(CASE WHEN direction > 0 THEN value * weight ELSE 0 END) AS sp, sum(CASE WHEN direction < 0 THEN value ELSE 0 END) AS sn FROM scaled JOIN (SELECT m.cell_type, m.gene_id, m.direction, coalesce(weight, 1) AS weight FROM markers m LEFT JOIN (SELECT gene_id, CASE WHEN max(f) OVER () > min(f) OVER () THEN 1.0 - (f - min(f) OVER ()) / (max(f) OVER () - min(f) OVER ()) ELSE 1 END AS weight FROM (SELECT gene_id, count(DISTINCT cell_type)::DOUBLE AS f FROM markers WHERE direction > 0 GROUP BY 1)) USING (gene_id)) USING (gene_id) GROUP BY 1, 2) s JOIN (SELECT cell_type, count(*) FILTER (direction > 0)::DOUBLE AS np, count(*) FILTER (direction < 0)::DOUBLE AS nn_ FROM markers GROUP BY 1) USING (cell_type)"
+
+
+@query(f"SELECT cell_type, count(*) AS n, round(avg(confidence), 5) AS confidence FROM (SELECT obs_id, CASE WHEN max(score) > 0 THEN first(cell_type ORDER BY score DESC, cell_type) ELSE 'Unknown' END AS cell_type, CASE WHEN max(score) > 0 THEN max(e) / sum(e) ELSE 0 END AS confidence FROM (SELECT *, exp(score - max(score) OVER (PARTITION BY obs_id)) AS e FROM ({_SCORES})) GROUP BY 1) GROUP BY 1")
+def annotation_confidence(s, d):
+    scores = annotation.marker_scores(preprocess.scale(proxy.spot_values(s, d)), proxy.types(s, d)).withColumn("score", F.round("score", 9))
+    return annotation.confidence_by_type(annotation.assign(scores), 5)
+
+
+@query("SELECT obs_id, CASE WHEN cluster < 6 THEN 'c' || CAST(cluster % 4 AS VARCHAR) ELSE 'Unknown' END AS cell_type FROM spots")
+def mapped_clusters(s, d):
+    names = s.range(6).select(F.col("id").cast("int").alias("cluster"), F.concat(F.lit("c"), (F.col("id") % 4).cast("string")).alias("cell_type"))
+    return annotation.map_clusters(proxy.spots(s, d).select("obs_id", "cluster"), names)
+
+
+@query("SELECT m.obs_id, m.set_name, round(m.score - ms - bx * (x - mx) - b_y * (y - my), 6) + 0.0 AS score FROM (SELECT obs_id, 'set' || CAST(gene_id % 5 AS VARCHAR) AS set_name, avg(value) AS score FROM vals GROUP BY 1, 2) m JOIN spots USING (obs_id) JOIN (SELECT set_name, mx, my, ms, (xs * yy - ys * xy) / (xx * yy - xy * xy) AS bx, (ys * xx - xs * xy) / (xx * yy - xy * xy) AS b_y FROM (SELECT set_name, avg(x) AS mx, avg(y) AS my, avg(score) AS ms, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, score) AS xs, covar_pop(y, score) AS ys FROM (SELECT obs_id, 'set' || CAST(gene_id % 5 AS VARCHAR) AS set_name, avg(value) AS score FROM vals GROUP BY 1, 2) JOIN spots USING (obs_id) GROUP BY 1)) USING (set_name)")
+def set_score_detrended(s, d):
+    from cellweave.operators import enrichment
+
+    sets = s.range(2, 64).select(F.concat(F.lit("set"), (F.col("id") % 5).cast("string")).alias("set_name"), F.col("id").cast("int").alias("gene_id"))
+    m = enrichment.mean_score(proxy.spot_values(s, d), sets)
+    return enrichment.detrended(m, proxy.spots(s, d)).select("obs_id", "set_name", r6("score"))
+
+
+@query(f"SELECT label, round(sum(ljc), 6) AS total, round(avg(ljc), 6) AS mean, round(stddev_pop(ljc), 6) AS sd, count(*) FILTER (p < 0.1) AS n_significant FROM (SELECT obs_id, label, ljc, (count(*) FILTER (c >= ljc) + 1.0) / 20 AS p FROM (SELECT s.obs_id, s.cluster AS label, count(*) FILTER (o.cluster = s.cluster)::DOUBLE AS ljc FROM spots s LEFT JOIN nn ON src = s.obs_id LEFT JOIN spots o ON o.obs_id = dst GROUP BY 1, 2) l JOIN (SELECT nn.src, p.perm, count(*) FILTER (b.cluster = a.cluster)::DOUBLE AS c FROM nn JOIN {_perms(19, 'spots')} p ON p.obs_id = nn.dst JOIN spots b ON b.obs_id = p.partner JOIN spots a ON a.obs_id = nn.src GROUP BY 1, 2) d ON d.src = l.obs_id GROUP BY 1, 2, 3) GROUP BY 1")
+def local_join_summary(s, d):
+    t = spatial.local_join_summary(spatial.local_join_count_p(_graph(s, d), _labels(s, d), 19), 0.1)
+    return t.select("label", r6("total"), r6("mean"), r6("sd"), "n_significant")
+
+
+@query("SELECT round(avg(cnv), 6) + 0.0 AS mean, round(stddev_pop(cnv), 6) AS sd, round(median(cnv), 6) + 0.0 AS median, count(DISTINCT obs_id) AS n_cells FROM cnv")
+def cnv_statistics(s, d):
+    return cnv.statistics(_profile(s, d)).select(r6("mean"), r6("sd"), r6("median"), "n_cells")
+
+
+@query("SELECT cluster AS label, round(avg(degree), 6) AS degree FROM spots JOIN (SELECT i, count(*) AS degree FROM (SELECT a AS i FROM und UNION ALL SELECT b FROM und) GROUP BY 1) ON i = obs_id GROUP BY 1")
+def degree_by_label(s, d):
+    return spatial.centrality_by_label(neighbors.degree(_graph(s, d)), _labels(s, d), "degree").select("label", r6("degree"))

@@ -30,7 +30,7 @@ BREAK = b"\r\n\r\n"
 SEPARATOR = bytes([31, 139, 8, 0, 0, 0, 0, 0, 0, 3, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0])
 LEAST_SHARED = 1000
 BLOCK_LINES = 3000
-RECORDS_A_FILE = 20_000
+RECORDS_A_FILE, FILE_BYTES = 20_000, 1 << 30  # a file is read back as one value
 DATE = "2020-01-01T00:00:00Z"
 
 
@@ -85,8 +85,10 @@ def write_archives(pages: DataFrame, path: str) -> None:
             for at in range(0, len(b), 500):
                 yield pd.DataFrame({"value": [gzip.compress(x, 4, mtime=0) for x in b["value"].iloc[at : at + 500]]})
 
+    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    records_a_file = max(1, min(RECORDS_A_FILE, FILE_BYTES // (largest + 2048)))
     packed = r.select(record.alias("value")).mapInPandas(members, "value binary").select(F.col("value").cast("string").alias("value"))
-    packed.write.option("lineSep", SEPARATOR.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    packed.write.option("lineSep", SEPARATOR.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", records_a_file).text(path)
     del r, packed
     common.release(pages.sparkSession)
 

@@ -86,21 +86,59 @@ def grid_ring_edges(spots: DataFrame, rings: int = 1) -> DataFrame:
     return src.join(spots.select(F.col("obs_id").alias("dst"), "row", "col"), ["row", "col"]).select("src", "dst", "ring")
 
 
+#: Numbers of a block of vectors.
+BLOCK_CELLS = 1 << 18
+
+
 def vector_knn(vectors: DataFrame, k: int, per: str | None = None) -> DataFrame:
     """(src, dst, d, rank[, per]) of the k nearest rows of (obs_id, v[, per]) by Euclidean distance, within each value of ``per``.
 
-    Blocks of rows meet blocks of rows on a block key, never as one product; each pair of blocks keeps k a row before
-    the final ranking.
+    Blocks of rows of bounded size meet blocks of rows; a task takes the matrix product of a pair of blocks, measures the
+    rows that it puts first anew, difference by difference, and keeps k of them a row. Ties go to the smaller id.
     """
-    n = vectors.count()
-    blocks = max(1, -(-n // 4096))
+    import numpy as np
+    import pandas as pd
+
+    n, dims = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
+    blocks = max(1, -(-n * max(1, dims or 1) // BLOCK_CELLS))
     groups = [per] if per else []
-    left = vectors.select(F.col("obs_id").alias("src"), F.col("v").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = vectors.select(F.col("obs_id").alias("dst"), F.col("v").alias("b"), *groups, F.pmod(F.xxhash64("obs_id"), F.lit(blocks)).cast("int").alias("block"))
-    d2 = F.aggregate(F.zip_with("a", "b", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda acc, x: acc + x)
-    near = left.join(right, "block").where("src <> dst").withColumn("d2", d2).select("src", "dst", *groups, "d2", "block")
-    w = Window.partitionBy("src", *groups, "block").orderBy("d2", "dst")
-    near = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    types = dict(vectors.dtypes)
+    rows = vectors.select("obs_id", F.transform("v", lambda x: x.cast("double")).alias("v"), *groups, F.pmod(F.xxhash64("obs_id"), F.lit(blocks)).cast("int").alias("block"))
+    packed = cut(rows.groupBy("block").agg(F.collect_list("obs_id").alias("ids"), F.collect_list("v").alias("v"), *[F.collect_list(per).alias("of") for _ in groups]))
+    left = packed.select("ids", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("block").alias("own"))
+    right = packed.select("block", F.col("ids").alias("to"), F.col("v").alias("w"), *(["of"] if per else []))
+    pairs = left.join(right, "block").repartition(blocks * blocks, "own", "block").drop("own")
+    schema = f"src {types['obs_id']}, dst {types['obs_id']}, {f'{per} {types[per]}, ' if per else ''}d2 double"
+
+    def nearest(ids, a, to, b, of):
+        """Rows (src, dst, group, d2) of one pair of blocks."""
+        out = []
+        kinds, member = np.unique(of, return_inverse=True) if of is not None else (np.array([None], object), np.zeros(len(b), np.int64))
+        bb = (b * b).sum(axis=1)
+        for g in range(len(kinds)):
+            inside = np.flatnonzero(member == g)
+            for at in range(0, len(a), 512):
+                x = a[at : at + 512]
+                about = bb[inside][None] - 2 * x @ b[inside].T + (x * x).sum(axis=1)[:, None]
+                about[np.asarray(ids[at : at + 512], object)[:, None] == np.asarray(to, object)[inside][None]] = np.inf
+                take = min(k, len(inside))
+                bar = np.partition(about, take - 1, axis=1)[:, take - 1]
+                slack = 1e-9 * (np.abs(bar) + (x * x).sum(axis=1) + bb[inside].max())
+                for i in range(len(x)):
+                    c = inside[np.flatnonzero((about[i] <= bar[i] + slack[i]) & (about[i] < np.inf))]
+                    d2 = ((x[i] - b[c]) ** 2).sum(axis=1)
+                    best = sorted(zip(d2.tolist(), (to[j] for j in c), strict=True))[:k]
+                    out += [(ids[at + i], t, kinds[g], d) for d, t in best]
+        return out
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                ids, to = list(r.ids), list(r.to)
+                got = nearest(ids, np.stack(r.v), to, np.stack(r.w), np.asarray(r.of) if per else None)
+                yield pd.DataFrame({"src": [x[0] for x in got], "dst": [x[1] for x in got], **({per: [x[2] for x in got]} if per else {}), "d2": [x[3] for x in got]})
+
+    near = pairs.mapInPandas(run, schema)
     w = Window.partitionBy("src", *groups).orderBy("d2", "dst")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("src", "dst", *groups, F.sqrt("d2").alias("d"), "rank")
 

@@ -347,3 +347,49 @@ def test_kernels_fates_and_warnings(spark):
     assert [tuple(r) for r in dynamics.registered(plan, ref).collect()] == [(0, 3.0, 6.0)]
     t = spark.createDataFrame([("RPS1", 0.01), ("RPL2", 0.02), ("X", 0.03)], "gene_id string, q double")
     assert spatial_genes.housekeeping_warning(t) and not spatial_genes.housekeeping_warning(t.where("gene_id = 'X'"))
+
+
+def test_nnls_meets_its_conditions(spark):
+    """Residuals are orthogonal to the types in use and point away from the others."""
+    from cellweave.operators import deconvolution
+
+    rng = np.random.default_rng(3)
+    a = rng.gamma(1.0, 1.0, (120, 4))
+    y = np.maximum(0, rng.dirichlet(np.ones(4) / 2, 25) @ a.T + rng.normal(0, 0.3, (25, 120)))
+    x = deconvolution.nnls(a, y)
+    slope = (y - x @ a.T) @ a
+    assert (x >= 0).all() and (slope[x <= 1e-9] < 1e-4).all() and (np.abs(slope[x > 1e-6]) < 1e-3).all()
+
+
+def test_logistic_markers_point_at_their_group(spark, data):
+    groups = data.obs.select("obs_id", F.col("type").alias("group"))
+    dense = preprocess.scale(preprocess.densify(data.layer("X"), data.obs, data.var))
+    c = {(r["group"], r["gene_id"]): r["coefficient"] for r in markers.logistic_markers(dense, groups).collect()}
+    assert all(c["b", g] > 0 > c["a", g] for g in range(10)) and np.abs([c["b", g] for g in range(20, 40)]).mean() < np.mean([c["b", g] for g in range(10)]) / 3
+
+
+def test_communities_have_more_modularity_than_halves(spark):
+    rng = np.random.default_rng(6)
+    kind = np.arange(60) // 20
+    edges = [(i, j) for i in range(60) for j in range(i) if rng.random() < (0.5 if kind[i] == kind[j] else 0.03)]
+    got = {r["obs_id"]: r["cluster"] for r in embedding.communities(spark.createDataFrame(edges, "src long, dst long"), spark.range(60).withColumnRenamed("id", "obs_id")).collect()}
+
+    def modularity(of):
+        deg = np.bincount(np.array(edges).ravel(), minlength=60)
+        m = len(edges)
+        return sum(of[a] == of[b] for a, b in edges) / m - sum((sum(deg[i] for i in range(60) if of[i] == c) / 2 / m) ** 2 for c in set(of.values()))
+
+    assert modularity(got) >= modularity({i: int(kind[i]) for i in range(60)}) - 0.02
+    assert modularity(got) > modularity({i: i % 2 for i in range(60)}) + 0.2
+
+
+def test_harmony_brings_batches_together_within_clusters(spark):
+    """Two batches of two clusters, one batch moved: after correction the clusters of both meet, and stay apart from each other."""
+    rng = np.random.default_rng(1)
+    rows = [(i, "ab"[i % 2], [float(v) for v in rng.normal(0, 0.3, 3) + (i // 2 % 2) * np.array([6, 0, 0]) + (i % 2) * np.array([0, 2.0, 1.0])]) for i in range(160)]
+    from cellweave.operators import integration
+
+    got = integration.harmonise(spark.createDataFrame(rows, "obs_id long, batch string, v array<double>"), 4, 10).toPandas().sort_values("obs_id")
+    x, batch, cluster = np.stack(got["v"]), np.arange(160) % 2, np.arange(160) // 2 % 2
+    centre = lambda b, c: x[(batch == b) & (cluster == c)].mean(axis=0)
+    assert max(np.linalg.norm(centre(0, c) - centre(1, c)) for c in (0, 1)) < 0.5 < 4 < np.linalg.norm(centre(0, 0) - centre(0, 1))

@@ -13,6 +13,8 @@ from cellweave.storage import cut
 
 #: Up to so many points, all pairs are scored against a broadcast copy (its size is counted first).
 SMALL = 5000
+#: Times k points are a crowded cell.
+CROWD = 64
 
 
 def _as_dst(points: DataFrame) -> DataFrame:
@@ -25,9 +27,9 @@ _D2 = "(x - x2) * (x - x2) + (y - y2) * (y - y2)"
 def knn(points: DataFrame, k: int, include_self: bool = False, small: int | None = None) -> DataFrame:
     """(src, dst, d, rank): the k nearest points of each of ``points`` (obs_id, x, y), ties to the smaller id.
 
-    Few points (up to ``small``, by default ``SMALL``): scored against a broadcast copy. Many: points fall into grid cells of about k points; a point joins the
-    cells around its own, and those whose k-th neighbour may lie beyond the ring searched go on with a ring twice as
-    wide. Every row with finite coordinates takes part; a point set of one gives no edges.
+    Few points (up to ``small``, by default ``SMALL``): scored against a broadcast copy. Many: points fall into grid cells,
+    made smaller until no cell is crowded; a point joins its own and the eight around it, and those whose k-th neighbour may
+    lie beyond go on to cells of four times the side. Every row with finite coordinates takes part; a point set of one gives no edges.
     """
     points = points.where("x is not null and y is not null and not isnan(x) and not isnan(y)").select("obs_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     n, x0, x1, y0, y1 = points.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
@@ -40,28 +42,30 @@ def knn(points: DataFrame, k: int, include_self: bool = False, small: int | None
         return near.select("src", "dst", F.sqrt("d2").alias("d"), "rank")
     side = max((x1 - x0), (y1 - y0), 1e-12)
     h = max(math.sqrt(max((x1 - x0) * (y1 - y0), side * side / n) * max(3, k) / n), side / 1e6)
-    most = int(side / h) + 2
-    cx, cy = F.floor((F.col("x") - x0) / h), F.floor((F.col("y") - y0) / h)
-    dst = points.select(F.col("obs_id").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"), cx.alias("cx"), cy.alias("cy"))
-    todo, ring, done = src, 1, []
+    cells = lambda h: (F.floor((F.col("x") - x0) / h).alias("cx"), F.floor((F.col("y") - y0) / h).alias("cy"))
+    while h > side / 1e9 and points.groupBy(*cells(h)).count().agg(F.max("count")).first()[0] > CROWD * max(3, k):
+        h /= 4
+    todo, done = src, []
     while True:
-        steps = F.sequence(F.lit(-ring), F.lit(ring))
-        probes = todo.withColumns({"hx": cx, "hy": cy}).withColumn("ox", F.explode(steps)).withColumn("oy", F.explode(steps))
-        probes = probes.withColumns({"cx": F.col("hx") + F.col("ox"), "cy": F.col("hy") + F.col("oy")}).drop("ox", "oy", "hx", "hy")
+        cx, cy = cells(h)
+        around = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
+        dst = points.select(F.col("obs_id").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"), cx, cy)
+        probes = todo.select("src", "x", "y", cx.alias("hx"), cy.alias("hy")).withColumn("ox", around).withColumn("oy", around)
+        probes = probes.select("src", "x", "y", (F.col("hx") + F.col("ox")).alias("cx"), (F.col("hy") + F.col("oy")).alias("cy"))
         found = best(probes.join(dst, ["cx", "cy"]).where(apart).withColumn("d2", F.expr(_D2))).select("src", "dst", "d2", "rank", "x", "y")
         found = cut(found)
         done.append(found)
-        if ring >= most:
+        if h > side:
             break
         fx, fy = (F.col("x") - x0) - cx * h, (F.col("y") - y0) - cy * h
-        sure = ring * h + F.least(fx, h - fx, fy, h - fy)
+        sure = h + F.least(fx, h - fx, fy, h - fy)
         ok = found.groupBy("src").agg(F.count("*").alias("n"), F.max("d2").alias("far"), F.first("x").alias("x"), F.first("y").alias("y"))
         ok = ok.where((F.col("n") >= k) & (F.sqrt("far") < sure)).select("src")
         done[-1] = found.join(ok, "src", "left_semi")
         todo = cut(todo.join(ok, "src", "left_anti"))
         if todo.isEmpty():
             break
-        ring *= 2
+        h *= 4
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -27,17 +27,19 @@ ODD = re.compile("[\x1c-\x1f]")
 #: Letters (Latin, which normalisation leaves as they are) and then ASCII marks: two pre-tokens at most.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
 CONTRACTION = re.compile("'(?:s|t|re|ve|m|ll|d)", re.I)
-#: Words, pieces and pairs of tokens kept: two generations of so many each, the older one let go when the newer is full.
-CACHE, CACHE_CHARS = 150_000, 40
+#: Words, pieces and pairs of tokens kept: two generations of so many each, the older one let go when the newer is full. More
+#: where counting is all that a worker does.
+CACHE, CACHE_ALONE, CACHE_CHARS = 150_000, 500_000, 40
 
 
 class Kept(dict):
     """A bounded memory: what is asked for again moves to the newer generation."""
 
-    __slots__ = ("old",)
+    __slots__ = ("limit", "old")
 
-    def __init__(self):
+    def __init__(self, limit: int):
         super().__init__()
+        self.limit = limit
         self.old: dict = {}
 
     def find(self, key):
@@ -48,7 +50,7 @@ class Kept(dict):
         return value
 
     def keep(self, key, value):
-        if len(self) >= CACHE:
+        if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
         self[key] = value
@@ -74,7 +76,7 @@ class PrefixCounter:
     ValueError for any other vocabulary.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -89,7 +91,7 @@ class PrefixCounter:
         self.rank = {m: i for i, m in enumerate(merges)}
         self.special = re.compile("|".join(re.escape(t["content"]) for t in sorted(spec["added_tokens"], key=lambda t: -len(t["content"]))) or r"(?!)")
         self.longest = max((len(t) - len(self.end) * t.endswith(self.end) for t in self.vocab), default=1)
-        self.pairs, self.words, self.parts = Kept(), Kept(), Kept()
+        self.pairs, self.words, self.parts = Kept(cache), Kept(cache), Kept(cache)
         self.own: dict[str, bool] = {}  # at most the vocabulary and single symbols
 
     def _merge(self, parts: list[str]) -> list[str]:
@@ -247,13 +249,13 @@ class PrefixCounter:
         return len(text)
 
 
-_COUNTERS: dict[str, PrefixCounter] = {}
+_COUNTERS: dict[tuple[str, int], PrefixCounter] = {}
 
 
-def counter(path: str) -> PrefixCounter:
-    if path not in _COUNTERS:
-        _COUNTERS[path] = PrefixCounter(path)
-    return _COUNTERS[path]
+def counter(path: str, cache: int = CACHE) -> PrefixCounter:
+    if (path, cache) not in _COUNTERS:
+        _COUNTERS[path, cache] = PrefixCounter(path, cache)
+    return _COUNTERS[path, cache]
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFrame:
@@ -267,13 +269,12 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import public_tokenizers
 
-        c = counter(public_tokenizers.path(tokenizer))
+        c = counter(public_tokenizers.path(tokenizer), CACHE_ALONE)
         for b in batches:
             texts = b["text"].fillna("")
             tokens = np.fromiter(map(c.count, texts), dtype=np.int64, count=len(b))
             fit = np.fromiter((len(t) if n <= limit else c.fits(t, limit) for t, n in zip(texts, tokens.tolist(), strict=True)), np.int64, len(b))
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": np.fromiter((len(t.encode()) for t in texts), np.int64, len(b)), "n_tokens": tokens, "over_limit": tokens > limit, "fit_chars": fit})
-        c.forget()
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
 

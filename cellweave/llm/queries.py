@@ -74,6 +74,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellweave.llm import conversation_repair
+
+    return conversation_repair.digests(conversation_repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
+def op12_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellweave.llm import automaton_dedup
+
+    return automaton_dedup.repeats(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellweave.llm import spelling
+
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
      f AS (SELECT h, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY h)
@@ -95,7 +113,16 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT * FROM r WHERE rank <= 20
 """
 
-_ALL = (op1_warc_index, op2_token_records, op3_sorted_list_topk, op4_language_id, op5_prefix_token_counts, op6_simhash, op7_best_fit_packing, op8_suffix_array_dedup, op9_license_scan, op10_decontamination)
+OP12_SQL = """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS ws FROM documents),
+w AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS seq FROM d, unnest(range(1, len(ws) - 48)) AS t(i)),
+f AS (SELECT seq, min(doc_id) AS first FROM w GROUP BY seq),
+g AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 50)))) AS gone FROM w JOIN f USING (seq) WHERE doc_id > first GROUP BY doc_id),
+k AS (SELECT d.doc_id, len(ws) AS n, [ws[i] FOR i IN range(1, len(ws) + 1) IF g.gone IS NULL OR NOT list_contains(g.gone, i)] AS kept FROM d LEFT JOIN g USING (doc_id))
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - len(kept) AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
+
+_ALL = (op1_warc_index, op2_token_records, op3_sorted_list_topk, op4_language_id, op5_prefix_token_counts, op6_simhash, op7_best_fit_packing, op8_suffix_array_dedup, op9_license_scan, op10_decontamination, op11_conversation_repair, op12_suffix_automata, op13_spelling_variants)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -103,4 +130,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_index": OP1_SQL, "op3_sorted_list_topk": OP3_SQL}
+    return {"op1_warc_index": OP1_SQL, "op3_sorted_list_topk": OP3_SQL, "op12_suffix_automata": OP12_SQL}

@@ -13,7 +13,7 @@ with a smaller doc_id.
    automaton. Shards stand where their pieces are instead of being broadcast: every document against every shard would
    grow with the square of the corpus.
 4. An anchor of over ``SHARD`` pieces (a passage that many documents continue in their own way) is no shard: its windows
-   are grouped by SHA-256 with the smallest document of each, which Spark sums before it shuffles.
+   meet by SHA-256; of equal ones of a batch only those of the smallest document are dealt out.
 """
 
 from __future__ import annotations
@@ -253,14 +253,78 @@ def _matched_in_shards(shards: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "anchor long, key binary, offset long, matched long")
 
 
+def _packed(bucket: int, digest: np.ndarray, low: np.ndarray, anchor: np.ndarray, key: np.ndarray, offset: np.ndarray) -> tuple:
+    return (bucket, digest.tobytes(), low.astype("<i8").tobytes(), anchor.astype("<i8").tobytes(), key.tobytes(), offset.astype("<i8").tobytes())
+
+
+PACKED = "bucket int, digests binary, lows binary, anchors binary, keys binary, offsets binary"
+
+
+def _split_by_least(digest, low, *rest) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows a smaller document holds as well, and which have the smallest document of all that are equal."""
+    order = np.lexsort((low, digest))
+    new = np.append(True, digest[order][1:] != digest[order][:-1])
+    least = low[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    gone = np.empty(len(order), bool)
+    gone[order] = low[order] > least
+    return gone, ~gone
+
+
 def _matched_by_window(hot: DataFrame) -> DataFrame:
-    """The same for the pieces of anchors that are no shard, window by window."""
-    own = F.split(F.decode("words", "UTF-8"), " ")
-    many = hot.withColumn("own", own).select("anchor", "key", "low", "own", F.explode(F.sequence(F.lit(1), F.size("own") - WINDOW + 1)).alias("at"))
-    each = many.select("anchor", "key", "low", (F.col("at") - 1).cast("long").alias("offset"), F.unhex(F.sha2(F.concat_ws(" ", F.slice("own", F.col("at"), WINDOW)), 256)).alias("window"))
-    each, _ = common.stored(each, "windows")
-    first = each.groupBy("window").agg(F.min("low").alias("first"))
-    return each.join(first, "window").where("low > first").select("anchor", "key", "offset", F.lit(1).cast("long").alias("matched")).distinct()
+    """The same for the pieces of anchors that are no shard: windows meet by SHA-256, in buckets of packed columns.
+
+    Of equal windows of a batch only those of the smallest document go on, so a window that many pieces share stays few.
+    """
+    names = [c.split()[0] for c in PACKED.split(", ")]
+    buckets = 4 * common.partitions(hot.sparkSession)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digests, at, offsets = [], [], []
+            for i, data in enumerate(b.column(3)):
+                own = data.as_py().split()
+                for k in range(len(own) - WINDOW + 1):
+                    digests.append(hashlib.sha256(b" ".join(own[k : k + WINDOW])).digest())
+                    at.append(i)
+                    offsets.append(k)
+            if not at:
+                continue
+            of = np.array(at)
+            digest = np.frombuffer(b"".join(digests), "V32")
+            # as four numbers, for they sort faster; equal if all are
+            number = np.unique(digest.view("<u8").reshape(-1, 4), axis=0, return_inverse=True)[1].ravel()
+            low = b.column(2).to_numpy(zero_copy_only=False)[of]
+            columns = (digest, low, b.column(0).to_numpy(zero_copy_only=False)[of], np.frombuffer(b"".join(b.column(1).to_pylist()), "V32")[of], np.array(offsets))
+            gone, going = _split_by_least(number, low)
+            rows = [_packed(-1, *(c[gone] for c in columns))] if gone.any() else []
+            bucket = (digest.view("<u8").reshape(-1, 4)[:, 0] % np.uint64(buckets)).astype(np.int64)
+            for k in np.unique(bucket[going]).tolist():
+                mine = going & (bucket == k)
+                rows.append(_packed(k, *(c[mine] for c in columns)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary() if k else pa.int32()) for k in range(6)], names=names)
+
+    def columns_of(group: pd.DataFrame) -> list[np.ndarray]:
+        return [np.frombuffer(b"".join(group[c]), t) for c, t in zip(names[1:], ("V32", "<i8", "<i8", "V32", "<i8"), strict=True)]
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        columns = columns_of(group)
+        number = np.unique(columns[0].view("<u8").reshape(-1, 4), axis=0, return_inverse=True)[1].ravel()
+        gone, _ = _split_by_least(number, columns[1])
+        return pd.DataFrame([_packed(-1, *(c[gone] for c in columns))] if gone.any() else [], columns=names)
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            _, _, anchor, key, offset = columns_of(b)
+            piece = np.unique(key.view("<u8").reshape(-1, 4), axis=0, return_inverse=True)[1].ravel()
+            order = np.lexsort((offset, piece, anchor))
+            anchor, key, offset, piece = anchor[order], key[order], offset[order], piece[order]
+            at = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1]) | (offset[1:] > offset[:-1] + 1)))
+            last = np.append(at[1:] - 1, len(offset) - 1)
+            yield pd.DataFrame({"anchor": anchor[at], "key": [k.tobytes() for k in key[at]], "offset": offset[at], "matched": offset[last] - offset[at] + 1})
+
+    dealt, _ = common.stored(hot.mapInArrow(deal, PACKED), "windows")
+    met = dealt.where("bucket >= 0").groupBy("bucket").applyInPandas(meet, PACKED)
+    return dealt.where("bucket < 0").unionByName(met).mapInPandas(unpack, "anchor long, key binary, offset long, matched long")
 
 
 # --- removal -----------------------------------------------------------------------------------------------------
@@ -284,7 +348,7 @@ def with_places(docs: DataFrame) -> DataFrame:
     kinds = lows.groupBy("anchor").agg(F.count("*").alias("kinds"), (F.min("low") < F.max("low")).alias("several")).where("kinds > 1 and several")
     mixed, _ = common.stored(fetched.where("words is not null").select("anchor", "key", "words").join(kinds, "anchor").join(lows, ["anchor", "key"]), "mixed")
     matched = _matched_in_shards(mixed.where(F.col("kinds") <= SHARD))
-    hot = mixed.where(F.col("kinds") > SHARD).select("anchor", "key", "low", "words")
+    hot = mixed.where(F.col("kinds") > SHARD).select("anchor", "key", "low", "words").repartition(common.partitions(docs.sparkSession), "anchor", "key")
     if not hot.isEmpty():
         matched = matched.unionByName(_matched_by_window(hot))
     known = fetched.select("anchor", "key", "doc_id", "tag", "start", "windows").join(lows, ["anchor", "key"])

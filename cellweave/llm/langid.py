@@ -7,11 +7,11 @@ looks rows up and adds them. A text is all its windows, batched; their log-proba
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +26,7 @@ SAMPLE_DOCS, SAMPLE_LEAST, SAMPLE_ALL, SAMPLE_WINDOWS = 500, 20, 32_000, 3
 NOISE_WINDOWS, NOISE_SURE = 1500, 0.9
 STEPS, BATCH, RATE, SEED = 500, 64, 4e-3, 7
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def windows(data: bytes, size: int = WINDOW) -> np.ndarray:

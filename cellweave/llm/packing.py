@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm import simhash
+from cellweave.llm import common, simhash
 
 CAPACITY, SHARD, PER_SOURCE = 16_384, 4096, 4
 
@@ -76,8 +76,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
     ``prefix_tokens.text_counter``; with ``near``) gives for the text, by default bytes. Texts
     longer than ``capacity`` are cut into full bins and a rest. No bin has two pieces of one duplicate cluster or more than
     ``per_source`` pieces of one source. Clusters are the values of the column ``cluster``, or with ``near`` texts that
-    link by fingerprints of up to so many bits, or else texts that are equal. Shards are drawn by a hash of doc_id and
-    text over a count made first, so each is bounded whatever the sources. Null and empty texts have length 0 and take no
+    link by fingerprints of up to so many bits, or else texts that are equal. Shards are drawn by a hash of the row and
+    its number over a count made first, so each is bounded whatever the sources and however often a row repeats. Null and empty texts have length 0 and take no
     bin (bin null); null sources conflict with nothing; repeated rows are copies of each other; an empty table gives an
     empty result; other columns are ignored.
     """
@@ -86,10 +86,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
     size = F.greatest(F.col(length), F.lit(0)) if length else F.octet_length("text")
     group = F.xxhash64(cluster) if cluster else F.xxhash64("text")
     units = [] if count else [F.coalesce(size, F.lit(0)).cast("long").alias("n_units")]
-    light = docs.select("doc_id", "text", *units, F.col("source").cast("string").alias("source"), group.alias("cluster"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"))
+    light = docs.select("doc_id", "text", *units, F.col("source").cast("string").alias("source"), group.alias("cluster"), F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"))
     if near is not None and not cluster:
         keep = tuple(c for c in light.columns if c not in ("doc_id", "text"))
         light = simhash.near_duplicates(light, near, keep=keep, count=count).withColumn("cluster", F.coalesce(F.xxhash64("component_id"), "cluster"))
+    else:
+        light, _ = common.stored(light.drop("text"), "shards")  # numbers of rows are drawn once
     light = light.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), "n_units", "source", "cluster", "shard")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:

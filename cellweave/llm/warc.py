@@ -31,6 +31,7 @@ SEPARATOR = bytes([31, 139, 8, 0, 0, 0, 0, 0, 0, 3, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0
 LEAST_SHARED = 1000
 BLOCK_LINES = 3000
 RECORDS_A_FILE, FILE_BYTES = 20_000, 1 << 30  # a file is read back as one value
+SIZE_CLASSES = (1 << 16, 1 << 20, 1 << 24)
 DATE = "2020-01-01T00:00:00Z"
 
 
@@ -61,7 +62,8 @@ def with_roles(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """One record per row. Control characters in a URL are dropped from its header; a null URL has none."""
+    """One record per row, pages of each class of size in files of their own, so that a large page does not make the files of
+    all others short. Control characters in a URL are dropped from its header; a null URL has none."""
     r = with_roles(pages)
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise(F.lit(""))
     revisit = F.col("record_type") == "revisit"
@@ -85,11 +87,15 @@ def write_archives(pages: DataFrame, path: str) -> None:
             for at in range(0, len(b), 500):
                 yield pd.DataFrame({"value": [gzip.compress(x, 4, mtime=0) for x in b["value"].iloc[at : at + 500]]})
 
-    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
-    records_a_file = max(1, min(RECORDS_A_FILE, FILE_BYTES // (largest + 2048)))
-    packed = r.select(record.alias("value")).mapInPandas(members, "value binary").select(F.col("value").cast("string").alias("value"))
-    packed.write.option("lineSep", SEPARATOR.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", records_a_file).text(path)
-    del r, packed
+    of = lambda size: sum((F.when(F.coalesce(size, F.lit(0)) > at, 1).otherwise(0) for at in SIZE_CLASSES), F.lit(0))
+    classes = pages.groupBy(of(F.octet_length("html")).alias("size_class")).agg(F.max(F.octet_length("html")).alias("largest")).collect()  # four rows at most
+    for own in sorted(classes) or [(0, 0)]:
+        largest = max(own[1] or 0, SIZE_CLASSES[0] // 4)
+        packed = r.where(of(F.col("payload_bytes")) == own[0]).select(record.alias("value")).mapInPandas(members, "value binary").select(F.col("value").cast("string").alias("value"))
+        writer = packed.write.mode("append").option("lineSep", SEPARATOR.decode("latin-1")).option("encoding", "ISO-8859-1")
+        writer.option("maxRecordsPerFile", max(1, min(RECORDS_A_FILE, FILE_BYTES // (largest + 2048)))).text(path)
+        del packed, writer
+    del r
     common.release(pages.sparkSession)
 
 

@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cellweave.llm import automaton_dedup, common, conversation_repair, queries, spelling
+from cellweave.llm import automaton_dedup, common, conversation_repair, langid, packing, queries, spelling, warc
 
 SF = "/root/testdata/sf0.001"
 SPACES = re.compile(r"[^\x20\x09-\x0D]")
@@ -330,3 +330,26 @@ def test_pieces_cover_every_window_once(ends):
     _, start, windows = automaton_dedup.pieces(words, np.array(ends))
     got = [s + k for s, n in zip(start, windows, strict=True) for k in range(n)]
     assert got == [k for a, b in zip([0, *ends], ends, strict=False) for k in range(a, b - 49)]
+
+
+# --- older operators ---------------------------------------------------------------------------------------------
+
+
+def test_numerals_are_no_letters(spark):
+    rows = [(k, t, "en") for k, t in enumerate(["the house and the river", "stones and light and water"] * 30)] + [(100, "½", None), (101, "² 3", None), (102, "Ⅷ _", None), (103, "ª", None), (104, "中", None)]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [got[k] for k in range(100, 105)] == ["und", "und", "und", "en", "en"]
+
+
+def test_rows_that_repeat_fill_bounded_shards(spark):
+    df = spark.range(20_000).selectExpr("1L as doc_id", "'the same words' as text", "'s' as source").repartition(4)
+    sizes = [r["count"] for r in packing.pack(df, shard=1000).groupBy("shard").count().collect()]
+    assert len(sizes) == 20 and sum(sizes) == 20_000 and max(sizes) < 1300
+
+
+def test_one_large_page_leaves_the_other_files_long(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 22)
+    rows = [(k, f"http://a.example/{k}", f"<p>{k}</p>") for k in range(200)] + [(200, "http://a.example/big", "x" * 5_000_000), (201, "http://b.example/big", "y" * 100_000), (202, None, None)]
+    captures, _ = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    parts = Counter(r["part"] for r in captures.select("part").collect())
+    assert sorted(parts.values()) == [1, 1, 201] and captures.where("payload_bytes = 5000000").count() == 1

@@ -88,7 +88,7 @@ def adjust(df: DataFrame, p: str = "p", out: str = "q", method: str = "bh", by:
     step = df.withColumn("_rank", F.row_number().over(ordered)).withColumn("_m", m)
     factor = F.aggregate(F.sequence(F.lit(1), F.col("_m").cast("int")), F.lit(0.0), lambda acc, i: acc + 1.0 / i) if method == "by" else F.lit(1.0)
     step = step.withColumn("_step", F.least(F.lit(1.0), F.col(p) * F.col("_m") * factor / F.col("_rank")))
-    down = part.orderBy("_rank").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    down = part.orderBy(F.col("_rank").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a running minimum: linear
     return step.withColumn(out, F.when(F.col(p).isNotNull(), F.min("_step").over(down))).drop("_rank", "_m", "_step")
 
 

@@ -397,14 +397,6 @@ def nnls_proportions(s, d):
     return deconvolution.proportions(c, ref)
 
 
-@query("SELECT m.obs_id, gene_id, round(ms, 6) AS ms, round(mu, 6) AS mu, round(mu - g * ms, 3) + 0.0 AS velocity FROM (SELECT src AS obs_id, gene_id, sum(spliced) / 5.0 AS ms, sum(unspliced) / 5.0 AS mu FROM e JOIN layers ON layers.obs_id = dst GROUP BY 1, 2) m JOIN (SELECT gene_id, sum(mu * ms) / sum(ms * ms) AS g FROM (SELECT src AS obs_id, gene_id, sum(spliced) / 5.0 AS ms, sum(unspliced) / 5.0 AS mu FROM e JOIN layers ON layers.obs_id = dst GROUP BY 1, 2) GROUP BY 1 HAVING sum(ms * ms) > 0) USING (gene_id)".replace(" e ", " (SELECT a.s_suppkey AS src, (a.s_suppkey + i) % (SELECT count(*) FROM supplier) AS dst FROM supplier a, range(0, 5) t(i)) e "))
-def velocity_moments(s, d):
-    n = proxy.cells(s, d).count()
-    e = proxy.cells(s, d).select(F.col("obs_id").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("i")).select("src", ((F.col("src") + F.col("i")) % n).alias("dst"))
-    m = dynamics.moments(proxy.layers(s, d), e)
-    return m.join(dynamics.velocity(m).select("obs_id", "gene_id", "velocity"), ["obs_id", "gene_id"]).select("obs_id", "gene_id", r6("ms"), r6("mu"), (F.round("velocity", 3) + 0.0).alias("velocity"))
-
-
 _MOM = "(SELECT src AS obs_id, gene_id, sum(spliced) / 5.0 AS ms, sum(unspliced) / 5.0 AS mu FROM (SELECT a.s_suppkey AS src, (a.s_suppkey + i) % (SELECT count(*) FROM supplier) AS dst FROM supplier a, range(0, 5) t(i)) e JOIN layers ON layers.obs_id = dst GROUP BY 1, 2)"
 _VEL = f"(SELECT o.s_suppkey AS obs_id, g.gene_id, coalesce(mu - gamma * ms, 0) AS v, coalesce(ms, 0) AS ms FROM supplier o CROSS JOIN (SELECT gene_id, sum(mu * ms) / sum(ms * ms) AS gamma FROM {_MOM} GROUP BY 1 HAVING sum(ms * ms) > 0) g LEFT JOIN {_MOM} m ON m.obs_id = o.s_suppkey AND m.gene_id = g.gene_id)"
 
@@ -414,6 +406,15 @@ def _ring(s, d):
     return proxy.cells(s, d).select(F.col("obs_id").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("i")).select("src", ((F.col("src") + F.col("i")) % n).alias("dst"))
 
 
+@query(f"SELECT m.obs_id, gene_id, round(ms, 6) AS ms, round(mu, 6) AS mu, round(mu * ss - us * ms, 3) + 0.0 AS scaled_velocity FROM {_MOM} m JOIN (SELECT gene_id, sum(mu * ms) AS us, sum(ms * ms) AS ss FROM {_MOM} GROUP BY 1 HAVING sum(ms * ms) > 0) USING (gene_id)")
+def velocity_moments(s, d):
+    """Velocity times the gene's sum of squares, which has few decimals: the quotient has true ties at any number of places."""
+    m = dynamics.moments(proxy.layers(s, d), _ring(s, d))
+    squares = m.groupBy("gene_id").agg(F.sum(F.col("ms") * F.col("ms")).alias("ss"))
+    v = m.join(dynamics.velocity(m).select("obs_id", "gene_id", "velocity"), ["obs_id", "gene_id"]).join(squares, "gene_id")
+    return v.select("obs_id", "gene_id", r6("ms"), r6("mu"), (F.round(F.col("velocity") * F.col("ss"), 3) + 0.0).alias("scaled_velocity"))
+
+
 @query(f"SELECT a.obs_id AS src, b.obs_id AS dst, round(sum(a.v * (b.ms - a.ms)) / sqrt(sum(a.v * a.v) * sum((b.ms - a.ms) * (b.ms - a.ms))), 5) + 0.0 AS cosine FROM {_VEL} a JOIN {_VEL} b ON a.gene_id = b.gene_id JOIN range(1, 5) t(i) ON b.obs_id = (a.obs_id + i) % (SELECT count(*) FROM supplier) GROUP BY 1, 2")
 def velocity_graph(s, d):
     e = _ring(s, d)

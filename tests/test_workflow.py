@@ -212,8 +212,6 @@ def test_limits_are_errors(spark):
         neighbors.hops(e, nodes, 3)
     with pytest.raises(RuntimeError):
         neighbors.connected(e, nodes, 1)
-    with pytest.raises(errors.DataError):
-        embedding.communities(e, nodes, most_edges=5)
     with pytest.raises(RuntimeError):
         embedding.label_propagation(e, nodes, 1)
     assert embedding.label_propagation(e, nodes).count() == 13

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cellweave.errors import ParameterError
 from cellweave.functions import stats
+from cellweave.operators.pairs import pair_counts
 from cellweave.operators.preprocess import densify
 from cellweave.storage import cut
 
@@ -286,16 +287,11 @@ def neighbourhood_enrichment(edges: DataFrame, labels: DataFrame, permutations:
 def co_occurrence(points: DataFrame, labels: DataFrame, bins: int = 50) -> DataFrame:
     """(label_a, label_b, bin, ratio): P(b near a within the distance of the bin) / P(b near anything), cumulative.
 
-    Distances go up to half of the largest extent; only pairs within that meet, through a grid join.
+    Distances go up to half of the largest extent; pairs are counted by blocks (``pair_counts``).
     """
-    from cellweave.operators.neighbors import radius_edges
-
     x0, x1, y0, y1 = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    top = math.hypot(x1 - x0, y1 - y0) / 2
     y = labels.select("obs_id", "label")
-    e = radius_edges(points, top).withColumn("bin", F.least(F.lit(bins), F.floor(F.col("d") / (top / bins)) + 1).cast("int"))
-    e = e.join(y.select(F.col("obs_id").alias("src"), F.col("label").alias("label_a")), "src").join(y.select(F.col("obs_id").alias("dst"), F.col("label").alias("label_b")), "dst")
-    counts = e.groupBy("label_a", "label_b", "bin").agg(F.count("*").alias("n"))
+    counts = pair_counts(points.select("obs_id", "x", "y").join(y, "obs_id"), math.hypot(x1 - x0, y1 - y0) / 2, bins, False, label="label")
     grid = y.select(F.col("label").alias("label_a")).distinct().join(y.select(F.col("label").alias("label_b")).distinct()).withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
     counts = grid.join(counts, ["label_a", "label_b", "bin"], "left").na.fill(0, ["n"])
     w = Window.partitionBy("label_a", "label_b").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
@@ -305,14 +301,8 @@ def co_occurrence(points: DataFrame, labels: DataFrame, bins: int = 50) -> DataF
 
 
 def _ripley(points: DataFrame, by: tuple[str, ...], steps: int, area: float, top: float) -> DataFrame:
-    """(*by, step, l) for point sets (*by, obs_id, x, y): a grid join within each set."""
-    cell = {"cx": F.floor(F.col("x") / top), "cy": F.floor(F.col("y") / top)}
-    around = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
-    a = points.withColumns(cell).withColumn("ox", around).withColumn("oy", around).select(*by, F.col("obs_id").alias("src"), "x", "y", (F.col("cx") + F.col("ox")).alias("cx"), (F.col("cy") + F.col("oy")).alias("cy"))
-    b = points.withColumns(cell).select(*by, F.col("obs_id").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"), "cx", "cy")
-    d = F.sqrt((F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2")))
-    near = a.join(b, [*by, "cx", "cy"]).where("src <> dst").withColumn("d", d).where(F.col("d") <= top)
-    hist = near.groupBy(*by, F.greatest(F.lit(1), F.ceil(F.col("d") / (top / steps))).cast("int").alias("step")).agg(F.count("*").alias("n"))
+    """(*by, step, l) for point sets (*by, obs_id, x, y); pairs are counted by blocks within each set."""
+    hist = pair_counts(points, top, steps, True, by).withColumnRenamed("bin", "step")
     grid = points.groupBy(*by).agg(F.count("*").alias("size")).where("size > 1").withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
     w = Window.partitionBy(*by).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     c = grid.join(hist, [*by, "step"], "left").na.fill(0, ["n"]).withColumn("c", F.sum("n").over(w))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellweave.operators import annotation, cnv, communication, domains, dynamics, embedding, integration, neighbors, plotdata, preprocess, spatial, summaries
+from cellweave.operators import annotation, cnv, communication, delaunay, domains, dynamics, embedding, integration, leiden, neighbors, plotdata, preprocess, spatial, summaries
 from cellweave.plans import proxy
 from cellweave.plans.proxy import query, r6, sql_bh, sql_normal_p
 from cellweave.sources import sinks
@@ -276,7 +276,7 @@ def ccc_tile(s, d):
     return communication.tile(communication.pair_scores(proxy.spot_values(s, d), _groups(s, d), proxy.pairs(s, d))).select("pair", "cell_pair", r6("score"))
 
 
-@query("SELECT v.obs_id, ligand, receptor, round(v.value * r.lag, 6) + 0.0 AS local FROM lr JOIN vals v ON v.gene_id = ligand JOIN (SELECT src AS obs_id, gene_id, avg(value) AS lag FROM nn JOIN vals ON vals.obs_id = dst GROUP BY 1, 2) r ON r.obs_id = v.obs_id AND r.gene_id = receptor")
+@query("SELECT r.obs_id, ligand, receptor, round(v.value * r.near, 6) + 0.0 AS local FROM (SELECT src AS obs_id, gene_id - 1 AS below, gene_id, sum(value) / 6 AS near FROM nn JOIN vals ON vals.obs_id = dst GROUP BY ALL) r JOIN lr ON receptor = r.gene_id AND ligand = r.below JOIN vals v ON v.obs_id = r.obs_id AND v.gene_id = r.below")
 def local_lr_products(s, d):
     return communication.local_products(proxy.spot_values(s, d), _graph(s, d), proxy.pairs(s, d)).select("obs_id", "ligand", "receptor", r6("local"))
 
@@ -589,3 +589,17 @@ def cnv_statistics(s, d):
 @query("SELECT cluster AS label, round(avg(degree), 6) AS degree FROM spots JOIN (SELECT i, count(*) AS degree FROM (SELECT a AS i FROM und UNION ALL SELECT b FROM und) GROUP BY 1) ON i = obs_id GROUP BY 1")
 def degree_by_label(s, d):
     return spatial.centrality_by_label(neighbors.degree(_graph(s, d)), _labels(s, d), "degree").select("label", r6("degree"))
+
+
+_BISECTOR = "SELECT a.obs_id AS src, b.obs_id AS dst, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, (a.x - b.x) * (k.y - (a.y + b.y) / 2) - (a.y - b.y) * (k.x - (a.x + b.x) / 2) AS s, (k.x - (a.x + b.x) / 2) * (k.x - (a.x + b.x) / 2) + (k.y - (a.y + b.y) / 2) * (k.y - (a.y + b.y) / 2) - ((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 4 AS q FROM spots a JOIN spots b ON a.obs_id < b.obs_id JOIN spots k ON k.obs_id <> a.obs_id AND k.obs_id <> b.obs_id"
+
+
+@query(f"SELECT src, dst, round(d, 6) AS d FROM ({_BISECTOR}) GROUP BY src, dst, d HAVING coalesce(max(CASE WHEN s < 0 THEN q / (2 * s) END), -1e300) < coalesce(min(CASE WHEN s > 0 THEN q / (2 * s) END), 1e300)")
+def delaunay_edges(s, d):
+    """Edges of the triangulation; the SQL asks of every pair whether some circle through both is empty."""
+    return delaunay.delaunay_edges(proxy.spots(s, d)).select("src", "dst", r6("d"))
+
+
+@query("SELECT round(2 * sum(inner_) / sum(k) - sum(k * k) / (sum(k) * sum(k)), 9) AS modularity FROM (SELECT c, sum(inner_) AS inner_, sum(k) AS k FROM (SELECT a.cluster AS c, CASE WHEN a.cluster = b.cluster THEN 1.0 ELSE 0.0 END AS inner_, 1.0 AS k FROM nn JOIN spots a ON a.obs_id = src JOIN spots b ON b.obs_id = dst UNION ALL SELECT b.cluster, 0.0, 1.0 FROM nn JOIN spots b ON b.obs_id = dst) GROUP BY c)")
+def cluster_modularity(s, d):
+    return leiden.modularity(_graph(s, d), proxy.spots(s, d)).select(F.round("modularity", 9).alias("modularity"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.errors import DataError, ParameterError
 from cellweave.functions import stats
+from cellweave.operators import dispersion
+from cellweave.storage import cut
 
 
 def _sizes(groups: DataFrame) -> DataFrame:
@@ -136,19 +136,20 @@ def pseudobulk(counts: DataFrame, samples: DataFrame, by: tuple[str, ...] = ("sa
     return x.join(F.broadcast(n), list(by))
 
 
-def size_factors(bulk: DataFrame, sample: str = "sample", positive: bool = False) -> DataFrame:
-    """(sample, size_factor): median over genes of count over the gene's geometric mean, genes positive in every sample.
+def size_factors(bulk: DataFrame, sample: str = "sample", positive: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, sample, size_factor): median over genes of count over the gene's geometric mean, genes positive in every sample.
 
     With ``positive``, where no such gene exists: geometric means over all samples of the positive counts (zeros count as
-    one), medians over the genes that a sample has, and factors of geometric mean one.
+    one), medians over the genes that a sample has, and factors of geometric mean one. Each set of ``by`` stands alone.
     """
-    n = bulk.select(sample).distinct().agg(F.count("*").alias("n_s"))
-    logs = bulk.where("value > 0").groupBy("gene_id").agg(F.sum(F.log("value")).alias("sl"), F.count("*").alias("n_g")).join(F.broadcast(n))
-    means = logs.select("gene_id", (F.col("sl") / F.col("n_s")).alias("lg")) if positive else logs.where("n_g = n_s").select("gene_id", (F.col("sl") / F.col("n_g")).alias("lg"))
-    out = bulk.where("value > 0").join(means, "gene_id").groupBy(sample).agg(F.median(F.log("value") - F.col("lg")).alias("lf"))
+    beside = lambda rows, sets: rows.join(F.broadcast(sets), list(by) if by else F.lit(True))  # noqa: E731  a row per set
+    n = bulk.select(*by, sample).distinct().groupBy(*by).agg(F.count("*").alias("n_s"))
+    logs = beside(bulk.where("value > 0").groupBy(*by, "gene_id").agg(F.sum(F.log("value")).alias("sl"), F.count("*").alias("n_g")), n)
+    means = logs.select(*by, "gene_id", (F.col("sl") / F.col("n_s")).alias("lg")) if positive else logs.where("n_g = n_s").select(*by, "gene_id", (F.col("sl") / F.col("n_g")).alias("lg"))
+    out = bulk.where("value > 0").join(means, [*by, "gene_id"]).groupBy(*by, sample).agg(F.median(F.log("value") - F.col("lg")).alias("lf"))
     if positive:
-        out = out.join(F.broadcast(out.agg(F.avg("lf").alias("mid")))).withColumn("lf", F.col("lf") - F.col("mid"))
-    return out.select(sample, F.exp("lf").alias("size_factor"))
+        out = beside(out, out.groupBy(*by).agg(F.avg("lf").alias("mid"))).withColumn("lf", F.col("lf") - F.col("mid"))
+    return out.select(*by, sample, F.exp("lf").alias("size_factor"))
 
 
 def condition_fold_change(bulk: DataFrame, factors: DataFrame, a: str, b: str, pseudocount: float = 1.0, by: tuple[str, ...] = ()) -> DataFrame:
@@ -161,45 +162,9 @@ def condition_fold_change(bulk: DataFrame, factors: DataFrame, a: str, b: str, p
     return g.select(*by, "gene_id", "mean_a", "mean_b", F.log2((F.col("mean_a") + pseudocount) / (F.col("mean_b") + pseudocount)).alias("log2fc"))
 
 
-def negative_binomial_wald(bulk: DataFrame, factors: DataFrame, a: str, b: str) -> DataFrame:
-    """(gene_id, base_mean, log2fc, se, p, q): two-condition NB regression per gene by IRLS, moment dispersions within conditions, Wald test.
-
-    Grouped by gene, one row per sample: each group is as long as there are samples.
-    """
-    import pandas as pd
-
-    x = bulk.where(F.col("condition").isin(a, b)).join(F.broadcast(factors), "sample")
-    samples = bulk.where(F.col("condition").isin(a, b)).select("sample", "condition").distinct().join(F.broadcast(factors), "sample")
-    dense = x.select("gene_id").distinct().join(F.broadcast(samples)).join(x.select("gene_id", "sample", "value"), ["gene_id", "sample"], "left").na.fill(0.0, ["value"])
-
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        y, s = g["value"].to_numpy(float), g["size_factor"].to_numpy(float)
-        design = np.column_stack([np.ones(len(g)), (g["condition"] == a).to_numpy(float)])
-        q = y / s
-        base, over, under = q.mean(), 0.0, 0.0
-        for side in (design[:, 1] == 0, design[:, 1] == 1):  # the spread within the conditions, not between them
-            if side.sum() > 1:
-                m = q[side].mean()
-                over += (side.sum() - 1) * (q[side].var(ddof=1) - m * (1 / s[side]).mean())
-                under += (side.sum() - 1) * m**2
-        alpha = max(1e-8, over / under) if under > 0 else 1.0
-        beta = np.array([np.log(max(base, 1e-8)), 0.0])
-        for _ in range(50):
-            mu = np.maximum(s * np.exp(np.clip(design @ beta, -30, 30)), 1e-8)
-            w = mu / (1 + alpha * mu)
-            info = design.T @ (design * w[:, None]) + 1e-6 * np.eye(2)
-            step = np.linalg.solve(info, design.T @ (w * (y - mu) / mu) - 1e-6 * beta)
-            beta = beta + np.clip(step, -5, 5)
-            if np.abs(step).max() < 1e-8:
-                break
-        se = float(np.sqrt(np.linalg.inv(info)[1, 1]))
-        return pd.DataFrame({"gene_id": [g["gene_id"].iloc[0]], "base_mean": [base], "log2fc": [beta[1] / np.log(2)], "se": [se / np.log(2)]})
-
-    kind = dict(bulk.dtypes)["gene_id"]
-    out = dense.groupBy("gene_id").applyInPandas(fit, f"gene_id {kind}, base_mean double, log2fc double, se double").where("base_mean > 0")
-    return stats.adjust(out.withColumn("p", stats.normal_two_sided(F.col("log2fc") / F.col("se"))), "p", "q", "bh", (), ("gene_id",))
+def negative_binomial_wald(bulk: DataFrame, factors: DataFrame, a: str, b: str, shrink: bool = True) -> DataFrame:
+    """(gene_id, base_mean, dispersion, log2fc, se, p, q): two-condition negative-binomial regression, see ``dispersion.wald``."""
+    return dispersion.wald(bulk, factors, a, b, shrink=shrink)
 
 
 def regulated(tested: DataFrame, q: float = 0.05, fold: float = 0.0, n: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
@@ -211,17 +176,13 @@ def regulated(tested: DataFrame, q: float = 0.05, fold: float = 0.0, n: int | No
 
 
 def wald_by_stratum(counts: DataFrame, samples: DataFrame, a, b, stratum: str = "cell_type", min_cells: int = 10) -> DataFrame:
-    """``negative_binomial_wald`` within each value of ``stratum``, with size factors of its own: (stratum, gene_id, ...), BH within it."""
-    kind = dict(samples.dtypes)[stratum]
-    parts = []
-    for r in samples.select(stratum).distinct().orderBy(stratum).collect():  # a row per cell type
-        inside = samples.where(F.col(stratum).eqNullSafe(F.lit(r[0])))
-        bulk = pseudobulk(counts, inside, min_cells=min_cells)
-        if bulk.where(F.col("condition").isin(a, b)).select("condition").distinct().count() == 2:
-            parts.append(negative_binomial_wald(bulk, size_factors(bulk, positive=True), a, b).withColumn(stratum, F.lit(r[0]).cast(kind)))
-    if not parts:
+    """``negative_binomial_wald`` within each value of ``stratum``, with size factors and a trend of its own: (stratum, gene_id, ...),
+    BH within it. The strata are a key of one job; those with one condition, and cells of none, are left out."""
+    bulk = cut(pseudobulk(counts, samples, ("sample", "condition", stratum), min_cells))
+    sides = bulk.where(F.col("condition").isin(a, b)).groupBy(stratum).agg(F.countDistinct("condition").alias("n"))
+    if sides.where("n = 2").isEmpty():
         raise DataError(f"no {stratum} has samples of both conditions")
-    return reduce(DataFrame.unionByName, parts)
+    return dispersion.wald(bulk, size_factors(bulk, positive=True, by=(stratum,)), a, b, (stratum,))
 
 
 def logistic_markers(dense: DataFrame, groups: DataFrame, regularisation: float = 0.1) -> DataFrame:

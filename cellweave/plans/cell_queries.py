@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellweave.functions import stats
-from cellweave.operators import deconvolution, dynamics, enrichment, integration, markers, neighbors, plotdata, preprocess, profile
+from cellweave.operators import deconvolution, dispersion, dynamics, enrichment, integration, markers, neighbors, plotdata, preprocess, profile
 from cellweave.plans import proxy
 from cellweave.plans.proxy import query, r6, sql_bh, sql_normal_p, sql_student_p
 
@@ -456,3 +456,22 @@ def windowed_qc(s, d):
 
     e = proxy.table(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("key"), "value")
     return run(e).select(F.col("start").cast("timestamp_ntz").alias("start"), "key", "n", F.round("total", 4).alias("total"))
+
+
+def _trend_sql(points: str, rounds: int) -> str:
+    """Coefficients of the dispersion trend, each round a table over the one before."""
+    steps = [f"p AS ({points})"]
+    for k in range(rounds):
+        weighed = "SELECT x, y, 1 / (y * y) AS w FROM p" if not k else f"SELECT x, y, 1 / (fit * fit) AS w FROM (SELECT x, y, greatest(a1 * x + a0, 1e-8) AS fit FROM p, f{k - 1}) WHERE y / fit > 1e-4 AND y / fit < 15"
+        sums = f"SELECT count(*) AS n, sum(w) AS s, sum(w * x) AS sx, sum(w * x * x) AS sxx, sum(w * y) AS sy, sum(w * x * y) AS sxy FROM ({weighed})"
+        slope = f"SELECT *, CASE WHEN s * sxx - sx * sx > 1e-12 * s * sxx THEN (s * sxy - sx * sy) / (s * sxx - sx * sx) ELSE 0 END AS b FROM ({sums}) WHERE n > 1"
+        steps.append(f"f{k} AS MATERIALIZED (SELECT CASE WHEN b < 0 THEN sy / s WHEN a < 0 THEN 0 ELSE a END AS a0, CASE WHEN b < 0 THEN 0 WHEN a < 0 THEN sxy / sxx ELSE b END AS a1 FROM (SELECT *, sy / s - b * sx / s AS a FROM ({slope})))")
+    return f"(WITH {', '.join(steps)} SELECT a0, a1 FROM f{rounds - 1})"
+
+
+@query("SELECT round(a0, 6) AS a0, round(a1, 6) AS a1 FROM " + _trend_sql("SELECT 1 / mean AS x, (var - mean) / (mean * mean) AS y FROM (SELECT gene_id, s / n AS mean, (q - s * s / n) / (n - 1) AS var FROM (SELECT gene_id, sum(value) AS s, sum(value * value) AS q, (SELECT count(*) FROM cells) AS n FROM counts GROUP BY 1)) WHERE mean > 0 AND (var - mean) / (mean * mean) > 1e-6", 10))
+def dispersion_trend(s, d):
+    n = proxy.cells(s, d).count()
+    m = stats.zero_aware(proxy.counts(s, d), ("gene_id",), F.lit(n), ddof=1)
+    points = m.select("mean", ((F.col("var") - F.col("mean")) / (F.col("mean") * F.col("mean"))).alias("dispersion"))
+    return dispersion.trend(points).select(F.round("a0", 6).alias("a0"), F.round("a1", 6).alias("a1"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellweave.operators import annotation, cnv, communication, delaunay, domains, dynamics, embedding, integration, leiden, neighbors, plotdata, preprocess, spatial, summaries
+from cellweave.operators import annotation, cnv, communication, delaunay, domains, dynamics, embedding, integration, leiden, neighbors, plotdata, preprocess, spatial, spatial_genes, summaries
 from cellweave.plans import proxy
 from cellweave.plans.proxy import query, r6, sql_bh, sql_normal_p
 from cellweave.sources import sinks
@@ -603,3 +603,8 @@ def delaunay_edges(s, d):
 @query("SELECT round(2 * sum(inner_) / sum(k) - sum(k * k) / (sum(k) * sum(k)), 9) AS modularity FROM (SELECT c, sum(inner_) AS inner_, sum(k) AS k FROM (SELECT a.cluster AS c, CASE WHEN a.cluster = b.cluster THEN 1.0 ELSE 0.0 END AS inner_, 1.0 AS k FROM nn JOIN spots a ON a.obs_id = src JOIN spots b ON b.obs_id = dst UNION ALL SELECT b.cluster, 0.0, 1.0 FROM nn JOIN spots b ON b.obs_id = dst) GROUP BY c)")
 def cluster_modularity(s, d):
     return leiden.modularity(_graph(s, d), proxy.spots(s, d)).select(F.round("modularity", 9).alias("modularity"))
+
+
+@query()
+def gaussian_process_genes(s, d):
+    return spatial_genes.gaussian_process(proxy.spot_values(s, d), proxy.spots(s, d))

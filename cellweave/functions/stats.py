@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cellweave.storage import cut
+
 # Rational approximation of the normal tail to double precision (West 2005, after Hart 1968).
 TAIL_NUMERATOR = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
 TAIL_DENOMINATOR = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
@@ -98,6 +100,25 @@ def average_rank(value: str, by: tuple[str, ...]) -> Column:
     return F.rank().over(w.orderBy(value)) + (F.count("*").over(w.partitionBy(*by, value)) - 1) / 2.0
 
 
+def overall_rank(df: DataFrame, value: str, out: str) -> DataFrame:
+    """Adds the rank over all rows, the largest value first (nulls last), ties at their mean.
+
+    Distinct values are sorted by ranges and counted; the driver adds up a number for each range, and no task sees all rows.
+    """
+    order = F.col(value).desc_nulls_last()
+    sizes = df.groupBy(value).agg(F.count("*").alias("_n"))
+    ranged = cut(sizes.repartitionByRange(order).sortWithinPartitions(order).select(F.col(value).alias("_value"), "_n", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")))
+    starts, total = [], 0
+    for part, n in sorted(map(tuple, ranged.groupBy("_part").agg(F.sum("_n")).collect())):
+        starts.append((part, total))
+        total += n
+    before = df.sparkSession.createDataFrame(starts, "_part int, _start long")
+    w = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranks = ranged.withColumn("_upto", F.sum("_n").over(w)).join(F.broadcast(before), "_part")
+    ranks = ranks.select("_value", (F.col("_start") + F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(out))
+    return df.join(ranks, F.col(value).eqNullSafe(F.col("_value"))).drop("_value")
+
+
 def zero_aware(expr: DataFrame, by: tuple[str, ...], n: Column, ddof: int = 0) -> DataFrame:
     """Mean and variance of groups that also hold implicit zeros: ``n`` observations in all, of which only non-zeros have rows."""
     s, q = F.sum("value"), F.sum(F.col("value") * F.col("value"))

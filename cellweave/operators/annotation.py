@@ -24,7 +24,7 @@ def marker_scores(scaled: DataFrame, markers: DataFrame) -> DataFrame:
     m = markers.join(freq, "gene_id", "left").na.fill(1.0, ["weight"])
     present = m.join(scaled.select("gene_id").distinct(), "gene_id", "left_semi")
     n = present.groupBy("cell_type").agg(F.count_if(F.col("direction") > 0).alias("np"), F.count_if(F.col("direction") < 0).alias("nn"))
-    x = scaled.join(F.broadcast(present), "gene_id")
+    x = scaled.join(present, "gene_id")
     s = x.groupBy("obs_id", "cell_type").agg(F.sum(F.when(F.col("direction") > 0, F.col("value") * F.col("weight")).otherwise(0.0)).alias("sp"), F.sum(F.when(F.col("direction") < 0, F.col("value")).otherwise(0.0)).alias("sn"))
     s = s.join(F.broadcast(n), "cell_type")
     return s.select("obs_id", "cell_type", (F.when(F.col("np") > 0, F.col("sp") / F.sqrt("np")).otherwise(0.0) - F.when(F.col("nn") > 0, F.col("sn") / F.sqrt("nn")).otherwise(0.0)).alias("score"))
@@ -52,10 +52,10 @@ def spearman_reference(dense: DataFrame, profiles: DataFrame) -> DataFrame:
     from cellweave.functions.stats import average_rank
 
     genes = profiles.select("gene_id").distinct()
-    a = dense.join(F.broadcast(genes), "gene_id", "left_semi").withColumn("ra", average_rank("value", ("obs_id",)))
+    a = dense.join(genes, "gene_id", "left_semi").withColumn("ra", average_rank("value", ("obs_id",)))
     shared = dense.select("gene_id").distinct()
     b = profiles.join(shared, "gene_id", "left_semi").withColumn("rb", average_rank("value", ("cell_type",)))
-    return a.select("obs_id", "gene_id", "ra").join(F.broadcast(b.select("cell_type", "gene_id", "rb")), "gene_id").groupBy("obs_id", "cell_type").agg(F.corr("ra", "rb").alias("rho"))
+    return a.select("obs_id", "gene_id", "ra").join(b.select("cell_type", "gene_id", "rb"), "gene_id").groupBy("obs_id", "cell_type").agg(F.corr("ra", "rb").alias("rho"))
 
 
 def marker_size_factors(expr: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def pair_p_values(expr: DataFrame, groups: DataFrame, pairs: DataFrame, permutat
 def complexes(means: DataFrame, members: DataFrame, how: str = "min") -> DataFrame:
     """(group, complex, mean): a complex is as high as its lowest member, or its average; all members must be present."""
     n = members.groupBy("complex").agg(F.count("*").alias("size"))
-    x = means.join(F.broadcast(members), "gene_id").groupBy("group", "complex").agg((F.min if how == "min" else F.avg)("mean").alias("mean"), F.count("*").alias("k"))
+    x = means.join(members, "gene_id").groupBy("group", "complex").agg((F.min if how == "min" else F.avg)("mean").alias("mean"), F.count("*").alias("k"))
     return x.join(F.broadcast(n), "complex").where("k = size").select("group", "complex", "mean")
 
 
@@ -56,7 +56,7 @@ def local_products(expr: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataF
     w = edges.withColumn("w", 1.0 / F.count("*").over(Window.partitionBy("src")))
     rec = expr.select(F.col("obs_id").alias("dst"), F.col("gene_id").alias("receptor"), F.col("value").alias("rv"))
     lag = w.join(rec, "dst").groupBy(F.col("src").alias("obs_id"), "receptor").agg(F.sum(F.col("w") * F.col("rv")).alias("lag"))
-    lig = expr.select("obs_id", F.col("gene_id").alias("ligand"), "value").join(F.broadcast(pairs), "ligand")
+    lig = expr.select("obs_id", F.col("gene_id").alias("ligand"), "value").join(pairs, "ligand")
     return lig.join(lag, ["obs_id", "receptor"]).select("obs_id", "ligand", "receptor", (F.col("value") * F.col("lag")).alias("local"))
 
 
@@ -100,10 +100,9 @@ def rank_aggregate(scores: DataFrame, columns: tuple[str, ...] = ("mean", "produ
     of m (a binomial tail); the least of the m p-values, times m, at most one.
     """
     m = len(columns)
-    ranked = scores
+    ranked, n = scores, scores.count()
     for c in columns:
-        w = Window.orderBy(F.col(c).desc())  # a row per pair of genes and groups
-        ranked = ranked.withColumn(f"_{c}", (F.rank().over(w) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2.0) / F.count("*").over(Window.partitionBy(F.lit(0))))
+        ranked = stats.overall_rank(ranked, c, f"_{c}").withColumn(f"_{c}", F.col(f"_{c}") / n)
     shares = ranked.withColumn("_r", F.array_sort(F.array(*[F.col(f"_{c}") for c in columns])))
 
     def tail(k: int):

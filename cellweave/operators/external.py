@@ -11,7 +11,7 @@ SUBSTITUTES = {
     "normalisation": {"sctransform": "preprocess.pearson_residuals", "scvi": "preprocess.normalise"},
     "embedding": {"umap": "the first two components of embedding.pca"},
     "domains": {"spagcn": "domains.spatial_domains", "stagate": "domains.spatial_domains", "graphst": "domains.spatial_domains"},
-    "spatial_genes": {"spatialde": "spatial_genes.spatially_variable"},
+    "spatial_genes": {"spatialde": "spatial_genes.gaussian_process"},
     "annotation": {"tangram": "deconvolution.proportions", "scanvi": "annotation.marker_scores", "cellassign": "annotation.marker_scores", "language_model": "annotation.map_clusters"},
     "communication": {"cellchat": "communication.pair_p_values", "fastccc": "communication.combined_p"},
     "velocity": {"dynamical": "dynamics.velocity", "velovi": "dynamics.velocity"},

@@ -82,7 +82,7 @@ def pair_regression(dense: DataFrame, pairs: DataFrame) -> DataFrame:
     """(ligand, receptor, r, slope, intercept) of receptor on ligand."""
     a = dense.select("obs_id", F.col("gene_id").alias("ligand"), F.col("value").alias("l"))
     b = dense.select("obs_id", F.col("gene_id").alias("receptor"), F.col("value").alias("r"))
-    x = a.join(F.broadcast(pairs), "ligand").join(b, ["obs_id", "receptor"])
+    x = a.join(pairs, "ligand").join(b, ["obs_id", "receptor"])
     return x.groupBy("ligand", "receptor").agg(F.corr("l", "r").alias("r"), F.regr_slope("r", "l").alias("slope"), F.regr_intercept("r", "l").alias("intercept"))
 
 

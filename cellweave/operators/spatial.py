@@ -218,7 +218,7 @@ def bivariate_moran(edges: DataFrame, values: DataFrame, pairs: DataFrame) -> Da
     z = centred(values)
     zz = z.groupBy("gene_id").agg(F.sum(F.col("z") * F.col("z")).alias("zz"), F.count("*").alias("n"))
     lag = _lag(edges, z).withColumnRenamed("gene_id", "gene_y")
-    x = z.select("obs_id", F.col("gene_id").alias("gene_x"), "z").join(F.broadcast(pairs), "gene_x")
+    x = z.select("obs_id", F.col("gene_id").alias("gene_x"), "z").join(pairs, "gene_x")
     num = x.join(lag, ["obs_id", "gene_y"]).groupBy("gene_x", "gene_y").agg(F.sum(F.col("z") * F.col("lag")).alias("num"), F.count("*").alias("s0"))
     out = num.join(zz.select(F.col("gene_id").alias("gene_x"), F.col("zz").alias("xx"), "n"), "gene_x").join(zz.select(F.col("gene_id").alias("gene_y"), F.col("zz").alias("yy")), "gene_y")
     down = F.sqrt(F.col("xx") * F.col("yy"))

@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -70,6 +72,11 @@ def _byte_letters() -> dict[int, str]:
 BYTES = _byte_letters()
 
 
+def _attaches(c: str) -> bool:
+    """Whether normalisation may join the character to the one before it: marks, Hangul vowels and finals, unknown characters."""
+    return c > "\u02ff" and (unicodedata.category(c)[0] == "M" or unicodedata.category(c) == "Cn" or "\u1160" <= c <= "\u11ff")
+
+
 class PrefixCounter:
     """Exact token counts of every prefix for a BPE vocabulary file that lower-cases, cuts at white space and marks the ends of words.
 
@@ -91,6 +98,13 @@ class PrefixCounter:
         self.rank = {m: i for i, m in enumerate(merges)}
         self.special = re.compile("|".join(re.escape(t["content"]) for t in sorted(spec["added_tokens"], key=lambda t: -len(t["content"]))) or r"(?!)")
         self.longest = max((len(t) - len(self.end) * t.endswith(self.end) for t in self.vocab), default=1)
+        self.reach: dict[str, int] = {}  # by the last three symbols: the longest token that ends in them, inside a word and at its end
+        self.closing: dict[str, int] = {}
+        for t in self.vocab:
+            body = t.removesuffix(self.end)
+            if len(body) > 2:
+                table = self.closing if t.endswith(self.end) else self.reach
+                table[body[-3:]] = max(table.get(body[-3:], 3), len(body))
         self.pairs, self.words, self.parts = Kept(cache), Kept(cache), Kept(cache)
         self.own: dict[str, bool] = {}  # at most the vocabulary and single symbols
 
@@ -127,37 +141,12 @@ class PrefixCounter:
             known = self.own[token] = self._merge(self._symbols(token, closes)) == [token]
         return known
 
-    def table(self, word: str, every: bool = True) -> list[int]:
-        """Counts of word[:i] for i = 0..n as whole pre-tokens (only the last entry unless ``every``)."""
-        n, vocab, end, own, pairs = len(word), self.vocab, self.end, self.own, self.pairs
-        inner, last, whole = [0] * (n + 1), [""] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            for j in range(max(0, i - self.longest), i) if i < n else ():
-                t = word[j:i]
-                if t in vocab or i - j == 1:
-                    good = own.get(t)
-                    if good is None:
-                        good = self._is_own(t, False)
-                    if good and j:
-                        good = pairs.get((last[j], t))
-                        if good is None:
-                            good = self._stays(last[j], t, False)
-                    if good:
-                        inner[i], last[i] = inner[j] + 1, t
-                        break
-            for j in range(max(0, i - self.longest), i) if every or i == n else ():
-                t = word[j:i] + end
-                if (i - j == 1 or t in vocab) and self._is_own(t, bool(end)) and (j == 0 or self._stays(last[j], t, bool(end))):
-                    whole[i] = inner[j] + 1
-                    break
-        return whole
-
     def piece(self, piece: str) -> int:
         known = self.parts.get(piece)
         if known is None:
             known = self.parts.find(piece)
         if known is None:
-            known = self.table(piece, False)[-1]
+            known = self._walk(piece, [0], [""], [len(piece)])[0] if piece else 0
             if len(piece) <= CACHE_CHARS:
                 self.parts.keep(piece, known)
         return known
@@ -203,19 +192,132 @@ class PrefixCounter:
             total += chunk(c) if n is None else n
         return total
 
+    def _walk(self, word: str, inner: list[int], last: list[str], ends: list[int]) -> list[int]:
+        """Grows ``inner`` and ``last`` from where they stop to the end of ``word``; the counts of word[:i] as a whole pre-token
+        for every i of ``ends`` (ascending, none before the growth starts). Positions may be relative: a start has no last token."""
+        vocab, end, own, pairs, reach, closing = self.vocab, self.end, self.own, self.pairs, self.reach, self.closing
+        whole, at = [], 0
+        for i in range(len(inner), len(word) + 1):
+            tail = word[i - 3 : i] if i > 2 else ""
+            for j in range(max(0, i - reach.get(tail, 2)), i):
+                t = word[j:i]
+                if t in vocab or i - j == 1:
+                    good = own.get(t)
+                    if good is None:
+                        good = self._is_own(t, False)
+                    if good and last[j]:
+                        good = pairs.get((last[j], t))
+                        if good is None:
+                            good = self._stays(last[j], t, False)
+                    if good:
+                        inner.append(inner[j] + 1)
+                        last.append(t)
+                        break
+            if at < len(ends) and ends[at] == i:
+                at += 1
+                for j in range(max(0, i - closing.get(tail, 2)), i):
+                    t = word[j:i] + end
+                    if (i - j == 1 or t in vocab) and self._is_own(t, True) and (not last[j] or self._stays(last[j], t, True)):
+                        whole.append(inner[j] + 1)
+                        break
+        return whole
+
+    def _plain_pieces(self, text: str) -> int:
+        return sum(self.piece(p) for p, _ in self.lib.pre_tokenizer.pre_tokenize_str(text))
+
+    def _ordinary_prefixes(self, text: str) -> np.ndarray:
+        """Tokens of text[:i] for every i, of a text without white space and added tokens.
+
+        Characters and the marks after them are normalised cluster by cluster. A prefix that ends between clusters is a prefix
+        of the normal form; one that ends within a cluster carries on, with that part's normal form, from the state in which the
+        pre-token stood before the cluster. Linear in the text, but quadratic in the marks that stand on one character.
+        """
+        normal, split = self.lib.normalizer.normalize_str, self.lib.pre_tokenizer.pre_tokenize_str
+        starts = [0, *(i for i in range(1, len(text)) if not _attaches(text[i])), len(text)]
+        forms: dict[str, str] = {}
+
+        def form(part: str) -> str:
+            known = forms.get(part)
+            if known is None:
+                known = normal(part)
+                if len(part) <= CACHE_CHARS:
+                    forms[part] = known
+            return known
+
+        clusters = [form(text[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
+        full = "".join(clusters)
+        if full != normal(text):  # a mark that this Unicode table does not know
+            return np.array([self._plain_pieces(normal(text[:i])) for i in range(len(text) + 1)])
+        at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, clusters), np.int64, len(clusters)))])
+        counts, pieces, of = [0], [], []
+        seen: dict[str, tuple] = {}
+        for piece, (a, b) in split(full):
+            known = seen.get(piece)
+            if known is None:
+                inner, last = [0], [""]
+                ends = list(accumulate(len(c.encode()) for c in full[a:b]))
+                if CONTRACTION.fullmatch(full, a, b):  # cut short, it is other pre-tokens
+                    whole = [self._plain_pieces(full[a:i]) for i in range(a + 1, b + 1)]
+                else:
+                    whole = self._walk(piece, inner, last, ends)
+                known = whole, [0, *ends], inner, last
+                if len(piece) <= CACHE_CHARS:
+                    seen[piece] = known
+            of.extend([len(pieces)] * (b - a))
+            pieces.append((piece, a, *known[1:]))
+            before = counts[a]
+            counts.extend([before + n for n in known[0]])
+        out = np.zeros(len(text) + 1, dtype=np.int64)
+        out[starts] = np.array(counts)[at]
+        joins: dict[tuple[str, str], tuple[str, int]] = {}
+
+        def carried(p: int, part: str) -> int:
+            """Tokens of full[:p] with ``part`` behind it."""
+            if not p:
+                return self._plain_pieces(part)
+            quote = full.rfind("'", max(0, p - 3), p)
+            if quote >= 0 and pieces[of[quote]][1] == quote:  # a contraction may come about
+                return counts[quote] + self._plain_pieces(full[quote:p] + part)
+            piece, a, ends, inner, last = pieces[of[p - 1]]
+            one = full[p - 1]
+            kind = "x" if one.isalpha() else "!" if len(split(one + "!")) == 1 else "1"
+            known = joins.get((kind, part))
+            if known is None:
+                found = split(kind + part)
+                first = found[0][1][1] - 1
+                known = "".join(BYTES[b] for b in part[:first].encode()), sum(self.piece(t) for t, _ in found[1:])
+                if len(part) <= CACHE_CHARS:
+                    joins[kind, part] = known
+            more, rest = known
+            if not more:
+                return counts[p] + rest
+            n = ends[p - a]
+            low = max(0, n - self.longest)
+            grown = self._walk(piece[low:n] + more, inner[low : n + 1], last[low : n + 1], [n - low + len(more)])
+            return counts[a] + grown[0] + rest
+
+        for k, (a, b) in enumerate(zip(starts, starts[1:], strict=False)):
+            for i in range(a + 1, b):
+                p, part = int(at[k]), form(text[a:i])
+                out[i] = counts[p + len(part)] if clusters[k].startswith(part) else carried(p, part)
+        return out
+
     def chunk_prefixes(self, chunk: str) -> np.ndarray:
         """Tokens of chunk[:i] for every i = 0..len(chunk), of a chunk without white space."""
-        out = np.zeros(len(chunk) + 1, dtype=np.int64)
-        text = self.lib.normalizer.normalize_str(chunk)
-        each = {c: self.lib.normalizer.normalize_str(c) for c in set(chunk)}
-        if self.special.search(chunk) or any(len(c) != 1 for c in each.values()) or "".join(map(each.__getitem__, chunk)) != text:
-            return np.array([self.chunk(chunk[:i]) for i in range(len(chunk) + 1)])  # the normal form of a prefix is no prefix
-        for piece, (a, b) in self.lib.pre_tokenizer.pre_tokenize_str(text):
-            if CONTRACTION.fullmatch(text, a, b):  # cut short, it is other pre-tokens
-                out[a + 1 : b + 1] = [self.chunk(chunk[:i]) for i in range(a + 1, b + 1)]
-            else:
-                ends = np.cumsum([len(c.encode()) for c in text[a:b]])
-                out[a + 1 : b + 1] = out[a] + np.asarray(self.table(piece))[ends]
+        out, at = np.zeros(len(chunk) + 1, dtype=np.int64), 0
+        seen: dict[str, np.ndarray] = {}
+        for m in self.special.finditer(chunk):
+            stop = m.end() - 1  # up to here an added token is ordinary text behind the text before it
+            text = chunk[at:stop]
+            part = seen.get(text)
+            if part is None:
+                part = self.chunk_prefixes(text) if self.special.search(text) else self._ordinary_prefixes(text)
+                if len(text) <= CACHE_CHARS:
+                    seen[text] = part
+            out[at : stop + 1] = out[at] + part
+            out[m.end()] = out[m.start()] + 1
+            at = m.end()
+        out[at:] = out[at] + self._ordinary_prefixes(chunk[at:])
         return out
 
     def forget(self) -> None:

@@ -44,6 +44,40 @@ def ordered(values):
     return sorted(values, key=lambda r: tuple((x is None, x) for x in r))
 
 
+def test_prefix_tables_of_joined_marks_and_added_tokens():
+    """Every prefix as the library encodes it alone, where the normal form of a prefix is no prefix of the normal form."""
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, counter, rng = Tokenizer.from_file(path), prefix_tokens.PrefixCounter(path), random.Random(3)
+    parts = ["e", "\u0301", "\u0323", "a", "'", "s", "re", "'re", "'s", "!", "1", "\u4e2d", "<|endoftext|>", "<|endof", "\u0130", "\u03a3", "\u1100", "\u1161", "\u11a8", "\ufb01", "\u0344", "the", "ing", " ", "\u0903", "\u09c7", "\u09be", "\u200d"]
+    for _ in range(600):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 24)))
+        want = [len(lib.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
+        assert counter.prefixes(text).tolist() == want, ascii(text)
+        assert counter.fits(text, 7) == max(i for i, n in enumerate(want) if n <= 7)
+
+
+@pytest.mark.parametrize("text", ["e\u0301" * 300_000, "".join(chr(0x4E00 + i * 7919 % 20_000) for i in range(300_000)), "aB1+/" * 90_000 + "<|endoftext|>" + "xy9=" * 100_000, "'s're" * 200_000], ids=["decomposed", "cjk", "added", "contractions"])
+def test_prefix_tables_of_long_chunks(text):
+    """A chunk of a megabyte without white space takes seconds, and its last prefixes are as the library has them."""
+    import time
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, counter, begin = Tokenizer.from_file(path), prefix_tokens.PrefixCounter(path), time.monotonic()
+    got = counter.prefixes(text)
+    assert time.monotonic() - begin < 30  # 3 to 6 s on an idle machine
+    for i in (1, 2, 1001, len(text) - 1, len(text)):
+        assert got[i] == len(lib.encode(text[:i], add_special_tokens=False).ids)
+    assert got[-1] == counter.count(text)
+
+
 def test_prefix_tokens(docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -65,4 +65,4 @@ def marker_size_factors(expr: DataFrame) -> DataFrame:
 
 
 def learned_model(*_, **__):
-    raise DependencyError("this annotator needs torch or a language model; use marker_scores or spearman_reference")
+    raise DependencyError("this annotator needs torch or a language model; use marker_scores, marker_mixture or spearman_reference")

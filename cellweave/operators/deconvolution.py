@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.errors import DependencyError, IncompatibleDataError
+from cellweave.storage import cut
 
 
 def reference_profiles(reference: DataFrame, types: DataFrame) -> DataFrame:
@@ -56,6 +57,106 @@ def proportions(counts: DataFrame, profiles: DataFrame, least_genes: int = 100)
     return spots.mapInPandas(run, f"obs_id {dict(counts.dtypes)['obs_id']}, cell_type string, proportion double")
 
 
+#: Rounds of ``smooth_proportions`` at most, and the change of a share of the largest abundance at which it ends.
+ROUNDS, SETTLED = 500, 1e-7
+
+
+def _solved(gram: np.ndarray, extra: np.ndarray, y: np.ndarray, start: np.ndarray, rounds: int = 500) -> np.ndarray:
+    """Rows x >= 0 of least x (gram + extra_i I) x / 2 - x y_i, by coordinate descent from ``start``."""
+    x = start.copy()
+    d = np.maximum(np.diag(gram)[None, :] + extra[:, None], 1e-300)
+    scale = max(np.abs(x).max(initial=0.0), 1e-300)
+    for _ in range(rounds):
+        most = 0.0
+        for k in range(x.shape[1]):
+            new = np.maximum(0.0, x[:, k] + (y[:, k] - x @ gram[:, k] - extra * x[:, k]) / d[:, k])
+            most = max(most, np.abs(new - x[:, k]).max(initial=0.0))
+            x[:, k] = new
+        if most <= 1e-11 * max(scale, np.abs(x).max(initial=0.0)):
+            break
+    return x
+
+
+def smooth_abundances(counts: DataFrame, profiles: DataFrame, edges: DataFrame, penalty: float, least_genes: int = 100, rounds: int = ROUNDS) -> DataFrame:
+    """(obs_id, b): non-negative abundances b (an array, types in order of name) of least
+
+    sum over spots of |y - A b|^2 / 2 + penalty / 2 * sum over neighbours i, j of |b_i - b_j|^2,
+
+    where A holds the profiles (cell_type, gene_id, value) and edges (src, dst) are undirected: either way round, repeated or
+    not, they count once, and loops or spots without counts not at all. A spot is known by its products with the profiles, one
+    number a type, so genes are summed away before the first round. A round bounds the penalty from above by terms of single
+    spots around an extrapolated point: spots then solve small problems of their own, and need their neighbours' sum, one join
+    and one sum over the edges. The extrapolation starts anew where it points uphill. Penalty 0 is plain NNLS. RuntimeError
+    where it does not settle.
+    """
+    if penalty < 0:
+        raise IncompatibleDataError("the penalty is at least 0")
+    shared = profiles.select("gene_id").distinct().join(counts.select("gene_id").distinct(), "gene_id", "left_semi")
+    table = profiles.join(shared, "gene_id", "left_semi").where("cell_type is not null")
+    size = table.agg(F.countDistinct("gene_id").alias("g"), F.countDistinct("cell_type").alias("t")).first()
+    if size["g"] < least_genes or size["t"] < 2:
+        raise IncompatibleDataError(f"at least {least_genes} shared genes and two types are needed")
+    types = [r["cell_type"] for r in table.select("cell_type").distinct().orderBy("cell_type").collect()]
+    many, kind = len(types), dict(counts.dtypes)["obs_id"]
+    # One row a gene, with the gene's value in each type; products of types by types come to the driver.
+    by_gene = table.groupBy("gene_id").agg(*[F.sum(F.when(F.col("cell_type") == t, F.col("value")).otherwise(0.0)).alias(f"a{k}") for k, t in enumerate(types)])
+    flat = by_gene.agg(*[F.sum(F.col(f"a{i}") * F.col(f"a{j}")) for i in range(many) for j in range(many)]).first()
+    gram = np.array(flat, dtype=float).reshape(many, many)
+    spots = counts.join(by_gene, "gene_id").groupBy("obs_id").agg(F.array(*[F.sum(F.col("value") * F.col(f"a{k}")) for k in range(many)]).alias("h"))
+    spots = cut(counts.select("obs_id").where("obs_id is not null").distinct().join(spots, "obs_id", "left").withColumn("h", F.coalesce("h", F.array(*[F.lit(0.0)] * many))))
+    pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    pairs = pairs.join(spots.select(F.col("obs_id").alias("src")), "src", "left_semi").join(spots.select(F.col("obs_id").alias("dst")), "dst", "left_semi")
+    near = cut(pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    degree = near.groupBy(F.col("src").alias("obs_id")).agg(F.count("*").alias("degree"))
+    schema = f"obs_id {kind}, h array<double>, degree double, b array<double>, c array<double>, moved double, uphill double"
+
+    def solve(step: float):
+        """Rows after a round: b is new, c lies ahead of it by ``step`` of its way."""
+
+        def run(it):
+            for x in it:
+                if not len(x):
+                    continue
+                h, b, c, around = (np.stack(x[n].to_numpy()) for n in ("h", "b", "c", "around"))
+                d = penalty * x["degree"].to_numpy()
+                new = _solved(gram, 2 * d, h + d[:, None] * c + penalty * around, b)
+                m = gram[None] + 2 * d[:, None, None] * np.eye(many)
+                uphill = np.einsum("ij,ijk,ik->i", c - new, m, new - b)
+                yield pd.DataFrame({"obs_id": x["obs_id"], "h": list(h), "degree": x["degree"], "b": list(new), "c": list(new + step * (new - b)), "moved": np.abs(new - b).max(axis=1), "uphill": uphill})
+
+        return run
+
+    nothing = F.array(*[F.lit(0.0)] * many)
+    first = spots.join(degree, "obs_id", "left").select("obs_id", "h", F.coalesce(F.col("degree"), F.lit(0)).cast("double").alias("degree"), nothing.alias("b"), nothing.alias("c"), nothing.alias("around"))
+    state, momentum = cut(first.mapInPandas(solve(0.0), schema)), 1.0
+    if penalty == 0:
+        return state.select("obs_id", "b")
+    for _ in range(rounds):
+        ahead = state.select(F.col("obs_id").alias("dst"), *[F.col("c")[k].alias(f"c{k}") for k in range(many)])
+        around = near.join(ahead, "dst").groupBy(F.col("src").alias("obs_id")).agg(F.array(*[F.sum(f"c{k}") for k in range(many)]).alias("around"))
+        grown = (1 + (1 + 4 * momentum * momentum) ** 0.5) / 2
+        rows = state.select("obs_id", "h", "degree", "b", "c").join(around, "obs_id", "left").withColumn("around", F.coalesce("around", nothing))
+        state = cut(rows.mapInPandas(solve((momentum - 1) / grown), schema))
+        seen = state.agg(F.max("moved").alias("moved"), F.max(F.array_max("b")).alias("most"), F.sum("uphill").alias("uphill")).first()
+        if seen["moved"] is None or seen["moved"] <= SETTLED * max(seen["most"], 1e-300):
+            return state.select("obs_id", "b")
+        momentum = grown
+        if seen["uphill"] > 0:
+            momentum, state = 1.0, state.withColumn("c", F.col("b"))
+    raise RuntimeError(f"abundances did not settle in {rounds} rounds")
+
+
+def smooth_proportions(counts: DataFrame, profiles: DataFrame, edges: DataFrame, penalty: float, least_genes: int = 100, rounds: int = ROUNDS) -> DataFrame:
+    """(obs_id, cell_type, proportion): ``smooth_abundances`` with rows summing to one (0 where nothing fits)."""
+    found = smooth_abundances(counts, profiles, edges, penalty, least_genes, rounds)
+    shared = profiles.join(counts.select("gene_id").distinct(), "gene_id", "left_semi").where("cell_type is not null")
+    types = F.array(*[F.lit(r["cell_type"]) for r in shared.select("cell_type").distinct().orderBy("cell_type").collect()])
+    total = F.aggregate("b", F.lit(0.0), lambda a, x: a + x)
+    return found.select("obs_id", F.explode(F.arrays_zip(types.alias("cell_type"), F.col("b"))).alias("e"), total.alias("t")).select(
+        "obs_id", F.col("e.cell_type").alias("cell_type"), F.when(F.col("t") > 0, F.col("e.b") / F.col("t")).otherwise(0.0).alias("proportion")
+    )
+
+
 def dominant(props: DataFrame, mixed_below: float | None = None) -> DataFrame:
     """(obs_id, cell_type, proportion): the largest, ties to the first name; Mixed below a share."""
     best = props.groupBy("obs_id").agg(F.max("proportion").alias("proportion"), F.min_by("cell_type", F.struct((-F.col("proportion")).alias("a"), F.col("cell_type").alias("b"))).alias("cell_type"))
@@ -86,12 +187,12 @@ def normalised_mapping(mapping: DataFrame, types: DataFrame) -> DataFrame:
 
 def _deep(name: str):
     def stub(*_, **__):
-        raise DependencyError(f"{name} needs torch or R; the native method is nnls")
+        raise DependencyError(f"{name} needs torch or R; the native methods are nnls and spatial")
 
     return stub
 
 
-METHODS = {"nnls": proportions} | {m: _deep(m) for m in ("flashdeconv", "cell2location", "destvi", "stereoscope", "tangram", "rctd", "spotlight", "card")}
+METHODS = {"nnls": proportions, "spatial": smooth_proportions} | {m: _deep(m) for m in ("flashdeconv", "cell2location", "destvi", "stereoscope", "tangram", "rctd", "spotlight", "card")}
 
 
 def deconvolve(method: str, counts: DataFrame, profiles: DataFrame, **params) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellweave.functions import stats
-from cellweave.operators import deconvolution, dispersion, dynamics, enrichment, integration, markers, neighbors, plotdata, preprocess, profile
+from cellweave.operators import deconvolution, dispersion, dynamics, enrichment, integration, marker_mixture, markers, neighbors, plotdata, preprocess, profile
 from cellweave.plans import proxy
 from cellweave.plans.proxy import query, r6, sql_bh, sql_normal_p, sql_student_p
 
@@ -397,6 +397,23 @@ def nnls_proportions(s, d):
     return deconvolution.proportions(c, ref)
 
 
+def _spot_counts(s, d):
+    """Counts of spots: the positive part of each value in tenths, rounded."""
+    return proxy.spot_values(s, d).select("obs_id", "gene_id", F.round(F.greatest(F.lit(0.0), F.col("value")) * 10).alias("value")).where("value > 0")
+
+
+@query()
+def smooth_proportions(s, d):
+    c = _spot_counts(s, d)
+    ref = deconvolution.reference_profiles(c, proxy.spots(s, d).select("obs_id", F.concat(F.lit("t"), F.col("cluster").cast("string")).alias("cell_type")))
+    return deconvolution.smooth_proportions(c, ref, neighbors.knn(proxy.spots(s, d), 6), 5.0, 30)
+
+
+@query()
+def marker_mixture_types(s, d):
+    return marker_mixture.assign(_spot_counts(s, d), proxy.types(s, d))
+
+
 _MOM = "(SELECT src AS obs_id, gene_id, sum(spliced) / 5.0 AS ms, sum(unspliced) / 5.0 AS mu FROM (SELECT a.s_suppkey AS src, (a.s_suppkey + i) % (SELECT count(*) FROM supplier) AS dst FROM supplier a, range(0, 5) t(i)) e JOIN layers ON layers.obs_id = dst GROUP BY 1, 2)"
 _VEL = f"(SELECT o.s_suppkey AS obs_id, g.gene_id, coalesce(mu - gamma * ms, 0) AS v, coalesce(ms, 0) AS ms FROM supplier o CROSS JOIN (SELECT gene_id, sum(mu * ms) / sum(ms * ms) AS gamma FROM {_MOM} GROUP BY 1 HAVING sum(ms * ms) > 0) g LEFT JOIN {_MOM} m ON m.obs_id = o.s_suppkey AND m.gene_id = g.gene_id)"
 

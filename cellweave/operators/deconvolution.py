@@ -57,7 +57,7 @@ def proportions(counts: DataFrame, profiles: DataFrame, least_genes: int = 100)
     return spots.mapInPandas(run, f"obs_id {dict(counts.dtypes)['obs_id']}, cell_type string, proportion double")
 
 
-#: Rounds of ``smooth_proportions`` at most, and the change of a share of the largest abundance at which it ends.
+#: Rounds of ``smooth_abundances`` at most, and the change, as a share of the largest abundance, at which it ends.
 ROUNDS, SETTLED = 500, 1e-7
 
 
@@ -77,7 +77,7 @@ def _solved(gram: np.ndarray, extra: np.ndarray, y: np.ndarray, start: np.ndarra
     return x
 
 
-def smooth_abundances(counts: DataFrame, profiles: DataFrame, edges: DataFrame, penalty: float, least_genes: int = 100, rounds: int = ROUNDS) -> DataFrame:
+def smooth_abundances(counts: DataFrame, profiles: DataFrame, edges: DataFrame, penalty: float, least_genes: int = 100, rounds: int = ROUNDS, settled: float = SETTLED) -> DataFrame:
     """(obs_id, b): non-negative abundances b (an array, types in order of name) of least
 
     sum over spots of |y - A b|^2 / 2 + penalty / 2 * sum over neighbours i, j of |b_i - b_j|^2,
@@ -138,7 +138,7 @@ def smooth_abundances(counts: DataFrame, profiles: DataFrame, edges: DataFrame,
         rows = state.select("obs_id", "h", "degree", "b", "c").join(around, "obs_id", "left").withColumn("around", F.coalesce("around", nothing))
         state = cut(rows.mapInPandas(solve((momentum - 1) / grown), schema))
         seen = state.agg(F.max("moved").alias("moved"), F.max(F.array_max("b")).alias("most"), F.sum("uphill").alias("uphill")).first()
-        if seen["moved"] is None or seen["moved"] <= SETTLED * max(seen["most"], 1e-300):
+        if seen["moved"] is None or seen["moved"] <= settled * max(seen["most"], 1e-300):
             return state.select("obs_id", "b")
         momentum = grown
         if seen["uphill"] > 0:
@@ -146,9 +146,9 @@ def smooth_abundances(counts: DataFrame, profiles: DataFrame, edges: DataFrame,
     raise RuntimeError(f"abundances did not settle in {rounds} rounds")
 
 
-def smooth_proportions(counts: DataFrame, profiles: DataFrame, edges: DataFrame, penalty: float, least_genes: int = 100, rounds: int = ROUNDS) -> DataFrame:
+def smooth_proportions(counts: DataFrame, profiles: DataFrame, edges: DataFrame, penalty: float, least_genes: int = 100, rounds: int = ROUNDS, settled: float = SETTLED) -> DataFrame:
     """(obs_id, cell_type, proportion): ``smooth_abundances`` with rows summing to one (0 where nothing fits)."""
-    found = smooth_abundances(counts, profiles, edges, penalty, least_genes, rounds)
+    found = smooth_abundances(counts, profiles, edges, penalty, least_genes, rounds, settled)
     shared = profiles.join(counts.select("gene_id").distinct(), "gene_id", "left_semi").where("cell_type is not null")
     types = F.array(*[F.lit(r["cell_type"]) for r in shared.select("cell_type").distinct().orderBy("cell_type").collect()])
     total = F.aggregate("b", F.lit(0.0), lambda a, x: a + x)

@@ -150,7 +150,7 @@ def _fit(cells: DataFrame, types: list, genes: list, marks: np.ndarray, rounds:
     return Fit(types, genes, rates, weights, shape, trace)
 
 
-def assign(counts: DataFrame, markers: DataFrame, rounds: int = 200, tolerance: float = 1e-7) -> DataFrame:
+def assign(counts: DataFrame, markers: DataFrame, rounds: int = 200, tolerance: float = 1e-3) -> DataFrame:
     """(obs_id, cell_type, confidence): the type of the largest posterior share (ties: the first name), from raw counts and
     markers (cell_type, gene_id, direction; only direction 1 is used).
 
@@ -170,6 +170,6 @@ def assign(counts: DataFrame, markers: DataFrame, rounds: int = 200, tolerance:
     return cells.mapInPandas(best, f"obs_id {dict(counts.dtypes)['obs_id']}, cell_type string, confidence double")
 
 
-def fit(counts: DataFrame, markers: DataFrame, rounds: int = 200, tolerance: float = 1e-7) -> Fit:
+def fit(counts: DataFrame, markers: DataFrame, rounds: int = 200, tolerance: float = 1e-3) -> Fit:
     """The fitted mixture alone."""
     return _fit(*_vectors(counts, markers), rounds, tolerance)

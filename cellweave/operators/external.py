@@ -13,7 +13,7 @@ SUBSTITUTES = {
     "domains": {"spagcn": "domains.spatial_domains", "stagate": "domains.spatial_domains", "graphst": "domains.spatial_domains"},
     "spatial_genes": {"spatialde": "spatial_genes.gaussian_process"},
     "annotation": {"tangram": "deconvolution.proportions", "scanvi": "annotation.marker_scores", "cellassign": "annotation.marker_scores", "language_model": "annotation.map_clusters"},
-    "communication": {"cellchat": "communication.pair_p_values", "fastccc": "communication.combined_p"},
+    "communication": {"cellchat": "communication.pair_p_values", "fastccc": "null_laws.combined_p_values"},
     "velocity": {"dynamical": "dynamics.velocity", "velovi": "dynamics.velocity"},
     "trajectory": {"palantir": "embedding.pseudotime", "gpcca": "dynamics.absorption"},
     "integration": {"scvi": "integration.harmonise", "scanorama": "integration.mutual_pairs"},

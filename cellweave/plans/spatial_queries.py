@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellweave.operators import annotation, cnv, communication, delaunay, domains, dynamics, embedding, integration, leiden, neighbors, plotdata, preprocess, spatial, spatial_genes, summaries
+from cellweave.operators import annotation, cnv, communication, delaunay, domains, dynamics, embedding, integration, leiden, neighbors, null_laws, plotdata, preprocess, spatial, spatial_genes, summaries
 from cellweave.plans import proxy
 from cellweave.plans.proxy import query, r6, sql_bh, sql_normal_p
 from cellweave.sources import sinks
@@ -249,6 +249,35 @@ def lr_perm_p(s, d):
     return communication.pair_p_values(proxy.spot_values(s, d), _groups(s, d), proxy.pairs(s, d), 20).select("source", "target", "ligand", "receptor", "p")
 
 
+#: The law of the median (place ceil(n / 2)) of a group drawn without replacement: a hypergeometric tail at every value, then the
+#: sum over one side's values of mass times the other side's tail.
+_MEDIAN = """
+SELECT * FROM (
+WITH total AS (SELECT count(*)::DOUBLE AS total FROM spots),
+sizes AS (SELECT cluster AS grp, count(*)::DOUBLE AS n, greatest(1, ceil(count(*) * 0.5 - 1e-9)) AS k FROM spots GROUP BY 1),
+step AS (SELECT gene_id, (greatest(max(value), 0) - least(min(value), 0)) / 65536 AS step FROM vals GROUP BY 1),
+place AS MATERIALIZED (SELECT obs_id, gene_id, value, avg(value) OVER (PARTITION BY gene_id, floor(value / step), value = 0) AS v FROM vals JOIN step USING (gene_id)),
+atoms AS (SELECT gene_id, v, c, sum(c) OVER (PARTITION BY gene_id ORDER BY v) - c AS below FROM (SELECT gene_id, v, count(*)::DOUBLE AS c FROM place GROUP BY 1, 2)),
+tails AS MATERIALIZED (SELECT grp, gene_id, v, CASE WHEN below = 0 THEN 1 ELSE coalesce(list_sum(list_transform(range(CAST(greatest(0, n - total + below) AS BIGINT), CAST(least(k - 1, below) AS BIGINT) + 1), lambda j: exp(lgamma(below + 1) - lgamma(j + 1) - lgamma(below - j + 1) + lgamma(total - below + 1) - lgamma(n - j + 1) - lgamma(total - below - n + j + 1) - lgamma(total + 1) + lgamma(n + 1) + lgamma(total - n + 1)))), 0) END AS tail FROM atoms, sizes, total),
+laws AS MATERIALIZED (SELECT *, tail - lead(tail, 1, 0) OVER (PARTITION BY grp, gene_id ORDER BY v) AS mass FROM tails),
+seen AS MATERIALIZED (SELECT grp, gene_id, v AS observed FROM (SELECT cluster AS grp, gene_id, v, k, row_number() OVER (PARTITION BY cluster, gene_id ORDER BY v) AS r, avg(CASE WHEN value > 0 THEN 1.0 ELSE 0 END) OVER (PARTITION BY cluster, gene_id) AS fraction FROM place JOIN spots USING (obs_id) JOIN sizes ON grp = cluster) WHERE r = k AND fraction >= 0.1),
+scores AS (SELECT l.grp AS source, r.grp AS target, ligand, receptor, (l.observed + r.observed) / 2 AS score FROM lr JOIN seen l ON l.gene_id = ligand JOIN seen r ON r.gene_id = receptor),
+terms AS (SELECT source, target, ligand, receptor, score, mass, 2 * score - 1e-9 * (abs(score) + 1e-3) - v AS x FROM scores JOIN laws ON grp = source AND gene_id = ligand WHERE mass > 1e-15)
+SELECT source, target, ligand, receptor, round(score, 6) + 0.0 AS score, round(least(1, sum(mass * coalesce(tail, 0))), 6) AS p FROM terms t ASOF LEFT JOIN tails r ON r.grp = t.target AND r.gene_id = t.receptor AND t.x <= r.v GROUP BY source, target, ligand, receptor, score)"""
+
+
+@query(_MEDIAN.strip())
+def lr_analytic_median(s, d):
+    t = null_laws.analytic_p_values(proxy.spot_values(s, d), _groups(s, d), proxy.pairs(s, d), summary="median")
+    return t.select("source", "target", "ligand", "receptor", r6("score"), r6("p"))
+
+
+@query()
+def lr_analytic_combined(s, d):
+    """Four summaries and two scores: means by characteristic functions, quantiles by hypergeometric tails."""
+    return null_laws.combined_p_values(proxy.spot_values(s, d), _groups(s, d), proxy.pairs(s, d))
+
+
 @query("SELECT dense_rank() OVER (ORDER BY signature) AS environment, signature, grp AS \"group\" FROM (SELECT DISTINCT list_aggregate(gs, 'string_agg', '|') AS signature, unnest(gs) AS grp FROM (SELECT list_sort(list(DISTINCT CAST(o.cluster AS VARCHAR))) AS gs FROM (SELECT 2 * median(d) AS r FROM nn WHERE rank = 5) q CROSS JOIN spots a JOIN spots o ON (a.x - o.x) * (a.x - o.x) + (a.y - o.y) * (a.y - o.y) <= r * r GROUP BY a.obs_id HAVING count(DISTINCT o.cluster) >= 2))")
 def microenvironments(s, d):
     return communication.microenvironments(proxy.spots(s, d), _groups(s, d)).withColumn("environment", F.col("environment").cast("long"))

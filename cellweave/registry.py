@@ -26,7 +26,7 @@ def methods(family: str) -> list[str]:
 
 
 def _defaults() -> None:
-    from cellweave.operators import annotation, communication, deconvolution, delaunay, domains, dynamics, embedding, enrichment, external, integration, leiden, marker_mixture, neighbors, spatial, spatial_genes
+    from cellweave.operators import annotation, communication, deconvolution, delaunay, domains, dynamics, embedding, enrichment, external, integration, leiden, marker_mixture, neighbors, null_laws, spatial, spatial_genes
 
     for family, table in {
         "deconvolution": deconvolution.METHODS,
@@ -36,7 +36,7 @@ def _defaults() -> None:
         "integration": {"harmony": integration.harmonise, "bbknn": integration.batch_balanced_knn, "mnn": integration.mutual_pairs, "variational": integration.variational},
         "spatial_genes": spatial_genes.METHODS,
         "domains": {"communities": domains.spatial_domains},
-        "communication": {"mean": communication.pair_scores, "permutation": communication.pair_p_values, "cauchy": communication.combined_p, "rank_aggregate": communication.rank_aggregate, "local": communication.local_similarity, "global": communication.global_similarity},
+        "communication": {"mean": communication.pair_scores, "permutation": communication.pair_p_values, "cauchy": communication.combined_p, "rank_aggregate": communication.rank_aggregate, "local": communication.local_similarity, "global": communication.global_similarity, "analytic": null_laws.analytic_p_values, "analytic_combined": null_laws.combined_p_values},
         "velocity": {"moments": dynamics.moments, "steady_state": dynamics.velocity, "graph": dynamics.velocity_graph},
         "registration": {"similarity": integration.align, "transport": dynamics.transport},
         "communities": {"leiden": leiden.leiden, "label_propagation": embedding.label_propagation},

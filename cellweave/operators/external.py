@@ -8,7 +8,7 @@ from cellweave.errors import DependencyError, ParameterError
 
 #: family -> method -> what to use here.
 SUBSTITUTES = {
-    "normalisation": {"sctransform": "preprocess.pearson_residuals", "scvi": "preprocess.normalise"},
+    "normalisation": {"sctransform": "regularised.residuals", "scvi": "preprocess.normalise"},
     "embedding": {"umap": "the first two components of embedding.pca"},
     "domains": {"spagcn": "domains.spatial_domains", "stagate": "domains.spatial_domains", "graphst": "domains.spatial_domains"},
     "spatial_genes": {"spatialde": "spatial_genes.gaussian_process"},

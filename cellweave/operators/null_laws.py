@@ -306,7 +306,7 @@ def combined_p_values(expr: DataFrame, groups: DataFrame, pairs: DataFrame, memb
             units = cut(units) if members is not None and len(scores) > 1 else units
             parts += [scored(units, pairs, score, min_fraction) for score in scores]
     every = reduce(DataFrame.unionByName, parts)
-    # A p of one would be a pole of the tangent and hide every other.
-    inside = F.least(F.col("p"), F.lit(1.0 - 1e-6))
+    # A p of one is a pole of the tangent that would hide every other; it counts as 1 - 1 / settings.
+    inside = F.when((F.col("p") >= 1 - LEAST) & F.lit(len(parts) > 1), F.lit(1.0 - 1.0 / len(parts))).otherwise(F.col("p"))
     out = every.groupBy("source", "target", "ligand", "receptor").agg(F.avg("score").alias("strength"), stats.cauchy_combination(inside).alias("p"))
     return stats.adjust(out.withColumn("p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p")))), "p", "q", "bh", ("ligand", "receptor"), ("source", "target"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellweave.functions import stats
-from cellweave.operators import deconvolution, dispersion, dynamics, enrichment, integration, marker_mixture, markers, neighbors, plotdata, preprocess, profile
+from cellweave.operators import deconvolution, dispersion, dynamics, enrichment, integration, marker_mixture, markers, neighbors, plotdata, preprocess, profile, regularised
 from cellweave.plans import proxy
 from cellweave.plans.proxy import query, r6, sql_bh, sql_normal_p, sql_student_p
 
@@ -61,6 +61,23 @@ def pearson_residuals(s, d):
     return preprocess.pearson_residuals(c, proxy.cells(s, d), c.select("gene_id").distinct()).select("obs_id", "gene_id", r6("residual"))
 
 
+_DEPTH = "(SELECT obs_id, sum(value) AS d FROM counts GROUP BY 1)"
+_NB_RAW = f"(SELECT gene_id, k, share, exp(l / (SELECT count(*) FROM cells)) - 1 AS gmean, CASE WHEN extra > 0 THEN squares / extra END AS raw_theta FROM (SELECT *, q - 2 * share * xd + squares - t AS extra FROM (SELECT *, t / s AS share, t / s * (t / s) * dd AS squares FROM (SELECT gene_id, sum(value) AS t, sum(value * value) AS q, sum(value * d) AS xd, sum(ln(1 + value)) AS l, count(*) AS k FROM counts JOIN {_DEPTH} USING (obs_id) GROUP BY 1), (SELECT sum(d) AS s, sum(d * d) AS dd FROM {_DEPTH}))))"
+_NB = f"(SELECT gene_id, share, gmean, raw_theta, CASE WHEN raw_theta IS NOT NULL THEN gmean / (power(10, smooth) - 1) END AS theta FROM (WITH raw AS MATERIALIZED (SELECT *, log10(gmean) AS place, log10(1 + gmean / raw_theta) AS o FROM {_NB_RAW}), fitted AS (SELECT * FROM raw WHERE k >= 5 AND o IS NOT NULL), span AS (SELECT greatest(1e-3, 2.7 * stddev_samp(place) * power(count(*), -0.2)) AS h, min(place) AS low, max(place) AS high FROM fitted), bins AS (SELECT avg(place) AS centre, sum(o) AS o, count(*) AS n FROM fitted, span GROUP BY floor(place / (h / 16))) SELECT raw.gene_id, any_value(share) AS share, any_value(gmean) AS gmean, any_value(raw_theta) AS raw_theta, sum(w * b_o) / sum(w * b_n) AS smooth FROM (SELECT raw.*, bins.o AS b_o, bins.n AS b_n, exp(-0.5 * power((greatest(low, least(high, place)) - centre) / h, 2)) AS w FROM raw, span, bins) raw GROUP BY 1))"
+
+
+@query(f"SELECT gene_id, round(share, 9) AS share, round(gmean, 6) AS gmean, round(raw_theta, 6) AS raw_theta, round(theta, 6) AS theta FROM {_NB}")
+def regularised_model(s, d):
+    t = regularised.model(proxy.counts(s, d), proxy.cells(s, d))
+    return t.select("gene_id", F.round("share", 9).alias("share"), r6("gmean"), r6("raw_theta"), r6("theta"))
+
+
+@query(f"SELECT o.obs_id, g.gene_id, round(greatest(-sqrt(n), least(sqrt(n), (coalesce(value, 0) - mu) / sqrt(mu + coalesce(mu * mu / theta, 0)))), 5) + 0.0 AS residual FROM {_DEPTH} o CROSS JOIN {_NB} g CROSS JOIN (SELECT count(*)::DOUBLE AS n FROM cells), LATERAL (SELECT d * share AS mu) LEFT JOIN counts c ON c.obs_id = o.obs_id AND c.gene_id = g.gene_id")
+def regularised_residuals(s, d):
+    c = proxy.counts(s, d)
+    return regularised.residuals(c, proxy.cells(s, d), c.select("gene_id")).select("obs_id", "gene_id", (F.round("residual", 5) + 0.0).alias("residual"))
+
+
 @query("SELECT gene_id, round(lm, 6) AS mean, round(disp, 6) + 0.0 AS dispersion, bin, round(CASE WHEN coalesce(sd, 0) = 0 THEN 1 ELSE (disp - av) / sd END, 4) + 0.0 AS norm_dispersion FROM (SELECT *, avg(disp) OVER (PARTITION BY bin) AS av, stddev_samp(disp) OVER (PARTITION BY bin) AS sd FROM (SELECT gene_id, lm, disp, CAST(least(20, floor((lm - min(lm) OVER ()) / ((max(lm) OVER () - min(lm) OVER ()) / 20)) + 1) AS INTEGER) AS bin FROM (SELECT gene_id, ln(1 + s / n) AS lm, CASE WHEN (q - s * s / n) > 0 THEN ln((q - s * s / n) / (n - 1) / (s / n)) END AS disp FROM (SELECT gene_id, sum(exp(value) - 1) AS s, sum((exp(value) - 1) * (exp(value) - 1)) AS q, (SELECT count(*)::DOUBLE FROM cells) AS n FROM lognorm GROUP BY 1))))")
 def gene_dispersion_bins(s, d):
     g = preprocess.gene_dispersion(preprocess.normalise(proxy.counts(s, d)), proxy.cells(s, d).count())

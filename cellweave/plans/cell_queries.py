@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellweave.functions import stats
-from cellweave.operators import deconvolution, dispersion, dynamics, enrichment, integration, marker_mixture, markers, neighbors, plotdata, preprocess, profile, regularised
+from cellweave.operators import deconvolution, dispersion, dynamics, enrichment, factors, integration, marker_mixture, markers, neighbors, plotdata, preprocess, profile, regularised
 from cellweave.plans import proxy
 from cellweave.plans.proxy import query, r6, sql_bh, sql_normal_p, sql_student_p
 
@@ -428,6 +428,14 @@ def smooth_proportions(s, d):
     return deconvolution.smooth_proportions(c, ref, neighbors.knn(proxy.spots(s, d), 6), 0.1, 30, settled=1e-5)
 
 
+@query()
+def factor_proportions(s, d):
+    """Suppliers of five groups as the reference, and as the spots."""
+    types = proxy.cells(s, d).select("obs_id", F.concat(F.lit("ct"), F.col("group").cast("string")).alias("cell_type"))
+    c = proxy.counts(s, d).withColumn("value", F.col("value").cast("double"))
+    return factors.factor_proportions(c, c, types, least_genes=30, settled=1e-3)
+
+
 @query()
 def marker_mixture_types(s, d):
     return marker_mixture.assign(_spot_counts(s, d), proxy.types(s, d))

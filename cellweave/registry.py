@@ -26,10 +26,10 @@ def methods(family: str) -> list[str]:
 
 
 def _defaults() -> None:
-    from cellweave.operators import annotation, communication, deconvolution, delaunay, domains, dynamics, embedding, enrichment, external, integration, leiden, marker_mixture, neighbors, null_laws, spatial, spatial_genes
+    from cellweave.operators import annotation, communication, deconvolution, delaunay, domains, dynamics, embedding, enrichment, external, factors, integration, leiden, marker_mixture, neighbors, null_laws, spatial, spatial_genes
 
     for family, table in {
-        "deconvolution": deconvolution.METHODS,
+        "deconvolution": deconvolution.METHODS | {"factors": factors.factor_proportions},
         "statistics": {n: getattr(spatial, n) for n in ("morans_i", "gearys_c", "local_morans", "getis_ord", "bivariate_moran", "join_count", "local_join_count", "neighbourhood_enrichment", "co_occurrence", "ripley_l", "ripley_envelopes", "network_properties", "local_morans_p", "join_count_p", "local_join_count_p", "closeness", "betweenness")},
         "enrichment": {"ora": enrichment.over_representation, "gsea": enrichment.prerank, "ssgsea": enrichment.ssgsea, "mean": enrichment.mean_score, "web": enrichment.web_service},
         "annotation": {"markers": annotation.marker_scores, "spearman": annotation.spearman_reference, "mixture": marker_mixture.assign, "learned": annotation.learned_model},

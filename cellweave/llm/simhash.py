@@ -96,7 +96,8 @@ def links(classes: DataFrame, radius: int = 2) -> DataFrame:
     probes = points.select(F.col("fp").alias("fp2"), F.col("rep").alias("b"), F.explode(F.transform(steps, lambda o: F.col("cell") + o)).alias("cell"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius
     once = (cell(F.col("fp"), radius) != cell(F.col("fp2"), radius)) | (F.col("fp") < F.col("fp2"))
-    return points.withColumnRenamed("rep", "a").join(probes, "cell").where(near & (F.col("fp") != F.col("fp2")) & once).select("a", "b")
+    # Spark takes probes to be as few as points and would send them to the driver for a broadcast.
+    return points.withColumnRenamed("rep", "a").join(probes.hint("merge"), "cell").where(near & (F.col("fp") != F.col("fp2")) & once).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, keep: tuple[str, ...] = (), count=None) -> DataFrame:

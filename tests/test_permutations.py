@@ -41,3 +41,16 @@ def test_local_join_counts(graph):
         i = r["obs_id"]
         above = sum((y[drawn(p)][near[i]] == y[i]).sum() >= (y[near[i]] == y[i]).sum() for p in range(1, PERMS + 1))
         assert r["p_sim"] == (above + 1) / (PERMS + 1)
+
+
+def test_local_morans(graph):
+    e, edges, labels = graph
+    values = labels.select("obs_id", F.explode(F.array(F.struct(F.lit(1).alias("gene_id"), F.sin("obs_id").alias("value")), F.struct(F.lit(2).alias("gene_id"), F.cos("obs_id").alias("value")))).alias("s")).select("obs_id", "s.*")
+    df = spatial.local_morans_p(edges, values, PERMS)
+    assert "md5" not in planned(df)
+    near = [[b for a, b in e if a == i] for i in range(N)]
+    for r in df.collect():
+        x = (np.sin if r["gene_id"] == 1 else np.cos)(np.arange(N))
+        z, i = x - x.mean(), r["obs_id"]
+        above = sum(z[drawn(p)][near[i]].mean() >= z[near[i]].mean() for p in range(1, PERMS + 1))
+        assert np.isclose(r["p_sim"], (min(above, PERMS - above) + 1) / (PERMS + 1))

@@ -28,19 +28,23 @@ def pair_scores(expr: DataFrame, groups: DataFrame, pairs: DataFrame, min_fracti
 
 def pair_p_values(expr: DataFrame, groups: DataFrame, pairs: DataFrame, permutations: int = 1000, seed: int = 42, min_fraction: float = 0.1) -> DataFrame:
     """Adds p (share of label permutations with a mean at least as large) and q (BH within each pair over the group pairs)."""
-    from cellweave.operators.spatial import permutation_order
+    from cellweave.operators import permutations as drawn
+    from cellweave.storage import cut
 
     obs = pair_scores(expr, groups, pairs, min_fraction)
     genes = pairs.select(F.col("ligand").alias("gene_id")).unionByName(pairs.select(F.col("receptor").alias("gene_id"))).distinct()
     x = expr.join(genes, "gene_id", "left_semi")
-    perm = permutation_order(groups, permutations, seed).join(groups.select(F.col("obs_id").alias("partner"), "group"), "partner").select("perm", "obs_id", "group")
-    n = groups.groupBy("group").agg(F.count("*").alias("n"))
-    m = x.join(perm, "obs_id").groupBy("perm", "group", "gene_id").agg(F.sum("value").alias("s")).join(F.broadcast(n), "group").select("perm", "group", "gene_id", (F.col("s") / F.col("n")).alias("mean"))
-    grid = obs.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    lig = m.select("perm", F.col("group").alias("source"), F.col("gene_id").alias("ligand"), F.col("mean").alias("lm"))
-    rec = m.select("perm", F.col("group").alias("target"), F.col("gene_id").alias("receptor"), F.col("mean").alias("rm"))
-    d = grid.join(lig, ["perm", "source", "ligand"], "left").join(rec, ["perm", "target", "receptor"], "left").na.fill(0.0, ["lm", "rm"])
-    out = d.groupBy("source", "target", "ligand", "receptor", "score").agg((F.count_if((F.col("lm") + F.col("rm")) / 2 >= F.col("score") - 1e-12) / permutations).alias("p"))
+    codes, names = drawn.coded(groups.withColumnRenamed("group", "label"))
+    codes = cut(codes)
+    sums = drawn.group_sums(x, drawn.drawn_codes(codes, permutations, seed), len(names), permutations)
+    n = codes.groupBy("code").agg(F.count("*").alias("n"))
+    named = expr.sparkSession.createDataFrame(list(enumerate(names)), f"code int, group {dict(groups.dtypes)['group']}")
+    m = sums.join(F.broadcast(n), "code").join(F.broadcast(named), "code").select("group", "gene_id", F.transform("sums", lambda s: s / F.col("n")).alias("means"))
+    lig = m.select(F.col("group").alias("source"), F.col("gene_id").alias("ligand"), F.col("means").alias("lm"))
+    rec = m.select(F.col("group").alias("target"), F.col("gene_id").alias("receptor"), F.col("means").alias("rm"))
+    d = obs.join(lig, ["source", "ligand"]).join(rec, ["target", "receptor"])
+    above = F.aggregate(F.zip_with("lm", "rm", lambda a, b: (a + b) / 2 >= F.col("score") - 1e-12), F.lit(0), lambda acc, x: acc + x.cast("int"))
+    out = d.select("source", "target", "ligand", "receptor", "score", (above / permutations).alias("p"))
     return stats.adjust(out, "p", "q", "bh", ("ligand", "receptor"), ("source", "target"))
 
 

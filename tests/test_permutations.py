@@ -54,3 +54,19 @@ def test_local_morans(graph):
         z, i = x - x.mean(), r["obs_id"]
         above = sum(z[drawn(p)][near[i]].mean() >= z[near[i]].mean() for p in range(1, PERMS + 1))
         assert np.isclose(r["p_sim"], (min(above, PERMS - above) + 1) / (PERMS + 1))
+
+
+def test_pair_scores(spark, graph):
+    _, _, labels = graph
+    x = np.random.default_rng(3).random((N, 3))
+    expr = spark.createDataFrame([(i, g, float(x[i, g])) for i in range(N) for g in range(3)], "obs_id long, gene_id int, value double")
+    pairs = spark.createDataFrame([(0, 1), (1, 2)], "ligand int, receptor int")
+    df = communication.pair_p_values(expr, labels.withColumnRenamed("label", "group"), pairs, PERMS)
+    assert "md5" not in planned(df)
+    y = np.arange(N) ** 2 % 3
+    mean = lambda v, k, g: x[v == k, g].mean()
+    score = lambda v, r: (mean(v, r["source"], r["ligand"]) + mean(v, r["target"], r["receptor"])) / 2
+    got = df.collect()
+    assert len(got) == 2 * len(set(y)) ** 2
+    for r in got:
+        assert np.isclose(r["p"], np.mean([score(y[drawn(p)], r) >= score(y, r) - 1e-12 for p in range(1, PERMS + 1)]))

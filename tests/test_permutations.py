@@ -70,3 +70,14 @@ def test_pair_scores(spark, graph):
     assert len(got) == 2 * len(set(y)) ** 2
     for r in got:
         assert np.isclose(r["p"], np.mean([score(y[drawn(p)], r) >= score(y, r) - 1e-12 for p in range(1, PERMS + 1)]))
+
+
+def test_neighbourhoods(graph):
+    e, edges, labels = graph
+    df = spatial.neighbourhood_enrichment(edges, labels, PERMS)
+    assert "md5" not in planned(df)
+    y = np.arange(N) ** 2 % 3
+    for r in df.collect():
+        at = lambda v: sum(v[a] == r["label_a"] and v[b] == r["label_b"] for a, b in e)
+        c = np.array([at(y[drawn(p)]) for p in range(1, PERMS + 1)])
+        assert r["n"] == at(y) and (not c.std() or np.isclose(r["zscore"], (at(y) - c.mean()) / c.std()))

@@ -147,6 +147,7 @@ def global_similarity(expr: DataFrame, edges: DataFrame, pairs: DataFrame, permu
     """(ligand, receptor, moran, lee, p, q): bivariate Moran (values against the lag) and Lee (lag against lag) of each pair over
     row-standardised weights, the share of permutations of the receptor's places with as large a Moran, and BH of it."""
     from cellweave.operators import spatial
+    from cellweave.operators.permutations import pair_products
     from cellweave.storage import cut
 
     genes = pairs.select(F.col("ligand").alias("gene_id")).unionByName(pairs.select(F.col("receptor").alias("gene_id"))).distinct()
@@ -161,10 +162,12 @@ def global_similarity(expr: DataFrame, edges: DataFrame, pairs: DataFrame, permu
     down = F.sqrt(F.col("zl") * F.col("zr"))
     sums = sums.join(zz.select(F.col("gene_id").alias("ligand"), F.col("zz").alias("zl")), "ligand").join(zz.select(F.col("gene_id").alias("receptor"), F.col("zz").alias("zr")), "receptor").where(down > 0)
     one = sums.select("ligand", "receptor", "m", (F.col("m") / down).alias("moran"), (F.col("l") / down).alias("lee"))
-    # The lag of permuted ligands is that of their places: sum over obs of z(partner) * lag.
-    perm = spatial.permutation_order(z, permutations, seed)
-    moved = perm.join(z.select(F.col("obs_id").alias("partner"), F.col("gene_id").alias("ligand"), "z"), "partner").join(pairs, "ligand").join(side, ["obs_id", "receptor"])
-    null = moved.groupBy("ligand", "receptor", "perm").agg(F.sum(F.col("z") * F.col("lr")).alias("mp"))
+    # The lag of permuted ligands is that of their places: sum over obs of z(partner) * lag. Values and lags stand in arrays.
+    listed = [tuple(r) for r in pairs.select("ligand", "receptor").distinct().collect()]
+    both = z.join(lag, ["obs_id", "gene_id"], "left").na.fill(0.0, ["lag"]).groupBy("obs_id").agg(F.sort_array(F.collect_list(F.struct("gene_id", "z", "lag"))).alias("s"))
+    drawn = pair_products(both.select("obs_id", F.col("s.gene_id").alias("genes"), F.col("s.z").alias("v"), F.col("s.lag").alias("lag")), listed, permutations, seed)
+    numbered = expr.sparkSession.createDataFrame([(k, *p) for k, p in enumerate(listed)], f"pair long, {', '.join(f'{c} {t}' for c, t in pairs.select('ligand', 'receptor').dtypes)}")
+    null = drawn.join(F.broadcast(numbered), "pair")
     p = null.join(one.select("ligand", "receptor", "m"), ["ligand", "receptor"]).groupBy("ligand", "receptor").agg(((F.count_if(F.col("mp") >= F.col("m") - 1e-12) + 1.0) / (permutations + 1.0)).alias("p"))
     out = one.join(p, ["ligand", "receptor"]).select("ligand", "receptor", "moran", "lee", "p")
     return stats.adjust(out, "p", "q", "bh", (), ("ligand", "receptor"))

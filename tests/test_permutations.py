@@ -81,3 +81,11 @@ def test_neighbourhoods(graph):
         at = lambda v: sum(v[a] == r["label_a"] and v[b] == r["label_b"] for a, b in e)
         c = np.array([at(y[drawn(p)]) for p in range(1, PERMS + 1)])
         assert r["n"] == at(y) and (not c.std() or np.isclose(r["zscore"], (at(y) - c.mean()) / c.std()))
+
+
+def test_global_similarity(spark, graph):
+    _, edges, labels = graph
+    expr = labels.select("obs_id", F.explode(F.array(*[F.struct(F.lit(g).alias("gene_id"), F.sin(F.col("obs_id") * (g + 1)).alias("value")) for g in range(3)])).alias("s")).select("obs_id", "s.*")
+    df = communication.global_similarity(expr, edges, spark.createDataFrame([(0, 1), (1, 2)], "ligand int, receptor int"), PERMS)
+    assert "md5" not in planned(df) and df.count() == 2
+    assert permutations.CHUNKS < PERMS

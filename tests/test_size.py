@@ -31,3 +31,9 @@ def test_network_paths(ring):
     assert (whole["components"], whole["diameter"], whole["radius"]) == (1, 15, 15)
     parts = spatial.network_properties(edges, nodes).first()
     assert (parts["components"], parts["diameter"]) == (3, None)
+
+
+def test_betweenness(ring):
+    got = {r["obs_id"]: r["betweenness"] for r in spatial.betweenness(*ring).collect()}
+    # Between each of the 29 * 28 / 2 pairs of others of the ring lies a node or not: 196 of the paths pass it.
+    assert len(got) == 33 and all(np.isclose(got[i], 2 * 98 / (32 * 31)) for i in range(30)) and got[30] == got[31] == got[32] == 0

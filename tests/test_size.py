@@ -37,3 +37,8 @@ def test_betweenness(ring):
     got = {r["obs_id"]: r["betweenness"] for r in spatial.betweenness(*ring).collect()}
     # Between each of the 29 * 28 / 2 pairs of others of the ring lies a node or not: 196 of the paths pass it.
     assert len(got) == 33 and all(np.isclose(got[i], 2 * 98 / (32 * 31)) for i in range(30)) and got[30] == got[31] == got[32] == 0
+
+
+def test_closeness(ring):
+    got = {r["obs_id"]: r["closeness"] for r in spatial.closeness(*ring).collect()}
+    assert len(got) == 33 and all(np.isclose(got[i], 29 / 225 * 29 / 32) for i in range(30)) and np.isclose(got[30], 1 / 32) and got[32] == 0

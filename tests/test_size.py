@@ -42,3 +42,16 @@ def test_betweenness(ring):
 def test_closeness(ring):
     got = {r["obs_id"]: r["closeness"] for r in spatial.closeness(*ring).collect()}
     assert len(got) == 33 and all(np.isclose(got[i], 29 / 225 * 29 / 32) for i in range(30)) and np.isclose(got[30], 1 / 32) and got[32] == 0
+
+
+def test_yekutieli_is_linear(spark):
+    p = np.random.default_rng(0).random(100_000) ** 3
+    df = spark.createDataFrame(pd.DataFrame({"i": np.arange(len(p)), "p": p}))
+    began = time.time()
+    got = stats.adjust(df, method="by", order=("i",)).agg(F.sum("q")).first()[0]
+    assert time.time() - began < 30
+    m = np.arange(1, len(p) + 1)
+    want = np.minimum(1, np.minimum.accumulate((np.sort(p) * len(p) * (1 / m).sum() / m)[::-1]))
+    assert np.isclose(got, want.sum(), rtol=1e-12)
+    h = spark.createDataFrame([(k,) for k in (1, 2, 63, 64, 65, 66, 1000)], "m long").select("m", stats.harmonic(F.col("m")).alias("h")).collect()
+    assert all(np.isclose(r["h"], sum(1 / k for k in range(1, r["m"] + 1)), rtol=1e-14) for r in h)

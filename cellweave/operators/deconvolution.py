@@ -20,12 +20,16 @@ def reference_profiles(reference: DataFrame, types: DataFrame) -> DataFrame:
 
 def nnls(a: np.ndarray, y: np.ndarray, rounds: int = 300) -> np.ndarray:
     """Non-negative least squares by coordinate descent on the normal equations; rows of ``y`` are solved side by side."""
-    g, h = a.T @ a, y @ a
-    x = np.zeros((len(y), a.shape[1]))
+    return normal_nnls(a.T @ a, y @ a, rounds)
+
+
+def normal_nnls(g: np.ndarray, h: np.ndarray, rounds: int = 300) -> np.ndarray:
+    """``nnls`` from the products of the profiles with each other and with each row."""
+    x = np.zeros(h.shape)
     d = np.maximum(np.diag(g), 1e-12)
     for _ in range(rounds):
         before = x.copy()
-        for k in range(a.shape[1]):
+        for k in range(len(g)):
             x[:, k] = np.maximum(0, x[:, k] + (h[:, k] - x @ g[:, k]) / d[k])
         if np.abs(x - before).max() < 1e-10:
             break
@@ -35,28 +39,44 @@ def nnls(a: np.ndarray, y: np.ndarray, rounds: int = 300) -> np.ndarray:
 def proportions(counts: DataFrame, profiles: DataFrame, least_genes: int = 100) -> DataFrame:
     """(obs_id, cell_type, proportion): NNLS of each spot on the profiles, rows summing to one (0 where nothing fits).
 
-    Spots are grouped into vectors by a shuffle and solved in Arrow batches; the profiles (types x shared genes) travel with the task.
+    A spot is known by its products with the profiles, one number a type, which a join and a sum give; the driver gets the
+    products of types by types. Spots are solved in Arrow batches.
     """
-    genes = profiles.select("gene_id").distinct().join(counts.select("gene_id").distinct(), "gene_id", "left_semi")
-    table = profiles.join(genes, "gene_id", "left_semi").toPandas()  # one row per type and gene
-    if table["gene_id"].nunique() < least_genes or table["cell_type"].nunique() < 2:
+    shared = profiles.select("gene_id").distinct().join(counts.select("gene_id").distinct(), "gene_id", "left_semi")
+    table = cut(profiles.join(shared, "gene_id", "left_semi").where("cell_type is not null"))
+    types = [r["cell_type"] for r in table.select("cell_type").distinct().orderBy("cell_type").collect()]
+    if table.select("gene_id").distinct().count() < least_genes or len(types) < 2:
         raise IncompatibleDataError(f"at least {least_genes} shared genes and two types are needed")
-    wide = table.pivot_table(index="gene_id", columns="cell_type", values="value", fill_value=0.0).sort_index()
-    place, a, types = {g: i for i, g in enumerate(wide.index)}, wide.to_numpy(float), [str(c) for c in wide.columns]
-    spots = counts.join(F.broadcast(genes), "gene_id", "left_semi").groupBy("obs_id").agg(F.collect_list("gene_id").alias("g"), F.collect_list("value").alias("x"))
+    by_gene = cut(_by_gene(table, types))
+    gram = _gram(by_gene, len(types))
+    spots = _products(counts, by_gene, len(types))
+    names = [str(t) for t in types]
 
     def run(it):
         for b in it:
-            y = np.zeros((len(b), len(place)))
-            for i, (g, x) in enumerate(zip(b["g"], b["x"], strict=True)):
-                y[i, [place[k] for k in g]] = x
-            p = nnls(a, y)
+            p = normal_nnls(gram, np.stack(b["h"].to_numpy())) if len(b) else np.zeros((0, len(names)))
             p /= np.maximum(p.sum(axis=1, keepdims=True), 1e-300)
-            yield pd.DataFrame({"obs_id": np.repeat(b["obs_id"].to_numpy(), len(types)), "cell_type": types * len(b), "proportion": p.ravel()})
+            yield pd.DataFrame({"obs_id": np.repeat(b["obs_id"].to_numpy(), len(names)), "cell_type": names * len(b), "proportion": p.ravel()})
 
     return spots.mapInPandas(run, f"obs_id {dict(counts.dtypes)['obs_id']}, cell_type string, proportion double")
 
 
+def _by_gene(table: DataFrame, types: list) -> DataFrame:
+    """One row a gene, with the gene's value in each type (a0, a1, ...)."""
+    return table.groupBy("gene_id").agg(*[F.sum(F.when(F.col("cell_type") == t, F.col("value")).otherwise(0.0)).alias(f"a{k}") for k, t in enumerate(types)])
+
+
+def _gram(by_gene: DataFrame, many: int) -> np.ndarray:
+    """Products of types by types: all that comes to the driver."""
+    flat = by_gene.agg(*[F.sum(F.col(f"a{i}") * F.col(f"a{j}")) for i in range(many) for j in range(many)]).first()
+    return np.array(flat, dtype=float).reshape(many, many)
+
+
+def _products(counts: DataFrame, by_gene: DataFrame, many: int) -> DataFrame:
+    """(obs_id, h): products of each spot's counts with the types."""
+    return counts.join(by_gene, "gene_id").groupBy("obs_id").agg(F.array(*[F.sum(F.col("value") * F.col(f"a{k}")) for k in range(many)]).alias("h"))
+
+
 #: Rounds of ``smooth_abundances`` at most, and the change, as a share of the largest abundance, at which it ends.
 ROUNDS, SETTLED = 500, 1e-7
 
@@ -98,11 +118,9 @@ def smooth_abundances(counts: DataFrame, profiles: DataFrame, edges: DataFrame,
         raise IncompatibleDataError(f"at least {least_genes} shared genes and two types are needed")
     types = [r["cell_type"] for r in table.select("cell_type").distinct().orderBy("cell_type").collect()]
     many, kind = len(types), dict(counts.dtypes)["obs_id"]
-    # One row a gene, with the gene's value in each type; products of types by types come to the driver.
-    by_gene = table.groupBy("gene_id").agg(*[F.sum(F.when(F.col("cell_type") == t, F.col("value")).otherwise(0.0)).alias(f"a{k}") for k, t in enumerate(types)])
-    flat = by_gene.agg(*[F.sum(F.col(f"a{i}") * F.col(f"a{j}")) for i in range(many) for j in range(many)]).first()
-    gram = np.array(flat, dtype=float).reshape(many, many)
-    spots = counts.join(by_gene, "gene_id").groupBy("obs_id").agg(F.array(*[F.sum(F.col("value") * F.col(f"a{k}")) for k in range(many)]).alias("h"))
+    by_gene = _by_gene(table, types)
+    gram = _gram(by_gene, many)
+    spots = _products(counts, by_gene, many)
     spots = cut(counts.select("obs_id").where("obs_id is not null").distinct().join(spots, "obs_id", "left").withColumn("h", F.coalesce("h", F.array(*[F.lit(0.0)] * many))))
     pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     pairs = pairs.join(spots.select(F.col("obs_id").alias("src")), "src", "left_semi").join(spots.select(F.col("obs_id").alias("dst")), "dst", "left_semi")

@@ -55,3 +55,13 @@ def test_yekutieli_is_linear(spark):
     assert np.isclose(got, want.sum(), rtol=1e-12)
     h = spark.createDataFrame([(k,) for k in (1, 2, 63, 64, 65, 66, 1000)], "m long").select("m", stats.harmonic(F.col("m")).alias("h")).collect()
     assert all(np.isclose(r["h"], sum(1 / k for k in range(1, r["m"] + 1)), rtol=1e-14) for r in h)
+
+
+def test_profiles_stay_off_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    a, share = rng.poisson(4, (120, 3)) + 1.0, rng.dirichlet(np.ones(3), 20)
+    counts = spark.createDataFrame([(i, g, float(v)) for i, row in enumerate(share @ a.T) for g, v in enumerate(row)], "obs_id long, gene_id int, value double")
+    profiles = spark.createDataFrame([(f"t{k}", g, float(a[g, k])) for g in range(120) for k in range(3)], "cell_type string, gene_id int, value double")
+    monkeypatch.setattr(DataFrame, "toPandas", lambda _: pytest.fail("a table went to the driver"))
+    got = {(r["obs_id"], r["cell_type"]): r["proportion"] for r in deconvolution.proportions(counts, profiles).collect()}
+    assert len(got) == 60 and all(np.isclose(got[i, f"t{k}"], share[i, k], atol=1e-6) for i in range(20) for k in range(3))

@@ -65,3 +65,7 @@ def test_profiles_stay_off_the_driver(spark, monkeypatch):
     monkeypatch.setattr(DataFrame, "toPandas", lambda _: pytest.fail("a table went to the driver"))
     got = {(r["obs_id"], r["cell_type"]): r["proportion"] for r in deconvolution.proportions(counts, profiles).collect()}
     assert len(got) == 60 and all(np.isclose(got[i, f"t{k}"], share[i, k], atol=1e-6) for i in range(20) for k in range(3))
+
+
+def test_blocks_of_vectors_stay_few():
+    assert [neighbors.vector_blocks(n * 64) for n in (500, 10_000, 100_000, 600_000)] == [1, 8, 8, 10]

@@ -63,109 +63,156 @@ def trend(points: DataFrame, by: tuple[str, ...] = (), rounds: int = ROUNDS) ->
     return fitted
 
 
+def _rising(v, r):
+    """lgamma(v + r) - lgamma(r) by elements: eight steps up, then the difference of Stirling's series."""
+    import numpy as np
+
+    z, steps = r + 8, np.ones(np.broadcast_shapes(v.shape, r.shape))
+    for k in range(8):
+        steps = steps * (1 + v / (r + k))
+    rest = lambda x: (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * x * x)) / (x * x)) / (x * x)) / x
+    return (z - 0.5) * np.log1p(v / z) + v * np.log(z + v) - v + rest(z + v) - rest(z) - np.log(steps)
+
+
+def _sides(w, first, ridge: float):
+    """(sum of w, its part in the first condition, determinant) of the design's information, ``ridge`` on its diagonal; by rows."""
+    a, b = w.sum(axis=1), (w * first).sum(axis=1)
+    return a, b, b * (a - b) + ridge * (a + b) + ridge * ridge
+
+
+def likelihoods(y, mu, alpha, first):
+    """By rows (a gene each): log likelihood of counts with means ``mu``, less half the log determinant of the coefficients' information."""
+    import numpy as np
+
+    alpha = alpha[:, None]
+    spread = alpha * mu
+    terms = _rising(y, 1 / alpha) + y * np.log(spread) - (y + 1 / alpha) * np.log1p(spread)
+    return terms.sum(axis=1) - 0.5 * np.log(_sides(mu / (1 + spread), first, 1e-12)[2])
+
+
 def _likelihood(y, mu, alpha: float, design) -> float:
-    """Log likelihood of counts with means ``mu``, less half the log determinant of the coefficients' information."""
     import numpy as np
 
-    r = 1 / alpha
-    terms = sum(math.lgamma(v + r) - math.lgamma(r) for v in y) + float((y * np.log(alpha * mu) - (y + r) * np.log1p(alpha * mu)).sum())
-    w = mu / (1 + alpha * mu)
-    return terms - 0.5 * float(np.linalg.slogdet(design.T @ (design * w[:, None]) + 1e-12 * np.eye(design.shape[1]))[1])
+    return float(likelihoods(y[None], mu[None], np.array([alpha]), design[None, :, 1])[0])
 
 
-def best_dispersion(y, mu, design, centre: float | None = None, variance: float = 1.0) -> float:
-    """Dispersion of greatest adjusted likelihood, with a normal prior on its log round ``centre`` if that is given."""
+def best_dispersions(y, mu, first, centre=None, variance=None):
+    """By rows: dispersion of greatest adjusted likelihood, with a normal prior on its log round ``centre`` if that is given."""
     import numpy as np
 
-    def value(log_alpha: float) -> float:
-        prior = 0.0 if centre is None else (log_alpha - math.log(centre)) ** 2 / (2 * variance)
-        return _likelihood(y, mu, math.exp(log_alpha), design) - prior
+    def value(log_alpha):
+        found = likelihoods(y, mu, np.exp(log_alpha), first)
+        return found if centre is None else found - (log_alpha - np.log(centre)) ** 2 / (2 * variance)
 
-    ends = math.log(LEAST), math.log(max(10.0, len(y)))
-    steps = np.linspace(*ends, 25)
-    k = int(np.argmax([value(s) for s in steps]))
-    low, high, golden = steps[max(0, k - 1)], steps[min(24, k + 1)], (math.sqrt(5) - 1) / 2
+    n = len(y)
+    steps = np.linspace(math.log(LEAST), math.log(max(10.0, y.shape[1])), 25)
+    k = np.argmax([value(np.full(n, s)) for s in steps], axis=0)
+    low, high, golden = steps[np.maximum(0, k - 1)], steps[np.minimum(24, k + 1)], (math.sqrt(5) - 1) / 2
     a, b = high - golden * (high - low), low + golden * (high - low)
     fa, fb = value(a), value(b)
-    while high - low > 1e-6:
-        if fa > fb:
-            high, b, fb = b, a, fa
-            a = high - golden * (high - low)
-            fa = value(a)
-        else:
-            low, a, fa = a, b, fb
-            b = low + golden * (high - low)
-            fb = value(b)
-    return math.exp((low + high) / 2)
-
-
-def fitted_means(y, s, design, alpha: float):
-    """(coefficients, means, information) of the log-linear model with size factors ``s``, by reweighted least squares."""
+    while (open_ := high - low > 1e-6).any():
+        left, right = open_ & (fa > fb), open_ & ~(fa > fb)
+        high, low = np.where(left, b, high), np.where(right, a, low)
+        at = np.where(left, high - golden * (high - low), low + golden * (high - low))
+        got = value(at)
+        a, b, fa, fb = np.where(left, at, np.where(right, b, a)), np.where(left, a, np.where(right, at, b)), np.where(left, got, np.where(right, fb, fa)), np.where(left, fa, np.where(right, got, fb))
+    return np.exp((low + high) / 2)
+
+
+def best_dispersion(y, mu, design, centre: float | None = None, variance: float = 1.0) -> float:
+    import numpy as np
+
+    return float(best_dispersions(y[None], mu[None], design[None, :, 1], None if centre is None else np.array([centre]), np.array([variance]))[0])
+
+
+def fitted_means(y, s, first, alpha):
+    """By rows: (coefficient of the first condition, means, its variance) of the log-linear model with size factors ``s``, by reweighted least squares."""
     import numpy as np
 
-    beta = np.array([np.log(max((y / s).mean(), 1e-8)), 0.0])
+    n = len(y)
+    beta = np.stack([np.log(np.maximum((y / s).mean(axis=1), 1e-8)), np.zeros(n)], axis=1)
+    means, spread, todo = np.empty(y.shape), np.empty(n), np.arange(n)
     for _ in range(50):
-        mu = np.maximum(s * np.exp(np.clip(design @ beta, -30, 30)), 1e-8)
-        w = mu / (1 + alpha * mu)
-        info = design.T @ (design * w[:, None]) + 1e-6 * np.eye(2)
-        step = np.linalg.solve(info, design.T @ (w * (y - mu) / mu) - 1e-6 * beta)
-        beta = beta + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        f, own = first[todo], beta[todo]
+        mu = np.maximum(s[todo] * np.exp(np.clip(own[:, :1] + f * own[:, 1:], -30, 30)), 1e-8)
+        w = mu / (1 + alpha[todo, None] * mu)
+        a, b, det = _sides(w, f, 1e-6)
+        off = w * (y[todo] - mu) / mu
+        p, q = off.sum(axis=1) - 1e-6 * own[:, 0], (off * f).sum(axis=1) - 1e-6 * own[:, 1]
+        step = np.stack([((b + 1e-6) * p - b * q) / det, ((a + 1e-6) * q - b * p) / det], axis=1)
+        beta[todo] += np.clip(step, -5, 5)
+        means[todo], spread[todo] = mu, (a + 1e-6) / det
+        todo = todo[np.abs(step).max(axis=1) >= 1e-8]
+        if not len(todo):
             break
-    return beta, mu, info
+    return beta[:, 1], means, spread
 
 
-def rough_dispersion(q, s, first) -> float:
-    """From the variance within the conditions, beyond that of counts."""
+def rough_dispersions(q, s, first):
+    """By rows: from the variance within the conditions, beyond that of counts."""
     import numpy as np
 
-    over = under = 0.0
-    for side in (~first, first):
-        if side.sum() > 1:
-            m = q[side].mean()
-            over += (side.sum() - 1) * (q[side].var(ddof=1) - m * (1 / s[side]).mean())
-            under += (side.sum() - 1) * m**2
-    return max(LEAST, over / under) if under > 0 else 1.0
+    over = under = np.zeros(len(q))
+    for side in (1 - first, first):
+        n = side.sum(axis=1)
+        many = np.maximum(n, 2)
+        m = (q * side).sum(axis=1) / many
+        squares = (side * (q - m[:, None]) ** 2).sum(axis=1)
+        over = over + np.where(n > 1, squares - (n - 1) * m * (side / s).sum(axis=1) / many, 0.0)
+        under = under + np.where(n > 1, (n - 1) * m**2, 0.0)
+    return np.where(under > 0, np.maximum(LEAST, over / np.where(under > 0, under, 1.0)), 1.0)
 
 
-def _filled(bulk: DataFrame, factors: DataFrame, a, b, by: tuple[str, ...]) -> DataFrame:
-    """(*by, gene_id, sample, condition, size_factor, value) of both conditions, zeros too."""
+def _packed(bulk: DataFrame, factors: DataFrame, a, b, by: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """((*by, gene_id, at, value): a row for each gene, its counts of both conditions as arrays with their places among the
+    samples of the set; (*by, size_factor, first, sides): those samples, a row for each set)."""
     x = bulk.where(F.col("condition").isin(a, b))
     samples = x.select(*by, "sample", "condition").distinct().join(factors, [*by, "sample"])
-    genes = x.select(*by, "gene_id").distinct()
-    every = _beside(genes, samples, by)  # samples are few
-    return every.join(x.select(*by, "gene_id", "sample", "value"), [*by, "gene_id", "sample"], "left").na.fill(0.0, ["value"])
-
-
-def _by_gene(rows: DataFrame, by: tuple[str, ...], columns: str, fn) -> DataFrame:
-    """Applies ``fn(y, s, design, first row)`` to each gene: a group has a row for each sample."""
+    sets = samples.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("sample", "condition", "size_factor"))).alias("of"))  # samples are few
+    sets = cut(sets)
+    placed = sets.select(*by, F.posexplode("of").alias("at", "one")).select(*by, "at", F.col("one.sample").alias("sample"), F.col("one.condition").alias("condition"))
+    counts = x.join(F.broadcast(placed), [*by, "sample", "condition"]).select(*by, "gene_id", "at", F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"))
+    genes = counts.repartition(counts.sparkSession.sparkContext.defaultParallelism * 4, *by, "gene_id").groupBy(*by, "gene_id").agg(F.collect_list("at").alias("at"), F.collect_list("value").alias("value"))
+    first = F.transform("of", lambda r: F.when(r["condition"] == a, 1.0).otherwise(0.0))
+    sides = F.size(F.array_distinct(F.col("of.condition")))
+    return cut(genes), sets.select(*by, F.col("of.size_factor").alias("size_factor"), first.alias("first"), sides.alias("sides"))
+
+
+def _by_genes(rows: DataFrame, by: tuple[str, ...], columns: str, fn) -> DataFrame:
+    """Applies ``fn(y, s, first, rows)`` to batches of genes: arrays of a row for each gene and a column for each sample, zeros filled."""
     import pandas as pd
 
     kinds = dict(rows.dtypes)
     keys = [*by, "gene_id"]
+    names = [*keys, *(c.split()[0] for c in columns.split(", "))]
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
+    def run(batches):
         import numpy as np
 
-        g = g.sort_values("sample")
-        first = g["first"].to_numpy(bool)
-        got = fn(g["value"].to_numpy(float), g["size_factor"].to_numpy(float), np.column_stack([np.ones(len(g)), first.astype(float)]), g.iloc[0])
-        return pd.DataFrame([(*(g[k].iloc[0] for k in keys), *got)], columns=[*keys, *(c.split()[0] for c in columns.split(", "))])
+        for batch in batches:
+            for size, g in batch.groupby(batch["size_factor"].map(len)):
+                y = np.zeros((len(g), size))
+                np.add.at(y, (np.repeat(np.arange(len(g)), g["at"].map(len)), np.concatenate(g["at"].to_numpy())), np.concatenate(g["value"].to_numpy()))
+                got = fn(y, np.stack(g["size_factor"].to_numpy()), np.stack(g["first"].to_numpy()), g)
+                yield pd.DataFrame({**{k: g[k].to_numpy() for k in keys}, **dict(zip(names[len(keys) :], got, strict=True))})
 
-    return rows.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), columns]))
+    return rows.mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), columns]))
 
 
 def dispersions(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(*by, gene_id, mean, dispersion): each gene's own dispersion; rows are those of ``_filled`` with ``first`` for the condition tested."""
+    """(*by, gene_id, mean, dispersion): each gene's own dispersion; rows are those of ``_packed`` beside their sets. Genes without a count are left out."""
+
+    def own(y, s, first, _):
+        import numpy as np
 
-    def own(y, s, design, _):
         q = y / s
-        if q.sum() <= 0:
-            return 0.0, LEAST
-        rough = rough_dispersion(q, s, design[:, 1] > 0)
-        return float(q.mean()), best_dispersion(y, fitted_means(y, s, design, rough)[1], design)
+        mean, alpha, some = q.mean(axis=1), np.full(len(y), LEAST), q.sum(axis=1) > 0
+        if some.any():
+            y, s, first = y[some], s[some], first[some]
+            alpha[some] = best_dispersions(y, fitted_means(y, s, first, rough_dispersions(q[some], s, first))[1], first)
+        return np.where(some, mean, 0.0), alpha
 
-    return _by_gene(rows, by, "mean double, dispersion double", own)
+    return _by_genes(rows, by, "mean double, dispersion double", own)
 
 
 def prior(own: DataFrame, fitted: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -186,29 +233,30 @@ def wald(bulk: DataFrame, factors: DataFrame, a, b, by: tuple[str, ...] = (), sh
     drawn to their trend, each set of ``by`` having its own; sets with too few genes for a trend, or one condition, keep
     their own. Genes without a count are left out.
     """
-    rows = cut(_filled(bulk, factors, a, b, by).withColumn("first", F.col("condition") == a))
+    genes, sets = _packed(bulk, factors, a, b, by)
+    rows = _beside(genes, sets, by)
     own = cut(dispersions(rows, by).where("mean > 0"))
-    sets = rows.select(*by, "sample", "condition").distinct().groupBy(*by).agg((F.count("*") - 2).cast("double").alias("free"), F.countDistinct("condition").alias("sides")).where("sides = 2").drop("sides")
+    free = sets.where("sides = 2").select(*by, (F.size("first") - 2).cast("double").alias("free"))
     found = own
     if shrink:
-        law = cut(prior(own, cut(_beside(trend(own, by), sets, by)), by))
+        law = cut(prior(own, cut(_beside(trend(own, by), free, by)), by))
         found = _beside(own, law, by, "left")
     else:
         found = own.withColumns({c: F.lit(None).cast("double") for c in ("a0", "a1", "spread", "variance")})
-    known = rows.join(found, [*by, "gene_id"])
-    known = _beside(known, sets, by)
-
-    def fit(y, s, design, r):
-        alpha = float(r["dispersion"])
-        if r["variance"] == r["variance"] and r["variance"] is not None:
-            centre = max(LEAST, float(r["a1"]) / float(r["mean"]) + float(r["a0"]))
-            if math.log(alpha) <= math.log(centre) + OUTLYING * math.sqrt(float(r["spread"])):
-                mu = fitted_means(y, s, design, alpha)[1]
-                alpha = best_dispersion(y, mu, design, centre, float(r["variance"]))
-        beta, _, info = fitted_means(y, s, design, alpha)
-        import numpy as np
+    known = _beside(rows.join(found, [*by, "gene_id"]), free, by)
 
-        return float(r["mean"]), alpha, float(beta[1] / math.log(2)), float(np.sqrt(np.linalg.inv(info)[1, 1]) / math.log(2))
+    def fit(y, s, first, g):
+        import numpy as np
 
-    out = _by_gene(known, by, "base_mean double, dispersion double, log2fc double, se double", fit)
+        known = {c: g[c].to_numpy(float) for c in ("mean", "dispersion", "a0", "a1", "spread", "variance")}
+        alpha, centre = known["dispersion"].copy(), np.maximum(LEAST, known["a1"] / known["mean"] + known["a0"])
+        with np.errstate(invalid="ignore"):
+            near = np.isfinite(known["variance"]) & (np.log(alpha) <= np.log(centre) + OUTLYING * np.sqrt(known["spread"]))
+        if near.any():
+            mu = fitted_means(y[near], s[near], first[near], alpha[near])[1]
+            alpha[near] = best_dispersions(y[near], mu, first[near], centre[near], known["variance"][near])
+        beta, _, spread = fitted_means(y, s, first, alpha)
+        return known["mean"], alpha, beta / math.log(2), np.sqrt(spread) / math.log(2)
+
+    out = _by_genes(known, by, "base_mean double, dispersion double, log2fc double, se double", fit)
     return stats.adjust(out.withColumn("p", stats.normal_two_sided(F.col("log2fc") / F.col("se"))), "p", "q", "bh", by, ("gene_id",))

@@ -67,3 +67,24 @@ def test_wald_by_stratum_is_one_job_and_equals_each_alone(spark):
     loose = {r["gene_id"]: r["dispersion"] for r in dispersion.wald(bulk.where("stratum = 't'").drop("stratum"), factors.where("stratum = 't'").drop("stratum"), "a", "b", shrink=False).collect()}
     error = lambda d: np.abs(np.log(np.array(d) / truth)).mean()
     assert error([both["t", g]["dispersion"] for g in range(60)]) < 0.8 * error([loose[g] for g in range(60)])
+
+
+def test_genes_are_fitted_side_by_side(spark):
+    rng = np.random.default_rng(5)
+    y = rng.negative_binomial(2, 2 / (2 + 10 ** rng.uniform(0, 4, (300, 1))), (300, 9)).astype(float)
+    s, first = rng.uniform(0.5, 2, y.shape), np.tile((np.arange(9) < 4).astype(float), (300, 1))
+    y = y[keep := y.sum(axis=1) > 0]
+    s, first = s[keep], first[keep]
+    beta, mu, spread = dispersion.fitted_means(y, s, first, np.full(len(y), 0.2))
+    got = dispersion.best_dispersions(y, mu, first)
+    for k in range(0, len(y), 40):
+        alone = dispersion.fitted_means(y[k : k + 1], s[k : k + 1], first[k : k + 1], np.array([0.2]))
+        assert (beta[k], spread[k]) == pytest.approx((alone[0][0], alone[2][0]))
+        assert got[k] == pytest.approx(dispersion.best_dispersion(y[k], mu[k], np.column_stack([np.ones(9), first[k]])), rel=1e-4)
+    r = np.array([[0.3, 2.0, 1e4]])
+    v = np.array([[7.0, 40.0, 3.0]])
+    assert dispersion._rising(v, r)[0] == pytest.approx([math.lgamma(a + b) - math.lgamma(b) for a, b in zip(v[0], r[0])], rel=1e-8)
+    bulk = bulk_of(spark, genes=5)
+    factors = bulk.select("stratum", "sample").distinct().selectExpr("stratum", "sample", "1.0D as size_factor")
+    genes, sets = dispersion._packed(bulk.where("value > 0"), factors, "a", "b", ("stratum",))
+    assert genes.count() == 10 and sets.count() == 2

@@ -12,6 +12,7 @@ from cellweave.functions import stats
 from cellweave.model import SpatialData
 from cellweave.operators import communication, cnv, domains, dynamics, embedding, enrichment, markers, neighbors, preprocess, profile, spatial, spatial_genes, summaries
 from cellweave.sources import readers, sinks
+from cellweave.storage import cut
 
 
 @pytest.fixture(scope="module")
@@ -391,3 +392,22 @@ def test_harmony_brings_batches_together_within_clusters(spark):
     x, batch, cluster = np.stack(got["v"]), np.arange(160) % 2, np.arange(160) // 2 % 2
     centre = lambda b, c: x[(batch == b) & (cluster == c)].mean(axis=0)
     assert max(np.linalg.norm(centre(0, c) - centre(1, c)) for c in (0, 1)) < 0.5 < 4 < np.linalg.norm(centre(0, 0) - centre(0, 1))
+
+
+def _star(spark, obs=40, genes=700, seed=4):
+    rng = np.random.default_rng(seed)
+    rows = [(o, int(g), float(rng.integers(1, 9)), float(rng.integers(0, 9))) for o in range(obs) for g in rng.choice(genes, 12, replace=False)]
+    layers = spark.createDataFrame(rows, "obs_id long, gene_id long, spliced double, unspliced double")
+    return layers, spark.createDataFrame([(o, (o + i) % obs) for o in range(obs) for i in (1, 2, 3)], "src long, dst long")
+
+
+
+def test_velocity_moments_are_shuffled_once_by_block(spark):
+    layers, e = _star(spark)
+    v = dynamics.velocity(dynamics.moments(layers, e))
+    plan = v._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 1 and "hashpartitioning(gene_id" not in plan and "hashpartitioning(obs_id" not in plan
+    m = {(r["obs_id"], r["gene_id"]): (r["ms"], r["mu"]) for r in v.collect()}
+    for r in v.where("gene_id < 5").collect():
+        of = [x for (_, g), x in m.items() if g == r["gene_id"]]
+        assert r["gamma"] == pytest.approx(sum(a * b for a, b in of) / sum(a * a for a, _ in of))

@@ -411,3 +411,18 @@ def test_velocity_moments_are_shuffled_once_by_block(spark):
     for r in v.where("gene_id < 5").collect():
         of = [x for (_, g), x in m.items() if g == r["gene_id"]]
         assert r["gamma"] == pytest.approx(sum(a * b for a, b in of) / sum(a * a for a, _ in of))
+
+
+def test_velocity_graph_takes_entries_and_not_every_gene(spark, monkeypatch):
+    layers, e = _star(spark)
+    monkeypatch.setattr(spatial, "gene_rows", None)  # dense rows: the observations times the genes
+    monkeypatch.setattr(dynamics, "BLOCK_ROWS", 100)
+    v = cut(dynamics.velocity(dynamics.moments(layers, e)))
+    a, b = np.zeros((40, 700)), np.zeros((40, 700))
+    for r in v.collect():
+        a[r["obs_id"], r["gene_id"]], b[r["obs_id"], r["gene_id"]] = r["velocity"], r["ms"]
+    got = dynamics.velocity_graph(v, v, e).collect()
+    assert len(got) == 120
+    for r in got:
+        way = b[r["dst"]] - b[r["src"]]
+        assert r["cosine"] == pytest.approx(a[r["src"]] @ way / np.sqrt((a[r["src"]] ** 2).sum() * (way**2).sum()))

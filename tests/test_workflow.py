@@ -426,3 +426,18 @@ def test_velocity_graph_takes_entries_and_not_every_gene(spark, monkeypatch):
     for r in got:
         way = b[r["dst"]] - b[r["src"]]
         assert r["cosine"] == pytest.approx(a[r["src"]] @ way / np.sqrt((a[r["src"]] ** 2).sum() * (way**2).sum()))
+
+
+def test_velocity_confidence_counts_genes_without_entries(spark, monkeypatch):
+    layers, e = _star(spark)
+    monkeypatch.setattr(spatial, "gene_rows", None)
+    monkeypatch.setattr(dynamics, "BLOCK_ROWS", 100)
+    v = cut(dynamics.velocity(dynamics.moments(layers, e)))
+    rows = v.collect()
+    genes = {g: k for k, g in enumerate(sorted({r["gene_id"] for r in rows}))}
+    a = np.zeros((40, len(genes)))
+    for r in rows:
+        a[r["obs_id"], genes[r["gene_id"]]] = r["velocity"]
+    for r in dynamics.velocity_confidence(v, e).collect():
+        o = r["obs_id"]
+        assert r["confidence"] == pytest.approx(np.mean([np.corrcoef(a[o], a[(o + i) % 40])[0, 1] for i in (1, 2, 3)]))

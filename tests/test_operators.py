@@ -238,3 +238,19 @@ def test_bounds_that_are_hit_raise(spark):
     with pytest.raises(RuntimeError):
         neighbors.connected(e, nodes, 1)
     assert neighbors.hops(e, nodes, 6).count() == 42
+
+
+def test_pearson_residuals_are_made_where_they_are_used(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.poisson(1.0, (30, 20)) + np.eye(30, 20)
+    rows = [(f"c{i}", f"g{j}", float(x[i, j])) for i in range(30) for j in range(20) if x[i, j]]
+    expr = spark.createDataFrame(rows, "obs_id string, gene_id string, value double")
+    monkeypatch.setattr(preprocess, "densify", None)  # a row for each cell and gene, joined with the counts
+    monkeypatch.setattr(preprocess, "OBS_BLOCK", 4)
+    monkeypatch.setattr(preprocess, "GENE_BLOCK", 6)
+    got = preprocess.pearson_residuals(expr, expr.select("obs_id").distinct(), expr.select("gene_id").where("gene_id <> 'g3'")).collect()
+    assert len(got) == len({(r["obs_id"], r["gene_id"]) for r in got}) == (x.sum(axis=1) > 0).sum() * 19
+    for r in got:
+        i, j = int(r["obs_id"][1:]), int(r["gene_id"][1:])
+        mu, n = x[i].sum() * x[:, j].sum() / x.sum(), (x.sum(axis=1) > 0).sum()
+        assert r["residual"] == pytest.approx(np.clip((x[i, j] - mu) / np.sqrt(mu + mu * mu / 100), -np.sqrt(n), np.sqrt(n)))

@@ -88,3 +88,19 @@ def test_genes_are_fitted_side_by_side(spark):
     factors = bulk.select("stratum", "sample").distinct().selectExpr("stratum", "sample", "1.0D as size_factor")
     genes, sets = dispersion._packed(bulk.where("value > 0"), factors, "a", "b", ("stratum",))
     assert genes.count() == 10 and sets.count() == 2
+
+
+def test_strata_of_unlike_samples_share_a_batch(spark):
+    bulk = bulk_of(spark, genes=12).where("not (stratum = 't' and sample in ('t0', 't7'))").repartition(1)
+    factors = bulk.select("stratum", "sample").distinct().selectExpr("stratum", "sample", "1.0D + length(sample) / 10D as size_factor")
+    genes, sets = dispersion._packed(bulk, factors, "a", "b", ("stratum",))
+    rows = dispersion._beside(genes, sets, ("stratum",)).coalesce(1)
+    got = {(r["stratum"], r["gene_id"]): r["dispersion"] for r in dispersion.dispersions(rows, ("stratum",)).collect()}
+    assert len(got) == 24
+    y = {(r["stratum"], r["gene_id"], r["sample"]): r["value"] for r in bulk.collect()}
+    for (stratum, g), alpha in got.items():
+        names = sorted({n for s, _, n in y if s == stratum})
+        v, s = np.array([[y[stratum, g, n] for n in names]]), np.full((1, len(names)), 1.2)
+        first = np.array([[float(int(n[1:]) < 4) for n in names]])
+        mu = dispersion.fitted_means(v, s, first, dispersion.rough_dispersions(v / s, s, first))[1]
+        assert alpha == pytest.approx(dispersion.best_dispersions(v, mu, first)[0], rel=1e-3)

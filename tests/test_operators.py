@@ -28,6 +28,31 @@ def test_knn_is_exact_on_uneven_points(spark, monkeypatch, small):
     assert got == want
 
 
+@pytest.mark.parametrize("include_self", [False, True])
+def test_knn_deals_out_crowded_tiles(spark, monkeypatch, include_self):
+    """No task takes all pairs of a tile: points beyond a share are dealt out, and their nearest meet afterwards."""
+    monkeypatch.setattr(neighbors, "SHARE", 16)
+    one = neighbors._nearest
+    rng = np.random.default_rng(3)
+    xy = np.concatenate([rng.normal(0, 1, (150, 2)), np.zeros((40, 2)), rng.normal(30, 0.1, (100, 2)), [[500.0, -500.0]]]).round(2)
+    df = spark.createDataFrame([(f"p{i:03}", float(x), float(y)) for i, (x, y) in enumerate(xy)], "obs_id string, x double, y double")
+
+    def bounded(rows, k, include_self):
+        if len(rows) > 90:
+            raise AssertionError("a task holds a crowded tile")
+        return one(rows, k, include_self)
+
+    monkeypatch.setattr(neighbors, "_nearest", bounded)
+    d = ((xy[:, None] - xy[None]) ** 2).sum(axis=2)
+    if not include_self:
+        np.fill_diagonal(d, np.inf)
+    want = {f"p{i:03}": [f"p{j:03}" for j in np.lexsort((np.arange(len(xy)), d[i]))[:7]] for i in range(len(xy))}
+    got: dict = {}
+    for r in neighbors.knn(df, 7, include_self, small=0).orderBy("src", "rank").collect():
+        got.setdefault(r["src"], []).append(r["dst"])
+    assert got == want
+
+
 def test_knn_of_few_points(spark):
     one = spark.createDataFrame([(1, 0.0, 0.0)], "obs_id long, x double, y double")
     assert neighbors.knn(one, 3).count() == 0

@@ -341,6 +341,27 @@ def test_suffix_array_and_prefixes(n, letters):
             assert got[i] == next((k for k, (p, q) in enumerate(zip(a, b, strict=False)) if p != q), min(len(a), len(b)))
 
 
+@pytest.mark.parametrize("depth", [5, 50])
+def test_suffix_array_stops_at_a_depth(monkeypatch, depth):
+    """What agrees beyond the strings asked for is not sorted, and common prefixes are not walked."""
+    x = np.tile(np.random.default_rng(2).integers(0, 9, 40), 30)
+    sa, t = suffix_dedup.suffix_array(x, depth), x.tolist()
+    assert sorted(sa.tolist()) == list(range(len(x)))
+    got = [t[i : i + depth] for i in sa.tolist()]
+    assert got == sorted(got)
+    monkeypatch.setattr(suffix_dedup, "common_prefixes", None)
+    texts = [bytes(x[:120].astype(np.uint8)), bytes(x[7:90].astype(np.uint8)), b"\xff\0" * 30, b"\0" * 51]
+    strings, low, text, place, number = suffix_dedup.shard_strings(texts, np.array([3, 2, 5, 1]))
+    want: dict = {}
+    for body, owner in zip(texts, (3, 2, 5, 1), strict=True):
+        for i in range(len(body) - 49):
+            want[body[i : i + 50]] = min(owner, want.get(body[i : i + 50], 9))
+    assert [s.tobytes() for s in strings] == sorted(want) and low.tolist() == [want[s] for s in sorted(want)]
+    assert sorted(zip(text.tolist(), place.tolist(), strict=True)) == [(k, i) for k, body in enumerate(texts) for i in range(len(body) - 49)]
+    assert all(strings[n].tobytes() == texts[k][i : i + 50] for k, i, n in zip(text.tolist(), place.tolist(), number.tolist(), strict=True))
+    assert len(suffix_dedup.shard_strings([b"a" * 9], np.array([1]))[0]) == 0
+
+
 def test_merging_shards_by_binary_search():
     rng = random.Random(4)
     texts = ["".join(rng.choice("ab") for _ in range(4)) * 20 for _ in range(60)]

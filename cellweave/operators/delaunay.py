@@ -159,6 +159,11 @@ def _tried(blocks: DataFrame, kind: str, bounds: tuple, h: float, shake: float)
     return blocks.groupBy("tx", "ty").applyInPandas(run, TRIED.format(t=kind))
 
 
+def _table(df: DataFrame) -> DataFrame:
+    """``df`` cut; tables of points, tiles and triangles meet by merges, never by copies that pass the driver."""
+    return cut(df).hint("merge")
+
+
 def triangles(points: DataFrame, tile: int = TILE) -> DataFrame:
     """(a, b, c) of the Delaunay triangles of ``points`` (obs_id, x, y), a < b < c; rows without finite coordinates are left out."""
     spark, kind = points.sparkSession, dict(points.dtypes)["obs_id"]
@@ -171,7 +176,7 @@ def triangles(points: DataFrame, tile: int = TILE) -> DataFrame:
         return none
     shake = SHAKE * max(x1 - x0, y1 - y0)
     moved = lambda c, seed: F.col(c) + shake * (F.pmod(F.xxhash64("obs_id", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40) - 0.5)
-    p = cut(p.select("obs_id", moved("x", 1).alias("x"), moved("y", 2).alias("y")))
+    p = _table(p.select("obs_id", moved("x", 1).alias("x"), moved("y", 2).alias("y")))
     x0, x1, y0, y1 = p.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     side = max(x1 - x0, y1 - y0)
     h = max(np.sqrt(max((x1 - x0) * (y1 - y0), side * side / n) * tile / n), side / 1e6)
@@ -181,16 +186,16 @@ def triangles(points: DataFrame, tile: int = TILE) -> DataFrame:
     ways = [F.col("x") * a + F.col("y") * b for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (-1, -1), (1, -1), (-1, 1))]
     extreme = p.agg(*[F.max_by(F.struct("obs_id", "x", "y"), w).alias(f"e{k}") for k, w in enumerate(ways)]).first()
     always = spark.createDataFrame(sorted({tuple(e) for e in extreme}), f"obs_id {kind}, x double, y double")  # eight rows at most
-    placed = cut(p.select("obs_id", "x", "y", *cells(h)))
+    placed = _table(p.select("obs_id", "x", "y", *cells(h)))
     around = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
     spread = placed.withColumn("i", around).withColumn("j", around).select("obs_id", "x", "y", "cx", "cy", (F.col("cx") + F.col("i")).alias("tx"), (F.col("cy") + F.col("j")).alias("ty"))
-    tiles = cut(placed.select(F.col("cx").alias("tx"), F.col("cy").alias("ty")).distinct().withColumn("t", F.lit(0)))
-    extra = cut(tiles.select("tx", "ty").join(F.broadcast(always)).select("tx", "ty", "obs_id", "x", "y"))
+    tiles = _table(placed.select(F.col("cx").alias("tx"), F.col("cy").alias("ty")).distinct().withColumn("t", F.lit(0)))
+    extra = _table(tiles.select("tx", "ty").join(F.broadcast(always)).select("tx", "ty", "obs_id", "x", "y"))
     done = none
     for _ in range(ROUNDS):
         late = extra.join(placed.select("obs_id", "cx", "cy"), "obs_id").select("obs_id", "x", "y", "cx", "cy", "tx", "ty")
         blocks = spread.unionByName(late).join(tiles, ["tx", "ty"])
-        tried = cut(_tried(blocks, kind, (x0, x1, y0, y1), h, shake))
+        tried = _table(_tried(blocks, kind, (x0, x1, y0, y1), h, shake))
         levels = [r[0] for r in tiles.select("t").distinct().where("t > 0").collect()]  # as many as doublings of a tile in the extent
         found = None
         for t in levels:
@@ -201,11 +206,11 @@ def triangles(points: DataFrame, tile: int = TILE) -> DataFrame:
             new = met.where(inside).groupBy("tx", "ty", "probe").agg(F.min_by(F.struct(F.col("k").alias("obs_id"), F.col("kx").alias("x"), F.col("ky").alias("y")), F.struct(dx * dx + dy * dy, F.col("k"))).alias("m")).select("tx", "ty", "m.*")
             found = new if found is None else found.unionByName(new)
         if found is not None:
-            found = cut(found.distinct().join(extra.select("tx", "ty", "obs_id"), ["tx", "ty", "obs_id"], "left_anti"))
+            found = _table(found.distinct().join(extra.select("tx", "ty", "obs_id"), ["tx", "ty", "obs_id"], "left_anti"))
             extra = extra.unionByName(found)
         changed = (tiles.where("false") if found is None else found).select("tx", "ty").distinct().withColumn("changed", F.lit(True))
         covered = tried.groupBy("tx", "ty").agg(F.min("covered").alias("covered"))
-        state = cut(tiles.join(changed, ["tx", "ty"], "left").join(covered, ["tx", "ty"], "left").na.fill({"changed": False, "covered": True}))
+        state = _table(tiles.join(changed, ["tx", "ty"], "left").join(covered, ["tx", "ty"], "left").na.fill({"changed": False, "covered": True}))
         settled = tried.join(state.where("covered and not changed"), ["tx", "ty"], "left_semi")
         full = settled.where("c is not null and not flat").select(F.array_sort(F.array("a", "b", "c")).alias("v")).select(F.col("v")[0].alias("a"), F.col("v")[1].alias("b"), F.col("v")[2].alias("c"))
         done = done.unionByName(full)
@@ -220,5 +225,5 @@ def delaunay_edges(points: DataFrame, tile: int = TILE) -> DataFrame:
     t = triangles(points, tile)
     pairs = t.select("a", "b").unionByName(t.select("a", F.col("c").alias("b"))).unionByName(t.select(F.col("b").alias("a"), F.col("c").alias("b"))).distinct()
     at = lambda end, x, y: points.select(F.col("obs_id").alias(end), F.col("x").cast("double").alias(x), F.col("y").cast("double").alias(y))
-    both = pairs.join(at("a", "ax", "ay"), "a").join(at("b", "bx", "by"), "b")
+    both = pairs.join(at("a", "ax", "ay").hint("merge"), "a").join(at("b", "bx", "by").hint("merge"), "b")
     return both.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2).alias("d"))

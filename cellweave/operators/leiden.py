@@ -139,6 +139,11 @@ def in_memory(edges, gamma: float = 1.0, start: dict | None = None, rounds: int
 # --- as tables ---------------------------------------------------------------------------------------------------
 
 
+def _table(df: DataFrame) -> DataFrame:
+    """``df`` cut; tables of nodes and edges meet by merges in every round, never by copies that pass the driver."""
+    return cut(df).hint("merge")
+
+
 def _both(half: DataFrame) -> DataFrame:
     apart = half.where("a <> b")
     return apart.select(F.col("a").alias("u"), F.col("b").alias("v"), "w").unionByName(apart.select(F.col("b").alias("u"), F.col("a").alias("v"), "w"))
@@ -157,20 +162,20 @@ def _local_moves(both: DataFrame, degrees: DataFrame, labels: DataFrame, total:
     """(u, c): ``labels`` after moves that raise modularity, until what is left to gain is next to nothing."""
     before, last, gain = -float("inf"), None, F.col("l") - gamma * F.col("k") * F.col("size") / total
     for turn in range(ROUNDS):
-        own = degrees.join(labels, "u").withColumnRenamed("c", "own")
+        own = degrees.join(labels.hint("merge"), "u").withColumnRenamed("c", "own")
         sizes = own.groupBy("own").agg(F.sum("k").alias("size"))
-        links = both.join(labels.select(F.col("u").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("l"))
-        choice = own.join(links, "u", "left").join(sizes.withColumnRenamed("own", "c"), "c", "left")
+        links = both.join(labels.select(F.col("u").alias("v"), "c").hint("merge"), "v").groupBy("u", "c").agg(F.sum("w").alias("l"))
+        choice = own.join(links.hint("merge"), "u", "left").join(sizes.withColumnRenamed("own", "c").hint("merge"), "c", "left")
         here = F.col("c") == F.col("own")
         best = choice.groupBy("u", "k", "own").agg(F.coalesce(F.max(F.when(here, F.col("l"))), F.lit(0.0)).alias("inner"), F.min(F.when(~here, F.struct((-F.round(gain, 10)).alias("minus"), F.col("c").alias("to")))).alias("best"))
         stay = F.col("inner") - gamma * F.col("k") * (F.col("size") - F.col("k")) / total
-        seen = cut(best.join(sizes, "own").select("u", "own", "k", "inner", "size", F.col("best.to").alias("to"), F.coalesce(-F.col("best.minus") - stay, F.lit(0.0)).alias("gain")))
+        seen = _table(best.join(sizes.hint("merge"), "own").select("u", "own", "k", "inner", "size", F.col("best.to").alias("to"), F.coalesce(-F.col("best.minus") - stay, F.lit(0.0)).alias("gain")))
         q, left = seen.agg(F.sum("inner") - gamma / total * F.sum(F.col("k") * F.col("size")), F.sum(F.greatest("gain", F.lit(0.0)))).first()
         if q <= before:  # the moves of the round before spoilt each other: of them, those that do not touch each other
             apart = last.where((F.col("gain") > _EPS) & (_colour(F.col("own"), turn) == 0) & (_colour(F.col("to"), turn) == 1))
             one = apart.groupBy("own").agg(F.max_by(F.struct("u", "to", "gain"), F.struct("gain", "u")).alias("m")).select("m.*")
             one = one.groupBy("to").agg(F.max_by("u", F.struct("gain", "u")).alias("u"))
-            labels = cut(last.select("u", "own").join(one, "u", "left").select("u", F.coalesce("to", "own").alias("c")))
+            labels = _table(last.select("u", "own").join(one.hint("merge"), "u", "left").select("u", F.coalesce("to", "own").alias("c")))
             before -= _EPS
             continue
         if left <= _SETTLED * total:
@@ -183,28 +188,28 @@ def _local_moves(both: DataFrame, degrees: DataFrame, labels: DataFrame, total:
 
 def _refinement(both: DataFrame, degrees: DataFrame, labels: DataFrame, total: float, gamma: float) -> DataFrame:
     """(u, p): connected parts of the communities, named after one of their nodes."""
-    ends = both.join(labels, "u").join(labels.select(F.col("u").alias("v"), F.col("c").alias("d")), "v")
-    inner = cut(ends.where(F.col("c") == F.col("d")).select("u", "v", "w"))
-    whole = degrees.join(labels, "u").groupBy("c").agg(F.sum("k").alias("whole"))
-    nodes = cut(degrees.join(labels, "u").join(whole, "c").select("u", "k", "whole"))
+    ends = both.join(labels.hint("merge"), "u").join(labels.select(F.col("u").alias("v"), F.col("c").alias("d")).hint("merge"), "v")
+    inner = _table(ends.where(F.col("c") == F.col("d")).select("u", "v", "w"))
+    whole = degrees.join(labels.hint("merge"), "u").groupBy("c").agg(F.sum("k").alias("whole"))
+    nodes = _table(degrees.join(labels.hint("merge"), "u").join(whole.hint("merge"), "c").select("u", "k", "whole"))
     parts = nodes.select("u", F.col("u").alias("p"))
     for turn in range(ROUNDS):
-        links = inner.join(parts.select(F.col("u").alias("v"), F.col("p").alias("to")), "v").groupBy("u", "to").agg(F.sum("w").alias("l"))
-        links = links.join(nodes.join(parts, "u"), "u")
+        links = inner.join(parts.select(F.col("u").alias("v"), F.col("p").alias("to")).hint("merge"), "v").groupBy("u", "to").agg(F.sum("w").alias("l"))
+        links = links.join(nodes.join(parts.hint("merge"), "u").hint("merge"), "u")
         out = links.groupBy("p").agg(F.sum(F.when(F.col("to") != F.col("p"), F.col("l"))).alias("out"))
-        sizes = nodes.join(parts, "u").groupBy("p").agg(F.sum("k").alias("weight"), F.count("*").alias("members"), F.first("whole").alias("whole"))
-        sizes = sizes.join(out, "p").where(F.coalesce("out", F.lit(0.0)) >= gamma * F.col("weight") * (F.col("whole") - F.col("weight")) / total - _EPS)
+        sizes = nodes.join(parts.hint("merge"), "u").groupBy("p").agg(F.sum("k").alias("weight"), F.count("*").alias("members"), F.first("whole").alias("whole"))
+        sizes = sizes.join(out.hint("merge"), "p").where(F.coalesce("out", F.lit(0.0)) >= gamma * F.col("weight") * (F.col("whole") - F.col("weight")) / total - _EPS)
         sizes = sizes.select("p", "weight", "members")
-        singles = links.join(sizes.where("members = 1").select("p"), "p", "left_semi")
+        singles = links.join(sizes.where("members = 1").select("p").hint("merge"), "p", "left_semi")
         gain = F.col("l") - gamma * F.col("k") * F.col("weight") / total
-        options = singles.where("to <> p").join(sizes.select(F.col("p").alias("to"), "weight"), "to").withColumn("gain", gain).where(F.col("gain") > _EPS)
-        options = cut(options.select("u", "p", "to", "gain"))
+        options = singles.where("to <> p").join(sizes.select(F.col("p").alias("to"), "weight").hint("merge"), "to").withColumn("gain", gain).where(F.col("gain") > _EPS)
+        options = _table(options.select("u", "p", "to", "gain"))
         if options.isEmpty():
             return parts
         leaves = options.where(_colour(F.col("p"), turn) == 0)
-        staying = leaves.join(leaves.select(F.col("p").alias("to")).distinct(), "to", "left_anti")
+        staying = leaves.join(leaves.select(F.col("p").alias("to")).distinct().hint("merge"), "to", "left_anti")
         best = staying.groupBy("u").agg(F.min(F.struct((-F.round("gain", 10)).alias("minus"), F.col("to").alias("to"))).alias("best"))
-        parts = cut(parts.join(best.select("u", F.col("best.to").alias("to")), "u", "left").select("u", F.coalesce("to", "p").alias("p")))
+        parts = _table(parts.join(best.select("u", F.col("best.to").alias("to")).hint("merge"), "u", "left").select("u", F.coalesce("to", "p").alias("p")))
     raise RuntimeError(f"refinement did not settle in {ROUNDS} rounds")
 
 
@@ -216,28 +221,28 @@ def leiden(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, in_task:
     """
     kind = dict(edges.dtypes)["src"]
     w = F.col("w").cast("double") if "w" in edges.columns else F.lit(1.0)
-    half = cut(edges.where("src is not null and dst is not null").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), w.alias("w")).groupBy("a", "b").agg(F.sum("w").alias("w")).where("w > 0"))
+    half = _table(edges.where("src is not null and dst is not null").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), w.alias("w")).groupBy("a", "b").agg(F.sum("w").alias("w")).where("w > 0"))
     first, flat, labels = half, None, None
     total = half.agg(2 * F.sum("w")).first()[0]
     if not total:
         return nodes.select("obs_id", F.lit(-1).cast("long").alias("cluster"))
     while True:
-        degrees = cut(_degrees(half))
+        degrees = _table(_degrees(half))
         labels = degrees.select("u", F.col("u").alias("c")) if labels is None else labels
         if half.count() <= in_task:
-            found = _finished(half.join(labels.select(F.col("u").alias("a"), F.col("c").alias("of_a")), "a").join(labels.select(F.col("u").alias("b"), F.col("c").alias("of_b")), "b"), resolution, kind)
+            found = _finished(half.join(labels.select(F.col("u").alias("a"), F.col("c").alias("of_a")).hint("merge"), "a").join(labels.select(F.col("u").alias("b"), F.col("c").alias("of_b")).hint("merge"), "b"), resolution, kind)
             break
         both = _both(half)
-        labels = cut(_local_moves(both, degrees, labels, total, resolution))
+        labels = _table(_local_moves(both, degrees, labels, total, resolution))
         parts = _refinement(both, degrees, labels, total, resolution)
         found = labels
         if parts.select("p").distinct().count() == parts.count():
             break
-        flat = cut(parts.select(F.col("u").alias("obs_id"), "p") if flat is None else flat.withColumnRenamed("p", "u").join(parts, "u").select("obs_id", "p"))
+        flat = _table(parts.select(F.col("u").alias("obs_id"), "p") if flat is None else flat.withColumnRenamed("p", "u").join(parts, "u").select("obs_id", "p"))
         a, b = (parts.select(F.col("u").alias(x), F.col("p").alias(y)) for x, y in (("a", "pa"), ("b", "pb")))
-        half = cut(half.join(a, "a").join(b, "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"), "w").groupBy("a", "b").agg(F.sum("w").alias("w")))
-        labels = cut(parts.join(labels, "u").select(F.col("p").alias("u"), "c").distinct())
-    com = cut(found.select(F.col("u").alias("obs_id"), "c") if flat is None else flat.join(found.withColumnRenamed("u", "p"), "p").select("obs_id", "c"))
+        half = _table(half.join(a, "a").join(b, "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"), "w").groupBy("a", "b").agg(F.sum("w").alias("w")))
+        labels = _table(parts.join(labels, "u").select(F.col("p").alias("u"), "c").distinct())
+    com = _table(found.select(F.col("u").alias("obs_id"), "c") if flat is None else flat.join(found.withColumnRenamed("u", "p"), "p").select("obs_id", "c"))
     return _numbered(_connected(first, com), nodes)
 
 
@@ -258,21 +263,21 @@ def _finished(half: DataFrame, gamma: float, kind: str) -> DataFrame:
 def _connected(half: DataFrame, com: DataFrame) -> DataFrame:
     """(obs_id, c): communities split into their connected components."""
     a, b = (com.select(F.col("obs_id").alias(x), F.col("c").alias(y)) for x, y in (("a", "ca"), ("b", "cb")))
-    inner = half.join(a, "a").join(b, "b").where("ca = cb and a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    inner = half.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where("ca = cb and a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     return neighbors.connected(inner, com.select("obs_id")).select("obs_id", F.col("component").alias("c"))
 
 
 def _numbered(com: DataFrame, nodes: DataFrame) -> DataFrame:
     """Communities by size; the place of one is the number of those in front of it, found by ranges and their counts."""
-    sizes = cut(com.groupBy("c").agg((-F.count("*")).alias("minus")))
-    ranged = cut(sizes.repartitionByRange("minus", "c").sortWithinPartitions("minus", "c").select("c", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
+    sizes = _table(com.groupBy("c").agg((-F.count("*")).alias("minus")))
+    ranged = _table(sizes.repartitionByRange("minus", "c").sortWithinPartitions("minus", "c").select("c", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
     starts, at = [], 0
     for part, n, low in sorted(map(tuple, ranged.groupBy("part").agg(F.count("*"), F.min("at")).collect())):  # a row for each partition
         starts.append((part, at - low))
         at += n
     shift = com.sparkSession.createDataFrame(starts, "part int, shift long")
     number = ranged.join(F.broadcast(shift), "part").select("c", (F.col("at") + F.col("shift")).alias("cluster"))
-    return nodes.select("obs_id").join(com.join(number, "c").select("obs_id", "cluster"), "obs_id", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1).cast("long")))
+    return nodes.select("obs_id").join(com.join(number.hint("merge"), "c").select("obs_id", "cluster").hint("merge"), "obs_id", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1).cast("long")))
 
 
 def modularity(edges: DataFrame, clusters: DataFrame, resolution: float = 1.0) -> DataFrame:

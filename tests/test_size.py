@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions import stats
-from cellweave.operators import deconvolution, neighbors, spatial
+from cellweave.operators import deconvolution, delaunay, leiden, neighbors, spatial
 
 
 @pytest.fixture
@@ -69,3 +69,39 @@ def test_profiles_stay_off_the_driver(spark, monkeypatch):
 
 def test_blocks_of_vectors_stay_few():
     assert [neighbors.vector_blocks(n * 64) for n in (500, 10_000, 100_000, 600_000)] == [1, 8, 8, 10]
+
+
+@pytest.fixture
+def no_broadcast(monkeypatch):
+    """Every table that a round writes is planned without a copy by way of the driver."""
+
+    def watch(module, allowed=()):
+        plain = module.cut
+
+        def cut(df):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("BroadcastExchange") <= sum(a in plan for a in allowed), plan
+            return plain(df)
+
+        monkeypatch.setattr(module, "cut", cut)
+
+    return watch
+
+
+def test_rounds_of_communities_and_components_broadcast_nothing(spark, no_broadcast):
+    no_broadcast(leiden)
+    no_broadcast(neighbors)
+    edges = [(10 * g + i, 10 * g + j) for g in range(4) for i in range(6) for j in range(i)] + [(0, 10), (20, 30)]
+    nodes = spark.createDataFrame(sorted({(x,) for e in edges for x in e}), "obs_id long")
+    got = leiden.leiden(spark.createDataFrame(edges, "src long, dst long"), nodes, 1.0, in_task=5)
+    assert len({r["obs_id"] // 10: r["cluster"] for r in got.collect()}) == 4
+    assert "BroadcastHashJoin" not in neighbors.connected(spark.createDataFrame(edges, "src long, dst long"), nodes)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_triangles_broadcast_no_points(spark, no_broadcast):
+    no_broadcast(delaunay, ("BroadcastNestedLoopJoin",))  # the eight extreme points
+    xy = np.random.default_rng(1).random((60, 2))
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "obs_id long, x double, y double")
+    edges = delaunay.delaunay_edges(df, tile=20)
+    assert "BroadcastHashJoin" not in edges._jdf.queryExecution().executedPlan().toString()
+    assert edges.count() > 100

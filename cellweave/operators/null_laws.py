@@ -93,15 +93,15 @@ def _log_factorial(k: np.ndarray) -> np.ndarray:
 
 def _below(k: int, below: np.ndarray, total: int, n: int, finite: bool) -> np.ndarray:
     """P(at most k - 1 of n draws are among the first ``below`` of ``total``), for each of ``below``: summed on the side of k
-    away from the mean, 40 roots of n far, where terms fall."""
-    reach = min(n, 40 * int(np.ceil(np.sqrt(n))) + 50)
+    away from the mean, five roots of n far and 50 more. Terms fall there at least as exp(-2 t^2 / n), so what is beyond is under 1e-21 of the sum."""
+    reach = min(n, 5 * int(np.ceil(np.sqrt(n))) + 50)
     below, f = np.asarray(below, float), _log_factorial
     out = np.empty(len(below))
     low = k - 1 < n * below / total
     for under in (True, False):
         j = np.arange(max(0, k - reach), k, dtype=float) if under else np.arange(k, min(n, k + reach) + 1, dtype=float)
         rows = np.flatnonzero(low == under)
-        for some in np.array_split(rows, max(1, len(rows) * len(j) // 1_000_000)):
+        for some in np.array_split(rows, max(1, len(rows) * len(j) // 200_000)):
             b = below[some][:, None]
             if finite:
                 fits = (j <= b) & (n - j <= total - b)
@@ -166,55 +166,77 @@ def upper(first: tuple, second: tuple, score: float, how: str) -> float:
 
 
 def group_laws(expr: DataFrame, groups: DataFrame, summary: str = "mean", finite: bool = True) -> DataFrame:
-    """(gene_id, group, observed, fraction, v, m): each group's summary of each gene with its law under random labels.
+    """(gene_id, group, observed, fraction, v, m): each group's summary of each gene with its law under random labels; see ``all_laws``."""
+    return all_laws(expr, groups, (summary,), finite).drop("summary")
+
+
+def all_laws(expr: DataFrame, groups: DataFrame, summaries: tuple[str, ...] = tuple(SUMMARIES), finite: bool = True) -> DataFrame:
+    """(gene_id, group, summary, observed, fraction, v, m): several summaries from one count of the values.
 
     Values are counted in bins first, 1024 a gene for means and 65,536 for quantiles (whole numbers of a smaller range in bins of
-    their own), so a gene's task holds groups x bins rows whatever the number of cells; a bin stands for the mean of its values. Zeros have no rows and count.
+    their own), so a gene's task holds groups x bins rows whatever the number of cells; a bin stands for the mean of its values. With
+    quantiles, the bins of means are put together from theirs, of which 64 make one. Zeros have no rows and count.
     ``groups`` (obs_id, group) has a row per obs; rows without a group, an id or a finite value take no part, nor do genes
     without a value. More than 10,000 groups raise.
     """
-    if summary not in SUMMARIES:
-        raise ParameterError(f"unknown summary {summary}; known: {', '.join(SUMMARIES)}")
+    for summary in summaries:
+        if summary not in SUMMARIES:
+            raise ParameterError(f"unknown summary {summary}; known: {', '.join(SUMMARIES)}")
+    types = dict(expr.dtypes)["gene_id"], dict(groups.dtypes)["group"]
     g = groups.where("obs_id is not null and group is not null").select("obs_id", "group")
-    sizes = {r["group"]: r["n"] for r in g.groupBy("group").agg(F.count("*").alias("n")).limit(GROUPS + 1).collect()}
-    if len(sizes) > GROUPS:
+    known = [(r["group"], r["n"]) for r in g.groupBy("group").agg(F.count("*").alias("n")).limit(GROUPS + 1).collect()]
+    if len(known) > GROUPS:
         raise ParameterError(f"more than {GROUPS} groups")
-    total, share = sum(sizes.values()), SUMMARIES[summary]
-    many = BINS if share is None else FINE
-    x = expr.where("gene_id is not null and value <> 0 and abs(value) < double('inf')").select("obs_id", "gene_id", F.col("value").cast("double").alias("value")).join(g, "obs_id")
+    total = sum(n for _, n in known)
+    many = BINS if all(SUMMARIES[x] is None for x in summaries) else FINE
+    numbers = expr.sparkSession.createDataFrame([(name, i) for i, (name, _) in enumerate(known)], f"group {types[1]}, at int")
+    g = g.join(F.broadcast(numbers), "group").select("obs_id", "at")
+    x = expr.where("gene_id is not null and value <> 0 and abs(value) < double('inf')").select("obs_id", "gene_id", F.col("value").cast("double").alias("value"))
+    x = cut(x.join(g, "obs_id").select("gene_id", "at", "value"))
     span = F.greatest(F.max("value"), F.lit(0.0)) - F.least(F.min("value"), F.lit(0.0))
     size = x.groupBy("gene_id").agg(span.alias("span"), F.max(F.abs(F.col("value") - F.round("value"))).alias("off"))
-    size = size.select("gene_id", F.when((F.col("off") == 0) & (F.col("span") <= many), 1.0).otherwise(F.col("span") / many).alias("step"))
-    bins = x.join(size, "gene_id").groupBy("gene_id", "group", "step", F.floor(F.col("value") / F.col("step")).alias("bin")).agg(F.count("*").alias("n"), F.sum("value").alias("s"), F.count_if(F.col("value") > 0).alias("k"))
-
-    def law(b: pd.DataFrame) -> pd.DataFrame:
-        pooled = b.groupby("bin")[["n", "s"]].sum()
-        place = (pooled["s"] / pooled["n"]).to_dict()
-        x, c = np.append(0.0, pooled["s"] / pooled["n"]), np.append(total - pooled["n"].sum(), pooled["n"]).astype(float)
+    step = lambda n: F.when((F.col("off") == 0) & (F.col("span") <= n), 1.0).otherwise(F.col("span") / n)
+    size = cut(size.select("gene_id", step(many).alias("step"), step(BINS).alias("coarse")))
+    bin_ = F.floor(F.col("value") / F.col("step")).cast("int").alias("bin")
+    bins = x.join(size, "gene_id").groupBy("gene_id", "at", bin_).agg(F.count("*").cast("int").alias("n"), F.sum("value").alias("s"), F.count_if(F.col("value") > 0).cast("int").alias("k"))
+
+    def pooled(place: np.ndarray, n: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rising values and counts of bins, zeros among them."""
+        _, at = np.unique(place, return_inverse=True)
+        n, s = np.bincount(at, n), np.bincount(at, s)
+        x, c = np.append(0.0, s / n), np.append(total - n.sum(), n)
         order = np.argsort(x, kind="stable")
-        x, c = x[order][c[order] > 0], c[order][c[order] > 0]
-        own = dict(list(b.groupby("group")))
-        known: dict[int, tuple] = {}
+        return x[order][c[order] > 0], c[order][c[order] > 0]
+
+    def law(b: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
+        gene, fine, coarse = steps["gene_id"].iloc[0], float(steps["step"].iloc[0]), float(steps["coarse"].iloc[0])
+        at, n, s, k = b["at"].to_numpy(), b["n"].to_numpy(), b["s"].to_numpy(), b["k"].to_numpy()
+        places, inside = np.unique(b["bin"].to_numpy(), return_inverse=True)
+        size, sums = np.bincount(inside, n), np.bincount(inside, s)
+        value = sums / size
+        by_group = np.argsort(at, kind="stable")
+        ends = np.searchsorted(at[by_group], np.arange(len(known) + 1))
         rows = []
-        for group, n in sizes.items():
-            if n not in known:
-                known[n] = mean_law(x, c, float(b["step"].iloc[0]), n, finite) if share is None else quantile_law(x, c, n, share, finite)
-            mine = own.get(group)
-            if mine is None:
-                observed = fraction = 0.0
-            else:
-                fraction = mine["k"].sum() / n
-                if share is None:
-                    observed = mine["s"].sum() / n
+        for summary in summaries:
+            share, laws = SUMMARIES[summary], {}
+            whole = pooled(np.floor(places / (coarse / fine)) if share is None else places, size, sums)
+            for i, (group, of) in enumerate(known):
+                if of not in laws:
+                    laws[of] = mean_law(*whole, coarse, of, finite) if share is None else quantile_law(*whole, of, share, finite)
+                mine = by_group[ends[i] : ends[i + 1]]
+                if not len(mine):
+                    observed = 0.0
+                elif share is None:
+                    observed = s[mine].sum() / of
                 else:
-                    at, times = np.append(0.0, mine["bin"].map(place)), np.append(n - mine["n"].sum(), mine["n"])
-                    order = np.argsort(at, kind="stable")
-                    observed = at[order][np.searchsorted(np.cumsum(times[order]), max(1, np.ceil(share * n - 1e-9)), "left")]
-            rows.append((b["gene_id"].iloc[0], group, float(observed), float(fraction), *known[n]))
-        return pd.DataFrame(rows, columns=["gene_id", "group", "observed", "fraction", "v", "m"])
+                    seen, times = np.append(0.0, value[inside[mine]]), np.append(of - n[mine].sum(), n[mine])
+                    order = np.argsort(seen, kind="stable")
+                    observed = seen[order][np.searchsorted(np.cumsum(times[order]), max(1, np.ceil(share * of - 1e-9)), "left")]
+                rows.append((gene, group, summary, float(observed), float(k[mine].sum() / of), *laws[of]))
+        return pd.DataFrame(rows, columns=["gene_id", "group", "summary", "observed", "fraction", "v", "m"])
 
-    types = dict(expr.dtypes)["gene_id"], dict(groups.dtypes)["group"]
-    return bins.groupBy("gene_id").applyInPandas(law, f"gene_id {types[0]}, group {types[1]}, observed double, fraction double, v array<double>, m array<double>")
+    schema = f"gene_id {types[0]}, group {types[1]}, summary string, observed double, fraction double, v array<double>, m array<double>"
+    return bins.groupBy("gene_id").cogroup(size.groupBy("gene_id")).applyInPandas(law, schema)
 
 
 def complex_laws(laws: DataFrame, members: DataFrame, how: str = "min") -> DataFrame:
@@ -295,18 +317,18 @@ def analytic_p_values(expr: DataFrame, groups: DataFrame, pairs: DataFrame, memb
 def combined_p_values(expr: DataFrame, groups: DataFrame, pairs: DataFrame, members: DataFrame | None = None, summaries: tuple[str, ...] = tuple(SUMMARIES), aggregates: tuple[str, ...] = AGGREGATES, scores: tuple[str, ...] = SCORES, min_fraction: float = 0.1, finite: bool = True) -> DataFrame:
     """(source, target, ligand, receptor, strength, p, q): the Cauchy combination of p over all settings, and the mean score.
 
-    A gene's values are binned once a summary; without complexes the aggregates agree, and one is taken.
+    A gene's values are counted once for all summaries; without complexes the aggregates agree, and one is taken.
     """
-    wanted = cut(_wanted(expr, pairs, members))
+    every = cut(all_laws(_wanted(expr, pairs, members), groups, summaries, finite))
     parts = []
     for summary in summaries:
-        laws = cut(group_laws(wanted, groups, summary, finite))
+        laws = every.where(F.col("summary") == summary).drop("summary")
         for how in aggregates if members is not None else aggregates[:1]:
             units = _units(laws, pairs, members, how)
             units = cut(units) if members is not None and len(scores) > 1 else units
             parts += [scored(units, pairs, score, min_fraction) for score in scores]
-    every = reduce(DataFrame.unionByName, parts)
+    scores_ = reduce(DataFrame.unionByName, parts)
     # A p of one is a pole of the tangent that would hide every other; it counts as 1 - 1 / settings.
     inside = F.when((F.col("p") >= 1 - LEAST) & F.lit(len(parts) > 1), F.lit(1.0 - 1.0 / len(parts))).otherwise(F.col("p"))
-    out = every.groupBy("source", "target", "ligand", "receptor").agg(F.avg("score").alias("strength"), stats.cauchy_combination(inside).alias("p"))
+    out = scores_.groupBy("source", "target", "ligand", "receptor").agg(F.avg("score").alias("strength"), stats.cauchy_combination(inside).alias("p"))
     return stats.adjust(out.withColumn("p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p")))), "p", "q", "bh", ("ligand", "receptor"), ("source", "target"))

@@ -144,3 +144,28 @@ def test_defined_results(spark):
         with pytest.raises(ParameterError):
             null_laws.analytic_p_values(expr, groups, pairs, **bad)
     assert null_laws.logged(expr).agg({"value": "max"}).first()[0] == expr.agg({"value": "max"}).first()[0]
+
+
+def test_tails_of_many_draws_take_little_memory():
+    """A group of 60,000 in 600,000: the sums stop where terms are nothing, and are those of all terms."""
+    import tracemalloc
+
+    total, n, k = 600_000, 60_000, 30_000
+    below = np.linspace(total * 0.46, total * 0.54, 300).round()
+    tracemalloc.start()
+    got = null_laws._below(k, below, total, n, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    j, f = np.arange(k, dtype=float), null_laws._log_factorial
+    for b, p in list(zip(below, got, strict=True))[::30]:
+        t = f(np.array([b])) - f(j) - f(b - j) + f(np.array([total - b])) - f(n - j) - f(total - b - n + j) - (f(np.array([float(total)])) - f(np.array([float(n)])) - f(np.array([float(total - n)])))
+        assert np.isclose(p, np.exp(t).sum(), rtol=1e-8, atol=1e-12)
+
+
+def test_values_are_counted_once_for_all_summaries(spark, monkeypatch):
+    calls, plain = [], null_laws.all_laws
+    monkeypatch.setattr(null_laws, "all_laws", lambda *a: calls.append(a[2]) or plain(*a))
+    expr, groups = tables(spark, matrix())
+    assert null_laws.combined_p_values(expr, groups, spark.createDataFrame([(0, 1)], "ligand long, receptor long")).count() == 9
+    assert calls == [("mean", "median", "q3", "q90")]

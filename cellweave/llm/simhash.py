@@ -226,13 +226,20 @@ def block_links(reps: np.ndarray, fps: np.ndarray, signatures: np.ndarray, least
     return out, rest if len(np.unique(group[rest])) > 1 else rest[:0]
 
 
-def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, used: list[str] | None = None) -> DataFrame:
     """(doc_id, root) of documents: root is the smallest doc_id of the group of near duplicates.
 
+    Paths of the tables that the result is read from are added to ``used``; they go once it has been written.
+
     Null ids take no part. Texts without words are equal to each other. Equal sketches collapse first, so copies meet
     nothing more than once.
     """
-    spark = docs.sparkSession
+    spark, used = docs.sparkSession, [] if used is None else used
+
+    def stored(df: DataFrame, tag: str) -> DataFrame:
+        df, path = common.stored(df, tag)
+        used.append(path)
+        return df
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[bytes, int] = {}
@@ -241,20 +248,20 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.array([g[0] for g in got], np.int64), "signature": [g[1].tobytes() for g in got], "keys": [g[2] for g in got]})
 
     sketches = docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, fp long, signature binary, keys array<long>")
-    sketches, _ = common.stored(sketches, "sketches")
+    sketches = stored(sketches, "sketches")
     classes = sketches.groupBy("fp", "signature").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys"))
-    classes, _ = common.stored(classes, "sketch-classes")
-    found, _ = common.stored(_met(classes.select("rep", "fp", "signature", F.explode("keys").alias("key")), similarity), "sketch-links")
+    classes = stored(classes, "sketch-classes")
+    found = stored(_met(classes.select("rep", "fp", "signature", F.explode("keys").alias("key")), similarity), "sketch-links")
     pairs = found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "estimate").groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
-    doubtful, _ = common.stored(pairs.where(F.col("estimate") < similarity + ABOVE).select("a", "b"), "doubtful")
+    doubtful = stored(pairs.where(F.col("estimate") < similarity + ABOVE).select("a", "b"), "doubtful")
     sure = pairs.where(F.col("estimate") >= similarity + ABOVE).select("a", "b")
-    links, _ = common.stored(sure if doubtful.isEmpty() else sure.unionByName(_verified(docs, doubtful, words, similarity)), "verified")
-    roots, _ = common.stored(common.components(links), "roots")
-    unseen, _ = common.stored(_unseen(found.where("b is null").select("key", F.col("a").alias("rep")), roots), "unseen")
+    links = stored(sure if doubtful.isEmpty() else sure.unionByName(_verified(docs, doubtful, words, similarity, used)), "verified")
+    roots = stored(common.components(links, used=used), "roots")
+    unseen = stored(_unseen(found.where("b is null").select("key", F.col("a").alias("rep")), roots), "unseen")
     if not unseen.isEmpty():
-        more, _ = common.stored(_exact_links(docs, unseen, words, similarity), "exact-links")
+        more = stored(_exact_links(docs, unseen, words, similarity, used), "exact-links")
         if not more.isEmpty():
-            roots = common.components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+            roots = common.components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), used=used)
     named = classes.join(roots, classes["rep"] == roots["node"], "left").select("fp", "signature", F.coalesce("root", "rep").alias("root"))
     return sketches.select("doc_id", "fp", "signature").join(named, ["fp", "signature"]).select("doc_id", "root")
 
@@ -307,14 +314,15 @@ def _shingled(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").join(ids.distinct(), "doc_id").mapInPandas(run, "doc_id long, h array<long>")
 
 
-def _exact_links(docs: DataFrame, unseen: DataFrame, words: int, similarity: float) -> DataFrame:
+def _exact_links(docs: DataFrame, unseen: DataFrame, words: int, similarity: float, used: list[str]) -> DataFrame:
     """(a, b) that join groups of ``_unseen`` rows of one block whose shingles agree by ``similarity``.
 
     Of two rows of different groups one at least is not of the block's main group: such rows lead, ``LEADERS`` of them a
     task, and every row of the block streams past them. Pairs are decided where they meet; only those leave a task that
     join what it has not joined yet, so no more than the rows that went in.
     """
-    sets, _ = common.stored(_shingled(docs, unseen.select(F.col("rep").alias("doc_id")), words), "shingles")
+    sets, path = common.stored(_shingled(docs, unseen.select(F.col("rep").alias("doc_id")), words), "shingles")
+    used.append(path)
     rows = unseen.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
     spread = F.pmod(F.xxhash64("rep"), F.col("chunks"))
     sizes = unseen.where("root <> main").groupBy("key").agg(F.ceil(F.count("*") / LEADERS).cast("int").alias("chunks"))
@@ -379,10 +387,11 @@ class Meeting:
         return out
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float, used: list[str]) -> DataFrame:
     """The pairs (a, b) of doc_ids whose texts have shingle sets of at least ``similarity`` (intersection over union)."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
     sets, path = common.stored(_shingled(docs, ids, words), "shingles")
+    used.append(path)
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("h").alias("hb")), "b")
     both = both.select("a", "b", F.size("ha").alias("na"), F.size("hb").alias("nb"), F.size(F.array_intersect("ha", "hb")).alias("n"))
     return both.where(F.col("n") >= similarity * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b").distinct()
@@ -393,5 +402,8 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
 
     Rows with a null doc_id stay; rows that repeat an id stay or go together; other columns pass through.
     """
-    gone = similar_classes(docs, words, similarity).where("doc_id <> root").select("doc_id").distinct()
+    used: list[str] = []
+    gone, _ = common.stored(similar_classes(docs, words, similarity, used).where("doc_id <> root").select("doc_id").distinct(), "gone")
+    for path in used:
+        common.remove(docs.sparkSession, path)
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -147,26 +147,28 @@ def global_similarity(expr: DataFrame, edges: DataFrame, pairs: DataFrame, permu
     """(ligand, receptor, moran, lee, p, q): bivariate Moran (values against the lag) and Lee (lag against lag) of each pair over
     row-standardised weights, the share of permutations of the receptor's places with as large a Moran, and BH of it."""
     from cellweave.operators import spatial
-    from cellweave.operators.permutations import pair_products
+    from cellweave.operators.permutations import pair_products, pair_sums
     from cellweave.storage import cut
 
     genes = pairs.select(F.col("ligand").alias("gene_id")).unionByName(pairs.select(F.col("receptor").alias("gene_id"))).distinct()
     z = cut(spatial.centred(expr.join(genes, "gene_id", "left_semi")).select("obs_id", "gene_id", "z"))
     e = cut(edges.select("src", "dst"))
-    lag = cut(spatial._lag(e, z))
     zz = z.groupBy("gene_id").agg(F.sum(F.col("z") * F.col("z")).alias("zz"))
-    x = pairs.join(z.select("obs_id", F.col("gene_id").alias("ligand"), "z"), "ligand")
-    side = lag.select("obs_id", F.col("gene_id").alias("receptor"), F.col("lag").alias("lr"))
-    own = lag.select("obs_id", F.col("gene_id").alias("ligand"), F.col("lag").alias("ll"))
-    sums = x.join(side, ["obs_id", "receptor"]).join(own, ["obs_id", "ligand"]).groupBy("ligand", "receptor").agg(F.sum(F.col("z") * F.col("lr")).alias("m"), F.sum(F.col("ll") * F.col("lr")).alias("l"))
+    # Values and lags stand in arrays, a row an obs: neither a pair nor a gene is a row.
+    blocks = spatial.gene_rows(z, "z")
+    both = blocks.join(spatial._lag_rows(spatial._standard(e), blocks).withColumn("near", F.lit(1)), ["obs_id", "block"], "left")
+    both = both.select("obs_id", F.struct("block", "genes", "v", F.coalesce("lag", F.transform("v", lambda _: F.lit(0.0))).alias("lag"), F.coalesce("near", F.lit(0)).alias("near")).alias("s"))
+    both = both.groupBy("obs_id").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    both = cut(both.select("obs_id", *[F.flatten(f"s.{c}").alias(c) for c in ("genes", "v", "lag")], F.array_max("s.near").alias("near")))
+    kinds = ", ".join(f"{c} {t}" for c, t in pairs.select("ligand", "receptor").dtypes)
+    listed = [tuple(r) for r in pairs.select("ligand", "receptor").distinct().collect()]
+    numbered = expr.sparkSession.createDataFrame([(k, *p) for k, p in enumerate(listed)], f"pair long, {kinds}")
+    sums = pair_sums(both.where("near = 1"), listed).join(F.broadcast(numbered), "pair").drop("pair")
     down = F.sqrt(F.col("zl") * F.col("zr"))
     sums = sums.join(zz.select(F.col("gene_id").alias("ligand"), F.col("zz").alias("zl")), "ligand").join(zz.select(F.col("gene_id").alias("receptor"), F.col("zz").alias("zr")), "receptor").where(down > 0)
     one = sums.select("ligand", "receptor", "m", (F.col("m") / down).alias("moran"), (F.col("l") / down).alias("lee"))
-    # The lag of permuted ligands is that of their places: sum over obs of z(partner) * lag. Values and lags stand in arrays.
-    listed = [tuple(r) for r in pairs.select("ligand", "receptor").distinct().collect()]
-    both = z.join(lag, ["obs_id", "gene_id"], "left").na.fill(0.0, ["lag"]).groupBy("obs_id").agg(F.sort_array(F.collect_list(F.struct("gene_id", "z", "lag"))).alias("s"))
-    drawn = pair_products(both.select("obs_id", F.col("s.gene_id").alias("genes"), F.col("s.z").alias("v"), F.col("s.lag").alias("lag")), listed, permutations, seed)
-    numbered = expr.sparkSession.createDataFrame([(k, *p) for k, p in enumerate(listed)], f"pair long, {', '.join(f'{c} {t}' for c, t in pairs.select('ligand', 'receptor').dtypes)}")
+    # The lag of permuted ligands is that of their places: sum over obs of z(partner) * lag.
+    drawn = pair_products(both.drop("near"), listed, permutations, seed)
     null = drawn.join(F.broadcast(numbered), "pair")
     p = null.join(one.select("ligand", "receptor", "m"), ["ligand", "receptor"]).groupBy("ligand", "receptor").agg(((F.count_if(F.col("mp") >= F.col("m") - 1e-12) + 1.0) / (permutations + 1.0)).alias("p"))
     out = one.join(p, ["ligand", "receptor"]).select("ligand", "receptor", "moran", "lee", "p")

@@ -89,3 +89,35 @@ def test_global_similarity(spark, graph):
     df = communication.global_similarity(expr, edges, spark.createDataFrame([(0, 1), (1, 2)], "ligand int, receptor int"), PERMS)
     assert "md5" not in planned(df) and df.count() == 2
     assert permutations.CHUNKS < PERMS
+
+
+def test_values_are_dealt_to_tasks_in_shares(spark, graph, monkeypatch):
+    """A task holds so many numbers at most; fewer chunks of permutations keep the copies of the table few."""
+    e, edges, _ = graph
+    values = spark.range(N).withColumnRenamed("id", "obs_id").select("obs_id", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("gene_id")).withColumn("value", F.sin(F.col("obs_id") * (F.col("gene_id") + 1)))
+    pairs = spark.createDataFrame([(g, g + 1) for g in range(6)], "ligand long, receptor long")
+
+    def made():
+        local = spatial.local_morans_p(edges, values, PERMS).select("obs_id", "gene_id", "p_sim").orderBy("obs_id", "gene_id").collect()
+        return local, communication.global_similarity(values, edges, pairs, PERMS).orderBy("ligand").collect()
+
+    whole = made()
+    plain = permutations._matrix
+
+    def watched(rows, column):
+        got = plain(rows, column)
+        assert "share" not in rows.column_names or got.shape[1] <= 2, got.shape  # else it is a batch that streams past
+        return got
+
+    monkeypatch.setattr(permutations, "HELD", 2 * N)
+    monkeypatch.setattr(permutations, "_matrix", watched)
+    assert made()[0] == whole[0]
+    got = made()[1]
+    assert [(r["ligand"], r["p"]) for r in got] == [(r["ligand"], r["p"]) for r in whole[1]]
+    x = np.sin(np.outer(np.arange(N), np.arange(1, 8)))
+    z = x - x.mean(axis=0)
+    lag = np.stack([z[[b for a, b in e if a == i]].mean(axis=0) for i in range(N)])
+    for r in got:
+        a, b = r["ligand"], r["receptor"]
+        down = np.sqrt((z[:, a] ** 2).sum() * (z[:, b] ** 2).sum())
+        assert np.isclose(r["moran"], z[:, a] @ lag[:, b] / down) and np.isclose(r["lee"], lag[:, a] @ lag[:, b] / down)
